@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chat import SQL_OP8, op8_chat_format
+from tidemark.llm.langid import op7_language_id
+from tidemark.llm.pieces import op2_merge_dropout
 from tidemark.llm.token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_merge_dropout": op2_merge_dropout,
+    "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
+}
+SQL: dict[str, str] = {
+    "op8_chat_format": SQL_OP8,
 }
-SQL: dict[str, str] = {}
