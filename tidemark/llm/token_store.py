@@ -16,7 +16,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +39,13 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Before a single space between two non-spaces, a byte-level pre-tokenizer always begins a new piece, whatever follows.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Entries that a worker keeps at most.
-CACHE = 400_000
+CUT = re.compile(r"(?<=\S)(?= \S)").split
+#: White space next to white space, or other than space and line feed: such texts are cut by CUT, others at every space.
+ODD = re.compile(r"\s\s|[^\S \n]|\x00|^ | $")
+#: Pieces whose parts never merge: letters, one mark, and maybe a line feed and letters.
+PARTS = re.compile(r"( ?[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])(?:(\n)([A-Z\u00c0-\u00d6\u00d8-\u00de]?[a-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])?)?").fullmatch
+#: Entries of a generation of the cache, texts at once, and new pieces in one call of the tokenizer.
+CACHE, TEXTS, PIECES = 300_000, 500, 20_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -59,35 +62,53 @@ class Encoder:
         self.specials = {x.content: i for i, x in added.items()}
         self.mark = next((x.content for x in added.values() if x.special and not (x.lstrip or x.rstrip or x.single_word)), None)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before: what is still in use moves over
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """One call for many pieces, with a special token between them, whose id then cuts the ids apart."""
-        ids = np.array(self.tokenizer.encode(self.mark.join(pieces), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.specials[self.mark])
-        ends = [*(cuts * 4).tolist(), len(ids) * 4]
-        starts = [0, *((cuts + 1) * 4).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+    def learn(self, pieces: list[str]) -> None:
+        """Each call takes many pieces, with a special token between them, whose id then cuts the ids apart."""
+        for k in range(0, len(pieces), PIECES):
+            some = pieces[k : k + PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.specials[self.mark])
+            ends, starts, raw = [*(cuts * 4).tolist(), len(ids) * 4], [0, *((cuts + 1) * 4).tolist()], ids.tobytes()
+            self.cache.update(zip(some, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str]] = []
+        if len(self.cache) > CACHE:
+            self.cache, self.old = {}, self.cache
+        out: dict[int, bytes] = {}
+        flat: list[str] = []
+        ends = []
         for i, text in enumerate(texts):
             if self.mark is None or any(s in text for s in self.specials):
                 out[i] = self.whole(text)
-                cut.append([])
+            elif ODD.search(text):
+                flat += CUT(text)
             else:
-                cut.append(CUT.split(text))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(cut)).difference(self.cache))
+                flat += text.replace(" ", "\x00 ").split("\x00")
+            ends.append(len(flat))
+        cache = self.cache
+        got = list(map(cache.get, flat))
+        new = [i for i, x in enumerate(got) if x is None]
         if new:
-            self.cache.update(zip(new, self.pieces(new), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) if o is None else o for o, p in zip(out, cut, strict=True)]
+            parts = {flat[i]: None for i in new}
+            found = self.old.keys() & parts.keys()
+            cache.update((x, self.old[x]) for x in found)
+            for x in found:
+                del parts[x]
+            for piece in parts:
+                if m := PARTS(piece):
+                    parts[piece] = [x for x in m.groups() if x is not None]
+            self.learn(list({x for piece, p in parts.items() for x in p or [piece]}.difference(cache)))
+            for piece, p in parts.items():
+                if p:
+                    cache[piece] = b"".join(map(cache.__getitem__, p))
+            for i in new:
+                got[i] = cache[flat[i]]
+        return [out[i] if i in out else b"".join(got[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
 
 
 def encoder(path: str) -> Encoder:
@@ -99,8 +120,8 @@ def encoder(path: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, start, enc, end = TaskContext.get().partitionId(), 0, encoder(path), np.array([end_id], "<u4").tobytes()
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
             ids = [x + end for x in enc.batch([t or "" for t in batch.column("text").to_pylist()])]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             ends = np.cumsum(n)
