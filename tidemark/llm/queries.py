@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import SQL_OP8, op8_chat_format
 from tidemark.llm.langid import op7_language_id
+from tidemark.llm.media import op6_webp_media
 from tidemark.llm.pieces import op2_merge_dropout
 from tidemark.llm.token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_merge_dropout": op2_merge_dropout,
+    "op6_webp_media": op6_webp_media,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
 }
