@@ -10,15 +10,20 @@ from tidemark.llm.chat import SQL_OP8, op8_chat_format
 from tidemark.llm.langid import op7_language_id
 from tidemark.llm.media import op6_webp_media
 from tidemark.llm.pieces import op2_merge_dropout
+from tidemark.llm.sharding import op9_hash_tree_shards
 from tidemark.llm.token_store import op1_token_store
+from tidemark.llm.url_filter import SQL_OP4, op4_url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_merge_dropout": op2_merge_dropout,
+    "op4_url_reputation": op4_url_reputation,
     "op6_webp_media": op6_webp_media,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
+    "op9_hash_tree_shards": op9_hash_tree_shards,
 }
 SQL: dict[str, str] = {
+    "op4_url_reputation": SQL_OP4,
     "op8_chat_format": SQL_OP8,
 }
