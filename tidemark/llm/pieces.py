@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import mix64, spans, table, utf8
 
 MARK = "\u2581"
-#: Documents worked on at once, and bytes.
-DOCS, BYTES = 4000, 4 << 20
+#: Documents, bytes, and different units that are worked on at once.
+DOCS, BYTES, UNITS = 4000, 6 << 20, 12_000
 NONE = np.int64(1 << 40)
 
 _models: dict[str, Model] = {}
@@ -102,19 +102,17 @@ class Model:
                 break
         return out
 
-    def merge(self, codes: np.ndarray, lens: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Symbols of units (code points, their counts) with a hash key for each unit: ids, counts, candidates skipped.
+    def merge(self, codes: np.ndarray, lens: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of units (code points, their counts) with a hash key for each unit: ids and their counts.
         An id below 0 is minus one minus a code point that has no piece."""
         sym = self.char[codes].astype(np.int64)
         sym = np.where(sym < 0, -1 - codes.astype(np.int64), sym)
         unit = np.repeat(np.arange(len(lens)), lens)
         place = np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)
         bound = np.uint64(min(2**64 - 1, int(rate * 2.0**64)))
-        skipped = 0
 
         def score(at: np.ndarray, sym: np.ndarray, place: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """For pairs that begin at `at`: sort key (smaller merges first) and merged piece."""
-            nonlocal skipped
             piece = self.pair(sym[at], sym[at + 1])
             ok = piece >= 0
             if rate > 0:
@@ -122,7 +120,6 @@ class Model:
                 with np.errstate(over="ignore"):
                     h = mix64(key[unit[at[k]]] + place[at[k]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ piece[k].astype(np.uint64) << np.uint64(40))
                 drop = h < bound
-                skipped += int(drop.sum())
                 ok[k[drop]] = False
             return np.where(ok, self.rank[piece] << 20 | np.minimum(place[at], (1 << 20) - 1), NONE), piece
 
@@ -168,7 +165,7 @@ class Model:
         sym = np.concatenate(done_sym) if done_sym else sym
         unit = np.concatenate(done_unit) if done_unit else unit
         order = np.argsort(unit, kind="stable")
-        return sym[order], np.bincount(unit, minlength=len(lens)).astype(np.int64), skipped
+        return sym[order].astype(np.int32), np.bincount(unit, minlength=len(lens)).astype(np.int64)
 
     def to_ids(self, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become byte pieces."""
@@ -180,7 +177,7 @@ class Model:
         n[bad] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         out = np.repeat(sym, n)
         raw = np.frombuffer("".join(map(chr, code.tolist())).encode("utf-8", "surrogatepass"), np.uint8)
-        out[out < 0] = raw.astype(np.int64) + self.byte0
+        out[out < 0] = raw.astype(np.int32) + self.byte0
         ends, c = np.cumsum(n), np.cumsum(counts)
         total = np.concatenate([[0], ends])[c]
         return out, np.diff(np.concatenate([[0], total]))
@@ -221,8 +218,12 @@ class Model:
         own = todo // draws
         with np.errstate(over="ignore"):
             key = mix64(hashes[own] + (todo % draws).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
-        sym, counts, _ = self.merge(points[spans(ws[own], wl[own])], wl[own], key, rate)
-        sym, counts = self.to_ids(sym, counts)
+        made = []
+        for a in range(0, len(own), UNITS):  # arrays of a size that stays in the processor's cache
+            part = own[a : a + UNITS]
+            got, per_unit = self.merge(points[spans(ws[part], wl[part])], wl[part], key[a : a + UNITS], rate)
+            made.append(self.to_ids(got, per_unit))
+        sym, counts = (np.concatenate([x[k] for x in made]) for k in (0, 1)) if made else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         starts = np.cumsum(counts) - counts
         n = np.zeros(len(texts), np.int64)
         unit_n = counts[which]
@@ -268,26 +269,27 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), lists], [*names, "ids"])
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for batch in batches:
-        lists = batch.column("ids")
-        offs = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-        raw, at = m.decode(ids, np.diff(offs))
-        text = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.string())
-        columns, names = list(batch.columns), list(batch.schema.names)
-        if check:
-            same = pc.equal(pc.fill_null(batch.column("text"), ""), text)
-            i = names.index("text")
-            columns[i] = same
-            names[i] = "lossless"
-            columns.append(pa.array(np.diff(offs)))
-            names.append("n_ids")
-        else:
-            columns.append(text)
-            names.append("decoded")
-        yield pa.RecordBatch.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([*batch.columns, _texts(m, batch.column("ids"))], [*batch.schema.names, "decoded"])
+
+
+def _texts(m: Model, lists: pa.ListArray) -> pa.StringArray:
+    offs = lists.offsets.to_numpy().astype(np.int64)
+    ids = lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]] if len(lists) else np.zeros(0, np.int32)
+    raw, at = m.decode(ids, np.diff(offs))
+    return pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.string())
+
+
+def _check(batches: Iterator[pa.RecordBatch], path: str, **how) -> Iterator[pa.RecordBatch]:
+    """Both ways in one worker: what comes out of decoding is held against the text."""
+    m = model(path)
+    for batch in batches:
+        for part in _encode(iter([batch]), path, **how):
+            lists = part.column("ids")
+            same = pc.equal(pc.fill_null(part.column("text"), ""), _texts(m, lists))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), same, lists], ["doc_id", "n_ids", "lossless", "ids"])
 
 
 def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, draws: int = 8, keep: list[str] | None = None) -> DataFrame:
@@ -300,14 +302,13 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17,
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Adds `decoded` to rows with ids."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(partial(_decode, path=model_path, check=False), f"{schema}, decoded string")
+    return encoded.mapInArrow(partial(_decode, path=model_path), f"{schema}, decoded string")
 
 
-def encode_checked(docs: DataFrame, model_path: str, **how) -> DataFrame:
-    """doc_id, n_ids, ids, and whether decoding gave the text again."""
-    rows = encode(docs, model_path, keep=["doc_id", "text"], **how)
-    out = rows.mapInArrow(partial(_decode, path=model_path, check=True), "doc_id long, lossless boolean, ids array<int>, n_ids long")
-    return out.select("doc_id", "n_ids", "lossless", "ids")
+def encode_checked(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, draws: int = 8) -> DataFrame:
+    """doc_id, n_ids, whether decoding gave the text again, and ids."""
+    work = partial(_check, path=model_path, rate=rate, seed=seed, draws=draws)
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_ids long, lossless boolean, ids array<int>")
 
 
 def production_model() -> str:
