@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import SQL_OP8, op8_chat_format
+from tidemark.llm.dedup import op10_minhash_dedup
 from tidemark.llm.langid import op7_language_id
 from tidemark.llm.media import op6_webp_media
 from tidemark.llm.mixture import SQL_OP3, op3_hierarchical_mix
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
     "op9_hash_tree_shards": op9_hash_tree_shards,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 SQL: dict[str, str] = {
     "op3_hierarchical_mix": SQL_OP3,
