@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import materialize, table
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tidemark.llm.dedup import stage_near_dedup
+from tidemark.llm.langid import stage_language_id
+from tidemark.llm.mixture import stage_mix
+from tidemark.llm.pieces import stage_pieces
+from tidemark.llm.quality import stage_quality
+
+#: Each takes (spark, docs, sf_dir) and returns what the next one gets; all but the last keep the columns of documents.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", stage_language_id),
+    ("quality", stage_quality),
+    ("near_dedup", stage_near_dedup),
+    ("mix", stage_mix),
+    ("pieces", stage_pieces),
+]
 
 #: Compression, C-steps and sketches are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
