@@ -3,13 +3,14 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles; its sketch, the SKETCH smallest of them.
 
 1. Documents with equal sets form classes (128-bit fingerprints); the smallest doc_id stands for the class.
-2. Inverted lists of the representatives' INDEX smallest values. In each list all members meet its smallest member only;
+2. Inverted lists of the representatives' sketches. In each list all members meet its smallest member only;
    the pairs with the most overlap are filtered by the union sketch's estimate and verified on full sets. This is linear
    in the lists, and joins large groups of near copies into components.
 3. All pairs of one list whose members are still in different components are compared as well. Lists longer than HOT
-   take part only for documents of which most values are in such lists; any other document with a similarity over the
-   threshold to one of these shares values in shorter lists too (it has half its set outside of long lists, and of those
-   at least half in common). So a passage that many documents share does not pair them, and no pair is capped.
+   take part only for documents with less than the share RARE of their sketch in shorter ones. If two documents with at
+   least that share outside of long lists are similar enough, then a quarter of their sets is both shared and outside,
+   which makes fifteen values of the sketch on average, so a short list brings them together (all but 3 pairs in 10^7 right
+   at the threshold). So a passage that many documents share does not pair them, and no list is cut off.
    Overlaps, then union sketches, then full sets decide again.
 4. Components of the links: large-star and small-star rounds, each written to the shared folder.
 
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, mix64, table, utf8
 
-SKETCH, INDEX, HOT = 64, 48, 64
+SKETCH, HOT = 64, 16
+#: A document with fewer of its sketch's values than this share in short lists takes part in long ones, too.
+RARE = 0.38
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are hashed at once.
 BYTES = 2 << 20
@@ -183,18 +186,18 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
     live = base.where("n > 0 and doc_id is not null")
     reps = live.join(classes.select(F.col("rep"), "k1", "k2"), [live["doc_id"] == F.col("rep"), live["k1"] == classes["k1"], live["k2"] == classes["k2"]])
     reps = materialize(reps.select("rep", "n", "sketch").distinct(), "dedup-reps", compression="zstd")
-    posts = reps.select("rep", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("v"))
+    posts = reps.select("rep", "n", F.explode("sketch").alias("v"))
     lists = posts.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("m")).where("c > 1")
     posts = materialize(posts.join(lists, "v"), "dedup-lists", compression="zstd")
 
-    meets = posts.where("rep <> m").groupBy("rep", "m").agg(F.count("*").alias("o"), F.min("n").alias("n")).where(F.col("o") * 6 >= F.least(F.lit(INDEX), F.col("n")))
+    meets = posts.where("rep <> m").groupBy("rep", "m").agg(F.count("*").alias("o"), F.min("n").alias("n")).where(F.col("o") * 6 >= F.least(F.lit(SKETCH), F.col("n")))
     best = meets.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("o"), "m"))), 1, 2).alias("m"))
     stars = best.select(F.col("rep").alias("b"), F.explode("m.m").alias("a"))
     near = verified(estimated(stars, reps), docs)
     near = materialize(near, "dedup-links")
     parts = materialize(components(near), "dedup-components")
 
-    hot = posts.groupBy("rep").agg((F.count_if(F.col("c") > HOT) * 2 > F.least(F.lit(INDEX), F.max("n"))).alias("most"), F.count_if(F.col("c") > HOT).alias("hot"))
+    hot = posts.groupBy("rep").agg(F.count_if(F.col("c") > HOT).alias("hot"), F.least(F.lit(SKETCH), F.max("n")).alias("k")).withColumn("most", F.col("hot") > F.col("k") * (1 - RARE)).drop("k")
     own = posts.join(hot, "rep").where(f"c <= {HOT} or most").join(parts, F.col("rep") == F.col("id"), "left")
     own = own.select("v", "rep", "n", "hot", F.coalesce("root", "rep").alias("root"))
     open_ = own.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
@@ -204,7 +207,7 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     pairs = one.join(two, "v").where("a < b and ra <> rb").where(100 * small >= PERCENT * large)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("o"), F.min(small).alias("n"), F.min(F.least("ha", "hb")).alias("h"))
-    pairs = pairs.where(F.col("o") + F.col("h") >= F.least(F.lit(INDEX), F.col("n")) * 0.42)
+    pairs = pairs.where(F.col("o") + F.col("h") >= F.least(F.lit(SKETCH), F.col("n")) * 0.42)
     more = verified(estimated(pairs, reps), docs)
     rows = live.join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct()
     ties = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).where("a < _hi")  # ids with several texts
@@ -234,4 +237,4 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays. What goes, the lesser part, is taken away from the documents."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -100,6 +100,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _clear(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    packers = compressors(dictionaries)
+    for batch in batches:
+        yield batch.filter(pa.array([not judge(t, packers)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is clear."""
-    return identify(docs, learn(training(docs)), docs.columns).where("not rejected").select(*docs.columns)
+    """Keep the documents whose language is clear; rows pass whole, whatever their columns are called."""
+    return docs.mapInArrow(partial(_clear, dictionaries=learn(training(docs))), docs.schema)

@@ -121,16 +121,16 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only the few documents at the edges are joined by id; all others are decided by their own hash."""
     rows, leaves = plan(docs, share=0.9, epochs=1)
     edge = select(rows.join(leaves.where("edge is not null").select(*LEVELS, "edge", "full"), list(LEVELS)).where(_digits(_order(SEED)) == F.col("edge")).drop("edge", "full"), leaves)
-    edge = edge.groupBy(F.col("doc_id").alias("_edge_id")).agg((F.max("prefix_tokens") > 0).alias("_edge_in"))
-    names = {c: f"_leaf_{c}" for c in LEVELS}
-    lookup = leaves.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("full").alias("_full"), F.coalesce("edge", F.lit(-1)).alias("_edge"))
+    edge = edge.groupBy(F.col("doc_id").alias("_mix_edge_id")).agg((F.max("prefix_tokens") > 0).alias("_mix_edge_in"))
+    names = {c: f"_mix_leaf_{c}" for c in LEVELS}
+    lookup = leaves.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("full").alias("_mix_full"), F.coalesce("edge", F.lit(-1)).alias("_mix_edge"))
     leaf = dict(zip(LEVELS, _leaf(docs), strict=True))
-    every = docs.select("*", *[leaf[c].alias(f"_own_{c}") for c in LEVELS])
-    every = every.join(lookup, [F.col(f"_own_{c}") == F.col(n) for c, n in names.items()], "left")
-    key = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce("_full", F.lit(0)).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    every = every.withColumn("_at", _digits(key) - F.coalesce("_edge", F.lit(-1)))
-    every = every.join(edge, F.col("doc_id").eqNullSafe(F.col("_edge_id")), "left")
-    stays = (F.coalesce("_full", F.lit(0)) > 0) | (F.col("_at") < 0) | ((F.col("_at") == 0) & F.coalesce("_edge_in", F.lit(False)))
+    every = docs.select("*", *[leaf[c].alias(f"_mix_own_{c}") for c in LEVELS])
+    every = every.join(lookup, [F.col(f"_mix_own_{c}") == F.col(n) for c, n in names.items()], "left")
+    key = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce("_mix_full", F.lit(0)).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    every = every.withColumn("_mix_at", _digits(key) - F.coalesce("_mix_edge", F.lit(-1)))
+    every = every.join(edge, F.col("doc_id").eqNullSafe(F.col("_mix_edge_id")), "left")
+    stays = (F.coalesce("_mix_full", F.lit(0)) > 0) | (F.col("_mix_at") < 0) | ((F.col("_mix_at") == 0) & F.coalesce("_mix_edge_in", F.lit(False)))
     return every.where(stays).select(*docs.columns)
 
 
