@@ -2,9 +2,9 @@
 draws -ln(u) / weight, u a hash of (document, child), and the smallest draw wins. A subtree's weight is that of its
 shards, so a changed weight moves documents only between that subtree and the rest.
 
-Law `key`: doc_id and the tree decide. A shard that is added later enters every level above it with a draw of its own (a
-graft) beside the old subtree's; whoever loses to the graft goes straight to the new shard and all others stay, so one
-more shard takes rows only into itself, wherever in the tree it is put.
+Law `key`: doc_id and the tree decide. A shard that is added later has one draw of its own, with its own weight, beside
+the regions' at the root (a graft): whoever it wins goes straight down to it and all others stay. So one more shard takes
+its share by weight, and takes rows only into itself, wherever in the tree it is put.
 
 Slots: within a shard rows are counted in blocks of a hash of doc_id; block counts are summed into bases, and rows are
 numbered inside their block, so no task holds a whole shard.
@@ -67,19 +67,19 @@ def placed(rows: DataFrame, tree: Tree, name: str) -> DataFrame:
     regions = sorted({s.region for s in tree.shards})
     racks = sorted({(s.region, s.rack) for s in tree.shards})
     total = lambda ok: sum(s.weight for s in tree.shards if ok(s))
-    graft = lambda ok: [(draw(f"graft {s.number}", s.weight), F.lit(-1 - s.number)) for s in tree.grafts if ok(s)]
+    grafts = [(draw(f"graft {s.number}", s.weight), F.lit(-1 - s.number)) for s in tree.grafts]
 
     def choose(column: str, options: dict, level: str) -> Column:
         out = F.when(F.col(column) < 0, F.col(column))
-        for node, (children, ok) in options.items():
-            out = out.when(F.col(column) == node, _least([*((draw(f"{level} {n}", w), F.lit(n)) for n, w in children), *graft(ok)]))
+        for node, children in options.items():
+            out = out.when(F.col(column) == node, _least([(draw(f"{level} {n}", w), F.lit(n)) for n, w in children]))
         return out
 
-    top = _least([*((draw(f"region {r}", total(lambda s, r=r: s.region == r)), F.lit(r)) for r in regions), *graft(lambda s: True)])
-    second = {r: ([(k, total(lambda s, k=k: s.rack == k)) for q, k in racks if q == r], lambda s, r=r: s.region == r) for r in regions}
-    third = {k: ([(s.number, s.weight) for s in tree.shards if s.rack == k], lambda s, k=k: s.rack == k) for _, k in racks}
+    top = _least([*((draw(f"region {r}", total(lambda s, r=r: s.region == r)), F.lit(r)) for r in regions), *grafts])
+    second = {r: [(k, total(lambda s, k=k: s.rack == k)) for q, k in racks if q == r] for r in regions}
+    third = {k: [(s.number, s.weight) for s in tree.shards if s.rack == k] for _, k in racks}
     out = rows.withColumn("_region", top).withColumn("_rack", choose("_region", second, "rack")).withColumn("_leaf", choose("_rack", third, "shard"))
-    return out.withColumn(name, F.when(F.col("_rack") < 0, -1 - F.col("_rack")).when(F.col("_leaf") < 0, -1 - F.col("_leaf")).otherwise(F.col("_leaf")).cast("int")).drop("_region", "_rack", "_leaf")
+    return out.withColumn(name, F.when(F.col("_leaf") < 0, -1 - F.col("_leaf")).otherwise(F.col("_leaf")).cast("int")).drop("_region", "_rack", "_leaf")
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
