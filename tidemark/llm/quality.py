@@ -98,7 +98,7 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians and absolute deviations of values rounded to hundredths: exact, and the states stay small."""
     step = SCALE // 100
     cells = [F.round(F.col(f"x{i}") / step) for i in range(P)]
-    mids = rows.groupBy("g").agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(cells)])
+    mids = materialize(rows.groupBy("g").agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(cells)]), "quality-medians")
     away = rows.join(mids, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.round(cells[i] - F.col(f"m{i}"))), 0.5).alias(f"a{i}") for i in range(P)])
     out = away.select("g", *[(F.col(f"m{i}") / 100).alias(f"m{i}") for i in range(P)], *[(F.pow(F.col(f"a{i}") / 100 * 1.4826, 2.0) + FLOOR[i] ** 2).alias(f"c{i}{i}") for i in range(P)])
     return _factor(out.select("*", *[F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i)]))
@@ -130,7 +130,8 @@ def _grouped(stats: DataFrame) -> DataFrame:
     n = n.join(pools, "_lang", "left").crossJoin(F.broadcast(rest))  # one row
     own, lang = F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), F.concat_ws("\x1f", F.lit("l"), "_lang")
     g = F.when(F.col("n") >= LEAST, own).when(F.col("pool") >= LEAST, lang).when(F.col("rest") >= LEAST, F.lit("all"))
-    return rows.join(n.select("_lang", "_source", g.alias("g")), ["_lang", "_source"], "left").drop("_lang", "_source")
+    names = materialize(n.select("_lang", "_source", g.alias("g")), "quality-names")
+    return rows.join(names, ["_lang", "_source"], "left").drop("_lang", "_source")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -139,10 +140,11 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = materialize(stats.select("*", *vector()), "quality-stats")
     rows = materialize(_grouped(stats), "quality-groups")
     fit = rows.where("not base_failed and g is not null").select("g", *[f"x{i}" for i in range(P)])
-    groups = _start(fit)
+    # each small table is written, so that its size is known and the planner need not shuffle the documents by group
+    groups = materialize(_start(fit), "quality-estimates")
     for _ in range(STEPS):
-        groups = _concentrate(fit, groups)
-    far = _distance(rows.join(materialize(groups, "quality-estimates"), "g", "left"))
+        groups = materialize(_concentrate(fit, groups), "quality-estimates")
+    far = _distance(rows.join(groups, "g", "left"))
     d2 = F.when(~F.col("base_failed"), F.round("d2", 4))
     out = far.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
