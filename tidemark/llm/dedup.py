@@ -3,16 +3,20 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles; its sketch, the SKETCH smallest of them.
 
 1. Documents with equal sets form classes (128-bit fingerprints); the smallest doc_id stands for the class.
-2. Inverted lists of the representatives' sketches. In each list all members meet its smallest member only;
-   the pairs with the most overlap are filtered by the union sketch's estimate and verified on full sets. This is linear
-   in the lists, and joins large groups of near copies into components.
-3. All pairs of one list whose members are still in different components are compared as well. Lists longer than HOT
-   take part only for documents with less than the share RARE of their sketch in shorter ones. If two documents with at
-   least that share outside of long lists are similar enough, then a quarter of their sets is both shared and outside,
-   which makes fifteen values of the sketch on average, so a short list brings them together (all but 3 pairs in 10^7 right
-   at the threshold). So a passage that many documents share does not pair them, and no list is cut off.
-   Overlaps, then union sketches, then full sets decide again.
-4. Components of the links: large-star and small-star rounds, each written to the shared folder.
+2. Inverted lists of the representatives' sketches. In each list all members meet one pivot only, the member with the most
+   values in long lists; the pairs with the most overlap are filtered by the union sketch's estimate and verified on full
+   sets. This is linear in the lists, and joins large groups of near copies into components.
+3. All pairs of a list of up to HOT members that are still in different components are compared as well: overlaps, then
+   union sketches, then full sets decide. Longer lists are left to documents with less than the share RARE of their sketch
+   in shorter ones ("typical" documents). If two documents with at least that share are similar enough, a quarter of
+   their sets is both shared and outside of long lists, which makes fifteen values of the sketch on average, so a
+   shorter list brings them together (all but 3 pairs in 10^7 right at the threshold).
+4. Typical documents, again only in different components, are compared through lists of their full sets: every list of up
+   to HOT members, and, for pairs that share nothing there, longer lists by the prefix rule: rare shingles first, a
+   document needs to show only the first n/4 + 1, of which those outside of long lists are known not to be shared; and
+   both must have enough shingles in long lists to reach the threshold with them alone. So a passage that many
+   documents share does not pair them, and neither does a text with thousands of loose variants; no list is cut off.
+5. Components of the links: large-star and small-star rounds, each written to the shared folder.
 
 Sketch filters lie more than four and a half standard deviations below the threshold. Sets are not kept: they are made
 again for documents in pairs, picked by a bitmap of fixed size before anything is shuffled.
@@ -30,7 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, mix64, table, utf8
@@ -181,34 +185,64 @@ def sketched(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sketch array<long>"), "dedup-sketches", compression="zstd")
 
 
+def similar_sizes():
+    """For sets whose sizes alone allow the threshold."""
+    return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+
+
+def open_pairs(own: DataFrame, condition) -> DataFrame:
+    """Pairs a < b of members of one list v in different components, from rows (v, rep, root, ...); every other column
+    comes twice, with _a and _b. Lists within one component go before the join."""
+    open_ = own.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
+    own = own.join(open_, "v")
+    rest = [c for c in own.columns if c not in ("v", "rep")]
+    one, two = (own.select("v", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rest]) for x in "ab")
+    return one.join(two, "v").where("a < b and root_a <> root_b").where(condition)
+
+
+def typical_pairs(docs: DataFrame, typical: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates among documents of which most shingles are in long lists, from their full sets."""
+    bitmap = bitmap_of(typical.select(F.col("rep").alias("id")))
+    full = docs.where("doc_id is not null").mapInArrow(partial(_sets, bitmap=bitmap), "id long, full array<long>")
+    full = full.withColumn("n", F.size("full").cast("long")).join(typical.select(F.col("rep").alias("id")), "id").join(parts.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    posts = full.select(F.col("id").alias("rep"), "n", F.coalesce("root", "id").alias("root"), F.explode("full").alias("v")).distinct()
+    lists = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    posts = materialize(posts.join(lists, "v"), "dedup-full-lists", compression="zstd")
+    rare = open_pairs(posts.where(F.col("c") <= HOT).select("v", "rep", "n", "root"), similar_sizes()).select("a", "b").distinct()
+
+    long_ = posts.where(F.col("c") > HOT)
+    here = Window.partitionBy("rep")
+    long_ = long_.withColumn("h", F.count("*").over(here)).where(100 * F.col("h") >= PERCENT * F.col("n"))
+    shown = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1 - (F.col("n") - F.col("h"))
+    long_ = long_.withColumn("k", F.row_number().over(here.orderBy("c", "v"))).where(F.col("k") <= shown)
+    enough = F.least("h_a", "h_b") * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    return rare.union(open_pairs(long_.select("v", "rep", "n", "root", "h"), similar_sizes() & enough).select("a", "b").distinct())
+
+
 def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, root) of the representatives that are linked with others."""
     live = base.where("n > 0 and doc_id is not null")
     reps = live.join(classes.select(F.col("rep"), "k1", "k2"), [live["doc_id"] == F.col("rep"), live["k1"] == classes["k1"], live["k2"] == classes["k2"]])
     reps = materialize(reps.select("rep", "n", "sketch").distinct(), "dedup-reps", compression="zstd")
     posts = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    lists = posts.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("m")).where("c > 1")
+    lists = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     posts = materialize(posts.join(lists, "v"), "dedup-lists", compression="zstd")
+    hot = posts.groupBy("rep").agg(F.count_if(F.col("c") > HOT).alias("hot"), F.least(F.lit(SKETCH), F.max("n")).alias("k"))
+    hot = materialize(hot.select("rep", "hot", (F.col("hot") > F.col("k") * (1 - RARE)).alias("typical")), "dedup-hot")
 
-    meets = posts.where("rep <> m").groupBy("rep", "m").agg(F.count("*").alias("o"), F.min("n").alias("n")).where(F.col("o") * 6 >= F.least(F.lit(SKETCH), F.col("n")))
+    posts = posts.join(hot, "rep")
+    pivots = posts.groupBy("v").agg(F.max_by("rep", F.struct("hot", -F.col("rep"))).alias("m"))
+    meets = posts.join(pivots, "v").where("rep <> m").groupBy("rep", "m").agg(F.count("*").alias("o"), F.min("n").alias("n")).where(F.col("o") * 6 >= F.least(F.lit(SKETCH), F.col("n")))
     best = meets.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("o"), "m"))), 1, 2).alias("m"))
-    stars = best.select(F.col("rep").alias("b"), F.explode("m.m").alias("a"))
-    near = verified(estimated(stars, reps), docs)
-    near = materialize(near, "dedup-links")
+    stars = best.select("rep", F.explode("m.m").alias("m")).select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct()
+    near = materialize(verified(estimated(stars, reps), docs), "dedup-links")
     parts = materialize(components(near), "dedup-components")
 
-    hot = posts.groupBy("rep").agg(F.count_if(F.col("c") > HOT).alias("hot"), F.least(F.lit(SKETCH), F.max("n")).alias("k")).withColumn("most", F.col("hot") > F.col("k") * (1 - RARE)).drop("k")
-    own = posts.join(hot, "rep").where(f"c <= {HOT} or most").join(parts, F.col("rep") == F.col("id"), "left")
+    own = posts.where(F.col("c") <= HOT).join(parts, F.col("rep") == F.col("id"), "left")
     own = own.select("v", "rep", "n", "hot", F.coalesce("root", "rep").alias("root"))
-    open_ = own.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
-    own = own.join(open_, "v")
-    one = own.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hot").alias("ha"), F.col("root").alias("ra"))
-    two = own.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hot").alias("hb"), F.col("root").alias("rb"))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    pairs = one.join(two, "v").where("a < b and ra <> rb").where(100 * small >= PERCENT * large)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("o"), F.min(small).alias("n"), F.min(F.least("ha", "hb")).alias("h"))
-    pairs = pairs.where(F.col("o") + F.col("h") >= F.least(F.lit(SKETCH), F.col("n")) * 0.42)
-    more = verified(estimated(pairs, reps), docs)
+    pairs = open_pairs(own, similar_sizes()).groupBy("a", "b").agg(F.count("*").alias("o"), F.min(F.least("n_a", "n_b")).alias("n"), F.min(F.least("hot_a", "hot_b")).alias("h"))
+    pairs = pairs.where(F.col("o") + F.col("h") >= F.least(F.lit(SKETCH), F.col("n")) * 0.42).select("a", "b")
+    more = verified(estimated(pairs.union(typical_pairs(docs, reps.join(hot.where("typical"), "rep"), parts)).distinct(), reps), docs)
     rows = live.join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct()
     ties = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).where("a < _hi")  # ids with several texts
     ties = rows.join(ties, "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
