@@ -14,7 +14,7 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles; its sk
 4. Typical documents, again only in different components, are compared through lists of their full sets: every list of up
    to HOT members, and, for pairs that share nothing there, longer lists by the prefix rule: rare shingles first, a
    document needs to show only the first n/4 + 1, of which those outside of long lists are known not to be shared; and
-   both must have enough shingles in long lists to reach the threshold with them alone. So a passage that many
+   for the first shingle that a pair shares, both must have enough shingles after it to reach the threshold. So a passage that many
    documents share does not pair them, and neither does a text with thousands of loose variants; no list is cut off.
 5. Components of the links: large-star and small-star rounds, each written to the shared folder.
 
@@ -44,7 +44,7 @@ SKETCH, HOT = 64, 16
 RARE = 0.38
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are hashed at once.
-BYTES = 2 << 20
+BYTES = 512 << 10
 #: Bits of the bitmap of documents to be verified; a prime, so that regular ids spread.
 BITMAP = (1 << 24) - 3
 
@@ -215,8 +215,11 @@ def typical_pairs(docs: DataFrame, typical: DataFrame, parts: DataFrame) -> Data
     long_ = long_.withColumn("h", F.count("*").over(here)).where(100 * F.col("h") >= PERCENT * F.col("n"))
     shown = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1 - (F.col("n") - F.col("h"))
     long_ = long_.withColumn("k", F.row_number().over(here.orderBy("c", "v"))).where(F.col("k") <= shown)
-    enough = F.least("h_a", "h_b") * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return rare.union(open_pairs(long_.select("v", "rep", "n", "root", "h"), similar_sizes() & enough).select("a", "b").distinct())
+    # with what comes after a value that is the first that two sets share (in the order of lists' lengths), it must be enough
+    after = (F.col("h") - F.col("k")).alias("after")
+    most = 1 + F.least("after_a", "after_b")
+    enough = most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    return rare.union(open_pairs(long_.select("v", "rep", "n", "root", after), similar_sizes() & enough).select("a", "b").distinct())
 
 
 def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from tidemark.llm.common import mix64, spans, table, utf8
 
 MARK = "\u2581"
 #: Documents, bytes, and different units that are worked on at once.
-DOCS, BYTES, UNITS = 4000, 6 << 20, 12_000
+DOCS, BYTES, UNITS = 2000, 3 << 20, 12_000
 NONE = np.int64(1 << 40)
 
 _models: dict[str, Model] = {}
