@@ -19,11 +19,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prefix_base, shared_dir, table
+from tidemark.llm.common import prefix_base, shared_dir, spans, table
 
 TOKENS = "doc_id long, part long, local_start long, n_tokens long, tokens array<int>"
 #: Row groups of 32 MB, pages of 64 KB or 1000 rows: page indexes then let a reader skip to a few documents.
@@ -40,12 +41,14 @@ LAYOUT = {
 }
 #: Before a single space between two non-spaces, a byte-level pre-tokenizer always begins a new piece, whatever follows.
 CUT = re.compile(r"(?<=\S)(?= \S)").split
-#: White space next to white space, or other than space and line feed: such texts are cut by CUT, others at every space.
-ODD = re.compile(r"\s\s|[^\S \n]|\x00|^ | $")
+#: White space next to white space, or other than space and line feed, or at an end: such texts are cut by CUT, others at
+#: every space. (For Arrow's regular expressions, whose own white space is ASCII.)
+_RARE = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD = rf"[ \n{_RARE}][ \n{_RARE}]|[{_RARE}\x{{0}}]|^ | $"
 #: Pieces whose parts never merge: letters, one mark, and maybe a line feed and letters.
 PARTS = re.compile(r"( ?[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])(?:(\n)([A-Z\u00c0-\u00d6\u00d8-\u00de]?[a-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])?)?").fullmatch
 #: Entries of a generation of the cache, texts at once, and new pieces in one call of the tokenizer.
-CACHE, TEXTS, PIECES = 300_000, 500, 20_000
+CACHE, TEXTS, PIECES = 400_000, 1000, 5_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -76,39 +79,52 @@ class Encoder:
             ends, starts, raw = [*(cuts * 4).tolist(), len(ids) * 4], [0, *((cuts + 1) * 4).tolist()], ids.tobytes()
             self.cache.update(zip(some, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, from the cache or encoded now."""
         if len(self.cache) > CACHE:
             self.cache, self.old = {}, self.cache
-        out: dict[int, bytes] = {}
-        flat: list[str] = []
-        ends = []
-        for i, text in enumerate(texts):
-            if self.mark is None or any(s in text for s in self.specials):
-                out[i] = self.whole(text)
-            elif ODD.search(text):
-                flat += CUT(text)
+        special = self.mark is None or any(s in x for x in ["".join(pieces)] for s in self.specials)
+        got = list(map(self.cache.get, pieces))
+        parts: dict[str, list[str] | None] = {}
+        for i in [i for i, x in enumerate(got) if x is None]:
+            piece = pieces[i]
+            if (ids := self.old.get(piece)) is not None:
+                self.cache[piece] = got[i] = ids
+            elif special and (self.mark is None or any(s in piece for s in self.specials)):
+                got[i] = self.whole(piece)
             else:
-                flat += text.replace(" ", "\x00 ").split("\x00")
-            ends.append(len(flat))
-        cache = self.cache
-        got = list(map(cache.get, flat))
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            parts = {flat[i]: None for i in new}
-            found = self.old.keys() & parts.keys()
-            cache.update((x, self.old[x]) for x in found)
-            for x in found:
-                del parts[x]
-            for piece in parts:
-                if m := PARTS(piece):
-                    parts[piece] = [x for x in m.groups() if x is not None]
-            self.learn(list({x for piece, p in parts.items() for x in p or [piece]}.difference(cache)))
-            for piece, p in parts.items():
-                if p:
-                    cache[piece] = b"".join(map(cache.__getitem__, p))
-            for i in new:
-                got[i] = cache[flat[i]]
-        return [out[i] if i in out else b"".join(got[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+                m = PARTS(piece)
+                parts[piece] = [x for x in m.groups() if x is not None] if m else None
+        self.learn(list({x for piece, p in parts.items() for x in p or [piece]}.difference(self.cache)))
+        for piece, p in parts.items():
+            if p:
+                self.cache[piece] = b"".join(map(self.cache.__getitem__, p))
+        return [self.cache[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and how many each has. Pieces are found and made distinct by Arrow; Python sees each once."""
+        texts = pc.fill_null(texts, "")
+        units = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
+        rare = pc.match_substring_regex(texts, ODD)
+        for s in self.specials:
+            rare = pc.or_(rare, pc.match_substring(texts, s))
+        some = np.flatnonzero(rare.to_numpy(zero_copy_only=False))
+        if self.mark is None:
+            some = np.arange(len(texts))
+        if len(some):
+            rows = units.to_pylist()
+            for i in some.tolist():
+                text = texts[i].as_py()
+                rows[i] = [text] if self.mark is None or any(s in text for s in self.specials) else CUT(text)
+            units = pa.array(rows, pa.list_(pa.string()))
+        per = np.diff(units.offsets.to_numpy()).astype(np.int64)
+        coded = units.flatten().dictionary_encode()
+        ids = self.known(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = lens[which]
+        total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
+        return np.frombuffer(b"".join(ids), "<u4")[spans((np.cumsum(lens) - lens)[which], n)], np.diff(total)
 
 
 def encoder(path: str) -> Encoder:
@@ -118,20 +134,23 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    part, start, enc, end = TaskContext.get().partitionId(), 0, encoder(path), np.array([end_id], "<u4").tobytes()
+    part, start, enc = TaskContext.get().partitionId(), 0, encoder(path)
     for whole in batches:
         for at in range(0, whole.num_rows, TEXTS):
             batch = whole.slice(at, TEXTS)
-            ids = [x + end for x in enc.batch([t or "" for t in batch.column("text").to_pylist()])]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ids, n = enc.batch(batch.column("text"))
+            n = n + 1
             ends = np.cumsum(n)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            values = np.full(int(ends[-1]), end_id, np.int32)
+            inner = np.ones(len(values), bool)
+            inner[ends - 1] = False
+            values[inner] = ids
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(start + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(start + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(values))],
                 ["doc_id", "part", "local_start", "n_tokens", "tokens"],
             )
-            start += int(ends[-1]) if len(n) else 0
+            start += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
