@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, mix64, table, utf8
+from tidemark.llm.common import materialize, mix64, small_batches, table, utf8
 
 SKETCH, HOT = 64, 16
 #: A document with fewer of its sketch's values than this share in short lists takes part in long ones, too.
@@ -273,5 +273,6 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays. What goes, the lesser part, is taken away from the documents."""
+    small_batches(spark)
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 #: The bounds of the sample that the dictionaries are made of.
 DICT_BYTES, DICT_DOCS, DOC_BYTES = 64 << 10, 64, 2 << 10
@@ -108,4 +108,5 @@ def _clear(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) ->
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is clear; rows pass whole, whatever their columns are called."""
+    small_batches(spark)
     return docs.mapInArrow(partial(_clear, dictionaries=learn(training(docs))), docs.schema)

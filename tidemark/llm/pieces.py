@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import mix64, spans, table, utf8
+from tidemark.llm.common import mix64, small_batches, spans, table, utf8
 
 MARK = "\u2581"
 #: Documents, bytes, and different units that are worked on at once.
@@ -323,5 +323,6 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: ids for every document, with the columns of documents but the text."""
+    small_batches(spark)
     kept = [c for c in docs.columns if c != "ids"]
     return encode(docs, production_model(), keep=kept).drop("text")
