@@ -22,8 +22,8 @@ def mid(bid: str = "bid_e4", ask: str = "ask_e4") -> Column:
 
 
 def signed_change(side: Column, to: Column, base: Column) -> Column:
-    """(to - base) / base for buyers, its negative for all others."""
-    change = (to - base).cast("double") / base
+    """(to - base) / base for buyers, its negative for all others; null where base is 0."""
+    change = F.try_divide((to - base).cast("double"), base)
     return F.when(side == "BUY", change).otherwise(-change)
 
 

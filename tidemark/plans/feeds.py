@@ -12,7 +12,8 @@ from tidemark.sources.adapters import TICKS_SQL, books, daily_trades, events, qu
 
 def fix_parse(spark: SparkSession, sf: str) -> DataFrame:
     rows = fix.write_events(events(spark, sf))
-    return fix.decode(rows).where("kind is not null").select("kind", "order_id_str", "symbol", "side", "price_e4", "quantity", "bid_e4", "ask_e4", "bid_size", "ask_size", "tod_ns")
+    # all messages stay, heartbeats too: a filter would be pushed below the decoding and repeat it
+    return fix.decode(rows).select("kind", "order_id_str", "symbol", "side", "price_e4", "quantity", "bid_e4", "ask_e4", "bid_size", "ask_size", "tod_ns")
 
 
 def fix_checksums(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,11 +109,11 @@ def _sub(name: str, module) -> str:
 
 
 SQL = {
-    "fix_parse": f"""WITH {TICKS_SQL}, x AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'ORDER' WHEN event_type = 'view' THEN 'QUOTE' ELSE 'TRADE' END AS kind,
-  CASE event_type WHEN 'click' THEN 'SELL' WHEN 'purchase' THEN 'BUY' ELSE CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END END AS sd, ts_ns % 86400000000000 // 1000000 * 1000000 AS tod_ns FROM ev WHERE event_type <> 'error')
-SELECT kind, CASE WHEN kind <> 'QUOTE' THEN seq::VARCHAR END AS order_id_str, 'SYM' || symbol AS symbol, CASE WHEN kind <> 'QUOTE' THEN sd END AS side, CASE WHEN kind <> 'QUOTE' THEN price_e4 END AS price_e4, CASE WHEN kind <> 'QUOTE' THEN (k + 1) * 100 END AS quantity,
+    "fix_parse": f"""WITH {TICKS_SQL}, x AS (SELECT *, CASE event_type WHEN 'signup' THEN 'ORDER' WHEN 'view' THEN 'QUOTE' WHEN 'error' THEN NULL ELSE 'TRADE' END AS kind,
+  CASE event_type WHEN 'click' THEN 'SELL' WHEN 'purchase' THEN 'BUY' ELSE CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END END AS sd, ts_ns % 86400000000000 // 1000000 * 1000000 AS tod_ns FROM ev)
+SELECT kind, CASE WHEN kind <> 'QUOTE' THEN seq::VARCHAR END AS order_id_str, CASE WHEN kind IS NOT NULL THEN 'SYM' || symbol END AS symbol, CASE WHEN kind <> 'QUOTE' THEN sd END AS side, CASE WHEN kind <> 'QUOTE' THEN price_e4 END AS price_e4, CASE WHEN kind <> 'QUOTE' THEN (k + 1) * 100 END AS quantity,
   CASE WHEN kind = 'QUOTE' THEN price_e4 - 50 * (1 + k % 5) END AS bid_e4, CASE WHEN kind = 'QUOTE' THEN price_e4 + 50 * (1 + k % 5) END AS ask_e4, CASE WHEN kind = 'QUOTE' THEN (k + 1) * 100 ELSE 0 END AS bid_size, CASE WHEN kind = 'QUOTE' THEN (100 - k % 100) * 100 ELSE 0 END AS ask_size, tod_ns FROM x""",
-    "fix_checksums": "SELECT event_id AS seq, true AS ok FROM events",
+    "fix_checksums": f"WITH {TICKS_SQL} SELECT seq, true AS ok FROM ev",
     "itch_parse": f"""WITH {TICKS_SQL}, x AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS sd FROM ev)
 SELECT seq * 2 AS seq, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 AS ts_ns, sd AS side FROM x WHERE event_type IN ('purchase', 'click')
 UNION ALL SELECT seq * 2 + 1, seq, 'SYM' || symbol, price_e4, (k + 1) * 100, ts_ns % 86400000000000, sd FROM x WHERE event_type = 'signup' AND k % 4 < 2""",

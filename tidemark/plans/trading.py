@@ -106,7 +106,7 @@ def slippage_components(t: DataFrame, q: DataFrame, decay: float = 0.95) -> Data
     realized = signed_change(F.col("side"), F.col("price_e4"), F.col("arrival"))
     permanent = signed_change(F.col("side"), F.col("post"), F.col("arrival")) * decay
     parts = {"immediate": signed_change(F.col("side"), F.col("price_e4"), F.col("mid")), "realized": realized, "permanent": permanent, "temporary": realized - permanent}
-    return rows.select("symbol", "trade_seq", "ts_ns", "quantity", (F.abs(F.col("price_e4") - F.col("mid")) / F.col("mid")).alias("gap"), *[x.alias(n) for n, x in parts.items()])
+    return rows.select("symbol", "trade_seq", "ts_ns", "quantity", ratio(F.abs(F.col("price_e4") - F.col("mid")), F.col("mid")).alias("gap"), *[x.alias(n) for n, x in parts.items()])
 
 
 def slippage_metrics(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFrame:

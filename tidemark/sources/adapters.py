@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks; those below five hundredths, of which a quote's bid would not be positive, are no prices and are left out."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         (F.col("user_id") % 10).alias("symbol"),
@@ -25,7 +26,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.round(F.col("value") * 10000).cast("long").alias("price_e4"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
-    )
+    ).where("price_e4 >= 500")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TICKS_SQL = """
 ev AS (SELECT event_id AS seq, user_id % 10 AS symbol, (user_id % 5)::INT AS venue, epoch_us(ts) * 1000 AS ts_ns, event_type,
-  CAST(round(value * 10000) AS BIGINT) AS price_e4, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+  CAST(round(value * 10000) AS BIGINT) AS price_e4, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(round(value * 10000) AS BIGINT) >= 500),
 trades AS (SELECT seq AS trade_seq, symbol, venue, price_e4, (k + 1) * 100 AS quantity, ts_ns, event_type = 'error' AS is_hidden,
   CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'click' THEN 'SELL' ELSE 'UNKNOWN' END AS side FROM ev WHERE event_type IN ('purchase', 'click', 'error')),
 quotes AS (SELECT seq AS quote_seq, symbol, venue, ts_ns, price_e4 - 50 * (1 + k % 5) AS bid_e4, price_e4 + 50 * (1 + k % 5) AS ask_e4,
