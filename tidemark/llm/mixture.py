@@ -122,6 +122,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, leaves = plan(docs, share=0.9, epochs=1)
     edge = select(rows.join(leaves.where("edge is not null").select(*LEVELS, "edge", "full"), list(LEVELS)).where(_digits(_order(SEED)) == F.col("edge")).drop("edge", "full"), leaves)
     edge = edge.groupBy(F.col("doc_id").alias("_mix_edge_id")).agg((F.max("prefix_tokens") > 0).alias("_mix_edge_in"))
+    edge = materialize(edge, "mixture-edge")  # of known size, so that the planner need not shuffle the documents
     names = {c: f"_mix_leaf_{c}" for c in LEVELS}
     lookup = leaves.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("full").alias("_mix_full"), F.coalesce("edge", F.lit(-1)).alias("_mix_edge"))
     leaf = dict(zip(LEVELS, _leaf(docs), strict=True))
