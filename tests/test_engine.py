@@ -289,3 +289,49 @@ def test_stream_sink_writes_once(spark, sf, feed, tmp_path):
         streams.push(rows, streams.json_sink(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == trades(spark, sf).count()
     assert "tidemark_batch 3" in streams.exposition({"batch": 3.0})
+
+
+def test_generated_patterns_are_found(spark):
+    from tidemark.sources.generator import generate
+
+    made = generate(spark, 3000, 3)
+    assert made["labels"].count() == 12
+    assert {r.symbol for r in liquidity.refills(made["orders"]).where("visible = 1000 and refill_count >= 10").collect()} == {0, 1, 2}
+    assert made["trades"].where("is_hidden and quantity >= 10000").select("symbol").distinct().count() == 3
+    share = made["quotes"].count() / 3000
+    assert 0.65 < share < 0.76
+    assert generate(spark, 3000, 3)["trades"].exceptAll(made["trades"]).count() == 0
+
+
+def test_model_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], float(2 * (i % 7))) for i in range(200)], "vec_id long, x array<double>, y double")
+    model = models.fit_elastic_net(rows)
+    models.save_model(model, str(tmp_path / "m"), spark)
+    intercept, weights = models.load_model(spark, str(tmp_path / "m"))
+    assert intercept == model.intercept and weights == list(model.coefficients.toArray())
+
+
+def test_socket_lines_decode(spark):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"35=S\x0155=AB\x01132=1.5\x01133=1.6\x01\n")
+        threading.Event().wait(8)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    rows = fix.decode(streams.read_socket(spark, "127.0.0.1", server.getsockname()[1]))
+    q = rows.select("kind", "symbol", "bid_e4").writeStream.format("memory").queryName("lines").start()
+    try:
+        for _ in range(40):
+            if spark.table("lines").count():
+                break
+            threading.Event().wait(0.3)
+        assert [tuple(r) for r in spark.table("lines").collect()] == [("QUOTE", "AB", 15000)]
+    finally:
+        q.stop()
+        server.close()

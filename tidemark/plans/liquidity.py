@@ -100,6 +100,17 @@ def book_anomaly(b: DataFrame, t: DataFrame) -> DataFrame:
     return rows.select("symbol", "quote_seq", confidence.alias("confidence"), F.col("pressure").alias("magnitude"), F.round(F.abs("weighted") * F.col("hidden_ratio") * 10000, 2).alias("hidden"))
 
 
+def book_flags(b: DataFrame) -> DataFrame:
+    """Volumes out of balance (over 2 or under 1/2), little at the top (ten times as much below), and rapid flips: the
+    weighted imbalance changes its sign from one book to the next and is strong both times."""
+    bid, ask = _volume("bids"), _volume("asks")
+    top = F.get("bids", F.lit(0))["quantity"] + F.get("asks", F.lit(0))["quantity"]
+    rows = b.select("symbol", "quote_seq", "ts_ns", ratio(bid, ask).alias("r"), ratio(bid + ask - top, top).alias("d"), F.round(_imbalance(_weighted("bids"), _weighted("asks")), 9).alias("w"))
+    before = F.lag("w").over(Window.partitionBy("symbol").orderBy("ts_ns", "quote_seq"))
+    flip = F.coalesce((F.col("w") * before < 0) & (F.abs("w") > 0.3) & (F.abs(before) > 0.3), F.lit(False))
+    return rows.select("symbol", "quote_seq", ((F.col("r") > 2) | (F.col("r") < 0.5)).alias("unbalanced"), (F.col("d") > 10).alias("thin_top"), flip.alias("flip"))
+
+
 _BOOKS_SQL = f"""{TICKS_SQL},
 lv AS (SELECT symbol, quote_seq, ts_ns, i, bid_e4 - 100 * i AS bp, greatest(100, bid_size + 100 * i) AS bq, ask_e4 + 100 * i AS ap, greatest(100, ask_size - 100 * i) AS aq
   FROM (SELECT *, unnest(range(0, {DEPTH})) AS i FROM quotes)),
@@ -510,6 +521,7 @@ def _book_rows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "book_levels": _book_rows,
     "book_l1": lambda spark, sf: quotes(spark, sf).select("symbol", "quote_seq", F.round(_imbalance(F.col("bid_size"), F.col("ask_size")), 6).alias("l1")),
+    "book_flags": _b(book_flags),
     "book_pressure": _b(book_pressure),
     "book_flow": _t(flow_tumbling),
     "book_flow_anchored": _t(flow_anchored),
@@ -542,6 +554,8 @@ SQL = {
     "book_levels": f"""WITH {_BOOKS_SQL} SELECT symbol, quote_seq, b + a AS visible, a0 - b0 AS spread_e4, round((bq0 - aq0) / (bq0 + aq0), 5) AS l1, round((b - a) / (b + a), 5) AS depth, round((wb - wa) / (wb + wa), 5) AS weighted,
   round((a0 - b0) * 10000 / ((b0 + a0) // 2), 5) AS spread_bps, round((b0 * aq0 + a0 * bq0) / (bq0 + aq0), 5) AS weighted_mid, round(pq / (b + a), 5) AS micro_price FROM bk""",
     "book_l1": f"WITH {TICKS_SQL} SELECT symbol, quote_seq, round(coalesce((bid_size - ask_size) / nullif(bid_size + ask_size, 0), 0), 6) AS l1 FROM quotes",
+    "book_flags": f"""WITH {_BOOKS_SQL}, w AS (SELECT *, round((wb - wa) / (wb + wa), 9) AS w FROM bk), l AS (SELECT *, lag(w) OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq) AS p FROM w)
+SELECT symbol, quote_seq, b / a > 2 OR b / a < 0.5 AS unbalanced, (b + a - bq0 - aq0) / (bq0 + aq0) > 10 AS thin_top, coalesce(w * p < 0 AND abs(w) > 0.3 AND abs(p) > 0.3, false) AS flip FROM l""",
     "book_pressure": f"WITH {_PRESSURE_SQL} SELECT * FROM pr",
     "book_flow": f"WITH {_PRESSURE_SQL} SELECT * FROM fl",
     "book_flow_ratio": f"WITH {_PRESSURE_SQL} SELECT * FROM fr",

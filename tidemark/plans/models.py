@@ -262,6 +262,16 @@ def elastic_net_scores(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", (dot(F.col("x"), [float(w) for w in model.coefficients.toArray()]) + float(model.intercept)).alias("prediction"))
 
 
+def save_model(model, path: str, spark: SparkSession) -> None:
+    """A fitted linear model as one JSON row: intercept and weights."""
+    spark.createDataFrame([(float(model.intercept), [float(w) for w in model.coefficients.toArray()])], "intercept double, weights array<double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[float, list[float]]:
+    row = spark.read.schema("intercept double, weights array<double>").json(path).first()
+    return row.intercept, list(row.weights)
+
+
 # -- sequence models --------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clamp, ratio, rows_back, up_to_now
-from tidemark.plans.trading import with_mid
+from tidemark.plans.trading import SQL as TRADING_SQL
+from tidemark.plans.trading import tqr_anomaly, with_mid
 from tidemark.sources.adapters import DAILY_SQL, TICKS_SQL, daily_trades, quotes, table, trades, venues
 
 MAX_COST_BPS, MAX_LATENCY_US, LEAST_SCORE, SHARE, MOST_VENUES = 10.0, 1000, 0.3, 0.4, 5
@@ -206,6 +207,37 @@ def drawdown(t: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(F.max("fall").alias("max_drawdown_e4"), F.round(F.avg("step") / F.stddev_pop("step"), 6).alias("sharpe"))
 
 
+def reactions(found: DataFrame) -> DataFrame:
+    """After each finding in a symbol the participation rises by a fifth, up to 30 %, and the urgency by a tenth, up to 1."""
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("trade_seq"))
+    rows = found.select("symbol", "trade_seq", n.alias("n"))
+    return rows.select("symbol", "trade_seq", F.round(F.least(F.lit(0.3), 0.1 * F.pow(F.lit(1.2), F.col("n").cast("double"))), 6).alias("participation"), F.round(F.least(F.lit(1.0), 0.5 + 0.1 * F.col("n")), 6).alias("urgency"))
+
+
+def gates(t: DataFrame, q: DataFrame, gap_ns: int = 60 * 60_000_000_000, spread: float = 5.0) -> DataFrame:
+    """Whether a trade's moment would pass: long enough after the last one, and a spread that is not too wide."""
+    rows = with_mid(t, q)
+    since = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy("symbol").orderBy("ts_ns", "trade_seq"))
+    wide = ratio((F.col("ask_e4") - F.col("bid_e4")) * 10000, F.expr("(bid_e4 + ask_e4) div 2"))
+    return rows.select("symbol", "trade_seq", F.coalesce(since >= gap_ns, F.lit(True)).alias("spaced"), F.coalesce(wide <= spread, F.lit(False)).alias("tight"))
+
+
+def rebalance(t: DataFrame) -> DataFrame:
+    """Unfilled quantity (unknown sides) of each order goes to the venue that filled most of it; none filled: cancelled."""
+    known = F.col("side") != "UNKNOWN"
+    by_venue = t.groupBy(F.col("l_orderkey").alias("order_id"), "venue").agg(F.coalesce(F.sum(F.when(known, F.col("quantity"))), F.lit(0)).alias("filled"), F.coalesce(F.sum(F.when(~known, F.col("quantity"))), F.lit(0)).alias("open"))
+    sums = by_venue.groupBy("order_id").agg(F.sum("open").alias("open"), F.sum("filled").alias("filled"), F.max_by("venue", F.struct("filled", -F.col("venue"))).alias("best")).where("open > 0")
+    return sums.select("order_id", "open", F.when(F.col("filled") > 0, F.col("best")).cast("long").alias("to_venue"), (F.col("filled") == 0).alias("cancelled"))
+
+
+def risk_checks(orders: DataFrame, most: int = 20_000, total: int = 1_000_000) -> DataFrame:
+    """Orders over the size limit, or that take the running total of accepted sizes in their block over its limit."""
+    ok = F.when(F.col("quantity") <= most, F.col("quantity")).otherwise(0)
+    block = F.expr("order_id div 1000")
+    run = F.sum(ok).over(Window.partitionBy(block).orderBy("order_id").rowsBetween(Window.unboundedPreceding, 0))
+    return orders.select("order_id", F.when(F.col("quantity") > most, "ORDER_SIZE").when(run > total, "POSITION_LIMIT").otherwise("OK").alias("verdict"))
+
+
 RUN_TRAJECTORY, TAU = trajectory()
 _RANKED = "row_number() OVER (PARTITION BY symbol ORDER BY r, trade_seq)"
 _SCORE_SQL = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.3::DOUBLE * fill_probability + 0.25::DOUBLE * fill_probability + 0.25::DOUBLE * greatest(0, 1 - (fee_bps + impact_bps) / {MAX_COST_BPS}::DOUBLE)
@@ -239,6 +271,10 @@ QUERIES = {
     "is_trajectory": RUN_TRAJECTORY,
     "slice_sizes": _p(slice_sizes),
     "market_conditions": lambda spark, sf: market_conditions(trades(spark, sf), quotes(spark, sf)),
+    "reactions": lambda spark, sf: reactions(tqr_anomaly(trades(spark, sf), quotes(spark, sf))),
+    "execution_gates": lambda spark, sf: gates(trades(spark, sf), quotes(spark, sf)),
+    "rebalance": lambda spark, sf: rebalance(daily_trades(spark, sf)),
+    "risk_checks": _p(risk_checks),
     "positions": lambda spark, sf: positions(trades(spark, sf)),
     "value_at_risk": lambda spark, sf: value_at_risk(trades(spark, sf)),
     "drawdown": lambda spark, sf: drawdown(trades(spark, sf)),
@@ -269,6 +305,14 @@ r AS (SELECT *, ln(price_e4::DOUBLE / lag(price_e4) OVER (PARTITION BY symbol OR
 c AS (SELECT symbol, trade_seq, round(stddev_pop(r) OVER w * sqrt(252 * 6.5::DOUBLE * 60), 3) AS volatility, round((a - b) * 10000 / nullif((a + b) // 2, 0), 4) AS spread_bps, round(sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER w / sum(quantity) OVER w, 9) AS imbalance
   FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT *, coalesce(spread_bps < 5 AND abs(imbalance) < 0.5, false) AS favourable, CASE WHEN abs(imbalance) > 0.5 THEN 'MARKET' WHEN spread_bps < 2 THEN 'PEG' ELSE 'LIMIT' END AS order_type FROM c""",
+    "reactions": f"""SELECT symbol, trade_seq, round(least(0.3::DOUBLE, 0.1::DOUBLE * pow(1.2::DOUBLE, n)), 6) AS participation, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * n), 6) AS urgency
+FROM (SELECT symbol, trade_seq, row_number() OVER (PARTITION BY symbol ORDER BY trade_seq) AS n FROM ({TRADING_SQL['tqr_anomaly']}))""",
+    "execution_gates": f"""WITH {TICKS_SQL}, m AS (SELECT t.*, q.bid_e4 AS b, q.ask_e4 AS a FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts_ns >= q.ts_ns)
+SELECT symbol, trade_seq, coalesce(ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq) >= 3600000000000, true) AS spaced, coalesce((a - b) * 10000 / nullif((a + b) // 2, 0) <= 5, false) AS tight FROM m""",
+    "rebalance": f"""WITH {DAILY_SQL}, v AS (SELECT l_orderkey AS order_id, venue, coalesce(sum(quantity) FILTER (side <> 'UNKNOWN'), 0)::BIGINT AS filled, coalesce(sum(quantity) FILTER (side = 'UNKNOWN'), 0)::BIGINT AS o FROM daily GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY filled DESC, venue) AS k FROM v)
+SELECT order_id, sum(o)::BIGINT AS open, CASE WHEN sum(filled) > 0 THEN max(venue) FILTER (k = 1) END::BIGINT AS to_venue, sum(filled) = 0 AS cancelled FROM k GROUP BY order_id HAVING sum(o) > 0""",
+    "risk_checks": f"""WITH {PARENTS_SQL} SELECT order_id, CASE WHEN quantity > 20000 THEN 'ORDER_SIZE' WHEN sum(CASE WHEN quantity <= 20000 THEN quantity ELSE 0 END) OVER (PARTITION BY order_id // 1000 ORDER BY order_id ROWS UNBOUNDED PRECEDING) > 1000000 THEN 'POSITION_LIMIT' ELSE 'OK' END AS verdict FROM pa""",
     "positions": f"""WITH {TICKS_SQL}, s AS (SELECT *, CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END AS q FROM trades),
 p AS (SELECT symbol, trade_seq, price_e4, sum(q) OVER w::BIGINT AS position, sum(-q * price_e4) OVER w::BIGINT AS cash_e4 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)) SELECT symbol, trade_seq, position, cash_e4, cash_e4 + position * price_e4 AS profit_e4 FROM p""",
     "value_at_risk": f"""WITH {TICKS_SQL}, l AS (SELECT symbol, trade_seq, (price_e4 - lag(price_e4) OVER o)::DOUBLE / lag(price_e4) OVER o AS r FROM trades WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)),

@@ -19,6 +19,12 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return rows.withColumn("event_time", F.timestamp_micros(F.expr("ts_ns div 1000")))
 
 
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines of a TCP feed as `value`, for trying things out: a socket cannot be read again after a failure, so production
+    feeds go through a log. FIX lines decode with sources.fix.decode as they do in batch."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
 def once(rows: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark."""
     return rows.withWatermark("event_time", late).dropDuplicatesWithinWatermark([key])
