@@ -89,6 +89,19 @@ def test_quality_outliers_equal_numpy(spark):
     assert got.kept[want.isna() & ~got.base_failed].all() and not got.kept[got.base_failed].any()
 
 
+def test_quality_rejects_planted_junk(spark):
+    """Tables of words between pipes, among clean texts of one group: the junk goes, the clean texts stay."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioubcdflmnrst"), rng.integers(3, 10))) for _ in range(20_000)]
+    text = lambda gap: gap.join(rng.choice(words, 150))
+    rows = [(i, text(" "), "en", "src0") for i in range(400)] + [(1000 + i, text(" |"), "en", "src0") for i in range(20)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not got.base_failed.any()
+    junk = got[got.doc_id >= 1000]
+    assert (junk.d2.astype(float) < 36).all() and not junk.kept.any()
+    assert got.kept[got.doc_id < 1000].mean() > 0.99
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     got = quality.judge(odd_docs).toPandas()
     assert len(got) == odd_docs.count() and not got.kept[got.doc_id == 1].any()

@@ -26,8 +26,8 @@ from tidemark.llm.common import GAP, materialize, table
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: Documents that a group must have; share of a group that the estimate rests on; steps.
 LEAST, SHARE, STEPS = 100, 0.75, 5
-#: Squared Mahalanobis distance from which a document is rejected; for five normal variables one in 10^6 lies beyond.
-CUT = 36.0
+#: Squared Mahalanobis distance from which a document is rejected: the 0.999 quantile of chi2 with 5 degrees.
+CUT = 20.515
 #: (share) / P(chi2 with 7 degrees <= the share's quantile of chi2 with 5): makes the estimate fit normal data.
 CONSISTENCY = 1.41
 #: Standard deviations that are added (as variances) to each statistic's own.
