@@ -114,6 +114,16 @@ def test_dropout_varies_and_is_seeded(spark):
     assert once.lossless.all() and ids(once) == ids(again) and ids(once) != ids(other) and len(set(ids(once))) > 5
 
 
+def test_dropout_draws_every_occurrence_anew():
+    """Equal texts under many numbers, and one word at many places, have many more than a handful of segmentations."""
+    m = pieces.model(pieces.production_model())
+    ids, n = m.encode(pa.array(["interesting unbelievable considerations"] * 2000), np.arange(2000), 0.1, 17)
+    assert len({tuple(x.tolist()) for x in np.split(ids, np.cumsum(n)[:-1])}) > 100
+    word = m.encode(pa.array([" ".join(["unbelievable"] * 2000)]), np.array([3]), 0.1, 17)[0]
+    starts = np.flatnonzero(m.piece_bytes[m.piece_start[word]] == 32)
+    assert len(starts) == 2000 and len({tuple(x.tolist()) for x in np.split(word, starts[1:])}) > 16
+
+
 def test_pieces_odd_rows(odd_docs, no_docs):
     got = pieces.encode_checked(odd_docs, pieces.production_model()).toPandas()
     assert len(got) == odd_docs.count() and got.lossless.all() and (got[got.doc_id == 1].n_ids == 0).all()

@@ -2,10 +2,10 @@
 
 A text is cut into units (spaces, then what follows up to the next space), since no piece of the model goes on past a
 space. Each unit runs the usual agenda: the best-scored adjacent pair merges first, the leftmost among equals. With
-dropout, a candidate is skipped for good when a keyed hash of (seed, draw, unit, its place, the merged piece) falls below
-the rate. The draw comes from the document and the unit's place in it, out of `draws`, so equal words get different
-pieces within and across documents, and equal (unit, draw) are worked out once. numpy works on all units of a batch
-together: each round merges one pair in every unit that has a candidate left.
+dropout, a candidate is skipped for good when a keyed hash of (seed, doc_id, the unit's place in the document, its own
+place in the unit, the merged piece) falls below the rate. So every occurrence of a word is drawn anew, within and across
+documents; without dropout equal units are worked out once. numpy works on many units together: each round merges one
+pair in every unit that has a candidate left.
 
 Decoding joins the pieces' bytes (byte pieces as bytes, spaces back), drops the space put before the text, and gives the
 very bytes of the text for any rate: no normalisation is applied, and characters outside of the model, the space marker
@@ -18,7 +18,6 @@ rows get equal ids; empty tables give no rows; other columns are passed only if
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import mix64, small_batches, spans, table, utf8
 
 MARK = "\u2581"
-#: Documents, bytes, and different units that are worked on at once.
+#: Documents, bytes, and units that are worked on at once.
 DOCS, BYTES, UNITS = 2000, 3 << 20, 12_000
 NONE = np.int64(1 << 40)
 
@@ -182,8 +181,8 @@ class Model:
         total = np.concatenate([[0], ends])[c]
         return out, np.diff(np.concatenate([[0], total]))
 
-    def encode(self, texts: pa.Array, ids: np.ndarray, rate: float, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts, and how many each has."""
+    def encode(self, texts: pa.Array, ids: np.ndarray, rate: float, seed: int, block: int = UNITS) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and how many each has; `block` units are worked on at once."""
         texts = pc.fill_null(texts, "")
         some = np.flatnonzero(pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         full = texts.take(pa.array(some))
@@ -202,26 +201,23 @@ class Model:
         per = np.diff(units.offsets.to_numpy()).astype(np.int64)
         coded = units.flatten().dictionary_encode()
         names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        doc = mix64(ids[some].astype(np.uint64) + mix64(np.array([seed], np.uint64)))
-        if rate > 0:
-            place = np.arange(len(code)) - np.repeat(np.cumsum(per) - per, per)
-            draw = ((np.repeat(doc >> np.uint64(1), per) + place.astype(np.uint64)) % np.uint64(draws)).astype(np.int64)
-        else:
-            draw, draws = np.zeros(len(code), np.int64), 1
-        todo, which = np.unique(code * draws + draw, return_inverse=True)
         raw = names.to_pylist()
-        hashes = np.array([zlib.crc32(x.encode()) | zlib.adler32(x.encode()) << 32 for x in raw], np.uint64)
-        words = "".join(raw)
-        points = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
         wl = np.fromiter(map(len, raw), np.int64, len(raw))
         ws = np.cumsum(wl) - wl
-        own = todo // draws
-        with np.errstate(over="ignore"):
-            key = mix64(hashes[own] + (todo % draws).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        if rate > 0:  # every occurrence by itself
+            doc = mix64(ids[some].astype(np.uint64) + mix64(np.array([seed], np.uint64)))
+            place = np.arange(len(code)) - np.repeat(np.cumsum(per) - per, per)
+            with np.errstate(over="ignore"):
+                key = mix64(np.repeat(doc, per) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            own, which = code, np.arange(len(code))
+        else:
+            own, which = np.arange(len(raw)), code
+            key = np.zeros(len(raw), np.uint64)
         made = []
-        for a in range(0, len(own), UNITS):  # arrays of a size that stays in the processor's cache
-            part = own[a : a + UNITS]
-            got, per_unit = self.merge(points[spans(ws[part], wl[part])], wl[part], key[a : a + UNITS], rate)
+        for a in range(0, len(own), block):  # arrays of a size that stays in the processor's cache
+            part = own[a : a + block]
+            got, per_unit = self.merge(points[spans(ws[part], wl[part])], wl[part], key[a : a + block], rate)
             made.append(self.to_ids(got, per_unit))
         sym, counts = (np.concatenate([x[k] for x in made]) for k in (0, 1)) if made else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         starts = np.cumsum(counts) - counts
@@ -258,12 +254,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int, draws: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for batch in batches:
         for part in _slices(batch):
             keys = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, n = m.encode(part.column("text"), keys, rate, seed, draws)
+            ids, n = m.encode(part.column("text"), keys, rate, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             names = [x for x in part.schema.names if x != "ids"]
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), lists], [*names, "ids"])
@@ -292,11 +288,11 @@ def _check(batches: Iterator[pa.RecordBatch], path: str, **how) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), same, lists], ["doc_id", "n_ids", "lossless", "ids"])
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, draws: int = 8, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id and text if not given) and ids array<int>; keep must hold doc_id and text."""
     rows = docs.select(*(keep or ["doc_id", "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
-    return rows.mapInArrow(partial(_encode, path=model_path, rate=rate, seed=seed, draws=draws), f"{schema}, ids array<int>")
+    return rows.mapInArrow(partial(_encode, path=model_path, rate=rate, seed=seed), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -305,9 +301,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.mapInArrow(partial(_decode, path=model_path), f"{schema}, decoded string")
 
 
-def encode_checked(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, draws: int = 8) -> DataFrame:
+def encode_checked(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17) -> DataFrame:
     """doc_id, n_ids, whether decoding gave the text again, and ids."""
-    work = partial(_check, path=model_path, rate=rate, seed=seed, draws=draws)
+    work = partial(_check, path=model_path, rate=rate, seed=seed)
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_ids long, lossless boolean, ids array<int>")
 
 
