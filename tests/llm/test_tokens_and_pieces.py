@@ -1,8 +1,10 @@
+import glob
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -47,12 +49,56 @@ def test_token_store_odd_rows(spark, odd_docs, no_docs):
     assert token_store.digests(spark, stored(spark, no_docs)).count() == 0
 
 
+def ids_of(enc, texts):
+    ids, n = enc.batch(pa.array(texts, pa.string()), 2)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def test_encoder_cuts_are_safe():
     enc = token_store.Encoder(PATH)
-    texts = ["a  b", " x", "x ", "a\n b", "a \n\n b,c.\nD e's don't 3,4 1.5 ,, .. a.,b", "<|endoftext|> a b", "\u00e9\xa0b c", "a\x00b c", "", "x.\nAb, y", "tab\tb c"]
+    texts = ["a  b", " x", "x ", "a\n b", "a \n\n b,c.\nD e's don't 3,4 1.5 ,, .. a.,b", "<|endoftext|> a b", "\u00e9\xa0b c", "a\x00b c", "", "x.\nAb, y", "tab\tb c", "\nA\nb.\n", "\x01", "a\x01 b", "\n", "\u65e5\u672c, \U0001f600. x\u0301, y", "1,2 x1.y a!? b", None]
     for _ in range(2):  # the second time from the cache
-        ids, n = enc.batch(pa.array(texts))
-        assert [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.whole(t) for t in texts]
+        assert ids_of(enc, texts) == [np.frombuffer(enc.whole(t or ""), "<u4").tolist() + [2] for t in texts]
+
+
+def test_encoder_cuts_are_safe_for_random_texts():
+    enc, rng = token_store.Encoder(PATH), np.random.default_rng(4)
+    parts = [" ", " ", "\n", "a", "Word", "\u00e9t\u00e9", "12", ",", ".", "'", "'s", "-", "\t", "\u00a0", "\u0303", "\u65e5", "!?", "\x00", "\x01", "<|endoftext|>", "||"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)]
+    assert ids_of(enc, texts) == [np.frombuffer(enc.whole(t), "<u4").tolist() + [2] for t in texts]
+
+
+def test_encoder_of_another_kind_goes_whole():
+    enc = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some Words, and MORE.", "", "a  b\nc"]
+    assert not enc.cuts and ids_of(enc, texts) == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_blocks_keep_rows_and_bound_bytes(monkeypatch):
+    monkeypatch.setattr(token_store, "BYTES", 100)
+    texts = ["x" * n for n in (10, 95, 5, 300, 1, 0, 99, 50, 51)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for size in (1, 3, 10):
+        got = [b.column("text").to_pylist() for b in token_store._blocks(batch.slice(k, size) for k in range(0, len(texts), size))]
+        assert [t for b in got for t in b] == texts and all(sum(len(t or "") for t in b) <= 100 or len(b) == 1 for b in got)
+
+
+def test_token_store_layout(spark, docs):
+    """The footers: delta pages for the metadata, dictionary pages for the ids, bounded row groups, page indexes."""
+    path = stored(spark, docs).removeprefix("file://")
+    files = sorted(glob.glob(f"{path}/tokens/*.parquet"))
+    assert files
+    for name in files:
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 40 << 20
+            columns = {c.path_in_schema.split(".")[0]: c for c in map(group.column, range(group.num_columns))}
+            for c in columns.values():
+                assert c.has_offset_index and c.has_column_index and c.compression == "ZSTD"
+            for c in ("doc_id", "part", "local_start", "n_tokens"):
+                assert {"DELTA_BINARY_PACKED"} <= set(columns[c].encodings) or c == "part"
+            assert "RLE_DICTIONARY" in columns["tokens"].encodings
 
 
 TEXTS = ["a b c", "  a   b ", "", "a\x00b c\x00", "\u2581x \u2581", "\u65e5\u672c\u8a9e text \U0001f600", "\n\n a\n", "x" * 50 + " y" * 20, "the quick brown fox jumps over the lazy dog"]

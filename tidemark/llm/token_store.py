@@ -11,6 +11,7 @@ doc_id sorts first; an empty table gives an empty store; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prefix_base, shared_dir, spans, table
+from tidemark.llm.common import prefix_base, shared_dir, table
 
 TOKENS = "doc_id long, part long, local_start long, n_tokens long, tokens array<int>"
 #: Row groups of 32 MB, pages of 64 KB or 1000 rows: page indexes then let a reader skip to a few documents.
@@ -39,22 +40,29 @@ LAYOUT = {
     "parquet.enable.dictionary#local_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Before a single space between two non-spaces, a byte-level pre-tokenizer always begins a new piece, whatever follows.
+#: Before a single space between two non-spaces, around a single line feed, and between a letter or digit and a mark, a
+#: byte-level pre-tokenizer always begins a new piece, whatever follows.
 CUT = re.compile(r"(?<=\S)(?= \S)").split
-#: White space next to white space, or other than space and line feed, or at an end: such texts are cut by CUT, others at
-#: every space. (For Arrow's regular expressions, whose own white space is ASCII.)
+MARKS = r"([A-Za-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([,.!?;:])"
+#: White space next to white space, or other than space and line feed, or at an end, and what the cutting itself puts in:
+#: such texts are cut by CUT alone. (For Arrow's regular expressions, whose own white space is ASCII.)
 _RARE = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-ODD = rf"[ \n{_RARE}][ \n{_RARE}]|[{_RARE}\x{{0}}]|^ | $"
-#: Pieces whose parts never merge: letters, one mark, and maybe a line feed and letters.
-PARTS = re.compile(r"( ?[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])(?:(\n)([A-Z\u00c0-\u00d6\u00d8-\u00de]?[a-z\u00df-\u00f6\u00f8-\u00ff]+)([,.!?;:])?)?").fullmatch
-#: Entries of a generation of the cache, texts at once, and new pieces in one call of the tokenizer.
-CACHE, TEXTS, PIECES = 400_000, 1000, 5_000
+ODD = rf"[ \n{_RARE}][ \n{_RARE}]|[{_RARE}\x{{0}}\x{{1}}]|^ | $"
+#: Pieces that can stand one after the other without changing: one space, then no white space.
+JOINS = re.compile(r" \S+").fullmatch
+END = "\x01"
+#: Entries of a generation of the cache, bytes of text at once, and new pieces in one call of the tokenizer.
+CACHE, BYTES, PIECES = 400_000, 8 << 20, 5_000
+#: Rows of a batch that goes back.
+ROWS = 1000
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Whole texts through a tokenizers file. Pieces between safe cuts are encoded once and kept as little-endian bytes."""
+    """Whole texts through a tokenizers file. Where the file's kind is byte-level BPE with the usual pattern, pieces between
+    safe cuts are encoded once and kept as little-endian bytes; texts with special tokens in them, and all texts of files
+    of another kind, go through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,69 +70,102 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.specials = {x.content: i for i, x in added.items()}
-        self.mark = next((x.content for x in added.values() if x.special and not (x.lstrip or x.rstrip or x.single_word)), None)
+        self.specials = [x.content for x in added.values()]
+        self.cuts = self._is_byte_level() and not any(re.search(r"\s", x) for x in self.specials)
+        if self.cuts:
+            # every character of a token stands for one byte
+            self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+            self.tokenizer.model._resize_cache(0)  # no piece comes twice
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before: what is still in use moves over
 
+    def _is_byte_level(self) -> bool:
+        how = json.loads(self.tokenizer.to_str())
+        pre = how.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        model = how.get("model") or {}
+        bpe = model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        return bool(plain and bpe) and how.get("normalizer") is None and how.get("truncation") is None and how.get("padding") is None
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Each call takes many pieces, with a special token between them, whose id then cuts the ids apart."""
-        for k in range(0, len(pieces), PIECES):
-            some = pieces[k : k + PIECES]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.specials[self.mark])
-            ends, starts, raw = [*(cuts * 4).tolist(), len(ids) * 4], [0, *((cuts + 1) * 4).tolist()], ids.tobytes()
-            self.cache.update(zip(some, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        """New pieces: those that can stand in a row go to the library as one text, and the tokens' lengths say where each
+        one ends; the others go as texts of their own."""
+        row = [x for x in pieces if JOINS(x)]
+        for k in range(0, len(row), PIECES):
+            some = row[k : k + PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter((len(x.encode()) for x in some), np.int64, len(some)))) + 1
+            at, raw = [0, *(ends * 4).tolist()], ids.tobytes()
+            self.cache.update(zip(some, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+        if len(row) < len(pieces):
+            rest = [x for x in pieces if not JOINS(x)]
+            for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.cache[x] = np.array(e.ids, "<u4").tobytes()
 
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of different pieces, from the cache or encoded now."""
-        if len(self.cache) > CACHE:
-            self.cache, self.old = {}, self.cache
-        special = self.mark is None or any(s in x for x in ["".join(pieces)] for s in self.specials)
         got = list(map(self.cache.get, pieces))
-        parts: dict[str, list[str] | None] = {}
-        for i in [i for i, x in enumerate(got) if x is None]:
-            piece = pieces[i]
-            if (ids := self.old.get(piece)) is not None:
-                self.cache[piece] = got[i] = ids
-            elif special and (self.mark is None or any(s in piece for s in self.specials)):
-                got[i] = self.whole(piece)
-            else:
-                m = PARTS(piece)
-                parts[piece] = [x for x in m.groups() if x is not None] if m else None
-        self.learn(list({x for piece, p in parts.items() for x in p or [piece]}.difference(self.cache)))
-        for piece, p in parts.items():
-            if p:
-                self.cache[piece] = b"".join(map(self.cache.__getitem__, p))
-        return [self.cache[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts, and how many each has. Pieces are found and made distinct by Arrow; Python sees each once."""
+        new = [i for i, x in enumerate(got) if x is None]
+        if self.old:
+            before = [(i, x) for i in new if (x := self.old.get(pieces[i])) is not None]
+            for i, x in before:
+                self.cache[pieces[i]] = got[i] = x
+            new = [i for i in new if got[i] is None]
+        self.learn([pieces[i] for i in new])
+        for i in new:
+            got[i] = self.cache[pieces[i]]
+        return got
+
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, each text's followed by `end_id`, and how many each has. Pieces are found and made distinct
+        by Arrow; Python sees each once."""
         texts = pc.fill_null(texts, "")
-        units = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
-        rare = pc.match_substring_regex(texts, ODD)
+        end = np.array([end_id], "<u4").tobytes()
+        if not self.cuts:
+            raw = [self.whole(t) + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(raw), "<i4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        marked = pc.replace_substring(pc.replace_substring(pc.replace_substring_regex(texts, MARKS, "\\1\x00\\2"), " ", "\x00 "), "\n", "\x00\n\x00")
+        units = pc.split_pattern(pc.binary_join_element_wise(marked, END, "\x00"), "\x00")
+        special = pa.array(np.zeros(len(texts), bool))
         for s in self.specials:
-            rare = pc.or_(rare, pc.match_substring(texts, s))
-        some = np.flatnonzero(rare.to_numpy(zero_copy_only=False))
-        if self.mark is None:
-            some = np.arange(len(texts))
-        if len(some):
+            special = pc.or_(special, pc.match_substring(texts, s))
+        odd = pc.or_(special, pc.match_substring_regex(texts, ODD)).to_numpy(zero_copy_only=False)
+        special = special.to_numpy(zero_copy_only=False)
+        if len(self.cache) > CACHE:
+            self.cache, self.old = {}, self.cache
+        self.cache |= {"": b"", END: end}
+        lone = []
+        if odd.any():
             rows = units.to_pylist()
-            for i in some.tolist():
+            for i in np.flatnonzero(odd).tolist():
                 text = texts[i].as_py()
-                rows[i] = [text] if self.mark is None or any(s in text for s in self.specials) else CUT(text)
+                if special[i] or "\x00" in text or END in text:
+                    lone.append(f"{END}{i}")
+                    self.cache[lone[-1]] = self.whole(text)
+                    rows[i] = [lone[-1], END]
+                else:
+                    rows[i] = [*CUT(text), END]
             units = pa.array(rows, pa.list_(pa.string()))
         per = np.diff(units.offsets.to_numpy()).astype(np.int64)
         coded = units.flatten().dictionary_encode()
-        ids = self.known(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy()
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n = lens[which]
-        total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
-        return np.frombuffer(b"".join(ids), "<u4")[spans((np.cumsum(lens) - lens)[which], n)], np.diff(total)
+        raw = pa.array(self.known(_strings(coded.dictionary)), pa.large_binary())
+        for name in lone:
+            del self.cache[name]
+        put = raw.take(coded.indices)
+        _, offs, data = put.buffers()
+        at = np.frombuffer(offs, np.int64)[: len(put) + 1][np.concatenate([[0], np.cumsum(per)])] // 4
+        return np.frombuffer(data, "<i4")[at[0] : at[-1]], np.diff(at)
+
+
+def _strings(names: pa.StringArray) -> list[str]:
+    """to_pylist() for strings without a null character, in one split."""
+    if not len(names):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+    return pc.binary_join(one, "\x00")[0].as_py().split("\x00")
 
 
 def encoder(path: str) -> Encoder:
@@ -133,24 +174,39 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of about BYTES of text (but one row at least), whatever the batches are."""
+    held: list[pa.RecordBatch] = []
+    room = BYTES
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(ends[at:] - (ends[at - 1] if at else 0), room, side="right"))
+            if n:
+                held.append(batch.slice(at, n))
+                room -= int(size[at : at + n].sum())
+                at += n
+            elif not held:
+                yield batch.slice(at, 1)
+                at += 1
+            if at < batch.num_rows and held:
+                yield pa.concat_batches(held)
+                held, room = [], BYTES
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, start, enc = TaskContext.get().partitionId(), 0, encoder(path)
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            batch = whole.slice(at, TEXTS)
-            ids, n = enc.batch(batch.column("text"))
-            n = n + 1
-            ends = np.cumsum(n)
-            values = np.full(int(ends[-1]), end_id, np.int32)
-            inner = np.ones(len(values), bool)
-            inner[ends - 1] = False
-            values[inner] = ids
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(start + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(values))],
-                ["doc_id", "part", "local_start", "n_tokens", "tokens"],
-            )
-            start += int(ends[-1])
+    for block in _blocks(batches):
+        values, n = enc.batch(block.column("text"), end_id)
+        ends = np.cumsum(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+        columns = [block.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(start + ends - n), pa.array(n), lists]
+        whole = pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local_start", "n_tokens", "tokens"])
+        yield from (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS))
+        start += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -173,7 +229,7 @@ def read_tokens(spark: SparkSession, path: str, with_tokens: bool = True) -> Dat
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("tokens")
-        values, offs = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+        values, offs = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
         crcs = [zlib.crc32(values[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "local_start", "n_tokens")), pa.array(crcs, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
