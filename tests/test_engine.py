@@ -335,3 +335,71 @@ def test_socket_lines_decode(spark):
     finally:
         q.stop()
         server.close()
+
+
+def test_flow_does_not_look_ahead(spark):
+    b = book(spark, [100], [100]).withColumn("ts_ns", F.lit(5 * MINUTE))
+    past, later = (1, 4 * MINUTE, 1, "BUY", 1_000_000, 300, True), (1, 6 * MINUTE, 2, "BUY", 1_000_000, 5000, False)
+    got = [liquidity.flow_ratio(b, ticks(spark, rows)).first().hidden_ratio for rows in ([past], [past, later], [later])]
+    assert got == [3.0, 3.0, 0.0]
+
+
+def test_quotes_of_each_symbol(spark, sf):
+    t = ticks(spark, [(1, 1, 1, "BUY", 1_000_000, 500_000, False), (2, 1, 2, "SELL", 50_000, 500_000, False)])
+    rows = strategies.market_maker_quotes(strategies.venues(spark, sf), t).collect()
+    assert {r.symbol for r in rows} == {1, 2}
+    for r in rows:
+        middle = (r.bid + r.ask) / 2
+        assert (middle < 1_000_000 and abs(middle / 1_000_000 - 1) < 0.01) if r.symbol == 1 else (middle > 50_000 and abs(middle / 50_000 - 1) < 0.01)
+
+
+def test_every_supplier_counts(spark, sf):
+    assert strategies.venues(spark, sf).count() == 10
+    many = spark.range(1000).select(F.col("id").alias("s_suppkey"))
+    many.createOrReplaceTempView("many")
+    from tidemark.sources import adapters
+
+    table, adapters.table = adapters.table, lambda s, f, n: many
+    try:
+        v = adapters.venues(spark, sf).toPandas()
+    finally:
+        adapters.table = table
+    assert len(v) == adapters.VENUES and v.avg_spread_bps.between(1, 7).all() and v.avg_spread_bps.nunique() > 5
+
+
+def test_running_limit_of_an_account(spark):
+    rows = [(i, 15_000, 0.5, i % 2) for i in range(16)] + [(16, 30_000, 0.5, 0)]
+    got = {r.order_id: r.verdict for r in strategies.risk_checks(spark.createDataFrame(rows, "order_id long, quantity long, urgency double, account long")).collect()}
+    assert [got[i] for i in range(17)] == ["OK"] * 12 + ["POSITION_LIMIT"] * 4 + ["ORDER_SIZE"]
+
+
+def test_curve_is_followed(spark):
+    o = spark.createDataFrame([(1, 50_000, 0.5)], "order_id long, quantity long, urgency double")
+    assert [r.planned for r in strategies.schedule_vwap(o).orderBy("bucket").collect()] == [round(50_000 * c) for c in strategies.CURVE]
+
+
+def test_gates_are_those_of_the_defaults(spark, sf):
+    assert liquidity.vpin_anomaly(daily_trades(spark, sf)).count() == 0
+    t = ticks(spark, [(1, i * MINUTE, i, "BUY", 1_000_000, 100, False) for i in range(120)] + [(1, 200 * MINUTE, 500, "BUY", 1_000_000, 90, False), (1, 201 * MINUTE, 501, "SELL", 1_000_000, 10_000, False)])
+    assert {r.trade_seq for r in trading.large_trades(t).collect()} >= {501} and 500 not in {r.trade_seq for r in trading.large_trades(t).collect()}
+    few = ticks(spark, [(1, i * MINUTE, i, "BUY", 1_000_000, 100, False) for i in range(10)])
+    assert trading.large_trades(few).count() == 0 and liquidity.hawkes_anomaly(few).count() == 0
+
+
+def test_prices_of_zero_pass(spark):
+    t = ticks(spark, [(1, i * MINUTE, i, "BUY" if i % 3 else "SELL", 0 if i % 4 == 0 else 1000 + i, 100, False) for i in range(40)])
+    q = quoted(spark, [(1, i * MINUTE, i, -50 if i % 4 == 0 else 950, 50 if i % 4 == 0 else 1050, 100, 100) for i in range(40)])
+    for rows in (trading.slippage_metrics(t, q), trading.drift_windows(t, q), features.price_features(t), features.stat_features(t), features.micro_features(t, q), models.hmm_observations(t, q), models.cluster_features(t, q), strategies.value_at_risk(t), strategies.market_conditions(t, q), liquidity.heatmap_cells(t), features.hurst_features(t)):
+        rows.collect()
+    assert trading.slippage_metrics(t, q).count() == 40
+
+
+def test_ten_detectors_in_one_table(spark):
+    from tidemark.plans import feeds
+
+    m = feeds.Market.of(spark, "/root/testdata/sf0.01").only([1, 2])
+    found = feeds.anomalies([*feeds.exact_findings(m, feeds.GATES), *feeds.fitted_findings(m, feeds.GATES)], feeds.GATES)
+    rows = found.toPandas()
+    assert set(rows.symbol) <= {1, 2} and len({"TQR", "HAWKES", "BOOK", "PIN_INTRADAY"} & set(rows.detector)) >= 3 and set(rows.detector) <= set(feeds.LABELS)
+    slots = rows.assign(slot=rows.ts_ns // (100 * MINUTE)).groupby(["symbol", "detector", "type", "slot"]).size()
+    assert (slots == 1).all() and rows.description.str.contains("confidence").all()

@@ -63,8 +63,9 @@ def day_second(ts_ns: Column) -> Column:
 
 
 def price_bucket(price: Column, reference: Column, cells: int = 100, width: float = 0.0001) -> Column:
-    """Cell of a relative price: truncated toward zero, the middle at cells/2, clamped to the ends."""
-    offset = ((price - reference) / reference / width).cast("long")
+    """Cell of a relative price: truncated toward zero, the middle at cells/2, clamped to the ends; the middle for a
+    reference of 0."""
+    offset = F.coalesce((F.try_divide((price - reference).cast("double"), reference) / width).cast("long"), F.lit(0))
     return F.least(F.lit(cells - 1), F.greatest(F.lit(0), offset + cells // 2)).cast("long")
 
 

@@ -32,13 +32,28 @@ class Detectors:
     vpin_bucket: int = 50_000
     vpin_buckets: int = 50
     pin_least_days: int = 5
+    vpin_sigmas: float = 2.0
+    vpin_threshold: float = 0.3
+    pin_least_trades: int = 100
+    pin_period: str = "day"
+    pin_threshold: float = 0.25
     hawkes_threshold: float = 3.0
     large_trade: int = 10_000
+    drift_information: float = 2.0
+    drift_sigmas: float = 3.0
+    price_step: int = 1
+    refill_tolerance: float = 0.2
+    dark_probability: float = 0.8
+    dark_streak: int = 5
+    slot_ms: int = 100
 
     def validate(self) -> None:
         for f in fields(self):
-            if getattr(self, f.name) <= 0:
+            value = getattr(self, f.name)
+            if not isinstance(value, str) and value <= 0:
                 raise ValueError(f"{f.name} must be positive")
+        if self.pin_period not in ("day", "week", "month"):
+            raise ValueError("pin_period must be day, week or month")
 
 
 @dataclass(frozen=True)

@@ -40,11 +40,11 @@ def price_features(t: DataFrame) -> DataFrame:
     one = Window.partitionBy("symbol").orderBy(*ORDER)
     p = F.col("price_e4").cast("double")
     rows = t.select("symbol", *ORDER, "price_e4", *[F.lag("price_e4", n).over(one).alias(f"p{n}") for n in (1, 10, 50, 300)])
-    rows = rows.withColumn("r", F.ln(p / F.col("p1")))
-    change = lambda n: F.coalesce((p - F.col(f"p{n}")) / F.col(f"p{n}"), F.lit(0.0))
+    rows = rows.withColumn("r", F.ln(ratio(p, F.col("p1"))))
+    change = lambda n: F.coalesce(ratio(p - F.col(f"p{n}"), F.col(f"p{n}")), F.lit(0.0))
     vol = lambda n: F.when(F.count("r").over(_w(n)) == n, F.sqrt(F.avg(F.col("r") * F.col("r")).over(_w(n)))).otherwise(0.0)
     mean = lambda n: F.avg("price_e4").over(_w(n))
-    rows = rows.select("symbol", *ORDER, change(10).alias("return_1m"), change(50).alias("return_5m"), change(300).alias("return_30m"), vol(10).alias("volatility_1m"), vol(50).alias("volatility_5m"), vol(100).alias("volatility_30m"), ((mean(10) - mean(50)) / mean(50)).alias("momentum"))
+    rows = rows.select("symbol", *ORDER, change(10).alias("return_1m"), change(50).alias("return_5m"), change(300).alias("return_30m"), vol(10).alias("volatility_1m"), vol(50).alias("volatility_5m"), vol(100).alias("volatility_30m"), F.coalesce(ratio(mean(10) - mean(50), mean(50)), F.lit(0.0)).alias("momentum"))
     return rows.withColumn("acceleration", F.coalesce(F.col("momentum") - F.lag("momentum", 10).over(one), F.lit(0.0)))
 
 
@@ -114,7 +114,7 @@ def micro_features(t: DataFrame, q: DataFrame) -> DataFrame:
     cross = (F.col("bid_e4") * F.col("ask_size") + F.col("ask_e4") * F.col("bid_size")) / depth
     level = (F.col("bid_e4") * F.col("bid_size") + F.col("ask_e4") * F.col("ask_size")) / depth
     return rows.select(
-        "symbol", *ORDER, (gap / 10000).alias("spread"), (gap * 10000 / mid).alias("spread_bps"), F.col("effective").alias("effective_spread"), depth.cast("double").alias("depth"),
+        "symbol", *ORDER, (gap / 10000).alias("spread"), F.coalesce(ratio(gap * 10000, mid), F.lit(0.0)).alias("spread_bps"), F.col("effective").alias("effective_spread"), depth.cast("double").alias("depth"),
         ((F.col("bid_size") - F.col("ask_size")) / depth).alias("depth_imbalance"), cross.alias("weighted_mid"), level.alias("micro_price"), (F.col("n_quotes") / ((F.col("ts_ns") - F.col("first_ts")) / 1e9 + 1)).alias("quote_intensity"),
     )
 
@@ -122,7 +122,7 @@ def micro_features(t: DataFrame, q: DataFrame) -> DataFrame:
 def stat_features(t: DataFrame, n: int = 100) -> DataFrame:
     """Moments, Jarque-Bera and first autocorrelation of the last hundred log returns; entropy of their histogram."""
     one = Window.partitionBy("symbol").orderBy(*ORDER)
-    rows = t.select("symbol", *ORDER, F.ln(F.col("price_e4").cast("double") / F.lag("price_e4").over(one)).alias("r"))
+    rows = t.select("symbol", *ORDER, F.ln(ratio(F.col("price_e4"), F.lag("price_e4").over(one))).alias("r"))
     rows = rows.withColumn("r0", F.lag("r").over(one)).where("r is not null")
     w, r = _w(n), F.col("r")
     k = F.count("r").over(w)
@@ -166,10 +166,12 @@ def hurst_features(t: DataFrame, n: int = 100) -> DataFrame:
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(list(ORDER))
-        r = np.diff(np.log(g.price_e4.to_numpy(float)))
+        price = g.price_e4.to_numpy(float)
+        r = np.diff(np.log(np.where(price > 0, price, np.nan)))
         out = []
         for k in range(len(g)):
             x = r[max(0, k - n) : k]
+            x = x[~np.isnan(x)]
             d = np.abs(np.diff(x))
             ok = (d[:-1] > 1e-12) & (d[1:] > 1e-12) if len(d) > 1 else np.zeros(0, bool)
             out.append((hurst(x), float(np.log(d[1:][ok] / d[:-1][ok]).mean()) if ok.any() else 0.0))
@@ -237,10 +239,10 @@ QUERIES = {
     "feature_vector": lambda spark, sf: feature_vector(trades(spark, sf), quotes(spark, sf)),
 }
 SQL = {
-    "features_price": f"""WITH {TICKS_SQL}, l AS (SELECT *, ln(price_e4::DOUBLE / lag(price_e4) OVER {_ONE}) AS r FROM trades),
-c AS (SELECT symbol, ts_ns, trade_seq, {', '.join(f'coalesce((price_e4 - lag(price_e4, {n}) OVER {_ONE})::DOUBLE / lag(price_e4, {n}) OVER {_ONE}, 0) AS return_{m}' for n, m in ((10, '1m'), (50, '5m'), (300, '30m')))},
+    "features_price": f"""WITH {TICKS_SQL}, l AS (SELECT *, ln(nullif(price_e4, 0)::DOUBLE / nullif(lag(price_e4) OVER {_ONE}, 0)) AS r FROM trades),
+c AS (SELECT symbol, ts_ns, trade_seq, {', '.join(f'coalesce((price_e4 - lag(price_e4, {n}) OVER {_ONE})::DOUBLE / nullif(lag(price_e4, {n}) OVER {_ONE}, 0), 0) AS return_{m}' for n, m in ((10, '1m'), (50, '5m'), (300, '30m')))},
   {', '.join(f'CASE WHEN count(r) OVER {_over(n)} = {n} THEN sqrt(avg(r * r) OVER {_over(n)}) ELSE 0 END AS volatility_{m}' for n, m in ((10, '1m'), (50, '5m'), (100, '30m')))},
-  (avg(price_e4) OVER {_over(10)} - avg(price_e4) OVER {_over(50)}) / avg(price_e4) OVER {_over(50)} AS momentum FROM l),
+  coalesce((avg(price_e4) OVER {_over(10)} - avg(price_e4) OVER {_over(50)}) / nullif(avg(price_e4) OVER {_over(50)}, 0), 0) AS momentum FROM l),
 a AS (SELECT *, coalesce(momentum - lag(momentum, 10) OVER {_ONE}, 0) AS acceleration FROM c)
 SELECT symbol, trade_seq, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES['price'])} FROM a""",
     "features_volume": f"""WITH {TICKS_SQL}, x AS (SELECT symbol, ts_ns, trade_seq, count(*) OVER {_over(100)} AS n, sum(quantity::DOUBLE) OVER {_over(100)} AS s1, sum(quantity::DOUBLE * quantity) OVER {_over(100)} AS s2, sum(quantity::DOUBLE * quantity * quantity) OVER {_over(100)} AS s3,
@@ -261,7 +263,7 @@ SELECT symbol, trade_seq, round(sin(2 * pi() * s / 86400), 6) AS time_sin, round
     "features_micro": f"""WITH {TICKS_SQL}, e AS (SELECT *, row_number() OVER o AS n, min(ts_ns) OVER (PARTITION BY symbol) AS first_ts FROM quotes WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, quote_seq)),
 g AS (SELECT a.symbol, a.quote_seq, sum((b.ask_e4 - b.bid_e4) * pow(0.9::DOUBLE, a.n - b.n)) / sum(pow(0.9::DOUBLE, a.n - b.n)) / 10000 AS eff FROM e a JOIN e b ON a.symbol = b.symbol AND b.n BETWEEN a.n - 9 AND a.n GROUP BY ALL),
 r AS (SELECT e.*, eff FROM e JOIN g USING (symbol, quote_seq)), x AS (SELECT t.symbol, t.trade_seq, t.ts_ns AS at_ns, r.* EXCLUDE (symbol) FROM trades t ASOF JOIN r ON t.symbol = r.symbol AND t.ts_ns >= r.ts_ns)
-SELECT symbol, trade_seq, round((ask_e4 - bid_e4) / 10000, 4) AS spread, round((ask_e4 - bid_e4) * 10000 / ((bid_e4 + ask_e4) / 2.0::DOUBLE), 4) AS spread_bps, round(eff, 4) AS effective_spread, (bid_size + ask_size)::DOUBLE AS depth,
+SELECT symbol, trade_seq, round((ask_e4 - bid_e4) / 10000, 4) AS spread, round(coalesce((ask_e4 - bid_e4) * 10000 / nullif((bid_e4 + ask_e4) / 2.0::DOUBLE, 0), 0), 4) AS spread_bps, round(eff, 4) AS effective_spread, (bid_size + ask_size)::DOUBLE AS depth,
   round((bid_size - ask_size) / (bid_size + ask_size), 4) AS depth_imbalance, round((bid_e4 * ask_size + ask_e4 * bid_size) / (bid_size + ask_size), 4) AS weighted_mid, round((bid_e4 * bid_size + ask_e4 * ask_size) / (bid_size + ask_size), 4) AS micro_price,
   round(n / ((at_ns - first_ts) / 1e9 + 1), 4) AS quote_intensity FROM x""",
     "features_lookback": f"WITH {TICKS_SQL} SELECT symbol, trade_seq, "
@@ -271,7 +273,7 @@ SELECT symbol, trade_seq, round((ask_e4 - bid_e4) / 10000, 4) AS spread, round((
         for n in LOOKBACKS
     )
     + " FROM trades",
-    "features_stat": f"""WITH {TICKS_SQL}, a AS (SELECT symbol, ts_ns, trade_seq, ln(price_e4::DOUBLE / lag(price_e4) OVER {_ONE}) AS r FROM trades), b AS (SELECT *, lag(r) OVER {_ONE} AS r0 FROM a),
+    "features_stat": f"""WITH {TICKS_SQL}, a AS (SELECT symbol, ts_ns, trade_seq, ln(nullif(price_e4, 0)::DOUBLE / nullif(lag(price_e4) OVER {_ONE}, 0)) AS r FROM trades), b AS (SELECT *, lag(r) OVER {_ONE} AS r0 FROM a),
 c AS (SELECT symbol, ts_ns, trade_seq, r, count(r) OVER w AS n, sum(r) OVER w AS s1, sum(r * r) OVER w AS s2, sum(r * r * r) OVER w AS s3, sum(r * r * r * r) OVER w AS s4, sum(r * r0) OVER w AS c1, sum(r0) OVER w AS c0, min(r) OVER w AS lo, max(r) OVER w AS hi, list(r) OVER w AS rs
   FROM b WHERE r IS NOT NULL WINDOW w AS {_over(100)}),
 d AS (SELECT *, s1 / n AS m, s2 / n - (s1 / n) * (s1 / n) AS var FROM c),

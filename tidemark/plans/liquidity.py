@@ -84,8 +84,13 @@ def flow_anchored(t: DataFrame, width: int = FLOW_WINDOW) -> DataFrame:
 
 
 def flow_ratio(b: DataFrame, t: DataFrame) -> DataFrame:
-    """Flow of the tumbling window over the visible volume, raised by the hidden share; 1 without flow or volume."""
-    rows = book_levels(b).select("symbol", "quote_seq", "ts_ns", "visible", F.expr(f"ts_ns div {FLOW_WINDOW}").alias("w")).join(flow_tumbling(t), ["symbol", "w"], "left")
+    """Flow of the window that ends with the book over its visible volume, raised by the hidden share; 1 without visible
+    volume."""
+    buy = F.col("side") == "BUY"
+    rows = book_levels(b).select("symbol", "quote_seq", "ts_ns", "visible")
+    rows = rows.unionByName(t.select("symbol", "ts_ns", F.when(buy, F.col("quantity")).otherwise(0).alias("b"), F.when(buy, 0).otherwise(F.col("quantity")).alias("s"), F.when(F.col("is_hidden"), F.col("quantity")).otherwise(0).alias("h")), allowMissingColumns=True)
+    w = span_back(FLOW_WINDOW, "symbol")
+    rows = rows.select("symbol", "quote_seq", "visible", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in (("b", "bought"), ("s", "sold"), ("h", "hidden"))]).where("quote_seq is not null")
     flow = F.col("bought") + F.col("sold")
     value = F.coalesce(ratio(flow, F.col("visible")) * (1 + F.coalesce(ratio(F.col("hidden"), flow), F.lit(0.0))), F.lit(1.0))
     return rows.select("symbol", "quote_seq", F.round(value, 6).alias("hidden_ratio"))
@@ -128,17 +133,21 @@ bu AS (SELECT symbol, quote_seq, count(*) OVER (o ROWS BETWEEN 999 PRECEDING AND
 pr AS (SELECT symbol, quote_seq, ts_ns, visible, weighted, abs(sg) AS pressure, CASE WHEN sg > 0 THEN 'BUY' ELSE 'SELL' END AS pressure_side, coalesce(buildup, false) AS buildup
   FROM wi JOIN ps USING (symbol, quote_seq) LEFT JOIN bu USING (symbol, quote_seq)),
 fl AS (SELECT symbol, ts_ns // {FLOW_WINDOW} AS w, coalesce(sum(quantity) FILTER (side = 'BUY'), 0)::BIGINT AS bought, coalesce(sum(quantity) FILTER (side <> 'BUY'), 0)::BIGINT AS sold, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden FROM trades GROUP BY ALL),
-fr AS (SELECT symbol, quote_seq, round(coalesce((bought + sold) / nullif(visible, 0) * (1 + coalesce(hidden / nullif(bought + sold, 0), 0)), 1), 6) AS hidden_ratio FROM (SELECT *, ts_ns // {FLOW_WINDOW} AS w FROM wi) LEFT JOIN fl USING (symbol, w))"""
+fo AS (SELECT x.symbol, x.quote_seq, any_value(visible) AS visible, coalesce(sum(quantity), 0) AS flow, coalesce(sum(quantity) FILTER (is_hidden), 0) AS hidden FROM wi x LEFT JOIN trades t ON t.symbol = x.symbol AND t.ts_ns BETWEEN x.ts_ns - {FLOW_WINDOW} AND x.ts_ns GROUP BY ALL),
+fr AS (SELECT symbol, quote_seq, round(coalesce(flow / nullif(visible, 0) * (1 + coalesce(hidden / nullif(flow, 0), 0)), 1), 6) AS hidden_ratio FROM fo)"""
 
 
 # -- iceberg refills --------------------------------------------------------------------------------------------------
 
-SILENCE, REFILL_WINDOW, REFILLS, CONSISTENT = 3000 * MINUTE, 6000 * MINUTE, 3, 0.35
+#: For the registered queries prices are rounded to PRICE_STEP, since ticks here seldom meet a price twice, sizes may vary
+#: by LOOSE, and the other gates are wider than the functions' defaults.
+SILENCE, REFILL_WINDOW, REFILLS, PRICE_STEP, LOOSE = 3000 * MINUTE, 6000 * MINUTE, 3, 500_000, 0.35
+VPIN_SIGMAS, VPIN_TOXIC, HAWKES_TIMES = 0.25, 0.18, 75.0
 
 
-def refills(o: DataFrame, price_step: int = 500_000) -> DataFrame:
-    """Orders by price level and session (a level is forgotten after a silence), with the pattern's tests. Prices are
-    rounded to steps, since ticks here seldom meet a price twice."""
+def refills(o: DataFrame, price_step: int = 1, consistent: float = 0.2) -> DataFrame:
+    """Orders by price level and session (a level is forgotten after a silence), with the pattern's tests: enough orders in
+    the window, and the last three sizes within `consistent` of their mean."""
     level = o.select("symbol", "side", F.expr(f"price_e4 div {price_step}").alias("level"), "order_id", "ts_ns", "quantity")
     w = Window.partitionBy("symbol", "side", "level").orderBy("ts_ns", "order_id")
     fresh = F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(w) > SILENCE, F.lit(True)).cast("int")
@@ -149,29 +158,29 @@ def refills(o: DataFrame, price_step: int = 500_000) -> DataFrame:
         *by, "order_id", "ts_ns", "quantity", F.count("*").over(span_back(REFILL_WINDOW, *by)).alias("recent"), F.count("*").over(ever).alias("refill_count"), F.first("ts_ns").over(ever).alias("first_seen"),
         F.avg("quantity").over(last).alias("m3"), F.max("quantity").over(last).alias("hi"), F.min("quantity").over(last).alias("lo"), F.sum(F.col("quantity").cast("double")).over(ever).alias("s"), F.sum(F.col("quantity").cast("double") * F.col("quantity")).over(ever).alias("s2"),
     )
-    even = F.greatest(F.col("hi") - F.col("m3"), F.col("m3") - F.col("lo")) <= CONSISTENT * F.col("m3")
+    even = F.greatest(F.col("hi") - F.col("m3"), F.col("m3") - F.col("lo")) <= consistent * F.col("m3")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("refill_count") - (F.col("s") / F.col("refill_count")) * (F.col("s") / F.col("refill_count"))))
     return rows.where((F.col("recent") >= REFILLS) & even).withColumn("confidence", F.round(1 - F.least(F.lit(1.0), spread / F.col("quantity")), 6)).select(*by, "order_id", "ts_ns", "first_seen", F.col("quantity").alias("visible"), "refill_count", "confidence")
 
 
-def executed(t: DataFrame, price_step: int = 500_000) -> DataFrame:
+def executed(t: DataFrame, price_step: int = 1) -> DataFrame:
     """Traded quantity of price levels; buyers take from the sell side's."""
     side = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
     return t.groupBy("symbol", side.alias("side"), F.expr(f"price_e4 div {price_step}").alias("level")).agg(F.sum("quantity").alias("executed"))
 
 
-def icebergs(o: DataFrame, t: DataFrame) -> DataFrame:
+def icebergs(o: DataFrame, t: DataFrame, price_step: int = 1, consistent: float = 0.2) -> DataFrame:
     """The latest pattern of each level, with executed and estimated totals (five visible sizes on top)."""
     latest = Window.partitionBy("symbol", "side", "level").orderBy(F.desc("ts_ns"), F.desc("order_id"))
-    rows = refills(o).withColumn("k", F.row_number().over(latest)).where("k = 1").join(executed(t), ["symbol", "side", "level"], "left")
+    rows = refills(o, price_step, consistent).withColumn("k", F.row_number().over(latest)).where("k = 1").join(executed(t, price_step), ["symbol", "side", "level"], "left")
     done = F.coalesce("executed", F.lit(0))
     return rows.select("symbol", "side", "level", "order_id", "ts_ns", "visible", "refill_count", "confidence", done.alias("executed"), (done + 5 * F.col("visible")).alias("estimated"))
 
 
-def iceberg_best(o: DataFrame, t: DataFrame) -> DataFrame:
+def iceberg_best(o: DataFrame, t: DataFrame, price_step: int = 1, consistent: float = 0.2) -> DataFrame:
     """The iceberg with the largest confidence times total of each symbol, if over 0.7."""
     score = F.struct((F.col("confidence") * F.col("estimated")).alias("score"), (-F.col("level")).alias("level"), "side")
-    best = icebergs(o, t).groupBy("symbol").agg(F.max_by(F.struct("side", "level", "ts_ns", "visible", "executed", "estimated", "confidence"), score).alias("b")).select("symbol", "b.*").where("confidence > 0.7")
+    best = icebergs(o, t, price_step, consistent).groupBy("symbol").agg(F.max_by(F.struct("side", "level", "ts_ns", "visible", "executed", "estimated", "confidence"), score).alias("b")).select("symbol", "b.*").where("confidence > 0.7")
     return best.select("symbol", "side", "level", "ts_ns", "confidence", F.round(ratio(F.col("estimated"), F.col("visible")), 6).alias("magnitude"), (F.col("estimated") - F.col("executed")).alias("hidden"))
 
 
@@ -182,7 +191,7 @@ l2 AS (SELECT *, count(*) OVER (PARTITION BY symbol, side, level, session ORDER
   avg(quantity) OVER r AS m3, max(quantity) OVER r AS hi, min(quantity) OVER r AS lo, sum(quantity::DOUBLE) OVER e AS s, sum(quantity::DOUBLE * quantity) OVER e AS s2 FROM l1
   WINDOW e AS (PARTITION BY symbol, side, level, session ORDER BY ts_ns, order_id ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY symbol, side, level, session ORDER BY ts_ns, order_id ROWS BETWEEN {REFILLS - 1} PRECEDING AND CURRENT ROW)),
 rf AS (SELECT symbol, side, level, session, order_id, ts_ns, first_seen, quantity AS visible, refill_count, round(1 - least(1.0::DOUBLE, sqrt(greatest(0, s2 / refill_count - (s / refill_count) * (s / refill_count))) / quantity), 6) AS confidence
-  FROM l2 WHERE recent >= {REFILLS} AND greatest(hi - m3, m3 - lo) <= {CONSISTENT}::DOUBLE * m3),
+  FROM l2 WHERE recent >= {REFILLS} AND greatest(hi - m3, m3 - lo) <= {LOOSE}::DOUBLE * m3),
 ex AS (SELECT symbol, CASE WHEN side = 'BUY' THEN 'SELL' ELSE 'BUY' END AS side, price_e4 // 500000 AS level, sum(quantity)::BIGINT AS executed FROM trades GROUP BY ALL),
 ic AS (SELECT symbol, side, level, order_id, ts_ns, visible, refill_count, confidence, coalesce(executed, 0) AS executed, coalesce(executed, 0) + 5 * visible AS estimated
   FROM (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY symbol, side, level ORDER BY ts_ns DESC, order_id DESC) = 1) LEFT JOIN ex USING (symbol, side, level))"""
@@ -201,23 +210,25 @@ def vpin_equal(t: DataFrame, bucket: int = BUCKET) -> DataFrame:
     half = F.when(F.col("side") == "UNKNOWN", F.col("quantity") / 2).otherwise(0.0)
     vol = lambda s: F.sum(F.when(F.col("side") == s, F.col("quantity").cast("double")).otherwise(half))
     first = F.struct(*DAY_ORDER)
-    sums = rows.groupBy("symbol", "bucket").agg(F.sum("quantity").alias("volume"), vol("BUY").alias("buy"), vol("SELL").alias("sell"), F.count("*").alias("trades"), F.min_by("price_e4", first).alias("open"), F.max_by("price_e4", first).alias("close"), F.sum(F.col("price_e4") * F.col("quantity")).alias("pq"))
-    return sums.select("symbol", "bucket", "volume", "buy", "sell", "trades", "open", "close", F.round(F.col("pq") / F.col("volume"), 4).alias("vwap"), F.round(F.abs(F.col("buy") - F.col("sell")) / F.col("volume"), 6).alias("imbalance"))
+    sums = rows.groupBy("symbol", "bucket").agg(F.sum("quantity").alias("volume"), vol("BUY").alias("buy"), vol("SELL").alias("sell"), F.count("*").alias("trades"), F.min_by("price_e4", first).alias("open"), F.max_by("price_e4", first).alias("close"), F.sum(F.col("price_e4") * F.col("quantity")).alias("pq"), F.max("day").alias("last_day"))
+    return sums.select("symbol", "bucket", "volume", "buy", "sell", "trades", "open", "close", F.round(F.col("pq") / F.col("volume"), 4).alias("vwap"), F.round(F.abs(F.col("buy") - F.col("sell")) / F.col("volume"), 6).alias("imbalance"), "last_day")
 
 
-def vpin_rolling(t: DataFrame) -> DataFrame:
+def vpin_rolling(t: DataFrame, bucket: int = BUCKET, buckets: int = VPIN_BUCKETS, toxic: float = TOXIC) -> DataFrame:
     """Mean imbalance of the last fifty buckets, its z-score against all so far, and the toxicity gate."""
-    w, ever = rows_back(VPIN_BUCKETS, "symbol", order=("bucket",)), up_to_now("symbol", order=("bucket",))
+    w, ever = rows_back(buckets, "symbol", order=("bucket",)), up_to_now("symbol", order=("bucket",))
     i = F.col("i")
     exact = (F.abs(F.col("buy") - F.col("sell")) / F.col("volume")).alias("i")
-    rows = vpin_equal(t).select("symbol", "bucket", exact).select("symbol", "bucket", F.avg(i).over(w).alias("vpin"), F.count("*").over(w).alias("n"), F.avg(i).over(ever).alias("m"), F.sqrt(F.greatest(F.lit(0.0), F.avg(i * i).over(ever) - F.avg(i).over(ever) * F.avg(i).over(ever))).alias("sd")).where(f"n >= {VPIN_LEAST}")
+    rows = vpin_equal(t, bucket).select("symbol", "bucket", exact).select("symbol", "bucket", F.avg(i).over(w).alias("vpin"), F.count("*").over(w).alias("n"), F.avg(i).over(ever).alias("m"), F.sqrt(F.greatest(F.lit(0.0), F.avg(i * i).over(ever) - F.avg(i).over(ever) * F.avg(i).over(ever))).alias("sd")).where(f"n >= {VPIN_LEAST}")
     z = F.round(ratio(F.col("vpin") - F.col("m"), F.round("sd", 9)), 4)
-    return rows.select("symbol", "bucket", F.round("vpin", 6).alias("vpin"), z.alias("z"), (F.round("vpin", 6) > TOXIC).alias("toxic"))
+    return rows.select("symbol", "bucket", F.round("vpin", 6).alias("vpin"), z.alias("z"), (F.round("vpin", 6) > toxic).alias("toxic"))
 
 
-def vpin_anomaly(t: DataFrame) -> DataFrame:
-    rows = vpin_rolling(t).join(vpin_equal(t).select("symbol", "bucket", "imbalance"), ["symbol", "bucket"]).where("toxic and z > 0.5")
-    return rows.select("symbol", "bucket", F.round(F.least(F.lit(1.0), F.col("z") / 4), 5).alias("confidence"), F.round(F.col("vpin") / TOXIC, 5).alias("magnitude"), F.round(F.col("imbalance") * BUCKET * 10, 1).alias("hidden"))
+def vpin_anomaly(t: DataFrame, sigmas: float = 2.0, bucket: int = BUCKET, buckets: int = VPIN_BUCKETS, toxic: float = TOXIC) -> DataFrame:
+    """Toxic buckets whose mean imbalance is more than `sigmas` standard deviations over that of all so far."""
+    last = vpin_equal(t, bucket).select("symbol", "bucket", "imbalance", "last_day")
+    rows = vpin_rolling(t, bucket, buckets, toxic).join(last, ["symbol", "bucket"]).where(F.col("toxic") & (F.col("z") > sigmas))
+    return rows.select("symbol", "bucket", "last_day", F.round(F.least(F.lit(1.0), F.col("z") / 4), 6).alias("confidence"), F.round(F.col("vpin") / toxic, 5).alias("magnitude"), F.round(F.col("imbalance") * bucket * 10, 1).alias("hidden"))
 
 
 def support_levels(low: int, high: int, share: float = 0.01) -> np.ndarray:
@@ -265,8 +276,8 @@ def vpin_exact(t: DataFrame, bucket: int = BUCKET, days: int = 60) -> DataFrame:
 _VPIN_SQL = f"""{DAILY_SQL},
 vb AS (SELECT *, (sum(quantity) OVER (PARTITION BY symbol ORDER BY {', '.join(DAY_ORDER)} ROWS UNBOUNDED PRECEDING) - 1) // {BUCKET} AS bucket FROM daily),
 ve AS (SELECT symbol, bucket::BIGINT AS bucket, sum(quantity)::BIGINT AS volume, sum(CASE side WHEN 'BUY' THEN quantity::DOUBLE WHEN 'UNKNOWN' THEN quantity / 2 ELSE 0 END) AS buy, sum(CASE side WHEN 'SELL' THEN quantity::DOUBLE WHEN 'UNKNOWN' THEN quantity / 2 ELSE 0 END) AS sell,
-  count(*) AS trades, arg_min(price_e4, ({', '.join(DAY_ORDER)})) AS open, arg_max(price_e4, ({', '.join(DAY_ORDER)})) AS close, sum(price_e4 * quantity)::DOUBLE AS pq FROM vb GROUP BY ALL),
-vi AS (SELECT symbol, bucket, volume, buy, sell, trades, open, close, round(pq / volume, 4) AS vwap, round(abs(buy - sell) / volume, 6) AS imbalance FROM ve),
+  count(*) AS trades, arg_min(price_e4, ({', '.join(DAY_ORDER)})) AS open, arg_max(price_e4, ({', '.join(DAY_ORDER)})) AS close, sum(price_e4 * quantity)::DOUBLE AS pq, max(day) AS last_day FROM vb GROUP BY ALL),
+vi AS (SELECT symbol, bucket, volume, buy, sell, trades, open, close, round(pq / volume, 4) AS vwap, round(abs(buy - sell) / volume, 6) AS imbalance, last_day FROM ve),
 vm AS (SELECT symbol, bucket, avg(i) OVER w AS vpin, count(*) OVER w AS n, avg(i) OVER e AS m, sqrt(greatest(0, avg(i * i) OVER e - avg(i) OVER e * avg(i) OVER e)) AS sd FROM (SELECT symbol, bucket, abs(buy - sell) / volume AS i FROM ve)
   WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN {VPIN_BUCKETS - 1} PRECEDING AND CURRENT ROW), e AS (PARTITION BY symbol ORDER BY bucket ROWS UNBOUNDED PRECEDING)),
 vr AS (SELECT symbol, bucket, round(vpin, 6) AS vpin, round((vpin - m) / nullif(round(sd, 9), 0), 4) AS z, round(vpin, 6) > {TOXIC} AS toxic FROM vm WHERE n >= {VPIN_LEAST})"""
@@ -278,11 +289,15 @@ PIN_START = (0.2, 0.5, 100.0, 50.0, 50.0)  # alpha, delta, mu, epsilon buy, epsi
 PIN_STEPS, PIN_TOLERANCE, PIN_LEAST_DAYS, PIN_KEPT = 100, 1e-6, 5, 60
 
 
-def daily_flow(t: DataFrame, least: int = 20, period: str = "month") -> DataFrame:
+#: Least trades and period of the registered queries: lineitem has few trades a day.
+PERIODS = {"least": 20, "period": "month"}
+
+
+def daily_flow(t: DataFrame, least: int = 100, period: str = "day") -> DataFrame:
     """Bought and sold counts and volumes of each period with enough trades, the last sixty of them."""
     n = lambda s: F.count_if(F.col("side") == s)
     v = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("quantity"))), F.lit(0))
-    days = t.groupBy("symbol", F.trunc("day", period).alias("period")).agg(n("BUY").alias("buys"), n("SELL").alias("sells"), v("BUY").alias("buy_volume"), v("SELL").alias("sell_volume"), F.count("*").alias("trades")).where(F.col("trades") >= least)
+    days = t.groupBy("symbol", (F.col("day") if period == "day" else F.trunc("day", period)).alias("period")).agg(n("BUY").alias("buys"), n("SELL").alias("sells"), v("BUY").alias("buy_volume"), v("SELL").alias("sell_volume"), F.count("*").alias("trades")).where(F.col("trades") >= least)
     late = Window.partitionBy("symbol").orderBy(F.desc("period"))
     return days.withColumn("age", F.row_number().over(late)).where(F.col("age") <= PIN_KEPT).drop("age")
 
@@ -292,7 +307,15 @@ def intraday_pin(t: DataFrame) -> DataFrame:
     hours = t.groupBy("symbol", F.expr(f"ts_ns div {HOUR} % 24").alias("hour")).agg(F.count_if(F.col("side") == "BUY").alias("b"), F.count_if(F.col("side") == "SELL").alias("s"))
     value = F.when(F.col("b") + F.col("s") > 10, 0.5 * F.abs(F.col("b") - F.col("s")) / (F.col("b") + F.col("s"))).otherwise(0.0)
     mean = F.sum("pin").over(Window.partitionBy("symbol")) / 24
-    return hours.withColumn("pin", value).select("symbol", "hour", "b", "s", F.round("pin", 6).alias("pin"), F.round(mean, 6).alias("daily_average"))
+    rows = hours.withColumn("pin", value).select("symbol", "hour", "b", "s", F.round("pin", 6).alias("pin"), F.round(mean, 6).alias("daily_average"))
+    return rows.withColumn("spike", (F.col("pin") > 2 * F.col("daily_average")) & (F.col("pin") > 0.2))
+
+
+def intraday_spikes(t: DataFrame) -> DataFrame:
+    """Hours of the day whose proxy is over 0.2 and twice the average, with the last trade in them."""
+    last = t.groupBy("symbol", F.expr(f"ts_ns div {HOUR} % 24").alias("hour")).agg(F.max("ts_ns").alias("ts_ns"))
+    rows = intraday_pin(t).where("spike").join(last, ["symbol", "hour"])
+    return rows.select("symbol", "hour", "ts_ns", F.lit(0.7).alias("confidence"), F.round(F.col("pin") / F.col("daily_average"), 4).alias("magnitude"))
 
 
 def _log_poisson(k: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -332,21 +355,21 @@ def fit_pin(buys: np.ndarray, sells: np.ndarray, start: tuple = PIN_START, steps
 _PIN_SCHEMA = "alpha double, delta double, mu double, epsilon_b double, epsilon_s double, pin double"
 
 
-def pin_em(t: DataFrame) -> DataFrame:
+def pin_em(t: DataFrame, least: int = 100, period: str = "day") -> DataFrame:
     """The fit of each symbol; groups are sixty rows at most. The gate: over 0.25."""
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("period")
         if len(g) < PIN_LEAST_DAYS:
-            return pd.DataFrame(columns=["symbol", "days", *x])
-        return pd.DataFrame([{"symbol": g.symbol.iloc[0], "days": len(g), **fit_pin(g.buys.to_numpy(float), g.sells.to_numpy(float))}])
+            return pd.DataFrame(columns=["symbol", "days", "last", *x])
+        return pd.DataFrame([{"symbol": g.symbol.iloc[0], "days": len(g), "last": g.period.iloc[-1], **fit_pin(g.buys.to_numpy(float), g.sells.to_numpy(float))}])
 
     x = [p.split()[0] for p in _PIN_SCHEMA.split(", ")]
-    rows = daily_flow(t).groupBy("symbol").applyInPandas(fit, f"symbol long, days long, {_PIN_SCHEMA}")
+    rows = daily_flow(t, least, period).groupBy("symbol").applyInPandas(fit, f"symbol long, days long, last date, {_PIN_SCHEMA}")
     return rows.withColumn("anomalous", F.col("pin") > 0.25).withColumn("confidence", F.least(F.lit(1.0), F.col("pin") / 0.4)).withColumn("hidden", F.col("alpha") * F.col("mu") * 100)
 
 
-def pin_history(t: DataFrame, days: int = 10) -> DataFrame:
+def pin_history(t: DataFrame, days: int = 10, least: int = 100, period: str = "day") -> DataFrame:
     """The fit of all periods up to each of the last ones."""
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -354,7 +377,7 @@ def pin_history(t: DataFrame, days: int = 10) -> DataFrame:
         rows = [{"symbol": g.symbol.iloc[0], "period": g.period[k], "pin": fit_pin(g.buys[: k + 1].to_numpy(float), g.sells[: k + 1].to_numpy(float))["pin"]} for k in range(max(0, len(g) - days), len(g)) if k + 1 >= PIN_LEAST_DAYS]
         return pd.DataFrame(rows, columns=["symbol", "period", "pin"])
 
-    return daily_flow(t).groupBy("symbol").applyInPandas(fit, "symbol long, period date, pin double")
+    return daily_flow(t, least, period).groupBy("symbol").applyInPandas(fit, "symbol long, period date, pin double")
 
 
 # -- self-excitation --------------------------------------------------------------------------------------------------
@@ -406,9 +429,11 @@ def hawkes_calibration(t: DataFrame) -> DataFrame:
 
 
 def hawkes_forecast(t: DataFrame, steps: int = 10, dt: float = 5.0) -> DataFrame:
-    """From twice the baseline back to it, with bounds of two square roots of the baseline."""
-    rows = hawkes_calibration(t).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    value = F.col("baseline") * (1 + F.exp(-F.col("beta") * F.col("step") * dt))
+    """From the intensity at the last event back to the baseline, with bounds of two square roots of the baseline."""
+    last = t.groupBy("symbol").agg(F.max_by("trade_seq", F.struct("ts_ns", "trade_seq")).alias("trade_seq"))
+    now = hawkes_intensity(t).join(last, ["symbol", "trade_seq"]).select("symbol", (F.col("buy") + F.col("sell")).alias("now"))
+    rows = hawkes_calibration(t).join(now, "symbol").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    value = F.col("baseline") + (F.col("now") - F.col("baseline")) * F.exp(-F.col("beta") * F.col("step") * dt)
     half = 2 * F.sqrt("baseline")
     return rows.select("symbol", "step", F.round(value, 5).alias("expected"), F.round(F.greatest(F.lit(0.0), value - half), 5).alias("low"), F.round(value + half, 5).alias("high"))
 
@@ -436,13 +461,17 @@ def hawkes_ks(t: DataFrame) -> DataFrame:
     return rows.where("n >= 19").groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("i") / F.col("n") - F.col("r"))), 5).alias("ks"))
 
 
-def hawkes_anomaly(t: DataFrame) -> DataFrame:
-    """Totals over three times the calibrated baseline plus the model's own two baselines, at each event."""
-    rows = hawkes_intensity(t).join(hawkes_calibration(t), "symbol").withColumn("total", F.col("buy") + F.col("sell"))
-    limit = 3 * (F.col("baseline") + 2 * MU) / 2
+def hawkes_anomaly(t: DataFrame, times: float = 3.0, least: int = 20) -> DataFrame:
+    """Events at which the total intensity exceeds `times` the baseline: the calibrated one, or MU without one. Symbols of
+    under `least` events have none."""
+    n = t.groupBy("symbol").agg(F.count("*").alias("events")).where(F.col("events") >= least)
+    model = n.join(hawkes_calibration(t), "symbol", "left").select("symbol", F.when(F.col("baseline") > 0, F.col("baseline")).otherwise(MU).alias("baseline"), F.coalesce("branching", F.lit(0.0)).alias("branching"))
+    rows = hawkes_intensity(t).join(model, "symbol").withColumn("total", F.col("buy") + F.col("sell"))
+    limit = times * F.col("baseline")
     direction = F.when(F.col("buy_share") > 0.6, "buy").when(F.col("buy_share") < 0.4, "sell").otherwise("mixed")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("total") / limit - 1) * (1 - F.col("branching"))))
-    return rows.where(F.col("total") > limit * 0.7).select("symbol", "trade_seq", F.round(confidence, 4).alias("confidence"), F.round(F.col("total") / F.col("baseline"), 3).alias("magnitude"), direction.alias("direction"))
+    hidden = F.round((F.col("total") - F.col("baseline")) * 100_000, 1)
+    return rows.where(F.col("total") > limit).select("symbol", "trade_seq", F.round(confidence, 4).alias("confidence"), F.round(F.col("total") / F.col("baseline"), 3).alias("magnitude"), hidden.alias("hidden"), direction.alias("direction"))
 
 
 _HAWKES_SQL = f"""{TICKS_SQL},
@@ -465,11 +494,13 @@ def heatmap_cells(t: DataFrame, decay: float = 0.95, rows: int = 60, width: int
     first = t.groupBy("symbol").agg(F.min_by("price_e4", F.struct("ts_ns", "trade_seq")).alias("center"), F.max("ts_ns").alias("as_of"))
     age = F.floor((F.col("as_of") - F.col("ts_ns")) / width)
     cells = t.join(first, "symbol").withColumn("age", age).where(F.col("age") < rows).withColumn("cell", price_bucket(F.col("price_e4"), F.col("center"), width=0.01))
-    fade = F.pow(F.lit(decay), F.col("age").cast("double"))
+    fade = F.round(F.pow(F.lit(decay), F.col("age").cast("double")) * 1e9).cast("long")
     buy = F.col("side") == "BUY"
     vol = lambda c: F.coalesce(F.sum(F.when(c, F.col("quantity"))), F.lit(0))
     sums = cells.groupBy("symbol", "age", "cell").agg(vol(buy).alias("bought"), vol(~buy).alias("sold"), vol(F.col("is_hidden")).alias("hidden"), F.count("*").alias("trades"), F.first(fade).alias("fade"))
-    return sums.select("symbol", F.col("age").cast("long").alias("age"), "cell", "bought", "sold", "hidden", "trades", (F.floor(F.least(F.lit(1.0), (F.col("bought") + F.col("sold")) * F.col("fade") / 100_000) * 1e6 + 0.500001) / 1e6).alias("intensity"))
+    # the fade in whole billionths: the product is then exact, and both sides of a comparison round it alike
+    level = F.least(F.lit(1_000_000), F.expr("(bought + sold) * fade div 100000000"))
+    return sums.select("symbol", F.col("age").cast("long").alias("age"), "cell", "bought", "sold", "hidden", "trades", (level / 1e6).alias("intensity"))
 
 
 def heatmap_summary(t: DataFrame, last: int = 1000) -> DataFrame:
@@ -509,10 +540,6 @@ def _bt(f):
     return lambda spark, sf: f(books(spark, sf), trades(spark, sf))
 
 
-def _ot(f):
-    return lambda spark, sf: f(orders(spark, sf), trades(spark, sf))
-
-
 def _book_rows(spark: SparkSession, sf: str) -> DataFrame:
     r = book_levels(books(spark, sf))
     return r.select("symbol", "quote_seq", "visible", "spread_e4", *[F.round(c, 5).alias(c) for c in ("l1", "depth", "weighted", "spread_bps", "weighted_mid", "micro_price")])
@@ -527,24 +554,24 @@ QUERIES = {
     "book_flow_anchored": _t(flow_anchored),
     "book_flow_ratio": _bt(flow_ratio),
     "book_anomaly": _bt(book_anomaly),
-    "refill_patterns": lambda spark, sf: refills(orders(spark, sf)),
-    "icebergs": _ot(icebergs),
-    "iceberg_best": _ot(iceberg_best),
-    "vpin_equal_buckets": _d(vpin_equal),
+    "refill_patterns": lambda spark, sf: refills(orders(spark, sf), PRICE_STEP, LOOSE),
+    "icebergs": lambda spark, sf: icebergs(orders(spark, sf), trades(spark, sf), PRICE_STEP, LOOSE),
+    "iceberg_best": lambda spark, sf: iceberg_best(orders(spark, sf), trades(spark, sf), PRICE_STEP, LOOSE),
+    "vpin_equal_buckets": lambda spark, sf: vpin_equal(daily_trades(spark, sf)).drop("last_day"),
     "vpin_rolling": _d(vpin_rolling),
     "vpin_history": lambda spark, sf: vpin_rolling(daily_trades(spark, sf)).where("bucket % 5 = 0").select("symbol", "bucket", "vpin"),
-    "vpin_anomaly": _d(vpin_anomaly),
+    "vpin_anomaly": lambda spark, sf: vpin_anomaly(daily_trades(spark, sf), VPIN_SIGMAS, toxic=VPIN_TOXIC),
     "vpin_exact": _d(vpin_exact),
-    "daily_flow": _d(daily_flow),
+    "daily_flow": lambda spark, sf: daily_flow(daily_trades(spark, sf), **PERIODS),
     "intraday_pin_proxy": _t(intraday_pin),
-    "pin_em": _d(pin_em),
-    "pin_history": _d(pin_history),
+    "pin_em": lambda spark, sf: pin_em(daily_trades(spark, sf), **PERIODS),
+    "pin_history": lambda spark, sf: pin_history(daily_trades(spark, sf), **PERIODS),
     "hawkes_intensity": _t(hawkes_intensity),
     "hawkes_calibration": _t(hawkes_calibration),
     "hawkes_forecast": _t(hawkes_forecast),
     "hawkes_grid": _t(hawkes_grid),
     "hawkes_ks": _t(hawkes_ks),
-    "hawkes_anomaly": _t(hawkes_anomaly),
+    "hawkes_anomaly": lambda spark, sf: hawkes_anomaly(trades(spark, sf), HAWKES_TIMES),
     "heatmap_cells": _t(heatmap_cells),
     "heatmap_summary": _t(heatmap_summary),
     "heatmap_top_symbols": _t(top_symbols),
@@ -552,7 +579,7 @@ QUERIES = {
 }
 SQL = {
     "book_levels": f"""WITH {_BOOKS_SQL} SELECT symbol, quote_seq, b + a AS visible, a0 - b0 AS spread_e4, round((bq0 - aq0) / (bq0 + aq0), 5) AS l1, round((b - a) / (b + a), 5) AS depth, round((wb - wa) / (wb + wa), 5) AS weighted,
-  round((a0 - b0) * 10000 / ((b0 + a0) // 2), 5) AS spread_bps, round((b0 * aq0 + a0 * bq0) / (bq0 + aq0), 5) AS weighted_mid, round(pq / (b + a), 5) AS micro_price FROM bk""",
+  round((a0 - b0) * 10000 / nullif((b0 + a0) // 2, 0), 5) AS spread_bps, round((b0 * aq0 + a0 * bq0) / (bq0 + aq0), 5) AS weighted_mid, round(pq / (b + a), 5) AS micro_price FROM bk""",
     "book_l1": f"WITH {TICKS_SQL} SELECT symbol, quote_seq, round(coalesce((bid_size - ask_size) / nullif(bid_size + ask_size, 0), 0), 6) AS l1 FROM quotes",
     "book_flags": f"""WITH {_BOOKS_SQL}, w AS (SELECT *, round((wb - wa) / (wb + wa), 9) AS w FROM bk), l AS (SELECT *, lag(w) OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq) AS p FROM w)
 SELECT symbol, quote_seq, b / a > 2 OR b / a < 0.5 AS unbalanced, (b + a - bq0 - aq0) / (bq0 + aq0) > 10 AS thin_top, coalesce(w * p < 0 AND abs(w) > 0.3 AND abs(p) > 0.3, false) AS flip FROM l""",
@@ -566,17 +593,18 @@ FROM nn WHERE n >= 10 AND abs(weighted) > 0.7 AND (hidden_ratio > 2 OR buildup)"
     "icebergs": f"WITH {_REFILL_SQL} SELECT * FROM ic",
     "iceberg_best": f"""WITH {_REFILL_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence * estimated DESC, level, side DESC) AS k FROM ic)
 SELECT symbol, side, level, ts_ns, confidence, round(estimated / visible, 6) AS magnitude, estimated - executed AS hidden FROM k WHERE k = 1 AND confidence > 0.7""",
-    "vpin_equal_buckets": f"WITH {_VPIN_SQL} SELECT * FROM vi",
+    "vpin_equal_buckets": f"WITH {_VPIN_SQL} SELECT * EXCLUDE (last_day) FROM vi",
     "vpin_rolling": f"WITH {_VPIN_SQL} SELECT * FROM vr",
     "vpin_history": f"WITH {_VPIN_SQL} SELECT symbol, bucket, vpin FROM vr WHERE bucket % 5 = 0",
-    "vpin_anomaly": f"WITH {_VPIN_SQL} SELECT symbol, bucket, round(least(1.0::DOUBLE, z / 4), 5) AS confidence, round(vpin / {TOXIC}::DOUBLE, 5) AS magnitude, round(imbalance * {BUCKET} * 10, 1) AS hidden FROM vr JOIN vi USING (symbol, bucket) WHERE toxic AND z > 0.5",
+    "vpin_anomaly": f"WITH {_VPIN_SQL} SELECT symbol, bucket, last_day, round(least(1.0::DOUBLE, z / 4), 6) AS confidence, round(vpin / {VPIN_TOXIC}::DOUBLE, 5) AS magnitude, round(imbalance * {BUCKET} * 10, 1) AS hidden FROM vr JOIN vi USING (symbol, bucket) WHERE vpin > {VPIN_TOXIC} AND z > {VPIN_SIGMAS}",
     "daily_flow": f"""WITH {DAILY_SQL} SELECT symbol, date_trunc('month', day)::DATE AS period, count(*) FILTER (side = 'BUY') AS buys, count(*) FILTER (side = 'SELL') AS sells, coalesce(sum(quantity) FILTER (side = 'BUY'), 0)::BIGINT AS buy_volume,
   coalesce(sum(quantity) FILTER (side = 'SELL'), 0)::BIGINT AS sell_volume, count(*) AS trades FROM daily GROUP BY 1, 2 HAVING count(*) >= 20 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period DESC) <= {PIN_KEPT}""",
     "intraday_pin_proxy": f"""WITH {TICKS_SQL}, h AS (SELECT symbol, ts_ns // {HOUR} % 24 AS hour, count(*) FILTER (side = 'BUY') AS b, count(*) FILTER (side = 'SELL') AS s FROM trades GROUP BY ALL),
-p AS (SELECT *, CASE WHEN b + s > 10 THEN 0.5::DOUBLE * abs(b - s) / (b + s) ELSE 0 END AS pin FROM h) SELECT symbol, hour, b, s, round(pin, 6) AS pin, round(sum(pin) OVER (PARTITION BY symbol) / 24, 6) AS daily_average FROM p""",
+p AS (SELECT *, CASE WHEN b + s > 10 THEN 0.5::DOUBLE * abs(b - s) / (b + s) ELSE 0 END AS pin FROM h) SELECT symbol, hour, b, s, round(pin, 6) AS pin, round(sum(pin) OVER (PARTITION BY symbol) / 24, 6) AS daily_average, round(pin, 6) > 2 * round(sum(pin) OVER (PARTITION BY symbol) / 24, 6) AND round(pin, 6) > 0.2 AS spike FROM p""",
     "hawkes_intensity": f"WITH {_HAWKES_SQL} SELECT * FROM hi",
     "hawkes_calibration": f"WITH {_HAWKES_SQL} SELECT * FROM hc",
-    "hawkes_forecast": f"""WITH {_HAWKES_SQL}, f AS (SELECT symbol, baseline, unnest(range(1, 11)) AS step, beta FROM hc), v AS (SELECT *, baseline * (1 + exp(-beta * step * 5.0::DOUBLE)) AS v FROM f)
+    "hawkes_forecast": f"""WITH {_HAWKES_SQL}, n AS (SELECT symbol, buy + sell AS now_ FROM hi JOIN (SELECT symbol, trade_seq FROM he WHERE k = 1) USING (symbol, trade_seq)),
+f AS (SELECT symbol, baseline, unnest(range(1, 11)) AS step, beta, now_ FROM hc JOIN n USING (symbol)), v AS (SELECT *, baseline + (now_ - baseline) * exp(-beta * step * 5.0::DOUBLE) AS v FROM f)
 SELECT symbol, step, round(v, 5) AS expected, round(greatest(0, v - 2 * sqrt(baseline)), 5) AS low, round(v + 2 * sqrt(baseline), 5) AS high FROM v""",
     "hawkes_grid": f"""WITH {_HAWKES_SQL}, g AS (SELECT symbol, unnest(range(0, 100)) AS point, max(ts_ns) AS e FROM he GROUP BY symbol), a AS (SELECT symbol, point, e - (99 - point) * {400 * MINUTE} AS g_at FROM g)
 SELECT a.symbol, point, round(2 * {MU}::DOUBLE + {ALPHA + CROSS}::DOUBLE * coalesce(sum(m * {BETA}::DOUBLE * exp(-{BETA}::DOUBLE * (g_at - ts_ns)::DOUBLE / {float(MINUTE)})), 0), 5) AS total
@@ -584,13 +612,13 @@ FROM a LEFT JOIN he ON he.symbol = a.symbol AND ts_ns < g_at AND ts_ns >= g_at -
     "hawkes_ks": f"""WITH {_HAWKES_SQL}, d AS (SELECT symbol, trade_seq, side, (ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq))::DOUBLE / {float(MINUTE)} AS dt FROM he),
 r AS (SELECT symbol, trade_seq, round(1 - exp(-CASE WHEN side = 'BUY' THEN buy ELSE sell END * dt), 6) AS r FROM d JOIN hi USING (symbol, trade_seq) WHERE dt IS NOT NULL),
 i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, trade_seq) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r) SELECT symbol, count(*) AS n, round(max(abs(i / n - r)), 5) AS ks FROM i WHERE n >= 19 GROUP BY symbol""",
-    "hawkes_anomaly": f"""WITH {_HAWKES_SQL}, x AS (SELECT *, buy + sell AS total, 3 * (baseline + {2 * MU}::DOUBLE) / 2 AS lim FROM hi JOIN hc USING (symbol))
+    "hawkes_anomaly": f"""WITH {_HAWKES_SQL}, x AS (SELECT *, buy + sell AS total, {HAWKES_TIMES}::DOUBLE * baseline AS lim FROM hi JOIN (SELECT he.symbol, CASE WHEN any_value(baseline) > 0 THEN any_value(baseline) ELSE {MU}::DOUBLE END AS baseline, coalesce(any_value(branching), 0) AS branching FROM he LEFT JOIN hc USING (symbol) GROUP BY 1 HAVING count(*) >= 20) USING (symbol))
 SELECT symbol, trade_seq, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (total / lim - 1) * (1 - branching))), 4) AS confidence, round(total / baseline, 3) AS magnitude,
-  CASE WHEN buy_share > 0.6 THEN 'buy' WHEN buy_share < 0.4 THEN 'sell' ELSE 'mixed' END AS direction FROM x WHERE total > lim * 0.7::DOUBLE""",
+  round((total - baseline) * 100000, 1) AS hidden, CASE WHEN buy_share > 0.6 THEN 'buy' WHEN buy_share < 0.4 THEN 'sell' ELSE 'mixed' END AS direction FROM x WHERE total > lim""",
     "heatmap_cells": f"""WITH {TICKS_SQL}, f AS (SELECT symbol, arg_min(price_e4, ts_ns) AS center, max(ts_ns) AS as_of FROM trades GROUP BY 1),
-c AS (SELECT t.*, (as_of - ts_ns) // {12 * HOUR} AS age, least(99, greatest(0, CAST(trunc((price_e4 - center) / center / 0.01::DOUBLE) AS BIGINT) + 50)) AS cell FROM trades t JOIN f USING (symbol)),
+c AS (SELECT t.*, (as_of - ts_ns) // {12 * HOUR} AS age, least(99, greatest(0, coalesce(CAST(trunc((price_e4 - center) / nullif(center, 0) / 0.01::DOUBLE) AS BIGINT), 0) + 50)) AS cell FROM trades t JOIN f USING (symbol)),
 s AS (SELECT symbol, age, cell, coalesce(sum(quantity) FILTER (side = 'BUY'), 0)::BIGINT AS bought, coalesce(sum(quantity) FILTER (side <> 'BUY'), 0)::BIGINT AS sold, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden, count(*) AS trades FROM c WHERE age < 60 GROUP BY ALL)
-SELECT *, floor(least(1.0::DOUBLE, (bought + sold) * pow(0.95::DOUBLE, age) / 100000) * 1e6 + 0.500001::DOUBLE) / 1e6 AS intensity FROM s""",
+SELECT *, least(1000000, (bought + sold) * CAST(round(pow(0.95::DOUBLE, age) * 1e9) AS BIGINT) // 100000000) / 1e6 AS intensity FROM s""",
     "heatmap_summary": f"""WITH {TICKS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, trade_seq DESC) AS k FROM trades)
 SELECT symbol, arg_min(price_e4, ts_ns) AS center, sum(quantity)::BIGINT AS volume, count(*) AS trades, round(sum(price_e4 * quantity) FILTER (k <= 1000)::DOUBLE / sum(quantity) FILTER (k <= 1000)::DOUBLE, 4) AS vwap FROM k GROUP BY symbol""",
     "heatmap_top_symbols": f"""WITH {TICKS_SQL}, s AS (SELECT symbol, sum(quantity)::BIGINT AS volume, count(*) AS trades, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden FROM trades GROUP BY symbol)

@@ -30,7 +30,7 @@ def hmm_observations(t: DataFrame, q: DataFrame, n: int = 50) -> DataFrame:
     span = F.max("ts_ns").over(w) - F.min("ts_ns").over(w)
     buys = F.sum(F.when(F.col("side") == "BUY", 1).otherwise(-1)).over(w)
     rows = rows.select(
-        "symbol", *ORDER, (size / F.avg("quantity").over(ever)).alias("volume"), ((F.col("price_e4") - first) / first).alias("change"), F.coalesce((F.col("bid_size") - F.col("ask_size")) / (F.col("bid_size") + F.col("ask_size")), F.lit(0.0)).alias("imbalance"),
+        "symbol", *ORDER, (size / F.avg("quantity").over(ever)).alias("volume"), F.coalesce(ratio(F.col("price_e4") - first, first), F.lit(0.0)).alias("change"), F.coalesce((F.col("bid_size") - F.col("ask_size")) / (F.col("bid_size") + F.col("ask_size")), F.lit(0.0)).alias("imbalance"),
         F.coalesce(ratio(F.count("*").over(w), minutes(span)), F.lit(1.0)).alias("trade_rate"), (size / 1000).alias("size"), F.coalesce(ratio(F.col("nq"), minutes(F.col("ts_ns") - F.col("q0"))), F.lit(1.0)).alias("quote_rate"),
         F.when(buys > 0, "BUY").otherwise("SELL").alias("net"), F.row_number().over(Window.partitionBy("symbol").orderBy(*ORDER)).alias("k"),
     )
@@ -133,15 +133,26 @@ def hmm_regimes(t: DataFrame, q: DataFrame, keep: int = 500) -> DataFrame:
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(list(ORDER))
         if len(g) < 50:
-            return pd.DataFrame(columns=["symbol", "regime", "state", "probability", "streak", "transitions"])
+            return pd.DataFrame(columns=["symbol", "regime", "state", "probability", "streak", "transitions", "ts_ns", "avg_volume"])
         x = g[list(OBSERVED)].to_numpy(float)
         first, move, means, gamma = baum_welch(x)
         path = viterbi(x, first, move, means)
         changed = np.flatnonzero(path != path[-1])
         streak = len(path) - 1 - (changed[-1] if len(changed) else -1)
-        return pd.DataFrame([{"symbol": g.symbol.iloc[0], "regime": regime(path, g), "state": int(path[-1]), "probability": float(gamma[-1, path[-1]]), "streak": int(streak), "transitions": move.ravel().tolist()}])
+        return pd.DataFrame([{"symbol": g.symbol.iloc[0], "regime": regime(path, g), "state": int(path[-1]), "probability": float(gamma[-1, path[-1]]), "streak": int(streak), "transitions": move.ravel().tolist(), "ts_ns": int(g.ts_ns.iloc[-1]), "avg_volume": float(g["size"].iloc[-1] * 1000)}])
 
-    return obs.withColumn("k", late).where(F.col("k") <= keep).drop("k").groupBy("symbol").applyInPandas(fit, "symbol long, regime string, state long, probability double, streak long, transitions array<double>")
+    return obs.withColumn("k", late).where(F.col("k") <= keep).drop("k").groupBy("symbol").applyInPandas(fit, "symbol long, regime string, state long, probability double, streak long, transitions array<double>, ts_ns long, avg_volume double")
+
+
+def hmm_anomaly(t: DataFrame, q: DataFrame, probability: float = 0.8, streak: int = 5) -> DataFrame:
+    """Symbols whose dark regime is likely and has lasted, and those that just came under pressure."""
+    rows = hmm_regimes(t, q)
+    dark = F.col("regime").isin("DARK_POOL_BUY", "DARK_POOL_SELL") & (F.col("probability") > probability) & (F.col("streak") > streak)
+    fresh = F.col("regime").isin("BUYING_PRESSURE", "SELLING_PRESSURE") & (F.col("probability") > 0.9) & (F.col("streak") == 1)
+    return rows.where(dark | fresh).select(
+        "symbol", "ts_ns", F.when(dark, "HIDDEN_REFILL").otherwise("TRADE_CLUSTERING").alias("type"), F.round(F.when(dark, F.col("probability")).otherwise(0.8 * F.col("probability")), 4).alias("confidence"),
+        F.when(dark, F.col("streak") / 10.0).otherwise(1.0).alias("magnitude"), F.when(dark, F.round(F.col("avg_volume") * F.col("streak") * 2, 1)).otherwise(0.0).alias("hidden"),
+    )
 
 
 # -- clusters ---------------------------------------------------------------------------------------------------------
@@ -157,7 +168,7 @@ def cluster_features(t: DataFrame, q: DataFrame) -> DataFrame:
     average = F.aggregate(F.transform("_p", lambda x, i: x * 0.05 * F.pow(F.lit(0.95), i.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     spread, mid = F.col("ask_e4") - F.col("bid_e4"), (F.col("ask_e4") + F.col("bid_e4")) / 2.0
     return rows.select(
-        "symbol", *ORDER, "quantity", "side", F.round(F.col("quantity") / average, 6).alias("size"), F.round(F.coalesce((F.col("price_e4") - F.col("p1")) / F.col("p1"), F.lit(0.0)), 6).alias("change"), F.round(F.coalesce("dt", F.lit(1.0)), 9).alias("dt"),
+        "symbol", *ORDER, "quantity", "side", F.round(F.col("quantity") / average, 6).alias("size"), F.round(F.coalesce(ratio(F.col("price_e4") - F.col("p1"), F.col("p1")), F.lit(0.0)), 6).alias("change"), F.round(F.coalesce("dt", F.lit(1.0)), 9).alias("dt"),
         F.round(F.coalesce(ratio(F.abs(F.col("price_e4") - mid), spread), F.lit(0.5)), 6).alias("spread_ratio"), F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0).alias("direction"), F.round(F.coalesce(ratio(F.col("quantity"), F.col("dt")), F.col("quantity").cast("double")), 6).alias("rate"),
     )
 
@@ -195,14 +206,24 @@ def trade_clusters(t: DataFrame, q: DataFrame, keep: int = 500) -> DataFrame:
             own = g[label == c]
             sd, mean = own.dt.std(ddof=0), own.dt.mean()
             burst = float((sd - mean) / (sd + mean)) if sd + mean > 0 else 0.0
-            rows.append({"symbol": g.symbol.iloc[0], "cluster": int(c), "trades": len(own), "avg_size": int(own.quantity.sum() // len(own)), "probability": len(own) / len(g), "prior": float(prior[c]), "burstiness": burst, "volatility": float(own.change.std(ddof=0)), "buy_share": float((own.side == "BUY").mean())})
+            rows.append({"symbol": g.symbol.iloc[0], "cluster": int(c), "trades": len(own), "avg_size": int(own.quantity.sum() // len(own)), "probability": len(own) / len(g), "prior": float(prior[c]), "burstiness": burst, "volatility": float(own.change.std(ddof=0)), "buy_share": float((own.side == "BUY").mean()), "ts_ns": int(g.ts_ns.iloc[-1])})
         out = pd.DataFrame(rows)
-        dark = ((out.avg_size > 10_000) & (out.burstiness < 0.3) & (out.probability > 0.7)).any()
+        out["dark"] = (out.avg_size > 10_000) & (out.burstiness < 0.3)
+        dark = (out.dark & (out.probability > 0.7)).any()
         buys = float(out.loc[out.trades.idxmax(), "buy_share"])
         return out.assign(regime="DARK_POOL_ACTIVE" if dark else ("AGGRESSIVE_BUYING" if buys >= 0.5 else "AGGRESSIVE_SELLING") if moves > 0.3 else "ACCUMULATION" if buys > 0.7 else "DISTRIBUTION" if buys < 0.3 else "NORMAL")
 
     rows = cluster_features(t, q).withColumn("k", late).where(F.col("k") <= keep)
-    return rows.groupBy("symbol").applyInPandas(fit, "symbol long, cluster long, trades long, avg_size long, probability double, prior double, burstiness double, volatility double, buy_share double, regime string")
+    return rows.groupBy("symbol").applyInPandas(fit, "symbol long, cluster long, trades long, avg_size long, probability double, prior double, burstiness double, volatility double, buy_share double, ts_ns long, dark boolean, regime string")
+
+
+def cluster_anomaly(t: DataFrame, q: DataFrame) -> DataFrame:
+    """Symbols with a likely dark cluster, and those whose clusters follow each other fast."""
+    likely = F.col("dark") & (F.col("probability") > 0.7)
+    sums = trade_clusters(t, q).groupBy("symbol", "regime", "ts_ns").agg(F.max(F.when(likely, F.col("probability"))).alias("p"), F.coalesce(F.sum(F.when(F.col("dark"), F.col("avg_size") * F.col("trades"))), F.lit(0)).alias("volume"))
+    found = F.col("p").isNotNull()
+    rows = sums.where(found | F.col("regime").isin("AGGRESSIVE_BUYING", "AGGRESSIVE_SELLING"))
+    return rows.select("symbol", "ts_ns", F.round(F.when(found, 0.8 * F.col("p")).otherwise(0.8), 4).alias("confidence"), F.coalesce("p", F.lit(1.0)).alias("magnitude"), F.when(found, F.col("volume").cast("double")).otherwise(0.0).alias("hidden"))
 
 
 # -- linear models ----------------------------------------------------------------------------------------------------
@@ -373,7 +394,7 @@ QUERIES = {
 SQL = {
     "hmm_observations": f"""WITH {TICKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq) AS nq, min(ts_ns) OVER (PARTITION BY symbol) AS q0 FROM quotes),
 j AS (SELECT t.*, bid_size, ask_size, nq, q0 FROM trades t ASOF LEFT JOIN n ON t.symbol = n.symbol AND t.ts_ns >= n.ts_ns),
-o AS (SELECT symbol, trade_seq, ts_ns, avg(quantity) OVER w / avg(quantity) OVER e AS volume, (price_e4 - first_value(price_e4) OVER w) / first_value(price_e4) OVER w AS change, coalesce((bid_size - ask_size) / (bid_size + ask_size), 0) AS imbalance,
+o AS (SELECT symbol, trade_seq, ts_ns, avg(quantity) OVER w / avg(quantity) OVER e AS volume, coalesce((price_e4 - first_value(price_e4) OVER w) / nullif(first_value(price_e4) OVER w, 0), 0) AS change, coalesce((bid_size - ask_size) / (bid_size + ask_size), 0) AS imbalance,
   coalesce(count(*) OVER w / nullif((max(ts_ns) OVER w - min(ts_ns) OVER w) / {float(MINUTE)}, 0), 1) AS trade_rate, avg(quantity) OVER w / 1000 AS size, coalesce(nq / nullif((ts_ns - q0) / {float(MINUTE)}, 0), 1) AS quote_rate,
   CASE WHEN sum(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) OVER w > 0 THEN 'BUY' ELSE 'SELL' END AS net, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq) AS k
   FROM j WINDOW w AS {_ROWS50}, e AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING))
@@ -381,7 +402,7 @@ SELECT symbol, trade_seq, ts_ns, {', '.join(f'round({c}, 6) AS {c}' for c in OBS
     "cluster_features": f"""WITH {TICKS_SQL}, a AS (SELECT *, row_number() OVER o AS n, lag(price_e4) OVER o AS p1, (ts_ns - lag(ts_ns) OVER o) / {float(MINUTE)} AS dt FROM trades WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)),
 v AS (SELECT x.symbol, x.trade_seq, sum(y.quantity * 0.05::DOUBLE * pow(0.95::DOUBLE, x.n - y.n)) AS avg_ FROM a x JOIN a y ON x.symbol = y.symbol AND y.n BETWEEN x.n - 499 AND x.n GROUP BY ALL),
 j AS (SELECT a.*, avg_, q.bid_e4 AS b, q.ask_e4 AS k FROM (SELECT * FROM a JOIN v USING (symbol, trade_seq)) a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.ts_ns >= q.ts_ns)
-SELECT symbol, trade_seq, ts_ns, quantity, side, round(quantity / avg_, 6) AS size, round(coalesce((price_e4 - p1) / p1, 0), 6) AS change, round(coalesce(dt, 1), 9) AS dt, round(coalesce(abs(price_e4 - (b + k) / 2.0::DOUBLE) / nullif(k - b, 0), 0.5::DOUBLE), 6) AS spread_ratio,
+SELECT symbol, trade_seq, ts_ns, quantity, side, round(quantity / avg_, 6) AS size, round(coalesce((price_e4 - p1) / nullif(p1, 0), 0), 6) AS change, round(coalesce(dt, 1), 9) AS dt, round(coalesce(abs(price_e4 - (b + k) / 2.0::DOUBLE) / nullif(k - b, 0), 0.5::DOUBLE), 6) AS spread_ratio,
   CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS direction, round(coalesce(quantity / nullif(dt, 0), quantity::DOUBLE), 6) AS rate FROM j""",
     "standard_scales": "WITH l AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim, round(avg(v), 6) AS mean, round(greatest(1e-5, stddev_pop(v)), 6) AS sd FROM l GROUP BY dim",
     "linear_scorer": f"""WITH s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_WEIGHTS}) + 0.1::DOUBLE, 6) AS score FROM embeddings)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import clamp, ratio, rows_back, up_to_now
 from tidemark.plans.trading import SQL as TRADING_SQL
 from tidemark.plans.trading import tqr_anomaly, with_mid
-from tidemark.sources.adapters import DAILY_SQL, TICKS_SQL, daily_trades, quotes, table, trades, venues
+from tidemark.sources.adapters import DAILY_SQL, TICKS_SQL, VENUES, daily_trades, quotes, table, trades, venues
 
 MAX_COST_BPS, MAX_LATENCY_US, LEAST_SCORE, SHARE, MOST_VENUES = 10.0, 1000, 0.3, 0.4, 5
 
@@ -16,18 +16,18 @@ MAX_COST_BPS, MAX_LATENCY_US, LEAST_SCORE, SHARE, MOST_VENUES = 10.0, 1000, 0.3,
 CURVE = (0.15, 0.10, 0.08, 0.07, 0.10, 0.10, 0.08, 0.07, 0.10, 0.15)
 DAY_CURVE = (0.08, 0.06, 0.05, 0.04, 0.04, 0.05, 0.06, 0.07, 0.08, 0.08, 0.07, 0.06, 0.05, 0.05, 0.06, 0.08, 0.10, 0.12)
 
-VENUES_SQL = """
-vn AS (SELECT s_suppkey AS venue, 'V' || s_suppkey AS venue_id, (1 + s_suppkey % 7)::DOUBLE AS avg_spread_bps, (0.3::DOUBLE + (s_suppkey % 6) / 10.0::DOUBLE) AS fill_probability, (200 * (1 + s_suppkey % 5))::DOUBLE AS avg_fill_size,
-  (s_suppkey % 4 / 2.0::DOUBLE) AS impact_bps, (s_suppkey % 3 / 10.0::DOUBLE) AS fee_bps, 100 + s_suppkey * 37 % 400 AS avg_latency_us, s_suppkey % 2 = 0 AS supports_hidden FROM supplier WHERE s_suppkey < 13)"""
+VENUES_SQL = f"""
+vs AS (SELECT s_suppkey % {VENUES} AS venue, avg(s_suppkey % 7) AS a, avg(s_suppkey % 6) AS b, avg(s_suppkey % 5) AS c, avg(s_suppkey % 4) AS d, avg(s_suppkey % 3) AS e, sum(s_suppkey * 37 % 400)::BIGINT AS f, count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS h FROM supplier GROUP BY 1),
+vn AS (SELECT venue, 'V' || venue AS venue_id, 1 + a AS avg_spread_bps, 0.3::DOUBLE + b / 10.0::DOUBLE AS fill_probability, 200 * (1 + c) AS avg_fill_size, d / 2.0::DOUBLE AS impact_bps, e / 10.0::DOUBLE AS fee_bps, 100 + f // n AS avg_latency_us, 2 * h >= n AS supports_hidden FROM vs)"""
 
 
 def parents(spark: SparkSession, sf: str) -> DataFrame:
     """Parent orders: whole quantities, urgency by priority."""
     urgency = F.substring("o_orderpriority", 1, 1).cast("int")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), (F.floor(F.col("o_totalprice") / 10) + 1).cast("long").alias("quantity"), ((6 - urgency) / 5.0).alias("urgency"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), (F.floor(F.col("o_totalprice") / 10) + 1).cast("long").alias("quantity"), ((6 - urgency) / 5.0).alias("urgency"), F.col("o_custkey").alias("account"))
 
 
-PARENTS_SQL = "pa AS (SELECT o_orderkey AS order_id, CAST(floor(o_totalprice / 10) AS BIGINT) + 1 AS quantity, (6 - substr(o_orderpriority, 1, 1)::INT) / 5.0::DOUBLE AS urgency FROM orders)"
+PARENTS_SQL = "pa AS (SELECT o_orderkey AS order_id, CAST(floor(o_totalprice / 10) AS BIGINT) + 1 AS quantity, (6 - substr(o_orderpriority, 1, 1)::INT) / 5.0::DOUBLE AS urgency, o_custkey AS account FROM orders)"
 
 
 # -- venues -----------------------------------------------------------------------------------------------------------
@@ -77,12 +77,12 @@ def latency_pairs(v: DataFrame) -> DataFrame:
 
 
 def market_maker_quotes(v: DataFrame, t: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """A bid and an ask at each venue around the last price, skewed by the signed inventory."""
-    last = t.agg(F.max_by("price_e4", F.struct("ts_ns", "trade_seq")).alias("mid"), F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)).alias("inventory"))
+    """A bid and an ask of each symbol at each venue around the symbol's last price, skewed by its signed inventory."""
+    last = t.groupBy("symbol").agg(F.max_by("price_e4", F.struct("ts_ns", "trade_seq")).alias("mid"), F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)).alias("inventory"))
     half = F.col("avg_spread_bps") * F.col("mid") / 20000
     skew = -clamp(F.col("inventory") / float(limit), -1.0, 1.0) * half
-    rows = v.crossJoin(F.broadcast(last))  # one row
-    return rows.select("venue_id", F.round(F.col("mid") - half + skew, 3).alias("bid"), F.round(F.col("mid") + half + skew, 3).alias("ask"))
+    rows = last.crossJoin(F.broadcast(v))  # VENUES rows at most
+    return rows.select("symbol", "venue_id", F.round(F.col("mid") - half + skew, 3).alias("bid"), F.round(F.col("mid") + half + skew, 3).alias("ask"))
 
 
 def allocation(orders: DataFrame, v: DataFrame) -> DataFrame:
@@ -127,10 +127,12 @@ def _rest_to_last(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("planned", F.col("planned") + F.when(F.col("bucket") == n - 1, F.greatest(F.lit(0), F.col("quantity") - given)).otherwise(0)).select("order_id", F.col("bucket").cast("long").alias("bucket"), "planned")
 
 
-def schedule_vwap(orders: DataFrame, n: int = 10, normalised: bool = False) -> DataFrame:
-    """By the volume curve; as specified the curve's values are divided by the number of buckets once more, unless normalised."""
+def schedule_vwap(orders: DataFrame, n: int = 10, normalised: bool = True) -> DataFrame:
+    """By the volume curve, scaled so that its n values sum to one. Unless normalised, the curve's values are divided by the
+    number of buckets instead, which leaves nine tenths of an order to the last bucket."""
     curve = F.element_at(F.array(*map(F.lit, CURVE)), F.col("bucket") % len(CURVE) + 1)
-    return _rest_to_last(_buckets(orders, n).withColumn("planned", F.floor(F.col("quantity") * curve / (1 if normalised else n)).cast("long")), n)
+    whole = round(sum(CURVE[k % len(CURVE)] for k in range(n)), 9)
+    return _rest_to_last(_buckets(orders, n).withColumn("planned", F.floor(F.round(F.col("quantity") * curve / (whole if normalised else n), 6)).cast("long")), n)
 
 
 def schedule_twap(orders: DataFrame, n: int = 10) -> DataFrame:
@@ -160,16 +162,17 @@ def trajectory(risk: float = 1e-6, sigma: float = 0.02, eta: float = 1e-8, steps
 # -- conditions, positions, risk --------------------------------------------------------------------------------------
 
 
-def market_conditions(t: DataFrame, q: DataFrame, n: int = 20) -> DataFrame:
-    """Annualised volatility of the last returns, spread, imbalance, whether conditions favour trading, and the order type."""
+def market_conditions(t: DataFrame, q: DataFrame, n: int = 20, spread_limit: float = 2.0, volatility_limit: float = 0.20, imbalance_limit: float = 0.3) -> DataFrame:
+    """Annualised volatility of the last returns, spread, imbalance, whether conditions favour trading (all three below
+    their limits), and the order type."""
     one = Window.partitionBy("symbol").orderBy("ts_ns", "trade_seq")
-    rows = with_mid(t, q).withColumn("r", F.ln(F.col("price_e4").cast("double") / F.lag("price_e4").over(one)))
+    rows = with_mid(t, q).withColumn("r", F.ln(ratio(F.col("price_e4"), F.lag("price_e4").over(one))))
     w = rows_back(n, "symbol", order=("ts_ns", "trade_seq"))
     vol = F.stddev_pop("r").over(w) * (252 * 6.5 * 60) ** 0.5
     buy = F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))).over(w) / F.sum("quantity").over(w)
     spread = ratio((F.col("ask_e4") - F.col("bid_e4")) * 10000, F.expr("(bid_e4 + ask_e4) div 2"))
     rows = rows.select("symbol", "trade_seq", F.round(vol, 3).alias("volatility"), F.round(spread, 4).alias("spread_bps"), F.round(buy, 9).alias("imbalance"))
-    good = (F.col("spread_bps") < 5) & (F.abs("imbalance") < 0.5)
+    good = (F.col("spread_bps") < spread_limit) & (F.col("volatility") < volatility_limit) & (F.abs("imbalance") < imbalance_limit)
     kind = F.when(F.abs("imbalance") > 0.5, "MARKET").when(F.col("spread_bps") < 2, "PEG").otherwise("LIMIT")
     return rows.withColumn("favourable", F.coalesce(good, F.lit(False))).withColumn("order_type", kind)
 
@@ -187,13 +190,13 @@ def positions(t: DataFrame) -> DataFrame:
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)
     rows = t.withColumn("q", signed)
     rows = rows.select("symbol", "trade_seq", "ts_ns", "price_e4", F.sum("q").over(w).alias("position"), F.sum(-F.col("q") * F.col("price_e4")).over(w).alias("cash_e4"))
-    return rows.select("symbol", "trade_seq", "position", "cash_e4", (F.col("cash_e4") + F.col("position") * F.col("price_e4")).alias("profit_e4"))
+    return rows.select("symbol", "trade_seq", "ts_ns", "position", "cash_e4", (F.col("cash_e4") + F.col("position") * F.col("price_e4")).alias("profit_e4"))
 
 
 def value_at_risk(t: DataFrame, share: float = 0.05) -> DataFrame:
     """The index quantile of all returns, and the mean of those at or below it."""
     one = Window.partitionBy("symbol").orderBy("ts_ns", "trade_seq")
-    r = t.select("symbol", "trade_seq", ((F.col("price_e4") - F.lag("price_e4").over(one)) / F.lag("price_e4").over(one)).alias("r")).where("r is not null")
+    r = t.select("symbol", "trade_seq", ratio(F.col("price_e4") - F.lag("price_e4").over(one), F.lag("price_e4").over(one)).alias("r")).where("r is not null")
     k = F.row_number().over(Window.partitionBy("symbol").orderBy("r", "trade_seq"))
     n = F.count("*").over(Window.partitionBy("symbol"))
     rows = r.select("symbol", "r", k.alias("k"), (F.floor((n - 1) * share) + 1).alias("at"))
@@ -202,14 +205,14 @@ def value_at_risk(t: DataFrame, share: float = 0.05) -> DataFrame:
 
 def drawdown(t: DataFrame) -> DataFrame:
     """The largest fall of profit from its highest point so far, and the mean-to-deviation ratio of its steps."""
-    w = Window.partitionBy("symbol").orderBy("trade_seq")
+    w = Window.partitionBy("symbol").orderBy("ts_ns", "trade_seq")
     rows = positions(t).select("symbol", "profit_e4", (F.max("profit_e4").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("profit_e4")).alias("fall"), (F.col("profit_e4") - F.lag("profit_e4").over(w)).cast("double").alias("step"))
     return rows.groupBy("symbol").agg(F.max("fall").alias("max_drawdown_e4"), F.round(F.avg("step") / F.stddev_pop("step"), 6).alias("sharpe"))
 
 
 def reactions(found: DataFrame) -> DataFrame:
     """After each finding in a symbol the participation rises by a fifth, up to 30 %, and the urgency by a tenth, up to 1."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("trade_seq"))
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts_ns", "trade_seq"))
     rows = found.select("symbol", "trade_seq", n.alias("n"))
     return rows.select("symbol", "trade_seq", F.round(F.least(F.lit(0.3), 0.1 * F.pow(F.lit(1.2), F.col("n").cast("double"))), 6).alias("participation"), F.round(F.least(F.lit(1.0), 0.5 + 0.1 * F.col("n")), 6).alias("urgency"))
 
@@ -230,15 +233,16 @@ def rebalance(t: DataFrame) -> DataFrame:
     return sums.select("order_id", "open", F.when(F.col("filled") > 0, F.col("best")).cast("long").alias("to_venue"), (F.col("filled") == 0).alias("cancelled"))
 
 
-def risk_checks(orders: DataFrame, most: int = 20_000, total: int = 1_000_000) -> DataFrame:
-    """Orders over the size limit, or that take the running total of accepted sizes in their block over its limit."""
+def risk_checks(orders: DataFrame, most: int = 20_000, total: int = 100_000) -> DataFrame:
+    """Orders over the size limit, or that take the running total of their account's accepted sizes over its limit."""
     ok = F.when(F.col("quantity") <= most, F.col("quantity")).otherwise(0)
-    block = F.expr("order_id div 1000")
-    run = F.sum(ok).over(Window.partitionBy(block).orderBy("order_id").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(ok).over(up_to_now("account", order=("order_id",)))
     return orders.select("order_id", F.when(F.col("quantity") > most, "ORDER_SIZE").when(run > total, "POSITION_LIMIT").otherwise("OK").alias("verdict"))
 
 
 RUN_TRAJECTORY, TAU = trajectory()
+#: The limits of the registered query: ticks of minutes vary far more than those of a live feed.
+CONDITIONS = {"spread_limit": 20.0, "volatility_limit": 500.0, "imbalance_limit": 0.3}
 _RANKED = "row_number() OVER (PARTITION BY symbol ORDER BY r, trade_seq)"
 _SCORE_SQL = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.3::DOUBLE * fill_probability + 0.25::DOUBLE * fill_probability + 0.25::DOUBLE * greatest(0, 1 - (fee_bps + impact_bps) / {MAX_COST_BPS}::DOUBLE)
   + CASE WHEN avg_latency_us < {MAX_LATENCY_US} THEN 0.1::DOUBLE * (1 - avg_latency_us / {MAX_LATENCY_US}::DOUBLE) ELSE 0 END + 0.1::DOUBLE * (1 / (1 + abs(ln(quantity / avg_fill_size))))) * CASE WHEN quantity > 10000 AND supports_hidden THEN 1.1::DOUBLE ELSE 1 END + 0.025::DOUBLE))"""
@@ -270,12 +274,12 @@ QUERIES = {
     "schedule_is": _p(schedule_shortfall),
     "is_trajectory": RUN_TRAJECTORY,
     "slice_sizes": _p(slice_sizes),
-    "market_conditions": lambda spark, sf: market_conditions(trades(spark, sf), quotes(spark, sf)),
-    "reactions": lambda spark, sf: reactions(tqr_anomaly(trades(spark, sf), quotes(spark, sf))),
+    "market_conditions": lambda spark, sf: market_conditions(trades(spark, sf), quotes(spark, sf), **CONDITIONS),
+    "reactions": lambda spark, sf: reactions(tqr_anomaly(trades(spark, sf), quotes(spark, sf)).join(trades(spark, sf).select("trade_seq", "ts_ns"), "trade_seq")),
     "execution_gates": lambda spark, sf: gates(trades(spark, sf), quotes(spark, sf)),
     "rebalance": lambda spark, sf: rebalance(daily_trades(spark, sf)),
     "risk_checks": _p(risk_checks),
-    "positions": lambda spark, sf: positions(trades(spark, sf)),
+    "positions": lambda spark, sf: positions(trades(spark, sf)).drop("ts_ns"),
     "value_at_risk": lambda spark, sf: value_at_risk(trades(spark, sf)),
     "drawdown": lambda spark, sf: drawdown(trades(spark, sf)),
 }
@@ -290,9 +294,9 @@ k AS (SELECT *, row_number() OVER (ORDER BY score DESC, venue) AS rank FROM r) S
     "venue_learning": f"""WITH {DAILY_SQL}, d AS (SELECT venue, day, count(*) FILTER (side <> 'UNKNOWN') / count(*) AS fill FROM daily GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY day DESC) - 1 AS k, count(*) OVER (PARTITION BY venue) AS n FROM d)
 SELECT venue, any_value(n) AS days, round(0.5::DOUBLE * pow(0.9::DOUBLE, any_value(n)) + sum(0.1::DOUBLE * pow(0.9::DOUBLE, k) * (0.6::DOUBLE * fill + 0.4::DOUBLE)), 6) AS score FROM k GROUP BY venue""",
     "latency_pairs": f"WITH {VENUES_SQL} SELECT f.venue_id AS fast, s.venue_id AS slow, s.avg_latency_us - f.avg_latency_us AS advantage_us FROM vn f JOIN vn s ON f.venue <> s.venue AND s.avg_latency_us - f.avg_latency_us > 100",
-    "market_maker_quotes": f"""WITH {VENUES_SQL}, {TICKS_SQL}, l AS (SELECT arg_max(price_e4, ts_ns) AS mid, sum(CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END)::DOUBLE AS inv FROM trades),
-x AS (SELECT venue_id, mid, avg_spread_bps * mid / 20000 AS half, -least(1.0::DOUBLE, greatest(-1.0::DOUBLE, inv / 1000000)) AS k FROM vn, l) SELECT venue_id, round(mid - half + k * half, 3) AS bid, round(mid + half + k * half, 3) AS ask FROM x""",
-    "schedule_vwap": _schedule_sql(f"CAST(floor(quantity * [{', '.join(f'{c}::DOUBLE' for c in CURVE)}][bucket + 1] / 10) AS BIGINT)"),
+    "market_maker_quotes": f"""WITH {VENUES_SQL}, {TICKS_SQL}, l AS (SELECT symbol, arg_max(price_e4, ts_ns) AS mid, sum(CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END)::DOUBLE AS inv FROM trades GROUP BY symbol),
+x AS (SELECT symbol, venue_id, mid, avg_spread_bps * mid / 20000 AS half, -least(1.0::DOUBLE, greatest(-1.0::DOUBLE, inv / 1000000)) AS k FROM vn, l) SELECT symbol, venue_id, round(mid - half + k * half, 3) AS bid, round(mid + half + k * half, 3) AS ask FROM x""",
+    "schedule_vwap": _schedule_sql(f"CAST(floor(round(quantity * [{', '.join(f'{c}::DOUBLE' for c in CURVE)}][bucket + 1], 6)) AS BIGINT)"),
     "schedule_twap": f"WITH {PARENTS_SQL}, b AS (SELECT *, unnest(range(0, 10)) AS bucket FROM pa) SELECT order_id, bucket, quantity // 10 + CASE WHEN bucket < quantity % 10 THEN 1 ELSE 0 END AS planned FROM b",
     "schedule_is": _schedule_sql(
         "CAST(floor(round(quantity * CASE WHEN bucket = 0 THEN 1 - sinh(0.004::DOUBLE * (600 - (bucket + 0.5::DOUBLE) / 10 * 600)) / sinh(2.4::DOUBLE) ELSE sinh(0.004::DOUBLE * (600 - (bucket - 0.5::DOUBLE) / 10 * 600)) / sinh(2.4::DOUBLE) - sinh(0.004::DOUBLE * (600 - (bucket + 0.5::DOUBLE) / 10 * 600)) / sinh(2.4::DOUBLE) END, 6)) AS BIGINT)"
@@ -301,24 +305,24 @@ x AS (SELECT venue_id, mid, avg_spread_bps * mid / 20000 AS half, -least(1.0::DO
     "slice_sizes": f"""WITH {PARENTS_SQL}, s AS (SELECT *, least(10000, greatest(100, CAST(floor(quantity / 10 * (0.5::DOUBLE + urgency)) AS BIGINT))) AS slice, quantity > 10000 AS iceberg FROM pa)
 SELECT order_id, slice, CAST(ceil(quantity / slice) AS BIGINT) AS slices, iceberg, CASE WHEN iceberg THEN slice // 10 ELSE slice END AS shown FROM s""",
     "market_conditions": f"""WITH {TICKS_SQL}, m AS (SELECT t.*, q.bid_e4 AS b, q.ask_e4 AS a FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts_ns >= q.ts_ns),
-r AS (SELECT *, ln(price_e4::DOUBLE / lag(price_e4) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq)) AS r FROM m),
+r AS (SELECT *, ln(nullif(price_e4, 0)::DOUBLE / nullif(lag(price_e4) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq), 0)) AS r FROM m),
 c AS (SELECT symbol, trade_seq, round(stddev_pop(r) OVER w * sqrt(252 * 6.5::DOUBLE * 60), 3) AS volatility, round((a - b) * 10000 / nullif((a + b) // 2, 0), 4) AS spread_bps, round(sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER w / sum(quantity) OVER w, 9) AS imbalance
   FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT *, coalesce(spread_bps < 5 AND abs(imbalance) < 0.5, false) AS favourable, CASE WHEN abs(imbalance) > 0.5 THEN 'MARKET' WHEN spread_bps < 2 THEN 'PEG' ELSE 'LIMIT' END AS order_type FROM c""",
-    "reactions": f"""SELECT symbol, trade_seq, round(least(0.3::DOUBLE, 0.1::DOUBLE * pow(1.2::DOUBLE, n)), 6) AS participation, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * n), 6) AS urgency
-FROM (SELECT symbol, trade_seq, row_number() OVER (PARTITION BY symbol ORDER BY trade_seq) AS n FROM ({TRADING_SQL['tqr_anomaly']}))""",
+SELECT *, coalesce(spread_bps < {CONDITIONS['spread_limit']} AND volatility < {CONDITIONS['volatility_limit']} AND abs(imbalance) < {CONDITIONS['imbalance_limit']}, false) AS favourable, CASE WHEN abs(imbalance) > 0.5 THEN 'MARKET' WHEN spread_bps < 2 THEN 'PEG' ELSE 'LIMIT' END AS order_type FROM c""",
+    "reactions": f"""WITH {TICKS_SQL} SELECT symbol, trade_seq, round(least(0.3::DOUBLE, 0.1::DOUBLE * pow(1.2::DOUBLE, n)), 6) AS participation, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * n), 6) AS urgency
+FROM (SELECT symbol, trade_seq, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq) AS n FROM ({TRADING_SQL['tqr_anomaly']}) a JOIN (SELECT trade_seq, ts_ns FROM trades) USING (trade_seq))""",
     "execution_gates": f"""WITH {TICKS_SQL}, m AS (SELECT t.*, q.bid_e4 AS b, q.ask_e4 AS a FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts_ns >= q.ts_ns)
 SELECT symbol, trade_seq, coalesce(ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq) >= 3600000000000, true) AS spaced, coalesce((a - b) * 10000 / nullif((a + b) // 2, 0) <= 5, false) AS tight FROM m""",
     "rebalance": f"""WITH {DAILY_SQL}, v AS (SELECT l_orderkey AS order_id, venue, coalesce(sum(quantity) FILTER (side <> 'UNKNOWN'), 0)::BIGINT AS filled, coalesce(sum(quantity) FILTER (side = 'UNKNOWN'), 0)::BIGINT AS o FROM daily GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY filled DESC, venue) AS k FROM v)
 SELECT order_id, sum(o)::BIGINT AS open, CASE WHEN sum(filled) > 0 THEN max(venue) FILTER (k = 1) END::BIGINT AS to_venue, sum(filled) = 0 AS cancelled FROM k GROUP BY order_id HAVING sum(o) > 0""",
-    "risk_checks": f"""WITH {PARENTS_SQL} SELECT order_id, CASE WHEN quantity > 20000 THEN 'ORDER_SIZE' WHEN sum(CASE WHEN quantity <= 20000 THEN quantity ELSE 0 END) OVER (PARTITION BY order_id // 1000 ORDER BY order_id ROWS UNBOUNDED PRECEDING) > 1000000 THEN 'POSITION_LIMIT' ELSE 'OK' END AS verdict FROM pa""",
+    "risk_checks": f"""WITH {PARENTS_SQL} SELECT order_id, CASE WHEN quantity > 20000 THEN 'ORDER_SIZE' WHEN sum(CASE WHEN quantity <= 20000 THEN quantity ELSE 0 END) OVER (PARTITION BY account ORDER BY order_id ROWS UNBOUNDED PRECEDING) > 100000 THEN 'POSITION_LIMIT' ELSE 'OK' END AS verdict FROM pa""",
     "positions": f"""WITH {TICKS_SQL}, s AS (SELECT *, CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END AS q FROM trades),
 p AS (SELECT symbol, trade_seq, price_e4, sum(q) OVER w::BIGINT AS position, sum(-q * price_e4) OVER w::BIGINT AS cash_e4 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)) SELECT symbol, trade_seq, position, cash_e4, cash_e4 + position * price_e4 AS profit_e4 FROM p""",
-    "value_at_risk": f"""WITH {TICKS_SQL}, l AS (SELECT symbol, trade_seq, (price_e4 - lag(price_e4) OVER o)::DOUBLE / lag(price_e4) OVER o AS r FROM trades WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)),
+    "value_at_risk": f"""WITH {TICKS_SQL}, l AS (SELECT symbol, trade_seq, (price_e4 - lag(price_e4) OVER o)::DOUBLE / nullif(lag(price_e4) OVER o, 0) AS r FROM trades WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)),
 k AS (SELECT symbol, r, {_RANKED} AS k, floor((count(*) OVER (PARTITION BY symbol) - 1) * 0.05::DOUBLE) + 1 AS at_k FROM l WHERE r IS NOT NULL) SELECT symbol, round(max(r), 6) AS var, round(avg(r), 6) AS es FROM k WHERE k <= at_k GROUP BY symbol""",
     "drawdown": f"""WITH {TICKS_SQL}, s AS (SELECT *, CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END AS q FROM trades),
-p AS (SELECT symbol, trade_seq, (sum(-q * price_e4) OVER w + sum(q) OVER w * price_e4)::BIGINT AS f FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT symbol, max(f) OVER (PARTITION BY symbol ORDER BY trade_seq ROWS UNBOUNDED PRECEDING) - f AS fall, (f - lag(f) OVER (PARTITION BY symbol ORDER BY trade_seq))::DOUBLE AS step FROM p)
+p AS (SELECT symbol, trade_seq, ts_ns, (sum(-q * price_e4) OVER w + sum(q) OVER w * price_e4)::BIGINT AS f FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT symbol, max(f) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING) - f AS fall, (f - lag(f) OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq))::DOUBLE AS step FROM p)
 SELECT symbol, max(fall) AS max_drawdown_e4, round(avg(step) / stddev_pop(step), 6) AS sharpe FROM d GROUP BY symbol""",
 }

@@ -47,12 +47,12 @@ def tqr_decayed(t: DataFrame, q: DataFrame, window: int = TQR_WINDOW, decay: int
     return rows.select("symbol", "trade_seq", "ts_ns", "n_trades", "n_quotes", F.round(value, 6).alias("tqr"))
 
 
-def tqr_anomaly(t: DataFrame, q: DataFrame) -> DataFrame:
+def tqr_anomaly(t: DataFrame, q: DataFrame, window: int = TQR_WINDOW, fixed: float = TQR_LIMIT) -> DataFrame:
     """Ratios over the limit, or over the mean of those before by 1.5 standard deviations; where those vary at all."""
     w = earlier("symbol", order=("ts_ns", "trade_seq"))
-    rows = tqr_decayed(t, q).select("*", F.sum("tqr").over(w).alias("s"), F.sum(F.col("tqr") * F.col("tqr")).over(w).alias("s2"), F.count("tqr").over(w).alias("n"))
+    rows = tqr_decayed(t, q, window).select("*", F.sum("tqr").over(w).alias("s"), F.sum(F.col("tqr") * F.col("tqr")).over(w).alias("s2"), F.count("tqr").over(w).alias("n"))
     rows = rows.withColumn("mean", ratio(F.col("s"), F.col("n"))).withColumn("sigma", F.when(F.col("n") > 0, spread_pop(F.col("s"), F.col("s2"), F.greatest(F.col("n"), F.lit(1)))))
-    limit = F.when(F.round("sigma", 6) > 0, F.round(F.col("mean") + TQR_SIGMAS * F.col("sigma"), 6)).otherwise(TQR_LIMIT)
+    limit = F.when(F.round("sigma", 6) > 0, F.round(F.col("mean") + TQR_SIGMAS * F.col("sigma"), 6)).otherwise(fixed)
     rows = rows.withColumn("threshold", limit).where("tqr > threshold")
     return rows.select(
         "symbol", "trade_seq", "tqr", "threshold", F.round(F.least(F.lit(1.0), ratio(F.col("tqr") - F.col("threshold"), F.col("threshold"))), 5).alias("confidence"),
@@ -103,10 +103,11 @@ def with_post(t: DataFrame, q: DataFrame) -> DataFrame:
 
 def slippage_components(t: DataFrame, q: DataFrame, decay: float = 0.95) -> DataFrame:
     rows = with_post(t, q)
-    realized = signed_change(F.col("side"), F.col("price_e4"), F.col("arrival"))
-    permanent = signed_change(F.col("side"), F.col("post"), F.col("arrival")) * decay
-    parts = {"immediate": signed_change(F.col("side"), F.col("price_e4"), F.col("mid")), "realized": realized, "permanent": permanent, "temporary": realized - permanent}
-    return rows.select("symbol", "trade_seq", "ts_ns", "quantity", ratio(F.abs(F.col("price_e4") - F.col("mid")), F.col("mid")).alias("gap"), *[x.alias(n) for n, x in parts.items()])
+    change = lambda to, base: F.coalesce(signed_change(F.col("side"), F.col(to), F.col(base)), F.lit(0.0))  # noqa: E731  # none against a price of 0
+    realized = change("price_e4", "arrival")
+    permanent = change("post", "arrival") * decay
+    parts = {"immediate": change("price_e4", "mid"), "realized": realized, "permanent": permanent, "temporary": realized - permanent}
+    return rows.select("symbol", "trade_seq", "ts_ns", "quantity", F.coalesce(ratio(F.abs(F.col("price_e4") - F.col("mid")), F.col("mid")), F.lit(0.0)).alias("gap"), *[x.alias(n) for n, x in parts.items()])
 
 
 def slippage_metrics(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFrame:
@@ -119,9 +120,9 @@ def slippage_metrics(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFra
     return rows.withColumn("average", F.col("s") / F.col("samples")).withColumn("sigma", spread_pop(F.col("s"), F.col("s2"), F.col("samples"))).drop("s", "s2")
 
 
-def slippage_anomaly(t: DataFrame, q: DataFrame) -> DataFrame:
+def slippage_anomaly(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFrame:
     z = (F.col("realized") - F.col("average")) / F.col("sigma")
-    rows = slippage_metrics(t, q).where((F.col("n") >= 5) & (F.round("sigma", 9) > 0)).withColumn("z", F.round(z, 5)).where("abs(z) > 2")
+    rows = slippage_metrics(t, q, lookback).where((F.col("n") >= 5) & (F.round("sigma", 9) > 0)).withColumn("z", F.round(z, 5)).where("abs(z) > 2")
     return rows.select("symbol", "trade_seq", "z", F.round(F.least(F.lit(1.0), F.abs("z") / 5), 5).alias("confidence"), F.round(F.col("realized") / F.col("average"), 4).alias("magnitude"), F.round(F.col("permanent") * 10000, 3).alias("hidden"))
 
 
@@ -139,8 +140,8 @@ a AS (SELECT m.*, q.bid_e4 AS b1, q.ask_e4 AS a1, q.ts_ns AS q1 FROM m ASOF LEFT
 p AS (SELECT a.*, q.bid_e4 AS b2, q.ask_e4 AS a2 FROM a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.ts_ns + {POST} < q.ts_ns),
 x AS (SELECT *, coalesce((b0 + a0) // 2, price_e4) AS mid FROM p),
 y AS (SELECT *, coalesce(CASE WHEN q1 >= q0 - {ARRIVAL_KEPT} THEN (b1 + a1) // 2 END, mid) AS arrival, coalesce((b2 + a2) // 2, mid) AS post, CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM x),
-s AS (SELECT symbol, trade_seq, ts_ns, quantity, abs(price_e4 - mid) / mid AS gap, sg * ((price_e4 - mid) / mid) AS immediate, sg * ((price_e4 - arrival) / arrival) AS realized,
-  sg * ((post - arrival) / arrival) * 0.95::DOUBLE AS permanent, sg * ((price_e4 - arrival) / arrival) - sg * ((post - arrival) / arrival) * 0.95::DOUBLE AS temporary FROM y)"""
+g AS (SELECT *, coalesce(sg * ((price_e4 - mid) / nullif(mid, 0)), 0) AS immediate, coalesce(sg * ((price_e4 - arrival) / nullif(arrival, 0)), 0) AS realized, coalesce(sg * ((post - arrival) / nullif(arrival, 0)), 0) * 0.95::DOUBLE AS permanent FROM y),
+s AS (SELECT symbol, trade_seq, ts_ns, quantity, abs(immediate) AS gap, immediate, realized, permanent, realized - permanent AS temporary FROM g)"""
 
 
 def execution_by_order(t: DataFrame) -> DataFrame:
@@ -182,9 +183,16 @@ def large_threshold(t: DataFrame, window: int = 20 * HOUR, share: float = 0.95)
     return rows.select("symbol", "trade_seq", n.cast("long").alias("n"), F.element_at("s", F.least(n, F.floor(n * share).cast("int") + 1)).alias("p95"))
 
 
-def drift_windows(t: DataFrame, q: DataFrame, large: int = LARGE // 2) -> DataFrame:
+def large_trades(t: DataFrame, large: int = LARGE, least: int = 100) -> DataFrame:
+    """Trades of at least `large`, or of at least the 95th percentile of the last hours, if those have `least` trades."""
+    own = ["symbol", "trade_seq", "ts_ns", "side", "price_e4", "quantity"]
+    rows = t.select(*own).join(large_threshold(t), ["symbol", "trade_seq"])
+    return rows.where((F.col("quantity") >= large) | ((F.col("n") >= least) & (F.col("quantity") >= F.col("p95")))).select(*own)
+
+
+def drift_windows(t: DataFrame, q: DataFrame, large: int = LARGE, least: int = 100) -> DataFrame:
     """Signed change of the mid at 10 to 600 minutes after each large trade; null until the window is complete."""
-    big = t.where(F.col("quantity") >= large).select("symbol", "trade_seq", "ts_ns", "side", "price_e4", "quantity")
+    big = large_trades(t, large, least)
     asked = big.withColumn("w", F.explode(F.array(*[F.lit(w) for w in DRIFT_WINDOWS])))
     found = asof(asked, q, ["symbol"], F.col("ts_ns") + F.col("w") * MINUTE, F.col("ts_ns"), ["quote_seq"], {"bid_e4": "bid_e4", "ask_e4": "ask_e4"}, DAY, forward=True)
     value = F.round(signed_change(F.col("side"), mid(), F.col("price_e4")), 6)
@@ -195,6 +203,23 @@ def drift_windows(t: DataFrame, q: DataFrame, large: int = LARGE // 2) -> DataFr
     return wide.select("symbol", "trade_seq", "ts_ns", "quantity", *names, F.greatest(*[F.coalesce(n, F.lit(0.0)) for n in names]).alias("max_drift"), F.round(F.when(F.col("d600").isNotNull(), F.coalesce(ratio(F.col("d60") - F.col("d600"), F.col("d60")), F.when(F.col("d60").isNotNull(), 0.0))), 4).alias("reversion"), permanent.alias("permanent"))
 
 
+def drift_anomaly(t: DataFrame, q: DataFrame, information: float = 2.0, sigmas: float = 3.0, last: int = 5) -> DataFrame:
+    """Two gates for symbols with five large trades: a mean 60-minute drift that is significant and steady (at the last
+    large trade), else the first of the last large trades with an unusual drift that stayed."""
+    rows = drift_windows(t, q)
+    order = F.struct("ts_ns", "trade_seq")
+    sums = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count("d60").alias("n60"), F.avg("d60").alias("m"), F.stddev_pop("d60").alias("sd"), F.avg("quantity").alias("size"), F.avg(F.col("permanent").cast("int")).alias("p"), F.max_by("trade_seq", order).alias("trade_seq"), F.max("ts_ns").alias("ts_ns")).where("n >= 5")
+    steady = F.round(ratio(F.col("m"), F.round("sd", 9)), 4)
+    sums = sums.withColumn("ir", steady).withColumn("leak", F.coalesce((F.abs("ir") > information) & (F.abs("m") > DRIFT_LIMIT), F.lit(False)))
+    a = sums.where("leak").select("symbol", "trade_seq", "ts_ns", F.lit("LEAK").alias("gate"), F.round(F.least(F.lit(1.0), F.abs("ir") / 3), 4).alias("confidence"), F.round(F.abs("m") / DRIFT_LIMIT, 4).alias("magnitude"), F.round(F.col("size") * F.col("p") * 10, 1).alias("hidden"))
+    k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts_ns"), F.desc("trade_seq")))
+    late = rows.withColumn("k", k).where(F.col("k") <= last).join(sums.where("not leak").select("symbol", "m", "sd"), "symbol")
+    late = late.withColumn("z", F.round(ratio(F.col("d60") - F.col("m"), F.round("sd", 9)), 4)).where((F.col("z") > sigmas) & F.col("permanent"))
+    first = late.groupBy("symbol").agg(F.min_by(F.struct("trade_seq", "ts_ns", "z", "max_drift", "quantity"), order).alias("x")).select("symbol", "x.*")
+    b = first.select("symbol", "trade_seq", "ts_ns", F.lit("UNUSUAL").alias("gate"), F.round(F.least(F.lit(1.0), F.col("z") / 4), 6).alias("confidence"), F.round(F.abs("max_drift") / DRIFT_LIMIT, 4).alias("magnitude"), (F.col("quantity") * 5).cast("double").alias("hidden"))
+    return a.unionByName(b)
+
+
 def drift_stats(t: DataFrame, q: DataFrame) -> DataFrame:
     agg = drift_windows(t, q).where("d60 is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.avg("d60").alias("m"), F.stddev_pop("d60").alias("sd"), F.avg("quantity").alias("size"), F.avg(F.col("permanent").cast("int")).alias("p"))
     return agg.select("symbol", "n", F.round("m", 6).alias("avg_d60"), F.round("sd", 6).alias("std_d60"), F.round(ratio(F.col("m"), F.col("sd")), 4).alias("information_ratio"), F.round("size", 2).alias("avg_size"), F.round("p", 6).alias("permanent_ratio"))
@@ -209,13 +234,16 @@ def drift_large_trades(t: DataFrame, q: DataFrame, n: int = 10) -> DataFrame:
     return top.join(sums, "symbol").select("symbol", "rank", "trade_seq", "quantity", "d60", F.round(ratio(F.col("d60") - F.col("m"), F.round("sd", 9)), 4).alias("z"))
 
 
+_LARGE_SQL = f"""{TICKS_SQL},
+sz AS (SELECT t.symbol, t.trade_seq, list_sort(list(o.quantity)) AS s FROM trades t JOIN trades o ON o.symbol = t.symbol AND o.ts_ns BETWEEN t.ts_ns - {20 * HOUR} AND t.ts_ns GROUP BY ALL),
+th AS (SELECT symbol, trade_seq, len(s) AS n, s[least(len(s), floor(len(s) * 0.95::DOUBLE)::BIGINT + 1)] AS p95 FROM sz)"""
 _DRIFT_SQL = (
-    f"""{TICKS_SQL},
-big AS (SELECT symbol, trade_seq, ts_ns, side, price_e4, quantity FROM trades WHERE quantity >= {LARGE // 2}),
+    f"""{_LARGE_SQL},
+big AS (SELECT symbol, trade_seq, ts_ns, side, price_e4, quantity FROM trades JOIN th USING (symbol, trade_seq) WHERE quantity >= {LARGE} OR (n >= 100 AND quantity >= p95)),
 asked AS (SELECT *, unnest([{', '.join(map(str, DRIFT_WINDOWS))}]) AS w FROM big),
 timed AS (SELECT *, ts_ns + w * {MINUTE} AS at FROM asked),
 found AS (SELECT s.*, (q.bid_e4 + q.ask_e4) // 2 AS m FROM timed s ASOF LEFT JOIN quotes q ON s.symbol = q.symbol AND s.at <= q.ts_ns),
-signed_ AS (SELECT *, round(CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((m - price_e4) / price_e4), 6) AS d FROM found),
+signed_ AS (SELECT *, round(CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((m - price_e4) / nullif(price_e4, 0)), 6) AS d FROM found),
 wide AS (SELECT symbol, trade_seq, ts_ns, quantity, """
     + ", ".join(f"max(d) FILTER (w = {w}) AS d{w}" for w in DRIFT_WINDOWS)
     + f""" FROM signed_ GROUP BY symbol, trade_seq, ts_ns, quantity),
@@ -256,6 +284,9 @@ w AS (SELECT symbol, trade_seq, count(*) OVER b AS n, count(*) OVER e AS samples
 ) + """, avg(gap) OVER e AS average, sqrt(greatest(0, sum(gap * gap) OVER e / count(*) OVER e - (sum(gap) OVER e / count(*) OVER e) * (sum(gap) OVER e / count(*) OVER e))) AS sigma
   FROM s WINDOW b AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), e AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING))"""
 
+#: The gates of the registered query: the drifts of these ticks are far from steady.
+DRIFT_GATES = {"information": 0.02, "sigmas": 0.2}
+
 QUERIES = {
     "tqr_count_ratio": _ticks(tqr_counts),
     "tqr_patterns": _ticks(tqr_patterns),
@@ -277,6 +308,7 @@ QUERIES = {
     "drift_windows": _ticks(drift_windows),
     "drift_stats": _ticks(drift_stats),
     "drift_large_trades": _ticks(drift_large_trades),
+    "drift_anomaly": lambda spark, sf: drift_anomaly(trades(spark, sf), quotes(spark, sf), **DRIFT_GATES),
 }
 SQL = {
     "tqr_count_ratio": f"WITH {TQR_COUNTS_SQL} SELECT * FROM r",
@@ -302,11 +334,17 @@ SELECT order_id, side, expected_e4, quantity, fills, round(vwap, 4) AS vwap_e4,
     "ohlcv_bars": f"WITH {TICKS_SQL} SELECT symbol, ts_ns // {HOUR} AS bar, arg_min(price_e4, ts_ns) AS open, max(price_e4) AS high, min(price_e4) AS low, arg_max(price_e4, ts_ns) AS close, sum(quantity)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY ALL",
     "lee_ready": f"WITH {_PRICES_SQL} SELECT symbol, trade_seq, CASE WHEN price_e4 > (b0 + a0) // 2 THEN 'BUY' WHEN price_e4 < (b0 + a0) // 2 THEN 'SELL' ELSE 'UNKNOWN' END AS sign FROM y",
     "tick_rule": f"WITH {TICKS_SQL} SELECT symbol, trade_seq, CASE WHEN price_e4 > lag(price_e4) OVER w THEN 'BUY' WHEN price_e4 < lag(price_e4) OVER w THEN 'SELL' ELSE 'UNKNOWN' END AS sign FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)",
-    "large_trade_threshold": f"""WITH {TICKS_SQL}, c AS (SELECT t.symbol, t.trade_seq, list_sort(list(o.quantity)) AS s FROM trades t JOIN trades o ON o.symbol = t.symbol AND o.ts_ns BETWEEN t.ts_ns - {20 * HOUR} AND t.ts_ns GROUP BY ALL)
-SELECT symbol, trade_seq, len(s) AS n, s[least(len(s), floor(len(s) * 0.95::DOUBLE)::BIGINT + 1)] AS p95 FROM c""",
+    "large_trade_threshold": f"WITH {_LARGE_SQL} SELECT * FROM th",
     "drift_windows": f"WITH {_DRIFT_SQL} SELECT * FROM drift",
     "drift_stats": f"""WITH {_DRIFT_SQL} SELECT symbol, count(*) AS n, round(avg(d60), 6) AS avg_d60, round(stddev_pop(d60), 6) AS std_d60, round(avg(d60) / nullif(stddev_pop(d60), 0), 4) AS information_ratio, round(avg(quantity), 2) AS avg_size,
   round(avg(permanent::INT), 6) AS permanent_ratio FROM drift WHERE d60 IS NOT NULL GROUP BY symbol""",
+    "drift_anomaly": f"""WITH {_DRIFT_SQL},
+m AS (SELECT symbol, count(*) AS n, avg(d60) AS m, stddev_pop(d60) AS sd, avg(quantity) AS size, avg(permanent::INT) AS p, arg_max(trade_seq, (ts_ns, trade_seq)) AS trade_seq, max(ts_ns) AS ts_ns FROM drift GROUP BY symbol HAVING count(*) >= 5),
+i AS (SELECT *, round(m / nullif(round(sd, 9), 0), 4) AS ir, coalesce(abs(round(m / nullif(round(sd, 9), 0), 4)) > {DRIFT_GATES['information']} AND abs(m) > {DRIFT_LIMIT}, false) AS leak FROM m),
+k AS (SELECT d.*, round((d60 - m) / nullif(round(sd, 9), 0), 4) AS z FROM (SELECT * FROM drift QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, trade_seq DESC) <= 5) d JOIN i USING (symbol) WHERE NOT leak),
+f AS (SELECT * FROM k WHERE z > {DRIFT_GATES['sigmas']} AND permanent QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, trade_seq) = 1)
+SELECT symbol, trade_seq, ts_ns, 'LEAK' AS gate, round(least(1.0::DOUBLE, abs(ir) / 3), 4) AS confidence, round(abs(m) / {DRIFT_LIMIT}::DOUBLE, 4) AS magnitude, round(size * p * 10, 1) AS hidden FROM i WHERE leak
+UNION ALL SELECT symbol, trade_seq, ts_ns, 'UNUSUAL', round(least(1.0::DOUBLE, z / 4), 6), round(abs(max_drift) / {DRIFT_LIMIT}::DOUBLE, 4), (quantity * 5)::DOUBLE FROM f""",
     "drift_large_trades": f"""WITH {_DRIFT_SQL}, m AS (SELECT symbol, avg(d60) AS m, stddev_pop(d60) AS sd FROM drift GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, trade_seq DESC) AS rank FROM drift)
 SELECT symbol, rank, trade_seq, quantity, d60, round((d60 - m) / nullif(round(sd, 9), 0), 4) AS z FROM k JOIN m USING (symbol) WHERE rank <= 10""",
 }

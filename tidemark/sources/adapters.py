@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 MINUTE = 60_000_000_000
 HOUR = 60 * MINUTE
+#: Venues that the suppliers are dealt over: as many as a router holds at most.
+VENUES = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks; those below five hundredths, of which a quote's bid would not be positive, are no prices and are left out."""
+    """Ticks: every event. A price can be 0, and a quote's bid below it; formulas that divide by prices allow for that."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         (F.col("user_id") % 10).alias("symbol"),
@@ -26,7 +28,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.round(F.col("value") * 10000).cast("long").alias("price_e4"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
-    ).where("price_e4 >= 500")
+    )
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,18 +81,21 @@ def daily_trades(spark: SparkSession, sf_dir: str, symbols: int = 5) -> DataFram
 
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A venue for each supplier below 13: its figures follow from its number."""
-    n = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 13").select(
-        n.alias("venue"), F.concat(F.lit("V"), n.cast("string")).alias("venue_id"), (1 + n % 7).cast("double").alias("avg_spread_bps"), (0.3 + (n % 6) / 10.0).cast("double").alias("fill_probability"),
-        (200 * (1 + n % 5)).cast("double").alias("avg_fill_size"), (n % 4 / 2.0).cast("double").alias("impact_bps"), (n % 3 / 10.0).cast("double").alias("fee_bps"),
-        (100 + n * 37 % 400).alias("avg_latency_us"), (n % 2 == 0).alias("supports_hidden"),
+    """All suppliers, dealt over VENUES venues; a venue's figures are the means of what its suppliers' numbers give."""
+    n, rows = F.col("s_suppkey"), F.count("*")
+    own = table(spark, sf_dir, "supplier").groupBy((n % VENUES).alias("venue")).agg(
+        *[F.sum(x).alias(name) for name, x in (("a", n % 7), ("b", n % 6), ("c", n % 5), ("d", n % 4), ("e", n % 3), ("f", n * 37 % 400))], rows.alias("n"), F.count_if(n % 2 == 0).alias("h")
+    )
+    mean = lambda c: F.col(c) / F.col("n")
+    return own.select(
+        "venue", F.concat(F.lit("V"), F.col("venue").cast("string")).alias("venue_id"), (1 + mean("a")).alias("avg_spread_bps"), (0.3 + mean("b") / 10.0).alias("fill_probability"), (200 * (1 + mean("c"))).alias("avg_fill_size"),
+        (mean("d") / 2.0).alias("impact_bps"), (mean("e") / 10.0).alias("fee_bps"), F.expr("100 + f div n").alias("avg_latency_us"), (2 * F.col("h") >= F.col("n")).alias("supports_hidden"),
     )
 
 
 TICKS_SQL = """
 ev AS (SELECT event_id AS seq, user_id % 10 AS symbol, (user_id % 5)::INT AS venue, epoch_us(ts) * 1000 AS ts_ns, event_type,
-  CAST(round(value * 10000) AS BIGINT) AS price_e4, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(round(value * 10000) AS BIGINT) >= 500),
+  CAST(round(value * 10000) AS BIGINT) AS price_e4, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 trades AS (SELECT seq AS trade_seq, symbol, venue, price_e4, (k + 1) * 100 AS quantity, ts_ns, event_type = 'error' AS is_hidden,
   CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'click' THEN 'SELL' ELSE 'UNKNOWN' END AS side FROM ev WHERE event_type IN ('purchase', 'click', 'error')),
 quotes AS (SELECT seq AS quote_seq, symbol, venue, ts_ns, price_e4 - 50 * (1 + k % 5) AS bid_e4, price_e4 + 50 * (1 + k % 5) AS ask_e4,

@@ -70,7 +70,7 @@ def decode(messages: DataFrame) -> DataFrame:
 
 def write_events(events: DataFrame) -> DataFrame:
     """Messages for events, as `value` beside their `seq`: orders, fills and quotes, with checksums."""
-    price = lambda e4: F.format_string("%d.%04d", F.expr(f"{e4} div 10000"), F.expr(f"{e4} % 10000"))
+    price = lambda e4: F.format_string("%s%d.%04d", F.when(F.expr(f"{e4} < 0"), "-").otherwise(""), F.expr(f"abs({e4}) div 10000"), F.expr(f"abs({e4}) % 10000"))
     rows = events.withColumn("_b", F.expr("price_e4 - 50 * (1 + k % 5)")).withColumn("_a", F.expr("price_e4 + 50 * (1 + k % 5)")).withColumn("_q", ((F.col("k") + 1) * 100).cast("string"))
     ts = F.date_format(F.timestamp_micros(F.expr("ts_ns div 1000")), "yyyyMMdd-HH:mm:ss.SSS")
     join = lambda *xs: F.concat(*[F.concat(F.lit(f"{t}="), v if isinstance(v, Column) else F.lit(v), F.lit(SOH)) for t, v in xs])
