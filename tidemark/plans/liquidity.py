@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import price_bucket, ratio, rows_back, span_back, up_to_now
+from tidemark.plans.trading import SQL as TRADING_SQL
+from tidemark.plans.trading import tqr_anomaly
 from tidemark.sources.adapters import DAILY_SQL, HOUR, MINUTE, TICKS_SQL, books, daily_trades, orders, quotes, trades
 
 # -- order books ------------------------------------------------------------------------------------------------------
@@ -511,11 +513,13 @@ def heatmap_summary(t: DataFrame, last: int = 1000) -> DataFrame:
     return sums.select("symbol", "center", "volume", "trades", F.round(F.col("pq") / F.col("q"), 4).alias("vwap"))
 
 
-def top_symbols(t: DataFrame, n: int = 5) -> DataFrame:
-    """The most active symbols by volume, trades and hidden share."""
+def top_symbols(t: DataFrame, found: DataFrame, n: int = 5) -> DataFrame:
+    """The most active symbols by volume, trades, findings and hidden share."""
+    counts = found.groupBy("symbol").agg(F.count("*").alias("anomalies"))
     sums = t.groupBy("symbol").agg(F.sum("quantity").alias("volume"), F.count("*").alias("trades"), F.coalesce(F.sum(F.when(F.col("is_hidden"), F.col("quantity"))), F.lit(0)).alias("hidden"))
-    score = F.log1p("volume") + F.log1p("trades") + 100 * F.col("hidden") / (F.col("volume") + 1)
-    return sums.select("symbol", "volume", "trades", "hidden", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "symbol").limit(n)
+    sums = sums.join(counts, "symbol", "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+    score = F.log1p("volume") + F.log1p("trades") + 10 * F.col("anomalies") + 100 * F.col("hidden") / (F.col("volume") + 1)
+    return sums.select("symbol", "volume", "trades", "hidden", "anomalies", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "symbol").limit(n)
 
 
 def activity_profile(t: DataFrame) -> DataFrame:
@@ -574,7 +578,7 @@ QUERIES = {
     "hawkes_anomaly": lambda spark, sf: hawkes_anomaly(trades(spark, sf), HAWKES_TIMES),
     "heatmap_cells": _t(heatmap_cells),
     "heatmap_summary": _t(heatmap_summary),
-    "heatmap_top_symbols": _t(top_symbols),
+    "heatmap_top_symbols": lambda spark, sf: top_symbols(trades(spark, sf), tqr_anomaly(trades(spark, sf), quotes(spark, sf))),
     "activity_profile": _t(activity_profile),
 }
 SQL = {
@@ -621,8 +625,9 @@ s AS (SELECT symbol, age, cell, coalesce(sum(quantity) FILTER (side = 'BUY'), 0)
 SELECT *, least(1000000, (bought + sold) * CAST(round(pow(0.95::DOUBLE, age) * 1e9) AS BIGINT) // 100000000) / 1e6 AS intensity FROM s""",
     "heatmap_summary": f"""WITH {TICKS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, trade_seq DESC) AS k FROM trades)
 SELECT symbol, arg_min(price_e4, ts_ns) AS center, sum(quantity)::BIGINT AS volume, count(*) AS trades, round(sum(price_e4 * quantity) FILTER (k <= 1000)::DOUBLE / sum(quantity) FILTER (k <= 1000)::DOUBLE, 4) AS vwap FROM k GROUP BY symbol""",
-    "heatmap_top_symbols": f"""WITH {TICKS_SQL}, s AS (SELECT symbol, sum(quantity)::BIGINT AS volume, count(*) AS trades, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden FROM trades GROUP BY symbol)
-SELECT *, round(ln(1 + volume) + ln(1 + trades) + 100 * hidden / (volume + 1), 6) AS score FROM s ORDER BY score DESC, symbol LIMIT 5""",
+    "heatmap_top_symbols": f"""WITH {TICKS_SQL}, s AS (SELECT symbol, sum(quantity)::BIGINT AS volume, count(*) AS trades, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden FROM trades GROUP BY symbol),
+a AS (SELECT symbol, count(*) AS anomalies FROM ({TRADING_SQL['tqr_anomaly']}) GROUP BY symbol), j AS (SELECT s.*, coalesce(anomalies, 0) AS anomalies FROM s LEFT JOIN a USING (symbol))
+SELECT *, round(ln(1 + volume) + ln(1 + trades) + 10 * anomalies + 100 * hidden / (volume + 1), 6) AS score FROM j ORDER BY score DESC, symbol LIMIT 5""",
     "activity_profile": f"""WITH {TICKS_SQL}, s AS (SELECT ts_ns // {HOUR} % 24 AS hour, venue, sum(quantity)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY ALL)
 SELECT *, round(volume / sum(volume) OVER (PARTITION BY hour), 6) AS venue_share, round(trades / 3600, 6) AS per_second FROM s""",
 }

@@ -238,9 +238,9 @@ def dot(x: Column, weights: list[float]) -> Column:
 
 
 def standard_scales(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation (floor 1e-5) of every dimension."""
+    """Mean, population deviation (floor 1e-5), least, largest and missing values of every dimension."""
     long_ = rows.select(F.posexplode("x").alias("dim", "v"))
-    return long_.groupBy("dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.greatest(F.lit(1e-5), F.stddev_pop("v")), 6).alias("sd"))
+    return long_.groupBy("dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.greatest(F.lit(1e-5), F.stddev_pop("v")), 6).alias("sd"), F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"), F.count_if(F.col("v").isNull()).alias("missing"))
 
 
 def fixed_weights(n: int = 64) -> list[float]:
@@ -344,15 +344,28 @@ def sequence_scores(rows: DataFrame, steps: int = 8) -> DataFrame:
             code = lstm(lstm(x, 16, 1), 8, 3)[:, -1]
             back = lstm(np.repeat(code[:, None], steps, axis=1), 16, 5) @ seeded((16, x.shape[2]), 7)
             error = np.sqrt(((back - x) ** 2).mean(axis=(1, 2)))
+            by_step, by_feature = np.sqrt(((back - x) ** 2).mean(axis=2)), np.sqrt(((back - x) ** 2).mean(axis=1))
             e = x @ seeded((x.shape[2], 16), 11) + positions(steps, 16)
             for layer in range(2):
                 e = attend(e, 4, 20 + 10 * layer)
             pooled = e.mean(axis=1)
             direction = np.tanh(pooled @ seeded((16, 1), 41))[:, 0]
             anomaly = 1 / (1 + np.exp(-(pooled @ seeded((16, 1), 43))[:, 0]))
-            yield pd.DataFrame({"vec_id": b.vec_id, "error": error, "direction": direction, "anomaly": anomaly})
+            yield pd.DataFrame({"vec_id": b.vec_id, "error": error, "direction": direction, "anomaly": anomaly, "steps": list(by_step), "parts": list(by_feature)})
 
-    return rows.select("vec_id", "x").mapInPandas(forward, "vec_id long, error double, direction double, anomaly double")
+    return rows.select("vec_id", "x").mapInPandas(forward, "vec_id long, error double, direction double, anomaly double, steps array<double>, parts array<double>")
+
+
+def pattern_class(z: Column, steps: Column, parts: Column, limit: Column) -> Column:
+    """What kind of anomaly a sequence's errors show: by time step (over `limit` they are anomalous) and by feature."""
+    at = F.filter(F.transform(steps, lambda e, i: F.when(e > limit, i)), lambda i: i.isNotNull())
+    gaps = F.transform(F.slice(at, 2, 1_000_000), lambda x, i: (x - F.get(at, i)).cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = ratio(total(gaps), F.size(gaps))
+    spread = ratio(total(F.transform(gaps, lambda g: (g - mean) * (g - mean))), F.size(gaps))
+    periodic = F.coalesce((F.size(at) > 2) & (spread < 0.2 * mean), F.lit(False))
+    broken = F.array_max(parts) > 3 * total(parts) / F.size(parts)
+    return F.when(z <= 3, "NORMAL").when(F.size(at) > 0.8 * F.size(parts), "REGIME_CHANGE").when(periodic, "CYCLIC_ANOMALY").when(z > 5, "SEQUENCE_NOVELTY").when(broken, "CORRELATION_BREAK").otherwise("TREND_BREAK")
 
 
 def sequence_anomalies(rows: DataFrame) -> DataFrame:
@@ -361,7 +374,8 @@ def sequence_anomalies(rows: DataFrame) -> DataFrame:
     sums = scored.agg(F.avg("error").alias("m"), F.stddev_pop("error").alias("sd"))
     z = (F.col("error") - F.col("m")) / F.col("sd")
     kind = F.when(z > 3, "SEQUENCE_ANOMALY").when(z > 2, "STATISTICAL_ANOMALY").when(z > 1.5, "PATTERN_CHANGE").otherwise("NONE")
-    return scored.crossJoin(F.broadcast(sums)).select("vec_id", "error", z.alias("z"), kind.alias("type"), "direction", "anomaly")
+    pattern = pattern_class(z, F.col("steps"), F.col("parts"), F.col("m") + 3 * F.col("sd"))
+    return scored.crossJoin(F.broadcast(sums)).select("vec_id", "error", z.alias("z"), kind.alias("type"), pattern.alias("pattern"), "direction", "anomaly")
 
 
 def inference_stub(rows: DataFrame) -> DataFrame:
@@ -404,7 +418,7 @@ v AS (SELECT x.symbol, x.trade_seq, sum(y.quantity * 0.05::DOUBLE * pow(0.95::DO
 j AS (SELECT a.*, avg_, q.bid_e4 AS b, q.ask_e4 AS k FROM (SELECT * FROM a JOIN v USING (symbol, trade_seq)) a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.ts_ns >= q.ts_ns)
 SELECT symbol, trade_seq, ts_ns, quantity, side, round(quantity / avg_, 6) AS size, round(coalesce((price_e4 - p1) / nullif(p1, 0), 0), 6) AS change, round(coalesce(dt, 1), 9) AS dt, round(coalesce(abs(price_e4 - (b + k) / 2.0::DOUBLE) / nullif(k - b, 0), 0.5::DOUBLE), 6) AS spread_ratio,
   CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS direction, round(coalesce(quantity / nullif(dt, 0), quantity::DOUBLE), 6) AS rate FROM j""",
-    "standard_scales": "WITH l AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim, round(avg(v), 6) AS mean, round(greatest(1e-5, stddev_pop(v)), 6) AS sd FROM l GROUP BY dim",
+    "standard_scales": "WITH l AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim, round(avg(v), 6) AS mean, round(greatest(1e-5, stddev_pop(v)), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) FILTER (v IS NULL) AS missing FROM l GROUP BY dim",
     "linear_scorer": f"""WITH s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_WEIGHTS}) + 0.1::DOUBLE, 6) AS score FROM embeddings)
 SELECT vec_id, score, CASE WHEN score > 0.6 THEN 'UNUSUAL_VOLUME' ELSE 'NONE' END AS type,
   round(least(1.0::DOUBLE, 1 / (1 + exp(-score)) + CASE WHEN score > 0.8 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN score > 0.7 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN score > 0.6 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence,

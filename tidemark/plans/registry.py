@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import features, feeds, liquidity, models, strategies, trading
+from tidemark.plans import features, feeds, liquidity, models, orderflow, strategies, trading
 
-MODULES = (trading, liquidity, features, strategies, models, feeds)
+MODULES = (trading, liquidity, features, strategies, orderflow, models, feeds)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -56,6 +56,18 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, and what becomes of each: executed whole, executed in part, cancelled, or replaced by a smaller one."""
+    o = orders(spark, sf_dir).withColumn("k", F.expr("quantity div 100 - 1"))
+    entered = o.select("order_id", F.lit(0).alias("event_no"), "symbol", "venue", "side", "price_e4", "quantity", "ts_ns", F.lit("NEW").alias("kind"))
+    case = lambda a, b, c, d: F.when(F.col("k") % 4 == 0, a).when(F.col("k") % 4 == 1, b).when(F.col("k") % 4 == 2, c).otherwise(d)
+    later = o.select(
+        "order_id", F.lit(1).alias("event_no"), "symbol", "venue", "side", (F.col("price_e4") + F.when(F.col("k") % 4 == 3, 100).otherwise(0)).alias("price_e4"), case(F.col("quantity"), F.lit(100), F.col("quantity"), F.expr("quantity div 2")).cast("long").alias("quantity"),
+        (F.col("ts_ns") + case(F.lit(30), F.lit(90), F.lit(120), F.lit(20)).cast("long") * F.lit(1_000_000_000)).alias("ts_ns"), case(F.lit("EXEC"), F.lit("EXEC"), F.lit("CANCEL"), F.lit("REPLACE")).alias("kind"),
+    )
+    return entered.unionByName(later)
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten levels a side below and above each quote; level i holds the first one's size and i hundreds more or less."""
 
@@ -102,6 +114,11 @@ quotes AS (SELECT seq AS quote_seq, symbol, venue, ts_ns, price_e4 - 50 * (1 + k
   (k + 1) * 100 AS bid_size, (100 - k % 100) * 100 AS ask_size FROM ev WHERE event_type = 'view'),
 orders_in AS (SELECT seq AS order_id, symbol, venue, ts_ns, price_e4, (k + 1) * 100 AS quantity, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM ev WHERE event_type = 'signup')"""
 
+ORDER_EVENTS_SQL = """
+oe AS (SELECT order_id, 0 AS event_no, symbol, venue, side, price_e4, quantity, ts_ns, 'NEW' AS kind FROM orders_in
+  UNION ALL SELECT order_id, 1, symbol, venue, side, price_e4 + CASE WHEN k % 4 = 3 THEN 100 ELSE 0 END, CASE k % 4 WHEN 1 THEN 100 WHEN 3 THEN quantity // 2 ELSE quantity END, ts_ns + CASE k % 4 WHEN 0 THEN 30 WHEN 1 THEN 90 WHEN 2 THEN 120 ELSE 20 END::BIGINT * 1000000000,
+    CASE k % 4 WHEN 2 THEN 'CANCEL' WHEN 3 THEN 'REPLACE' ELSE 'EXEC' END FROM (SELECT *, quantity // 100 - 1 AS k FROM orders_in))"""
+
 DAILY_SQL = """
 daily AS (SELECT l_suppkey % 5 AS symbol, l_shipdate::DATE AS day, CAST(round(l_extendedprice / l_quantity * 10000) AS BIGINT) AS price_e4,
   CAST(floor(l_quantity) AS BIGINT) * 100 AS quantity, CASE l_returnflag WHEN 'A' THEN 'BUY' WHEN 'R' THEN 'SELL' ELSE 'UNKNOWN' END AS side,

@@ -82,13 +82,89 @@ def intensity(trades: DataFrame, mu: float = 0.5, alpha: float = 0.3, cross: flo
             ts = ts if last is None else max(ts, last)  # what comes late counts as of now
             fade = math.exp(-beta * (ts - last) / unit_ns) if last is not None else 0.0
             b, s, last = b * fade, s * fade, ts
-            out.append((key[0], seq, mu + alpha * b + cross * s, mu + alpha * s + cross * b))
+            out.append((key[0], seq, ts, mu + alpha * b + cross * s, mu + alpha * s + cross * b))
             m = math.log1p(q / 1000) * beta
             b, s = (b + m, s) if side == "BUY" else (b, s + m)
         state.update((last, b, s))
-        yield pd.DataFrame(out, columns=["symbol", "trade_seq", "buy", "sell"])
+        yield pd.DataFrame(out, columns=["symbol", "trade_seq", "ts_ns", "buy", "sell"])
 
-    return trades.groupBy("symbol").applyInPandasWithState(step, "symbol long, trade_seq long, buy double, sell double", "last long, b double, s double", "append", GroupStateTimeout.NoTimeout)
+    return trades.groupBy("symbol").applyInPandasWithState(step, "symbol long, trade_seq long, ts_ns long, buy double, sell double", "last long, b double, s double", "append", GroupStateTimeout.NoTimeout)
+
+
+ALERT = "symbol long, ts_ns long, detector string, type string, confidence double, magnitude double"
+
+
+def tqr_alerts(trades: DataFrame, quotes: DataFrame, limit: float = 2.5, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Windows whose trades per quote exceed the limit."""
+    rows = tqr(trades, quotes, width, slide, late).where((F.col("ratio") > limit) & (F.col("n_quotes") > 0))
+    return rows.select("symbol", (F.unix_micros("start") * 1000).alias("ts_ns"), F.lit("TQR").alias("detector"), F.lit("HIGH_TQR").alias("type"), F.least(F.lit(1.0), (F.col("ratio") - limit) / limit).alias("confidence"), (F.col("ratio") / limit).alias("magnitude"))
+
+
+def intensity_alerts(trades: DataFrame, baseline: float, times: float = 3.0, **model: float) -> DataFrame:
+    """Trades at which the total intensity exceeds `times` the baseline."""
+    rows = intensity(trades, **model).withColumn("total", F.col("buy") + F.col("sell")).where(F.col("total") > times * baseline)
+    return rows.select("symbol", "ts_ns", F.lit("HAWKES").alias("detector"), F.lit("ORDER_BOOK_PRESSURE").alias("type"), F.least(F.lit(1.0), F.col("total") / (times * baseline) - 1).alias("confidence"), (F.col("total") / baseline).alias("magnitude"))
+
+
+def toxic_alerts(trades: DataFrame, bucket: int = 50_000, keep: int = 50, least: int = 10, toxic: float = 0.3, sigmas: float = 2.0) -> DataFrame:
+    """Volume buckets after which the mean imbalance of the last `keep` is toxic and far over that of all so far. State by
+    symbol: the open bucket, moments of all imbalances, and the last ones."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, buy, sell, n, s, s2, last = state.get if state.exists else (0, 0.0, 0.0, 0, 0.0, 0.0, [])
+        last = list(last)
+        rows = pd.concat(list(batches)).sort_values(["ts_ns", "trade_seq"])
+        out = []
+        for ts, q, side in zip(rows.ts_ns.tolist(), rows.quantity.tolist(), rows.side.tolist(), strict=True):
+            total += q
+            buy += q if side == "BUY" else q / 2 if side == "UNKNOWN" else 0
+            sell += q if side == "SELL" else q / 2 if side == "UNKNOWN" else 0
+            if total < bucket:
+                continue
+            i = abs(buy - sell) / total
+            n, s, s2, last = n + 1, s + i, s2 + i * i, [*last, i][-keep:]
+            total, buy, sell = 0, 0.0, 0.0
+            mean, sd = sum(last) / len(last), max(0.0, s2 / n - (s / n) ** 2) ** 0.5
+            z = (mean - s / n) / sd if sd > 1e-9 else 0.0
+            if n >= least and mean > toxic and z > sigmas:
+                out.append((key[0], ts, "VPIN", "POST_TRADE_DRIFT", min(1.0, z / 4), mean / toxic))
+        state.update((total, buy, sell, n, s, s2, last))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in ALERT.split(", ")])
+
+    return trades.groupBy("symbol").applyInPandasWithState(step, ALERT, "total long, buy double, sell double, n long, s double, s2 double, last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def slippage_alerts(trades: DataFrame, quotes: DataFrame, least: int = 5, sigmas: float = 2.0) -> DataFrame:
+    """Trades whose distance from the last mid is far from the mean so far. State by symbol: the mid and three moments."""
+    own = ["symbol", "ts_ns", "side", "price_e4", "mid"]
+    both = trades.withColumn("mid", F.lit(None).cast("double")).select(*own).unionByName(quotes.select("symbol", "ts_ns", F.lit(None).cast("string").alias("side"), F.lit(None).cast("long").alias("price_e4"), ((F.col("bid_e4") + F.col("ask_e4")) / 2.0).alias("mid")))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mid, n, s, s2 = state.get if state.exists else (0.0, 0, 0.0, 0.0)
+        rows = pd.concat(list(batches))
+        rows = rows.assign(late=rows.side.notna()).sort_values(["ts_ns", "late"])  # a quote goes before the trades of its time
+        out = []
+        for ts, side, price, quote in zip(rows.ts_ns.tolist(), rows.side.tolist(), rows.price_e4.tolist(), rows.mid.tolist(), strict=True):
+            if not isinstance(side, str):
+                mid = quote
+                continue
+            if mid <= 0:
+                continue
+            gap = (price - mid) / mid * (1 if side == "BUY" else -1)
+            n, s, s2 = n + 1, s + gap, s2 + gap * gap
+            sd = max(0.0, s2 / n - (s / n) ** 2) ** 0.5
+            z = (gap - s / n) / sd if sd > 1e-9 else 0.0
+            if n >= least and abs(z) > sigmas:
+                out.append((key[0], ts, "SLIPPAGE", "ABNORMAL_SLIPPAGE", min(1.0, abs(z) / 5), gap / (s / n) if s else 0.0))
+        state.update((float(mid), n, s, s2))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in ALERT.split(", ")])
+
+    return both.groupBy("symbol").applyInPandasWithState(step, ALERT, "mid double, n long, s double, s2 double", "append", GroupStateTimeout.NoTimeout)
+
+
+def console(rows: DataFrame, mode: str = "append") -> StreamingQuery:
+    """Batches printed by the driver, for looking at."""
+    return rows.writeStream.format("console").outputMode(mode).option("truncate", "false").trigger(availableNow=True).start()
 
 
 def push(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
