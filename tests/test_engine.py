@@ -403,3 +403,60 @@ def test_ten_detectors_in_one_table(spark):
     assert set(rows.symbol) <= {1, 2} and len({"TQR", "HAWKES", "BOOK", "PIN_INTRADAY"} & set(rows.detector)) >= 3 and set(rows.detector) <= set(feeds.LABELS)
     slots = rows.assign(slot=rows.ts_ns // (100 * MINUTE)).groupby(["symbol", "detector", "type", "slot"]).size()
     assert (slots == 1).all() and rows.description.str.contains("confidence").all()
+
+
+def test_hurst_rows_equal_a_fit(spark, sf):
+    """Against one window at a time with a least-squares fit."""
+
+    def plain(x):
+        points = []
+        for n in (4, 8, 16):
+            if len(x) < n:
+                break
+            parts = x[: len(x) // n * n].reshape(-1, n)
+            walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
+            sd = parts.std(axis=1)
+            if (sd > 1e-12).any():
+                points.append((np.log(n), np.log(((walk.max(axis=1) - walk.min(axis=1))[sd > 1e-12] / sd[sd > 1e-12]).mean())))
+        return float(np.clip(np.polyfit(*zip(*points, strict=True), 1)[0], 0, 1)) if len(points) > 1 else 0.5
+
+    t = trades(spark, sf).toPandas().sort_values(["ts_ns", "trade_seq"])
+    t.loc[t.trade_seq % 97 == 5, "price_e4"] = 0
+    got = features.hurst_features(spark.createDataFrame(t), n=30).toPandas().set_index("trade_seq")
+    for _, g in t.groupby("symbol"):
+        with np.errstate(divide="ignore"):
+            r = np.diff(np.log(np.where(g.price_e4 > 0, g.price_e4, np.nan)))
+        for k, seq in enumerate(g.trade_seq):
+            x = r[max(0, k - 30) : k]
+            x = x[~np.isnan(x)]
+            d = np.abs(np.diff(x))
+            ok = (d[:-1] > 1e-12) & (d[1:] > 1e-12) if len(d) > 1 else np.zeros(0, bool)
+            assert got.hurst[seq] == pytest.approx(plain(x), abs=1e-9)
+            assert got.lyapunov[seq] == pytest.approx(np.log(d[1:][ok] / d[:-1][ok]).mean() if ok.any() else 0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("width", [7, 1000])
+def test_lookups_in_one_pass_equal_single_ones(spark, width):
+    from tidemark.operators.asof import Lookup, asof_many
+
+    rng = np.random.default_rng(3)
+    a = spark.createDataFrame([(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(-20, 60, 60), strict=True))], "k long, t long, n long")
+    b = spark.createDataFrame([(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 40), rng.integers(-10, 50, 40), strict=True))], "k long, t long, m long")
+    cases = {"x": (0, False, True), "y": (-9, False, False), "z": (6, True, True), "w": (2, True, False)}
+    got = asof_many(a, b, ["k"], ["n"], [Lookup(c, F.col("t") + d, f, e) for c, (d, f, e) in cases.items()], F.col("t"), ["m"], ["m"], width).collect()
+    assert len(got) == 60
+    for c, (d, f, e) in cases.items():
+        want = {r.n: r.hit for r in asof(a, b, ["k"], F.col("t") + d, F.col("t"), ["m"], {"hit": "m"}, width, f, e).collect()}
+        assert {r.n: r[c].m if r[c] else None for r in got} == want
+
+
+def test_blocked_windows_equal_plain_ones(spark):
+    from tidemark.functions.scalar import span_back
+    from tidemark.operators.blocks import blocked
+
+    rng = np.random.default_rng(4)
+    t = spark.createDataFrame([(int(k), int(x), i) for i, (k, x) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(-500, 500, 300), strict=True))], "k long, t long, n long")
+    rows, w, age = blocked(t, ["k"], "t", 70)
+    got = rows.select("n", "_own", F.sum("n").over(w).alias("s"), F.count("*").over(w).alias("c"), age.alias("age")).where("_own")
+    want = t.select("n", F.sum("n").over(span_back(70, "k", order="t")).alias("s"), F.count("*").over(span_back(70, "k", order="t")).alias("c"))
+    assert got.select("n", "s", "c").exceptAll(want).count() == 0 and got.where("age < 0 or age >= 70").count() == 0 and got.count() == 300

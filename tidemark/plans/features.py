@@ -35,20 +35,20 @@ def _sums(window, *exprs):
     return [F.sum(e).over(window) for e in exprs]
 
 
-def price_features(t: DataFrame) -> DataFrame:
+def price_features(t: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Returns over 10, 50 and 300 trades, realised volatilities, momentum of three means, acceleration."""
     one = Window.partitionBy("symbol").orderBy(*ORDER)
     p = F.col("price_e4").cast("double")
-    rows = t.select("symbol", *ORDER, "price_e4", *[F.lag("price_e4", n).over(one).alias(f"p{n}") for n in (1, 10, 50, 300)])
+    rows = t.select("symbol", *ORDER, "price_e4", *[c for c in keep if c != "price_e4"], *[F.lag("price_e4", n).over(one).alias(f"p{n}") for n in (1, 10, 50, 300)])
     rows = rows.withColumn("r", F.ln(ratio(p, F.col("p1"))))
     change = lambda n: F.coalesce(ratio(p - F.col(f"p{n}"), F.col(f"p{n}")), F.lit(0.0))
     vol = lambda n: F.when(F.count("r").over(_w(n)) == n, F.sqrt(F.avg(F.col("r") * F.col("r")).over(_w(n)))).otherwise(0.0)
     mean = lambda n: F.avg("price_e4").over(_w(n))
-    rows = rows.select("symbol", *ORDER, change(10).alias("return_1m"), change(50).alias("return_5m"), change(300).alias("return_30m"), vol(10).alias("volatility_1m"), vol(50).alias("volatility_5m"), vol(100).alias("volatility_30m"), F.coalesce(ratio(mean(10) - mean(50), mean(50)), F.lit(0.0)).alias("momentum"))
+    rows = rows.select("symbol", *ORDER, *keep, change(10).alias("return_1m"), change(50).alias("return_5m"), change(300).alias("return_30m"), vol(10).alias("volatility_1m"), vol(50).alias("volatility_5m"), vol(100).alias("volatility_30m"), F.coalesce(ratio(mean(10) - mean(50), mean(50)), F.lit(0.0)).alias("momentum"))
     return rows.withColumn("acceleration", F.coalesce(F.col("momentum") - F.lag("momentum", 10).over(one), F.lit(0.0)))
 
 
-def volume_features(t: DataFrame) -> DataFrame:
+def volume_features(t: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rates, prices weighted by volume and time, skew, participation, concentration, cumulative delta."""
     q, p = F.col("quantity").cast("double"), F.col("price_e4").cast("double")
     ever = up_to_now("symbol", order=ORDER)
@@ -62,17 +62,17 @@ def volume_features(t: DataFrame) -> DataFrame:
     rate = total / (seconds + 1)
     delta = F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)).over(ever)
     return t.select(
-        "symbol", *ORDER, rate.alias("volume_rate"), (F.sum(p * q).over(w100) / s1).alias("vwap"), F.avg(p).over(w100).alias("twap"), skew.alias("volume_skew"), (F.sum("quantity").over(w20) / (total + 1)).alias("participation"),
+        "symbol", *ORDER, *keep, rate.alias("volume_rate"), (F.sum(p * q).over(w100) / s1).alias("vwap"), F.avg(p).over(w100).alias("twap"), skew.alias("volume_skew"), (F.sum("quantity").over(w20) / (total + 1)).alias("participation"),
         (rate / (total / count + 1)).alias("relative_volume"), (F.sum(q * q).over(w50) / F.pow(F.sum(q).over(w50), F.lit(2.0))).alias("concentration"), delta.cast("double").alias("cumulative_delta"),
     )
 
 
-def flow_features(t: DataFrame) -> DataFrame:
+def flow_features(t: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Intensity, sizes, large trades (over twice the mean, of a hundred), signed flow, toxicity, price impact."""
     ever, w100, w50 = up_to_now("symbol", order=ORDER), _w(100), _w(50)
     one = Window.partitionBy("symbol").orderBy(*ORDER)
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)
-    rows = t.select("symbol", *ORDER, "quantity", signed.alias("sv"), (F.col("price_e4") - F.lag("price_e4").over(one)).cast("double").alias("dp"), F.avg("quantity").over(w100).alias("m"))
+    rows = t.select("symbol", *ORDER, "quantity", *[c for c in keep if c != "quantity"], signed.alias("sv"), (F.col("price_e4") - F.lag("price_e4").over(one)).cast("double").alias("dp"), F.avg("quantity").over(w100).alias("m"))
     seconds = (F.col("ts_ns") - F.min("ts_ns").over(ever)) / 1e9
     intensity = F.count("*").over(ever) / (seconds + 1)
     imbalance = F.sum("sv").over(ever) / F.sum("quantity").over(ever)
@@ -81,12 +81,12 @@ def flow_features(t: DataFrame) -> DataFrame:
     sx, sy, sxy, sxx = _sums(w50, v, F.col("dp"), v * F.col("dp"), v * v)
     slope = F.coalesce(ratio(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
     return rows.select(
-        "symbol", *ORDER, intensity.alias("trade_intensity"), (F.sum("quantity").over(ever) / (F.count("*").over(ever) + 1)).alias("avg_trade_size"), (F.count_if(F.col("quantity") > 2 * F.col("m")).over(w100) / 100).alias("large_trade_ratio"),
+        "symbol", *ORDER, *keep, intensity.alias("trade_intensity"), (F.sum("quantity").over(ever) / (F.count("*").over(ever) + 1)).alias("avg_trade_size"), (F.count_if(F.col("quantity") > 2 * F.col("m")).over(w100) / 100).alias("large_trade_ratio"),
         imbalance.alias("buy_sell_imbalance"), F.sum("sv").over(w100).cast("double").alias("signed_volume"), (F.abs(imbalance) * intensity / 100).alias("toxicity"), slope.alias("kyle_lambda"), intensity.alias("arrival_rate"),
     )
 
 
-def time_features(t: DataFrame) -> DataFrame:
+def time_features(t: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Time of day on a circle, day of the week, hours since the open (09:30) and to the close (16:00), season."""
     sec = day_second(F.col("ts_ns"))
     days = F.floor(F.col("ts_ns") / DAY)
@@ -94,7 +94,7 @@ def time_features(t: DataFrame) -> DataFrame:
     since, left = (sec - 34200) / 3600.0, (57600 - sec) / 3600.0
     year_day = F.dayofyear(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))
     return t.select(
-        "symbol", *ORDER, F.sin(angle).alias("time_sin"), F.cos(angle).alias("time_cos"), ((days + 4) % 7).cast("double").alias("day_of_week"), since.alias("since_open"), left.alias("to_close"),
+        "symbol", *ORDER, *keep, F.sin(angle).alias("time_sin"), F.cos(angle).alias("time_cos"), ((days + 4) % 7).cast("double").alias("day_of_week"), since.alias("since_open"), left.alias("to_close"),
         (F.exp(-F.greatest(since, F.lit(0.0)) / 2) + F.exp(-F.greatest(left, F.lit(0.0)) / 2)).alias("intraday"), F.sin(2 * np.pi * year_day / 365).alias("seasonal"), F.lit(0.0).alias("since_event"),
     )
 
@@ -143,45 +143,82 @@ def stat_features(t: DataFrame, n: int = 100) -> DataFrame:
     return rows.select("symbol", *ORDER, "n", "skewness", "kurtosis", bera.alias("jarque_bera"), entropy.alias("entropy"), "autocorrelation")
 
 
-def hurst(x: np.ndarray) -> float:
-    """Slope of log R/S over log n for windows of 4, 8 and 16; a half where it is undefined."""
-    points = []
-    for n in (4, 8, 16):
-        if len(x) < n:
-            break
-        parts = x[: len(x) // n * n].reshape(-1, n)
-        walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
-        sd = parts.std(axis=1)
+SPANS = (4, 8, 16)
+
+
+def hurst_rows(x: np.ndarray) -> np.ndarray:
+    """For each row of values: slope of log R/S over log n for windows of 4, 8 and 16; a half where it is undefined."""
+    logs = []
+    for n in SPANS:
+        if x.shape[1] < n:
+            logs.append(np.full(len(x), np.nan))
+            continue
+        parts = x[:, : x.shape[1] // n * n].reshape(len(x), -1, n)
+        walk = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
+        sd = parts.std(axis=2)
         ok = sd > 1e-12
-        if ok.any():
-            points.append((np.log(n), np.log(((walk.max(axis=1) - walk.min(axis=1))[ok] / sd[ok]).mean())))
-    if len(points) < 2:
-        return 0.5
-    a = np.array(points)
-    return float(np.clip(np.polyfit(a[:, 0], a[:, 1], 1)[0], 0.0, 1.0))
+        scaled = np.where(ok, (walk.max(axis=2) - walk.min(axis=2)) / np.where(ok, sd, 1.0), 0.0)
+        count = ok.sum(axis=1)
+        mean = scaled.sum(axis=1) / np.maximum(count, 1)
+        logs.append(np.where((count > 0) & (mean > 0), np.log(np.maximum(mean, 1e-300)), np.nan))
+    y = np.stack(logs, axis=1)
+    known = ~np.isnan(y)
+    at, count = np.log(np.array(SPANS, float))[None], np.maximum(known.sum(axis=1), 1)[:, None]
+    dx = np.where(known, at - np.where(known, at, 0).sum(axis=1, keepdims=True) / count, 0.0)
+    dy = np.where(known, y, 0.0) - np.where(known, y, 0.0).sum(axis=1, keepdims=True) / count
+    spread = (dx * dx).sum(axis=1)
+    slope = (dx * np.where(known, dy, 0.0)).sum(axis=1) / np.where(spread > 0, spread, 1.0)
+    return np.where(known.sum(axis=1) >= 2, np.clip(slope, 0.0, 1.0), 0.5)
+
+
+def lyapunov_rows(x: np.ndarray) -> np.ndarray:
+    """For each row of values the mean log growth of its changes; 0 without any."""
+    d = np.abs(np.diff(x, axis=1))
+    if d.shape[1] < 2:
+        return np.zeros(len(x))
+    ok = (d[:, :-1] > 1e-12) & (d[:, 1:] > 1e-12)
+    growth = np.where(ok, np.log(np.where(ok, d[:, 1:], 1.0) / np.where(ok, d[:, :-1], 1.0)), 0.0)
+    return growth.sum(axis=1) / np.maximum(ok.sum(axis=1), 1)
+
+
+def hurst(x: np.ndarray) -> float:
+    return float(hurst_rows(np.asarray(x, float)[None])[0]) if len(x) else 0.5
 
 
-def hurst_features(t: DataFrame, n: int = 100) -> DataFrame:
+def hurst_features(t: DataFrame, n: int = 100, block: int = 5000) -> DataFrame:
     """Hurst exponent, fractal dimension and a Lyapunov proxy (mean log growth of changes) of the last hundred returns."""
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(list(ORDER))
         price = g.price_e4.to_numpy(float)
         r = np.diff(np.log(np.where(price > 0, price, np.nan)))
-        out = []
-        for k in range(len(g)):
-            x = r[max(0, k - n) : k]
-            x = x[~np.isnan(x)]
-            d = np.abs(np.diff(x))
-            ok = (d[:-1] > 1e-12) & (d[1:] > 1e-12) if len(d) > 1 else np.zeros(0, bool)
-            out.append((hurst(x), float(np.log(d[1:][ok] / d[:-1][ok]).mean()) if ok.any() else 0.0))
-        h = pd.DataFrame(out, columns=["hurst", "lyapunov"], index=g.index)
-        return pd.concat([g[["symbol", *ORDER]], h.assign(fractal=2 - h.hurst)], axis=1)
+        h, l = np.full(len(g), 0.5), np.zeros(len(g))  # noqa: E741
+        if len(r) >= n:  # row k + n has the window r[k : k + n]
+            windows = np.lib.stride_tricks.sliding_window_view(r, n)
+            for a in range(0, len(windows), block):
+                h[a + n : a + n + block], l[a + n : a + n + block] = hurst_rows(windows[a : a + block]), lyapunov_rows(windows[a : a + block])
+        holes = np.concatenate([[0], np.cumsum(np.isnan(r))])
+        for k in range(len(g)):  # shorter windows, and those with a price of 0 in them
+            a = max(0, k - n)
+            if k < n or holes[k] > holes[a]:
+                x = r[a:k][~np.isnan(r[a:k])]
+                h[k], l[k] = (hurst_rows(x[None])[0], lyapunov_rows(x[None])[0]) if len(x) else (0.5, 0.0)
+        return pd.concat([g[["symbol", *ORDER]], pd.DataFrame({"hurst": h, "lyapunov": l, "fractal": 2 - h}, index=g.index)], axis=1)
 
     return t.select("symbol", *ORDER, "price_e4").groupBy("symbol").applyInPandas(walk, "symbol long, ts_ns long, trade_seq long, hurst double, lyapunov double, fractal double")
 
 
-def lookback_features(t: DataFrame) -> DataFrame:
+def spread_features(t: DataFrame, q: DataFrame) -> DataFrame:
+    """Mean and deviation of the spreads of the last quotes up to each trade, over each lookback; 0 without a quote."""
+    gap = (F.col("ask_e4") - F.col("bid_e4")).cast("double")
+    w = lambda n: rows_back(n, "symbol", order=("ts_ns", "quote_seq"))
+    rich = q.select("symbol", "ts_ns", "quote_seq", *[f(gap).over(w(n)).alias(f"spread_{k}_{n}") for n in LOOKBACKS for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    names = [f"spread_{k}_{n}" for n in LOOKBACKS for k in ("mean", "std")]
+    rows = asof(t.select("symbol", *ORDER), rich, ["symbol"], F.col("ts_ns"), F.col("ts_ns"), ["quote_seq"], {n: n for n in names}, DAY)
+    return rows.select("symbol", *ORDER, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
+def lookback_features(t: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mean, deviation and index percentiles of price, mean and deviation of volume, over each lookback."""
     p, q = F.col("price_e4").cast("double"), F.col("quantity").cast("double")
     out = []
@@ -190,14 +227,17 @@ def lookback_features(t: DataFrame) -> DataFrame:
         s = F.sort_array(F.collect_list("price_e4").over(w))
         at = lambda share, s=s: F.element_at(s, F.floor((F.size(s) - 1) * share).cast("int") + 1)
         out += [F.avg(p).over(w).alias(f"price_mean_{n}"), F.stddev_pop(p).over(w).alias(f"price_std_{n}"), at(0.95).alias(f"price_p95_{n}"), at(0.05).alias(f"price_p05_{n}"), F.avg(q).over(w).alias(f"volume_mean_{n}"), F.stddev_pop(q).over(w).alias(f"volume_std_{n}")]
-    return t.select("symbol", *ORDER, *out)
+    return t.select("symbol", *ORDER, *keep, *out)
 
 
 def feature_vector(t: DataFrame, q: DataFrame) -> DataFrame:
     """All groups side by side as one array of 128 doubles, in the catalogue's order; what is not computed is 0."""
     on = ["symbol", *ORDER]
-    rows = t.select(*on)
-    for part in (micro_features(t, q), flow_features(t), price_features(t), volume_features(t), time_features(t), stat_features(t).drop("n"), hurst_features(t), lookback_features(t)):
+    base = ("side", "price_e4", "quantity")
+    rows = t.select(*on, *base)
+    for part in (price_features, volume_features, flow_features, lookback_features, time_features):  # one order of rows, one exchange
+        rows = part(rows, tuple(c for c in rows.columns if c not in on))
+    for part in (micro_features(t, q), spread_features(t, q), stat_features(t).drop("n"), hurst_features(t)):
         rows = rows.join(part, on, "left")
     c = F.col
     state = F.when(c("volatility_1m") > 2 * c("volatility_5m"), 2.0).when(c("buy_sell_imbalance") > 0.5, 1.0).otherwise(0.0)
@@ -206,7 +246,7 @@ def feature_vector(t: DataFrame, q: DataFrame) -> DataFrame:
         "drift": F.abs("momentum") * c("volume_rate"), "refill": c("large_trade_ratio") * c("concentration"), "clustering": F.coalesce("autocorrelation", F.lit(0.0)) * c("participation"),
     }
     named = [F.lit(0.0) if g == "cross" else derived[n] if g == "derived" else c(n) for g, names in NAMES.items() for n in names]
-    late = [c(f"{k}_{n}") for n in LOOKBACKS for k in ("price_mean", "price_std", "price_p95", "price_p05", "volume_mean", "volume_std")]
+    late = [c(f"{k}_{n}") for n in LOOKBACKS for k in ("price_mean", "price_std", "price_p95", "price_p05", "volume_mean", "volume_std", "spread_mean", "spread_std")]
     values = [F.coalesce(v.cast("double"), F.lit(0.0)) for v in [*named, *late]]
     return rows.select(*on, F.array(*values, *[F.lit(0.0)] * (WIDTH - len(values))).alias("features"))
 
@@ -235,6 +275,7 @@ QUERIES = {
     "features_micro": _round(micro_features, 4, two=True),
     "features_stat": _round(stat_features, 4),
     "features_lookback": _round(lookback_features, 3),
+    "features_spread": _round(spread_features, 3, two=True),
     "features_hurst": lambda spark, sf: hurst_features(trades(spark, sf)),
     "feature_vector": lambda spark, sf: feature_vector(trades(spark, sf), quotes(spark, sf)),
 }
@@ -273,6 +314,11 @@ SELECT symbol, trade_seq, round((ask_e4 - bid_e4) / 10000, 4) AS spread, round(c
         for n in LOOKBACKS
     )
     + " FROM trades",
+    "features_spread": f"WITH {TICKS_SQL}, r AS (SELECT symbol, ts_ns, "
+    + ", ".join(f"avg((ask_e4 - bid_e4)::DOUBLE) OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}, stddev_pop((ask_e4 - bid_e4)::DOUBLE) OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS s{n}" for n in LOOKBACKS)
+    + " FROM quotes) SELECT t.symbol, trade_seq, "
+    + ", ".join(f"round(coalesce(m{n}, 0), 3) AS spread_mean_{n}, round(coalesce(s{n}, 0), 3) AS spread_std_{n}" for n in LOOKBACKS)
+    + " FROM trades t ASOF LEFT JOIN r ON t.symbol = r.symbol AND t.ts_ns >= r.ts_ns",
     "features_stat": f"""WITH {TICKS_SQL}, a AS (SELECT symbol, ts_ns, trade_seq, ln(nullif(price_e4, 0)::DOUBLE / nullif(lag(price_e4) OVER {_ONE}, 0)) AS r FROM trades), b AS (SELECT *, lag(r) OVER {_ONE} AS r0 FROM a),
 c AS (SELECT symbol, ts_ns, trade_seq, r, count(r) OVER w AS n, sum(r) OVER w AS s1, sum(r * r) OVER w AS s2, sum(r * r * r) OVER w AS s3, sum(r * r * r * r) OVER w AS s4, sum(r * r0) OVER w AS c1, sum(r0) OVER w AS c0, min(r) OVER w AS lo, max(r) OVER w AS hi, list(r) OVER w AS rs
   FROM b WHERE r IS NOT NULL WINDOW w AS {_over(100)}),

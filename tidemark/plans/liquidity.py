@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import price_bucket, ratio, rows_back, span_back, up_to_now
+from tidemark.operators.blocks import blocked
 from tidemark.plans.trading import SQL as TRADING_SQL
 from tidemark.plans.trading import tqr_anomaly
 from tidemark.sources.adapters import DAILY_SQL, HOUR, MINUTE, TICKS_SQL, books, daily_trades, orders, quotes, trades
@@ -45,10 +46,10 @@ def book_levels(b: DataFrame) -> DataFrame:
 def book_pressure(b: DataFrame) -> DataFrame:
     """Weighted imbalances of the window, newest first, fading by 0.95 each; build-up: the last five strong pressures
     exceed the average of those before by half."""
-    w = span_back(FLOW_WINDOW, "symbol")
     rows = book_levels(b).select("symbol", "quote_seq", "ts_ns", "visible", F.round("weighted", 9).alias("weighted"))
-    rows = rows.withColumn("_h", F.slice(F.reverse(F.collect_list("weighted").over(w)), 1, PRESSURE_TERMS))
-    total = F.aggregate(F.transform("_h", lambda x, i: x * F.pow(F.lit(PRESSURE_DECAY), i.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("_h", F.reverse(F.collect_list(F.struct("ts_ns", "weighted")).over(rows_back(PRESSURE_TERMS, "symbol", order=("ts_ns", "quote_seq")))))
+    recent_ones = F.filter("_h", lambda x: x["ts_ns"] >= F.col("ts_ns") - FLOW_WINDOW)
+    total = F.aggregate(F.transform(recent_ones, lambda x, i: x["weighted"] * F.pow(F.lit(PRESSURE_DECAY), i.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("signed", F.round(total, 6)).withColumn("pressure", F.abs("signed"))
     strong = rows.where("pressure > 0.5")
     recent, older = rows_back(5, "symbol", order=("ts_ns", "quote_seq")), Window.partitionBy("symbol").orderBy("ts_ns", "quote_seq").rowsBetween(-999, -5)
@@ -91,8 +92,8 @@ def flow_ratio(b: DataFrame, t: DataFrame) -> DataFrame:
     buy = F.col("side") == "BUY"
     rows = book_levels(b).select("symbol", "quote_seq", "ts_ns", "visible")
     rows = rows.unionByName(t.select("symbol", "ts_ns", F.when(buy, F.col("quantity")).otherwise(0).alias("b"), F.when(buy, 0).otherwise(F.col("quantity")).alias("s"), F.when(F.col("is_hidden"), F.col("quantity")).otherwise(0).alias("h")), allowMissingColumns=True)
-    w = span_back(FLOW_WINDOW, "symbol")
-    rows = rows.select("symbol", "quote_seq", "visible", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in (("b", "bought"), ("s", "sold"), ("h", "hidden"))]).where("quote_seq is not null")
+    rows, w, _ = blocked(rows, ["symbol"], "ts_ns", FLOW_WINDOW)
+    rows = rows.select("symbol", "quote_seq", "visible", "_own", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in (("b", "bought"), ("s", "sold"), ("h", "hidden"))]).where("_own and quote_seq is not null")
     flow = F.col("bought") + F.col("sold")
     value = F.coalesce(ratio(flow, F.col("visible")) * (1 + F.coalesce(ratio(F.col("hidden"), flow), F.lit(0.0))), F.lit(1.0))
     return rows.select("symbol", "quote_seq", F.round(value, 6).alias("hidden_ratio"))
@@ -385,6 +386,8 @@ def pin_history(t: DataFrame, days: int = 10, least: int = 100, period: str = "d
 # -- self-excitation --------------------------------------------------------------------------------------------------
 
 MU, ALPHA, CROSS, BETA, HAWKES_KEPT = 0.5, 0.3, 0.1, 0.1, 1000
+#: After so long an event has faded by exp(-40).
+FADED = 400 * MINUTE
 
 
 def _seconds(ns: Column) -> Column:
@@ -396,23 +399,16 @@ def hawkes_events(t: DataFrame) -> DataFrame:
     return t.select("symbol", "trade_seq", "ts_ns", F.when(F.col("side") == "BUY", "BUY").otherwise("SELL").alias("side"), F.log1p(F.col("quantity") / 1000).alias("m"))
 
 
-def hawkes_intensity(t: DataFrame, keep: int = HAWKES_KEPT) -> DataFrame:
-    """Intensities just before each event from the events before it. Each side's decayed sum follows a recurrence, so a
-    symbol is one pass; events further back than `keep` have faded out of double precision long before they are left out."""
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_ns", "trade_seq"])
-        ts, m, buys = g.ts_ns.to_numpy(), g.m.to_numpy(), (g.side == "BUY").to_numpy()
-        fade = np.exp(-BETA * np.diff(ts, prepend=ts[:1]) / MINUTE)
-        state, out = np.zeros(2), np.empty((len(g), 2))
-        for k in range(len(g)):
-            state *= fade[k]
-            out[k] = state
-            state[0 if buys[k] else 1] += m[k] * BETA
-        buy, sell = MU + ALPHA * out[:, 0] + CROSS * out[:, 1], MU + ALPHA * out[:, 1] + CROSS * out[:, 0]
-        return pd.DataFrame({"symbol": g.symbol, "trade_seq": g.trade_seq, "buy": buy.round(5), "sell": sell.round(5), "buy_share": (buy / (buy + sell)).round(5)})
-
-    return hawkes_events(t).groupBy("symbol").applyInPandas(walk, "symbol long, trade_seq long, buy double, sell double, buy_share double")
+def hawkes_intensity(t: DataFrame) -> DataFrame:
+    """Intensities just before each event from earlier ones. Each side's sum of decayed sizes is a sum of sizes that grow
+    with the time since a block began, divided by the growth up to the event; what is older than FADED has left double
+    precision (exp(-40)), so blocks of that length hold all that counts."""
+    rows, w, age = blocked(hawkes_events(t), ["symbol"], "ts_ns", FADED, least=1)
+    grown = F.col("m") * BETA * F.exp(BETA * age / float(MINUTE))
+    past = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, grown)).over(w), F.lit(0.0)) * F.exp(-BETA * age / float(MINUTE))
+    rows = rows.select("symbol", "trade_seq", "_own", past("BUY").alias("b"), past("SELL").alias("s")).where("_own")
+    buy, sell = MU + ALPHA * F.col("b") + CROSS * F.col("s"), MU + ALPHA * F.col("s") + CROSS * F.col("b")
+    return rows.select("symbol", "trade_seq", F.round(buy, 5).alias("buy"), F.round(sell, 5).alias("sell"), F.round(buy / (buy + sell), 5).alias("buy_share"))
 
 
 def hawkes_calibration(t: DataFrame) -> DataFrame:
@@ -441,14 +437,15 @@ def hawkes_forecast(t: DataFrame, steps: int = 10, dt: float = 5.0) -> DataFrame
 
 
 def hawkes_grid(t: DataFrame, points: int = 100, step: int = 400 * MINUTE) -> DataFrame:
-    """Total intensity on a regular grid that ends with the symbol's last event, from the events of 4000 minutes before."""
+    """Total intensity on a regular grid that ends with the symbol's last event, from all earlier events that have not faded."""
     e = hawkes_events(t)
     ends = e.groupBy("symbol").agg(F.max("ts_ns").alias("end"))
     grid = ends.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "end").withColumn("at", F.col("end") - (points - 1 - F.col("point")) * F.lit(step))
     rows = grid.select("symbol", F.col("at").alias("ts_ns"), "point").unionByName(e.select("symbol", "ts_ns", "m"), allowMissingColumns=True)
-    past = Window.partitionBy("symbol").orderBy("ts_ns").rangeBetween(-4000 * MINUTE, -1)
-    rows = rows.withColumn("_e", F.collect_list(F.when(F.col("m").isNotNull(), F.struct("ts_ns", "m"))).over(past)).where("point is not null")
-    sums = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["m"] * BETA * F.exp(-BETA * _seconds(F.col("ts_ns") - x["ts_ns"])))
+    rows, past, age = blocked(rows, ["symbol"], "ts_ns", FADED, least=1)
+    grown = F.coalesce(F.sum(F.col("m") * BETA * F.exp(BETA * age / float(MINUTE))).over(past), F.lit(0.0))
+    rows = rows.select("symbol", "point", "_own", (grown * F.exp(-BETA * age / float(MINUTE))).alias("_sum")).where("_own and point is not null")
+    sums = F.col("_sum")
     return rows.select("symbol", F.col("point").cast("long").alias("point"), F.round(2 * MU + (ALPHA + CROSS) * sums, 5).alias("total"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import earlier, mid, ratio, rows_back, signed_change, span_back, spread_pop, up_to_now
-from tidemark.operators.asof import asof
+from tidemark.functions.scalar import earlier, mid, ratio, rows_back, signed_change, spread_pop, up_to_now
+from tidemark.operators.asof import Lookup, asof, asof_many
+from tidemark.operators.blocks import blocked
 from tidemark.sources.adapters import DAILY_SQL, HOUR, MINUTE, TICKS_SQL, daily_trades, quotes, trades
 
 DAY = 24 * HOUR
@@ -35,14 +36,14 @@ def tqr_patterns(t: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def tqr_decayed(t: DataFrame, q: DataFrame, window: int = TQR_WINDOW, decay: int = TQR_DECAY, least: int = TQR_LEAST) -> DataFrame:
-    """At each trade: traded quantity over quoted size that fades with age, within the window."""
+    """At each trade: traded quantity over quoted size that fades with age, within the window. (The window must not be
+    longer than some hundreds of `decay`, or the powers leave the range of doubles.)"""
     rows = t.select("symbol", "ts_ns", "trade_seq", "quantity", F.lit(None).cast("long").alias("size"))
     rows = rows.unionByName(q.select("symbol", "ts_ns", F.lit(None).cast("long").alias("trade_seq"), F.lit(None).cast("long").alias("quantity"), (F.col("bid_size") + F.col("ask_size")).alias("size")))
-    w = span_back(window, "symbol")
-    quoted = F.collect_list(F.when(F.col("size").isNotNull(), F.struct("ts_ns", "size"))).over(w)
-    rows = rows.select("*", F.sum("quantity").over(w).alias("traded"), F.count("trade_seq").over(w).alias("n_trades"), F.count("size").over(w).alias("n_quotes"), quoted.alias("_q")).where("trade_seq is not null")
-    faded = F.aggregate("_q", F.lit(0.0), lambda a, x: a + x["size"] * F.exp((x["ts_ns"] - F.col("ts_ns")) / float(decay)))
-    rows = rows.withColumn("quoted", faded)
+    rows, w, age = blocked(rows, ["symbol"], "ts_ns", window)
+    growth = F.col("size") * F.exp(age / float(decay))  # by the time since the block began: the fading is put back below
+    rows = rows.select("*", F.sum("quantity").over(w).alias("traded"), F.count("trade_seq").over(w).alias("n_trades"), F.count("size").over(w).alias("n_quotes"), F.coalesce(F.sum(growth).over(w), F.lit(0.0)).alias("_grown"), age.alias("_age"))
+    rows = rows.where("_own and trade_seq is not null").withColumn("quoted", F.col("_grown") * F.exp(-F.col("_age") / float(decay)))
     value = F.when((F.col("n_trades") >= least) & (F.col("n_quotes") > 0), F.col("traded") / F.col("quoted")).otherwise(0.0)
     return rows.select("symbol", "trade_seq", "ts_ns", "n_trades", "n_quotes", F.round(value, 6).alias("tqr"))
 
@@ -96,9 +97,15 @@ def with_arrival(t: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def with_post(t: DataFrame, q: DataFrame) -> DataFrame:
-    """And the first quote later than POST after it; without one, the trade's own mid."""
-    rows = asof(with_arrival(t, q), q, ["symbol"], F.col("ts_ns") + POST, F.col("ts_ns"), ["quote_seq"], {"bid_e4": "bid_e4", "ask_e4": "ask_e4"}, DAY, forward=True, equal=False)
-    return rows.withColumn("post", F.coalesce(mid(), F.col("mid"))).drop("bid_e4", "ask_e4")
+    """The mid at each trade, the one that was current ARRIVAL before (as with_arrival), and that of the first quote later
+    than POST after it (without one, the trade's own mid): three lookups in one pass."""
+    ts = F.col("ts_ns")
+    lookups = [Lookup("_now", ts), Lookup("_before", ts - ARRIVAL), Lookup("_after", ts + POST, forward=True, equal=False)]
+    rows = asof_many(t, q, ["symbol"], ["trade_seq"], lookups, ts, ["quote_seq"], ["bid_e4", "ask_e4", F.col("ts_ns").alias("at")], DAY)
+    middle = lambda c: F.expr(f"({c}.bid_e4 + {c}.ask_e4) div 2")
+    rows = rows.withColumn("mid", F.coalesce(middle("_now"), F.col("price_e4"))).withColumn("quote_ts", F.col("_now.at"))
+    kept = F.col("_before.at") >= F.col("quote_ts") - ARRIVAL_KEPT
+    return rows.withColumn("arrival", F.coalesce(F.when(kept, middle("_before")), F.col("mid"))).withColumn("post", F.coalesce(middle("_after"), F.col("mid"))).drop("_now", "_before", "_after")
 
 
 def slippage_components(t: DataFrame, q: DataFrame, decay: float = 0.95) -> DataFrame:
@@ -177,8 +184,8 @@ def tick_rule(t: DataFrame) -> DataFrame:
 
 def large_threshold(t: DataFrame, window: int = 20 * HOUR, share: float = 0.95) -> DataFrame:
     """At each trade: the quantity at index floor(n * share) of the sorted ones in the window (the largest at the end)."""
-    sizes = F.sort_array(F.collect_list("quantity").over(span_back(window, "symbol")))
-    rows = t.select("symbol", "trade_seq", "ts_ns", sizes.alias("s"))
+    own, w, _ = blocked(t.select("symbol", "trade_seq", "ts_ns", "quantity"), ["symbol"], "ts_ns", window)
+    rows = own.select("symbol", "trade_seq", "ts_ns", "_own", F.sort_array(F.collect_list("quantity").over(w)).alias("s")).where("_own")
     n = F.size("s")
     return rows.select("symbol", "trade_seq", n.cast("long").alias("n"), F.element_at("s", F.least(n, F.floor(n * share).cast("int") + 1)).alias("p95"))
 

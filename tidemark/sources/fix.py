@@ -17,9 +17,10 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def field(tag: int, message: Column | None = None) -> Column:
-    """The tag's text; null if it does not occur."""
-    found = F.regexp_extract(F.col("value") if message is None else message, f"(?:^|{SOH}){tag}=([^{SOH}]+)", 1)
-    return F.nullif(found, F.lit(""))
+    """The tag's text; null if it does not occur or is empty. Found by searching the bytes, without a regular expression."""
+    text = F.concat(F.lit(SOH), F.col("value") if message is None else message)
+    start = F.instr(text, F.lit(f"{SOH}{tag}="))
+    return F.when(start > 0, F.nullif(F.substring_index(F.substr(text, start + len(f"{SOH}{tag}=")), SOH, 1), F.lit("")))
 
 
 def day_ns(text: Column) -> Column:
@@ -34,14 +35,13 @@ def sent_at(text: Column) -> Column:
 
 
 def checksum(message: Column) -> Column:
-    """Sum of all bytes, modulo 256, from the hex text of the message."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(message, "UTF-8")), F.lit("(..)"), 1)
-    return F.aggregate(F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) % 256
+    """Sum of all bytes, modulo 256: each byte as a character of its own, whose number is added up."""
+    return F.aggregate(F.split(F.decode(F.encode(message, "UTF-8"), "ISO-8859-1"), ""), F.lit(0), lambda a, x: a + F.ascii(x)) % 256
 
 
 def checksum_ok(message: Column) -> Column:
     """Whether field 10 holds the checksum of all that comes before it."""
-    body = F.regexp_extract(message, f"^(.*{SOH})10=", 1)
+    body = F.concat(F.substring_index(message, f"{SOH}10=", 1), F.lit(SOH))
     return F.coalesce(checksum(body) == field(10, message).try_cast("long"), F.lit(False))
 
 
