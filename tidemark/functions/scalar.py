@@ -58,6 +58,11 @@ def power_kernel(age_s: Column, exponent: float = 1.1) -> Column:
     return F.pow(1 + age_s, F.lit(-exponent))
 
 
+def poisson_pmf(k: Column, rate: float) -> Column:
+    """Poisson mass of a count up to 20, by logarithms."""
+    return F.exp(k * F.ln(F.lit(rate)) - rate) / F.factorial(k)
+
+
 def day_second(ts_ns: Column) -> Column:
     return (ts_ns / NS).cast("long") % 86400
 

@@ -146,9 +146,12 @@ def market_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heatmap_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Each symbol's cells, intensities as 0 to 255, ordered by age and price."""
-    cells = liquidity.heatmap_cells(trades(spark, sf)).select("symbol", F.struct("age", "cell", F.floor(F.col("intensity") * 255).alias("i")).alias("c"))
-    return cells.groupBy("symbol").agg(F.to_json(F.sort_array(F.collect_list("c"))).alias("json"))
+    """Each symbol's grid: its size, the labels of the price cells that occur (percent from the reference price), and the
+    cells with intensities as 0 to 255, ordered by age and price. A grid has 6000 cells at most."""
+    cells = liquidity.heatmap_cells(trades(spark, sf)).select("symbol", "cell", F.struct("age", "cell", F.floor(F.col("intensity") * 255).alias("i")).alias("c"))
+    grids = cells.groupBy("symbol").agg(F.sort_array(F.collect_list("c")).alias("cells"), F.sort_array(F.collect_set("cell")).alias("at"))
+    labels = F.transform("at", lambda c: F.concat((c - 50).cast("string"), F.lit("%")))
+    return grids.select("symbol", F.to_json(F.struct(F.lit(60).alias("rows"), F.lit(100).alias("columns"), labels.alias("labels"), "cells")).alias("json"))
 
 
 def message_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,6 +176,7 @@ QUERIES = {
     "fix_checksums": fix_checksums,
     "itch_parse": itch_parse,
     "itch_orders": itch_order_parse,
+    "itch_types": lambda spark, sf: binary.itch_types(binary.write_itch(events(spark, sf))),
     "ouch_parse": ouch_parse,
     "anomalies_exact": anomalies_exact,
     "anomalies_all": anomalies_all,
@@ -216,13 +220,14 @@ SELECT kind, CASE WHEN kind <> 'QUOTE' THEN seq::VARCHAR END AS order_id_str, CA
     "itch_parse": f"""WITH {TICKS_SQL}, x AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS sd FROM ev)
 SELECT seq * 2 AS seq, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 AS ts_ns, sd AS side FROM x WHERE event_type IN ('purchase', 'click')
 UNION ALL SELECT seq * 2 + 1, seq, 'SYM' || symbol, price_e4, (k + 1) * 100, ts_ns % 86400000000000, sd FROM x WHERE event_type = 'signup' AND k % 4 < 2""",
+    "itch_types": f"""WITH {TICKS_SQL}, x AS (SELECT CASE WHEN event_type = 'signup' THEN 'A' WHEN event_type IN ('purchase', 'click') THEN 'P' ELSE 'X' END AS type FROM ev UNION ALL SELECT 'E' FROM ev WHERE event_type = 'signup' AND k % 4 < 2) SELECT type, count(*) AS n FROM x GROUP BY type""",
     "itch_orders": f"WITH {TICKS_SQL} SELECT seq * 2 AS seq, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 AS ts_ns, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM ev WHERE event_type = 'signup'",
     "ouch_parse": f"WITH {TICKS_SQL} SELECT seq * 2 + 1 AS seq, seq AS token, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 + 1000 AS ts_ns, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, k % 3 = 0 AS is_hidden FROM ev WHERE event_type = 'signup' AND k % 4 < 2",
     "anomalies_exact": f"WITH {_ANOMALIES_SQL} SELECT * FROM ax",
     "anomalies_json": f"""WITH {_ANOMALIES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, detector, type) - 1 AS sequence FROM ax)
 SELECT symbol, ts_ns, '{{"type":"anomaly","timestamp":' || ts_ns || ',"sequence":' || sequence || ',"data":{{"symbol":' || symbol || ',"detector":"' || detector || '","type":"' || type || '","confidence":"' || {_six_sql('confidence')} || '"' || coalesce(',"magnitude":"' || {_six_sql('magnitude')} || '"', '') || ',"description":"' || description || '"}}}}' AS json FROM n""",
     "heatmap_json": f"""WITH h AS (SELECT symbol, age, cell, CAST(floor(intensity * 255) AS BIGINT) AS i FROM {_sub('heatmap_cells', liquidity)})
-SELECT symbol, '[' || string_agg('{{"age":' || age || ',"cell":' || cell || ',"i":' || i || '}}', ',' ORDER BY age, cell, i) || ']' AS json FROM h GROUP BY symbol""",
+SELECT symbol, '{{"rows":60,"columns":100,"labels":[' || list_aggregate(list_transform(list_sort(list_distinct(list(cell))), lambda c: '"' || (c - 50) || '%"'), 'string_agg', ',') || '],"cells":[' || string_agg('{{"age":' || age || ',"cell":' || cell || ',"i":' || i || '}}', ',' ORDER BY age, cell, i) || ']}}' AS json FROM h GROUP BY symbol""",
     "market_json": f"""WITH {TICKS_SQL} SELECT trade_seq, '{{"symbol":' || symbol || ',"price":"' || (price_e4 // 10000) || '.' || lpad((price_e4 % 10000)::VARCHAR, 4, '0') || '","quantity":' || quantity || '}}' AS json FROM trades""",
     "message_union": f"WITH {TICKS_SQL} SELECT 'TRADE' AS msg_type, symbol, count(*) AS n, min(ts_ns) AS first_ts FROM trades GROUP BY symbol UNION ALL SELECT 'QUOTE', symbol, count(*), min(ts_ns) FROM quotes GROUP BY symbol UNION ALL SELECT 'BOOK', symbol, count(*), min(ts_ns) FROM quotes GROUP BY symbol",
     "vpin_by_month": f"""WITH {liquidity._VPIN_SQL}, e AS (SELECT symbol, bucket, max(day) AS day FROM vb GROUP BY ALL) SELECT symbol, strftime(day, '%Y-%m') AS month, count(*) AS buckets FROM e GROUP BY ALL""",

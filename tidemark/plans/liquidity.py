@@ -519,10 +519,11 @@ def top_symbols(t: DataFrame, found: DataFrame, n: int = 5) -> DataFrame:
     return sums.select("symbol", "volume", "trades", "hidden", "anomalies", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "symbol").limit(n)
 
 
-def activity_profile(t: DataFrame) -> DataFrame:
-    """Volume and trades by hour of the day and venue."""
-    sums = t.groupBy(F.expr(f"ts_ns div {HOUR} % 24").alias("hour"), "venue").agg(F.sum("quantity").alias("volume"), F.count("*").alias("trades"))
-    return sums.select("hour", "venue", "volume", "trades", F.round(F.col("volume") / F.sum("volume").over(Window.partitionBy("hour")), 6).alias("venue_share"), F.round(F.col("trades") / 3600, 6).alias("per_second"))
+def activity_profile(t: DataFrame, found: DataFrame) -> DataFrame:
+    """Volume, trades and findings (trade_seq) by hour of the day and venue."""
+    marked = t.join(found.select("trade_seq", F.lit(1).alias("_found")), "trade_seq", "left")
+    sums = marked.groupBy(F.expr(f"ts_ns div {HOUR} % 24").alias("hour"), "venue").agg(F.sum("quantity").alias("volume"), F.count("*").alias("trades"), F.count("_found").alias("anomalies"))
+    return sums.select("hour", "venue", "volume", "trades", "anomalies", F.round(F.col("volume") / F.sum("volume").over(Window.partitionBy("hour")), 6).alias("venue_share"), F.round(F.col("trades") / 3600, 6).alias("per_second"))
 
 
 def _t(f):
@@ -576,7 +577,7 @@ QUERIES = {
     "heatmap_cells": _t(heatmap_cells),
     "heatmap_summary": _t(heatmap_summary),
     "heatmap_top_symbols": lambda spark, sf: top_symbols(trades(spark, sf), tqr_anomaly(trades(spark, sf), quotes(spark, sf))),
-    "activity_profile": _t(activity_profile),
+    "activity_profile": lambda spark, sf: activity_profile(trades(spark, sf), tqr_anomaly(trades(spark, sf), quotes(spark, sf))),
 }
 SQL = {
     "book_levels": f"""WITH {_BOOKS_SQL} SELECT symbol, quote_seq, b + a AS visible, a0 - b0 AS spread_e4, round((bq0 - aq0) / (bq0 + aq0), 5) AS l1, round((b - a) / (b + a), 5) AS depth, round((wb - wa) / (wb + wa), 5) AS weighted,
@@ -590,6 +591,22 @@ SELECT symbol, quote_seq, b / a > 2 OR b / a < 0.5 AS unbalanced, (b + a - bq0 -
     "book_anomaly": f"""WITH {_PRESSURE_SQL}, nn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, quote_seq) AS n FROM pr JOIN fr USING (symbol, quote_seq))
 SELECT symbol, quote_seq, round(0.3::DOUBLE + CASE WHEN hidden_ratio > 2 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN buildup THEN 0.3::DOUBLE ELSE 0 END, 6) AS confidence, pressure AS magnitude, round(abs(weighted) * hidden_ratio * 10000, 2) AS hidden
 FROM nn WHERE n >= 10 AND abs(weighted) > 0.7 AND (hidden_ratio > 2 OR buildup)""",
+    "book_flow_anchored": f"""WITH RECURSIVE {TICKS_SQL}, s AS (SELECT symbol, min(ts_ns) AS start FROM trades GROUP BY symbol
+  UNION ALL SELECT * FROM (SELECT s.symbol, (SELECT min(t.ts_ns) FROM trades t WHERE t.symbol = s.symbol AND t.ts_ns > s.start + {FLOW_WINDOW}) AS start FROM s) n WHERE start IS NOT NULL),
+x AS (SELECT t.*, s.start AS window_start FROM trades t ASOF JOIN s ON t.symbol = s.symbol AND t.ts_ns >= s.start)
+SELECT symbol, trade_seq, ts_ns, window_start, sum(CASE WHEN side = 'BUY' THEN quantity ELSE 0 END) OVER w::BIGINT AS bought, sum(CASE WHEN side <> 'BUY' THEN quantity ELSE 0 END) OVER w::BIGINT AS sold, sum(CASE WHEN is_hidden THEN quantity ELSE 0 END) OVER w::BIGINT AS hidden
+FROM x WINDOW w AS (PARTITION BY symbol, window_start ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)""",
+    "vpin_exact": f"""WITH RECURSIVE {DAILY_SQL}, p AS (SELECT symbol, price_e4, quantity, date_diff('day', DATE '1970-01-01', day) AS d, row_number() OVER w AS n, sum(quantity) OVER w::BIGINT AS upto FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY {', '.join(DAY_ORDER)} ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT symbol, 0 AS bucket, 1 AS first, (SELECT min(q.n) FROM p q WHERE q.symbol = p.symbol AND (q.upto >= {BUCKET} OR q.d - p.d > 60)) AS last FROM p WHERE n = 1
+  UNION ALL SELECT * FROM (SELECT a.symbol, b.bucket + 1, b.last + 1, (SELECT min(q.n) FROM p q WHERE q.symbol = a.symbol AND q.n > b.last AND (q.upto - e.upto >= {BUCKET} OR q.d - a.d > 60)) FROM b JOIN p e ON e.symbol = b.symbol AND e.n = b.last JOIN p a ON a.symbol = b.symbol AND a.n = b.last + 1) x),
+r AS (SELECT p.*, b.bucket, b.last IS NOT NULL AS complete FROM p JOIN b ON p.symbol = b.symbol AND p.n >= b.first AND p.n <= coalesce(b.last, 9223372036854775807)),
+m AS (SELECT symbol, bucket, min(price_e4) AS lo, CAST(trunc((max(price_e4) - min(price_e4)) * 0.01::DOUBLE) AS BIGINT) AS step, max(price_e4) AS hi, sum(quantity)::BIGINT AS volume, count(*) AS trades, bool_and(complete) AS complete FROM r GROUP BY ALL),
+l AS (SELECT r.*, lo, step, CASE WHEN step = 0 THEN CASE WHEN price_e4 <= lo THEN 0 ELSE 1 END ELSE (price_e4 - lo + step - 1) // step END AS at_, CASE WHEN step = 0 THEN 1 ELSE (hi - lo) // step + 1 END AS levels FROM r JOIN m USING (symbol, bucket)),
+v AS (SELECT symbol, bucket, at_, sum(quantity)::DOUBLE AS v FROM l WHERE at_ < levels GROUP BY ALL),
+c AS (SELECT *, sum(v) OVER (PARTITION BY symbol, bucket ORDER BY at_ ROWS UNBOUNDED PRECEDING) AS c, sum(v) OVER (PARTITION BY symbol, bucket) AS total FROM v),
+k AS (SELECT symbol, bucket, min(at_) AS middle FROM c WHERE c >= total * 0.5 GROUP BY ALL),
+f AS (SELECT symbol, bucket, coalesce(sum(quantity) FILTER (at_ < levels AND at_ > middle), 0)::DOUBLE AS buy, coalesce(sum(quantity) FILTER (at_ < levels AND at_ <= middle), 0)::DOUBLE AS sell FROM l JOIN k USING (symbol, bucket) GROUP BY ALL)
+SELECT symbol, bucket, volume, trades, buy, sell, abs(buy - sell) / volume AS imbalance, complete FROM m JOIN f USING (symbol, bucket)""",
     "refill_patterns": f"WITH {_REFILL_SQL} SELECT * FROM rf",
     "icebergs": f"WITH {_REFILL_SQL} SELECT * FROM ic",
     "iceberg_best": f"""WITH {_REFILL_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence * estimated DESC, level, side DESC) AS k FROM ic)
@@ -625,6 +642,6 @@ SELECT symbol, arg_min(price_e4, ts_ns) AS center, sum(quantity)::BIGINT AS volu
     "heatmap_top_symbols": f"""WITH {TICKS_SQL}, s AS (SELECT symbol, sum(quantity)::BIGINT AS volume, count(*) AS trades, coalesce(sum(quantity) FILTER (is_hidden), 0)::BIGINT AS hidden FROM trades GROUP BY symbol),
 a AS (SELECT symbol, count(*) AS anomalies FROM ({TRADING_SQL['tqr_anomaly']}) GROUP BY symbol), j AS (SELECT s.*, coalesce(anomalies, 0) AS anomalies FROM s LEFT JOIN a USING (symbol))
 SELECT *, round(ln(1 + volume) + ln(1 + trades) + 10 * anomalies + 100 * hidden / (volume + 1), 6) AS score FROM j ORDER BY score DESC, symbol LIMIT 5""",
-    "activity_profile": f"""WITH {TICKS_SQL}, s AS (SELECT ts_ns // {HOUR} % 24 AS hour, venue, sum(quantity)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY ALL)
+    "activity_profile": f"""WITH {TICKS_SQL}, s AS (SELECT ts_ns // {HOUR} % 24 AS hour, venue, sum(quantity)::BIGINT AS volume, count(*) AS trades, count(a.trade_seq) AS anomalies FROM trades LEFT JOIN (SELECT trade_seq FROM ({TRADING_SQL['tqr_anomaly']})) a USING (trade_seq) GROUP BY ALL)
 SELECT *, round(volume / sum(volume) OVER (PARTITION BY hour), 6) AS venue_share, round(trades / 3600, 6) AS per_second FROM s""",
 }

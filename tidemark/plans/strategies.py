@@ -296,6 +296,13 @@ SELECT venue, any_value(n) AS days, round(0.5::DOUBLE * pow(0.9::DOUBLE, any_val
     "latency_pairs": f"WITH {VENUES_SQL} SELECT f.venue_id AS fast, s.venue_id AS slow, s.avg_latency_us - f.avg_latency_us AS advantage_us FROM vn f JOIN vn s ON f.venue <> s.venue AND s.avg_latency_us - f.avg_latency_us > 100",
     "market_maker_quotes": f"""WITH {VENUES_SQL}, {TICKS_SQL}, l AS (SELECT symbol, arg_max(price_e4, ts_ns) AS mid, sum(CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END)::DOUBLE AS inv FROM trades GROUP BY symbol),
 x AS (SELECT symbol, venue_id, mid, avg_spread_bps * mid / 20000 AS half, -least(1.0::DOUBLE, greatest(-1.0::DOUBLE, inv / 1000000)) AS k FROM vn, l) SELECT symbol, venue_id, round(mid - half + k * half, 3) AS bid, round(mid + half + k * half, 3) AS ask FROM x""",
+    "allocation_greedy": f"""WITH RECURSIVE {PARENTS_SQL}, {VENUES_SQL}, x AS (SELECT order_id, quantity, venue_id, round({_SCORE_SQL}, 6) AS score FROM pa, vn),
+r AS (SELECT order_id, quantity, venue_id, score, row_number() OVER w AS k, max(score) OVER (PARTITION BY order_id) AS best, first_value(venue_id) OVER w AS top FROM x WHERE score >= {LEAST_SCORE} WINDOW w AS (PARTITION BY order_id ORDER BY score DESC, venue_id)),
+s AS (SELECT order_id, 0::BIGINT AS k, quantity AS rest, 0 AS got, NULL::VARCHAR AS venue_id, 0::BIGINT AS part FROM (SELECT DISTINCT order_id, quantity FROM r)
+  UNION ALL SELECT y.order_id, y.k, y.rest - y.p, y.got + CASE WHEN y.p > 0 THEN 1 ELSE 0 END, y.venue_id, y.p FROM (SELECT r.order_id, r.k, s.rest, s.got, r.venue_id, CASE WHEN s.got < {MOST_VENUES} THEN least(CAST(floor(s.rest * r.score / (r.best + 0.1::DOUBLE)) AS BIGINT), CAST(floor(r.quantity * {SHARE}::DOUBLE) AS BIGINT), s.rest) ELSE 0 END AS p
+    FROM s JOIN r ON r.order_id = s.order_id AND r.k = s.k + 1) y),
+e AS (SELECT order_id, venue_id, part FROM s WHERE part > 0 UNION ALL SELECT s.order_id, r.top, s.rest FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY k DESC) = 1) s JOIN r ON r.order_id = s.order_id AND r.k = 1 WHERE s.rest > 0)
+SELECT order_id, venue_id, sum(part)::BIGINT AS allocated FROM e GROUP BY ALL""",
     "schedule_vwap": _schedule_sql(f"CAST(floor(round(quantity * [{', '.join(f'{c}::DOUBLE' for c in CURVE)}][bucket + 1], 6)) AS BIGINT)"),
     "schedule_twap": f"WITH {PARENTS_SQL}, b AS (SELECT *, unnest(range(0, 10)) AS bucket FROM pa) SELECT order_id, bucket, quantity // 10 + CASE WHEN bucket < quantity % 10 THEN 1 ELSE 0 END AS planned FROM b",
     "schedule_is": _schedule_sql(

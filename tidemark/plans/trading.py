@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar
 from tidemark.functions.scalar import earlier, mid, ratio, rows_back, signed_change, spread_pop, up_to_now
 from tidemark.operators.asof import Lookup, asof, asof_many
 from tidemark.operators.blocks import blocked
@@ -162,10 +163,22 @@ def execution_by_order(t: DataFrame) -> DataFrame:
 # -- bars, trade signs ------------------------------------------------------------------------------------------------
 
 
-def bars(t: DataFrame, width: int = MINUTE * 60) -> DataFrame:
-    """Open, high, low, close, volume, trades of tumbling windows."""
+def bars(t: DataFrame, width: int = MINUTE, keep: int = 1440) -> DataFrame:
+    """Open, high, low, close, volume, trades of tumbling windows; of each symbol the last `keep`."""
     order = F.struct("ts_ns", "trade_seq")
-    return t.groupBy("symbol", F.expr(f"ts_ns div {width}").alias("bar")).agg(F.min_by("price_e4", order).alias("open"), F.max("price_e4").alias("high"), F.min("price_e4").alias("low"), F.max_by("price_e4", order).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"))
+    every = t.groupBy("symbol", F.expr(f"ts_ns div {width}").alias("bar")).agg(F.min_by("price_e4", order).alias("open"), F.max("price_e4").alias("high"), F.min("price_e4").alias("low"), F.max_by("price_e4", order).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"))
+    late = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar")))
+    return every.withColumn("_k", late).where(F.col("_k") <= keep).drop("_k")
+
+
+def scalar_values(t: DataFrame) -> DataFrame:
+    """The shared scalar functions at each trade: price conversion, activations, kernels, the Poisson mass of up to 19."""
+    p = t.select("trade_seq", scalar.from_price(F.col("price_e4")).alias("price"), (F.col("quantity") / 5000.0).alias("x"), F.expr("quantity div 100 % 20").cast("int").alias("k"))
+    x, two = F.col("x"), 0.6 * scalar.exponential_kernel(0.5, F.col("x")) + 0.4 * scalar.exponential_kernel(0.05, F.col("x"))
+    values = {
+        "sigmoid": scalar.sigmoid(x), "gelu": scalar.gelu(x), "softmax": F.get(scalar.softmax(F.array(x, F.lit(0.5), -x)), F.lit(0)), "exponential": scalar.exponential_kernel(0.1, x), "power": scalar.power_kernel(x), "two_exponentials": two,
+    }
+    return p.select("trade_seq", F.round("price", 4).alias("price"), scalar.to_price(F.col("price") + 1e-10).alias("back"), *[F.round(v, 6).alias(n) for n, v in values.items()], F.round(scalar.poisson_pmf(F.col("k"), 7.0), 8).alias("poisson"))
 
 
 def lee_ready(t: DataFrame, q: DataFrame) -> DataFrame:
@@ -308,7 +321,9 @@ QUERIES = {
     "slippage_anomaly": _ticks(slippage_anomaly),
     "slippage_outliers": _ticks(slippage_outliers),
     "execution_slippage_by_order": _daily(execution_by_order),
-    "ohlcv_bars": _only_trades(bars),
+    "ohlcv_bars": lambda spark, sf: bars(trades(spark, sf), HOUR),
+    "minute_bars": _only_trades(bars),
+    "scalar_values": lambda spark, sf: scalar_values(trades(spark, sf)),
     "lee_ready": _ticks(lee_ready),
     "tick_rule": _only_trades(tick_rule),
     "large_trade_threshold": _only_trades(large_threshold),
@@ -338,6 +353,10 @@ SELECT symbol, trade_seq, z, round(least(1.0::DOUBLE, abs(z) / 5), 5) AS confide
     "execution_slippage_by_order": f"""WITH {DAILY_SQL}, o AS (SELECT l_orderkey AS order_id, side, arg_min(price_e4, (day, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS expected_e4, sum(price_e4 * quantity)::DOUBLE / sum(quantity)::DOUBLE AS vwap,
   sum(quantity)::BIGINT AS quantity, count(*) AS fills FROM daily WHERE side <> 'UNKNOWN' GROUP BY 1, 2)
 SELECT order_id, side, expected_e4, quantity, fills, round(vwap, 4) AS vwap_e4, round(CASE WHEN side = 'BUY' THEN vwap - expected_e4 ELSE expected_e4 - vwap END / expected_e4 * 10000, 4) AS slippage_bps FROM o""",
+    "scalar_values": f"""WITH {TICKS_SQL}, p AS (SELECT trade_seq, price_e4 / 10000.0::DOUBLE AS price, quantity / 5000.0::DOUBLE AS x, quantity // 100 % 20 AS k FROM trades)
+SELECT trade_seq, round(price, 4) AS price, CAST(floor(price * 10000 + 1e-6) AS BIGINT) AS back, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(0.5::DOUBLE * x * (1 + tanh(0.7978845608028654::DOUBLE * (x + 0.044715::DOUBLE * x * x * x))), 6) AS gelu, round(exp(x) / (exp(x) + exp(0.5::DOUBLE) + exp(-x)), 6) AS softmax,
+  round(0.1::DOUBLE * exp(-0.1::DOUBLE * x), 6) AS exponential, round(pow(1 + x, -1.1::DOUBLE), 6) AS power, round(0.6::DOUBLE * 0.5::DOUBLE * exp(-0.5::DOUBLE * x) + 0.4::DOUBLE * 0.05::DOUBLE * exp(-0.05::DOUBLE * x), 6) AS two_exponentials, round(exp(k * ln(7.0::DOUBLE) - 7) / factorial(k::INT)::DOUBLE, 8) AS poisson FROM p""",
+    "minute_bars": f"WITH {TICKS_SQL}, b AS (SELECT symbol, ts_ns // {MINUTE} AS bar, arg_min(price_e4, ts_ns) AS open, max(price_e4) AS high, min(price_e4) AS low, arg_max(price_e4, ts_ns) AS close, sum(quantity)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY ALL) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar DESC) <= 1440",
     "ohlcv_bars": f"WITH {TICKS_SQL} SELECT symbol, ts_ns // {HOUR} AS bar, arg_min(price_e4, ts_ns) AS open, max(price_e4) AS high, min(price_e4) AS low, arg_max(price_e4, ts_ns) AS close, sum(quantity)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY ALL",
     "lee_ready": f"WITH {_PRICES_SQL} SELECT symbol, trade_seq, CASE WHEN price_e4 > (b0 + a0) // 2 THEN 'BUY' WHEN price_e4 < (b0 + a0) // 2 THEN 'SELL' ELSE 'UNKNOWN' END AS sign FROM y",
     "tick_rule": f"WITH {TICKS_SQL} SELECT symbol, trade_seq, CASE WHEN price_e4 > lag(price_e4) OVER w THEN 'BUY' WHEN price_e4 < lag(price_e4) OVER w THEN 'SELL' ELSE 'UNKNOWN' END AS sign FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)",
