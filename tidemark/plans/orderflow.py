@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio, rows_back, up_to_now
+from tidemark.functions.scalar import ratio, rows_back
 from tidemark.operators.asof import asof
+from tidemark.operators.running import running
 from tidemark.plans import liquidity
 from tidemark.plans import trading as ticks
 from tidemark.plans.strategies import CURVE, DAY_CURVE, PARENTS_SQL, parents
@@ -62,9 +63,9 @@ def execution_json(e: DataFrame) -> DataFrame:
 
 def market_vwap(t: DataFrame) -> DataFrame:
     """Volume-weighted price of all trades so far, at each trade."""
-    ever = up_to_now("symbol", order=("ts_ns", "trade_seq"))
-    value = F.sum(F.col("price_e4") * F.col("quantity")).over(ever).cast("double") / F.sum("quantity").over(ever)
-    return t.select("symbol", "trade_seq", F.round(value, 3).alias("vwap"))
+    rows = t.select("symbol", "trade_seq", "ts_ns", "price_e4", "quantity")
+    rows = running(rows, ["symbol"], ["ts_ns", "trade_seq"], {"pq": F.col("price_e4") * F.col("quantity"), "q": F.col("quantity")}, ticks.HISTORY)
+    return rows.select("symbol", "trade_seq", F.round(F.col("pq").cast("double") / F.col("q"), 3).alias("vwap"))
 
 
 def execution_performance(t: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clamp, ratio, rows_back, up_to_now
+from tidemark.operators.running import running
+from tidemark.plans.trading import HISTORY, tqr_anomaly, with_mid
 from tidemark.plans.trading import SQL as TRADING_SQL
-from tidemark.plans.trading import tqr_anomaly, with_mid
 from tidemark.sources.adapters import DAILY_SQL, TICKS_SQL, VENUES, daily_trades, quotes, table, trades, venues
 
 MAX_COST_BPS, MAX_LATENCY_US, LEAST_SCORE, SHARE, MOST_VENUES = 10.0, 1000, 0.3, 0.4, 5
@@ -186,10 +187,9 @@ def slice_sizes(orders: DataFrame) -> DataFrame:
 
 def positions(t: DataFrame) -> DataFrame:
     """Signed running position, cash and marked profit after each trade."""
-    w = up_to_now("symbol", order=("ts_ns", "trade_seq"))
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).when(F.col("side") == "SELL", -F.col("quantity")).otherwise(0)
-    rows = t.withColumn("q", signed)
-    rows = rows.select("symbol", "trade_seq", "ts_ns", "price_e4", F.sum("q").over(w).alias("position"), F.sum(-F.col("q") * F.col("price_e4")).over(w).alias("cash_e4"))
+    rows = t.select("symbol", "trade_seq", "ts_ns", "price_e4", signed.alias("q"))
+    rows = running(rows, ["symbol"], ["ts_ns", "trade_seq"], {"position": F.col("q"), "cash_e4": -F.col("q") * F.col("price_e4")}, HISTORY)
     return rows.select("symbol", "trade_seq", "ts_ns", "position", "cash_e4", (F.col("cash_e4") + F.col("position") * F.col("price_e4")).alias("profit_e4"))
 
 

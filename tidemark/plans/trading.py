@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.functions.scalar import earlier, mid, ratio, rows_back, signed_change, spread_pop, up_to_now
+from tidemark.functions.scalar import mid, ratio, rows_back, signed_change, spread_pop
 from tidemark.operators.asof import Lookup, asof, asof_many
 from tidemark.operators.blocks import blocked
+from tidemark.operators.running import running
 from tidemark.sources.adapters import DAILY_SQL, HOUR, MINUTE, TICKS_SQL, daily_trades, quotes, trades
 
 DAY = 24 * HOUR
+#: Time of a block of running totals.
+HISTORY = 10 * DAY
 TQR_WINDOW, TQR_DECAY, TQR_LEAST, TQR_LIMIT, TQR_SIGMAS = 1000 * MINUTE, 100 * MINUTE, 10, 2.5, 1.5
 ARRIVAL, ARRIVAL_KEPT, POST = 100 * MINUTE, 1000 * MINUTE, 10 * MINUTE
 DRIFT_WINDOWS = (10, 30, 60, 300, 600)  # minutes
@@ -51,8 +54,7 @@ def tqr_decayed(t: DataFrame, q: DataFrame, window: int = TQR_WINDOW, decay: int
 
 def tqr_anomaly(t: DataFrame, q: DataFrame, window: int = TQR_WINDOW, fixed: float = TQR_LIMIT) -> DataFrame:
     """Ratios over the limit, or over the mean of those before by 1.5 standard deviations; where those vary at all."""
-    w = earlier("symbol", order=("ts_ns", "trade_seq"))
-    rows = tqr_decayed(t, q, window).select("*", F.sum("tqr").over(w).alias("s"), F.sum(F.col("tqr") * F.col("tqr")).over(w).alias("s2"), F.count("tqr").over(w).alias("n"))
+    rows = running(tqr_decayed(t, q, window), ["symbol"], ["ts_ns", "trade_seq"], {"s": F.col("tqr"), "s2": F.col("tqr") * F.col("tqr"), "n": F.lit(1)}, HISTORY, own=False)
     rows = rows.withColumn("mean", ratio(F.col("s"), F.col("n"))).withColumn("sigma", F.when(F.col("n") > 0, spread_pop(F.col("s"), F.col("s2"), F.greatest(F.col("n"), F.lit(1)))))
     limit = F.when(F.round("sigma", 6) > 0, F.round(F.col("mean") + TQR_SIGMAS * F.col("sigma"), 6)).otherwise(fixed)
     rows = rows.withColumn("threshold", limit).where("tqr > threshold")
@@ -118,13 +120,17 @@ def slippage_components(t: DataFrame, q: DataFrame, decay: float = 0.95) -> Data
     return rows.select("symbol", "trade_seq", "ts_ns", "quantity", F.coalesce(ratio(F.abs(F.col("price_e4") - F.col("mid")), F.col("mid")), F.lit(0.0)).alias("gap"), *[x.alias(n) for n, x in parts.items()])
 
 
+def _past_gaps(rows: DataFrame) -> DataFrame:
+    """Running sums, count and maximum of the gaps."""
+    return running(rows, ["symbol"], ["ts_ns", "trade_seq"], {"s": F.col("gap"), "s2": F.col("gap") * F.col("gap"), "samples": F.lit(1)}, HISTORY, {"worst": F.col("gap")})
+
+
 def slippage_metrics(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFrame:
     """Volume-weighted means of the last trades, and moments of all gaps so far."""
-    w, ever = rows_back(lookback, "symbol", order=("ts_ns", "trade_seq")), up_to_now("symbol", order=("ts_ns", "trade_seq"))
+    w = rows_back(lookback, "symbol", order=("ts_ns", "trade_seq"))
     parts = ("immediate", "realized", "permanent", "temporary")
     means = [(F.sum(F.col(p) * F.col("quantity")).over(w) / F.sum("quantity").over(w)).alias(p) for p in parts]
-    past = [F.sum("gap").over(ever).alias("s"), F.sum(F.col("gap") * F.col("gap")).over(ever).alias("s2"), F.count("*").over(ever).alias("samples"), F.max("gap").over(ever).alias("worst")]
-    rows = slippage_components(t, q).select("symbol", "trade_seq", "ts_ns", *means, F.count("*").over(w).alias("n"), *past)
+    rows = _past_gaps(slippage_components(t, q)).select("symbol", "trade_seq", "ts_ns", *means, F.count("*").over(w).alias("n"), "s", "s2", "samples", "worst")
     return rows.withColumn("average", F.col("s") / F.col("samples")).withColumn("sigma", spread_pop(F.col("s"), F.col("s2"), F.col("samples"))).drop("s", "s2")
 
 
@@ -136,8 +142,7 @@ def slippage_anomaly(t: DataFrame, q: DataFrame, lookback: int = 100) -> DataFra
 
 def slippage_outliers(t: DataFrame, q: DataFrame) -> DataFrame:
     """Gaps further than three standard deviations from the mean so far, from the tenth on; p95 by the normal rule."""
-    ever = up_to_now("symbol", order=("ts_ns", "trade_seq"))
-    rows = slippage_components(t, q).select("symbol", "trade_seq", "gap", F.sum("gap").over(ever).alias("s"), F.sum(F.col("gap") * F.col("gap")).over(ever).alias("s2"), F.count("*").over(ever).alias("n"))
+    rows = _past_gaps(slippage_components(t, q)).select("symbol", "trade_seq", "gap", "s", "s2", F.col("samples").alias("n"))
     rows = rows.withColumn("mean", F.col("s") / F.col("n")).withColumn("sigma", spread_pop(F.col("s"), F.col("s2"), F.col("n")))
     return rows.select("symbol", "trade_seq", F.round("gap", 6).alias("gap"), F.round(F.col("mean") + 1.96 * F.col("sigma"), 5).alias("p95"), ((F.col("n") >= 10) & (F.round(F.abs(F.col("gap") - F.col("mean")) - 3 * F.col("sigma"), 7) > 0)).alias("outlier"))
 
