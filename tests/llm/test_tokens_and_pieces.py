@@ -1,4 +1,6 @@
+import base64
 import glob
+import time
 import zlib
 
 import numpy as np
@@ -170,6 +172,23 @@ def test_dropout_draws_every_occurrence_anew():
     assert len(starts) == 2000 and len({tuple(x.tolist()) for x in np.split(word, starts[1:])}) > 16
 
 
+def test_long_units_equal_short_ones():
+    """The heap against the rounds, on both sides of the limit, and a megabyte without a space in seconds."""
+    m, rng = pieces.model(pieces.production_model()), np.random.default_rng(9)
+    for rate in (0.0, 0.2, 1.0):
+        for text in ("".join(rng.choice(list("abcdeinrstu\u00e9\u65e5"), n)) for n in (2, 64, 65, 400)):
+            points, key = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([2**63 + len(text)], np.uint64)
+            assert m.merge(points, np.array([len(text)]), key, rate)[0].tolist() == m.merge_long(points, int(key[0]), rate).tolist()
+    texts = ["ab " + "x" * 70_000 + " cd " + "interesting" * 30, "none", "y" * 65]
+    ids, n = m.encode(pa.array(texts), np.arange(3), 0.1, 3)
+    raw, at = m.decode(ids, n)
+    assert [raw.tobytes()[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)] == texts
+    big = base64.b64encode(rng.bytes(750_000)).decode()
+    start = time.process_time()
+    ids, n = m.encode(pa.array([big]), np.arange(1), 0.1, 3)
+    assert m.decode(ids, n)[0].tobytes().decode() == big and time.process_time() - start < 20
+
+
 def test_pieces_odd_rows(odd_docs, no_docs):
     got = pieces.encode_checked(odd_docs, pieces.production_model()).toPandas()
     assert len(got) == odd_docs.count() and got.lossless.all() and (got[got.doc_id == 1].n_ids == 0).all()

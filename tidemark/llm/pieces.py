@@ -5,7 +5,9 @@ space. Each unit runs the usual agenda: the best-scored adjacent pair merges fir
 dropout, a candidate is skipped for good when a keyed hash of (seed, doc_id, the unit's place in the document, its own
 place in the unit, the merged piece) falls below the rate. So every occurrence of a word is drawn anew, within and across
 documents; without dropout equal units are worked out once. numpy works on many units together: each round merges one
-pair in every unit that has a candidate left.
+pair in every unit that has a candidate left. A unit of over LONG characters, which would need a round for each of its
+merges, is worked out by itself with a heap and linked neighbours, to the same pieces: its time grows with n log n, its
+memory with about a hundred bytes a character.
 
 Decoding joins the pieces' bytes (byte pieces as bytes, spaces back), drops the space put before the text, and gives the
 very bytes of the text for any rate: no normalisation is applied, and characters outside of the model, the space marker
@@ -18,6 +20,8 @@ rows get equal ids; empty tables give no rows; other columns are passed only if
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,7 +35,10 @@ from tidemark.llm.common import mix64, small_batches, spans, table, utf8
 MARK = "\u2581"
 #: Documents, bytes, and units that are worked on at once.
 DOCS, BYTES, UNITS = 2000, 3 << 20, 12_000
+#: Characters from which a unit is worked out by itself.
+LONG = 64
 NONE = np.int64(1 << 40)
+NO_SYMBOL = -(1 << 40)
 
 _models: dict[str, Model] = {}
 
@@ -66,7 +73,7 @@ class Model:
                     pairs[a * n + b] = i
         keys = np.array(sorted(pairs), np.int64)
         self.merged_of = np.array([pairs[k] for k in keys.tolist()], np.int64)
-        self.rank = rank
+        self.rank, self.ranks = rank, rank.tolist()
         bits = 1
         while (1 << bits) < 4 * len(keys):
             bits += 1
@@ -81,6 +88,7 @@ class Model:
             slots[(h + d) % len(slots)] = k
             self.probes = max(self.probes, d + 1)
         self.slots, self.keys = slots, keys
+        self.pairs = pairs
         out = [bytes([i - self.byte0]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
         self.piece_len = np.array([len(x) for x in out], np.int64)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
@@ -166,6 +174,60 @@ class Model:
         order = np.argsort(unit, kind="stable")
         return sym[order].astype(np.int32), np.bincount(unit, minlength=len(lens)).astype(np.int64)
 
+    def merge_long(self, codes: np.ndarray, key: int, rate: float) -> np.ndarray:
+        """The symbols of one long unit: the agenda of merge() as a heap of (rank, place), with dead entries left in it."""
+        n, size, pairs, rank = len(codes), self.size, self.pairs, self.rank
+        start = self.char[codes].astype(np.int64)
+        start = np.where(start < 0, -1 - codes.astype(np.int64), start)
+        bound = min(2**64 - 1, int(rate * 2.0**64))
+        piece = self.pair(start[:-1], start[1:])
+        if rate > 0:
+            k = np.flatnonzero(piece >= 0)
+            with np.errstate(over="ignore"):
+                h = mix64(np.uint64(key) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ piece[k].astype(np.uint64) << np.uint64(40))
+            piece[k[h < np.uint64(bound)]] = -1
+        some = np.flatnonzero(piece >= 0)
+        heap = (rank[piece[some]] << 40 | some).tolist()
+        heapq.heapify(heap)
+        made = array("q", piece.tobytes())
+        made.append(-1)
+        sym, after, before = array("q", start.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        most = (1 << 64) - 1
+
+        def weigh(at: int) -> None:
+            """The candidate that begins at a place, anew."""
+            right = after[at]
+            found = -1
+            if right < n and sym[at] >= 0 and sym[right] >= 0:
+                found = pairs.get(sym[at] * size + sym[right], -1)
+            if found >= 0 and rate > 0:
+                x = (key + at * 0x9E3779B97F4A7C15 & most) ^ (found << 40 & most)
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+                if x ^ x >> 31 < bound:
+                    found = -1
+            made[at] = found
+            if found >= 0:
+                heapq.heappush(heap, ranks[found] << 40 | at)
+
+        ranks = self.ranks
+        while heap:
+            entry = heapq.heappop(heap)
+            at = entry & (1 << 40) - 1
+            found = made[at]
+            if found < 0 or ranks[found] != entry >> 40:
+                continue
+            gone = after[at]
+            sym[at], made[gone], sym[gone] = found, -1, NO_SYMBOL
+            after[at] = after[gone]
+            if after[at] < n:
+                before[after[at]] = at
+            weigh(at)
+            if before[at] >= 0:
+                weigh(before[at])
+        out = np.frombuffer(sym, np.int64)
+        return out[out != NO_SYMBOL].astype(np.int32)
+
     def to_ids(self, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become byte pieces."""
         bad = np.flatnonzero(sym < 0)
@@ -216,8 +278,12 @@ class Model:
             key = np.zeros(len(raw), np.uint64)
         made = []
         for a in range(0, len(own), block):  # arrays of a size that stays in the processor's cache
-            part = own[a : a + block]
-            got, per_unit = self.merge(points[spans(ws[part], wl[part])], wl[part], key[a : a + block], rate)
+            part, its_key = own[a : a + block], key[a : a + block]
+            long_ = wl[part] > LONG
+            short = part[~long_]
+            got, per_unit = self.merge(points[spans(ws[short], wl[short])], wl[short], its_key[~long_], rate)
+            if long_.any():
+                got, per_unit = self._with_long(got, per_unit, [points[ws[u] : ws[u] + wl[u]] for u in part[long_]], its_key[long_], np.flatnonzero(long_), rate)
             made.append(self.to_ids(got, per_unit))
         sym, counts = (np.concatenate([x[k] for x in made]) for k in (0, 1)) if made else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         starts = np.cumsum(counts) - counts
@@ -227,6 +293,13 @@ class Model:
         n[some] = np.diff(np.concatenate([[0], ends]))
         return sym[spans(starts[which], unit_n)], n
 
+    def _with_long(self, sym: np.ndarray, counts: np.ndarray, units: list[np.ndarray], keys: np.ndarray, at: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of a block's short units with those of its long ones at their places."""
+        parts = np.split(sym, np.cumsum(counts)[:-1]) if len(counts) else []
+        for k, unit, key in zip(at.tolist(), units, keys.tolist(), strict=True):
+            parts.insert(k, self.merge_long(unit, key, rate))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts."""
         lens = self.piece_len[ids]
