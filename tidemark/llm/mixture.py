@@ -7,8 +7,9 @@ up to `epochs` times. Each epoch has its own seeded order; a leaf's selection is
 tokens of the next epoch, up to the budget to the token.
 
 All of it is DataFrame functions. The texts are read once, for their word counts; the tree is worked out on one row for
-each leaf. Orders are by md5 of (seed, epoch, doc_id): documents are summed by the first three digits, and only those
-that share the digits in which a leaf's budget ends are sorted, so a hot leaf is never in one task.
+each leaf. Orders are by md5 of (seed, epoch, doc_id): documents are summed by the first three digits, these sums by
+blocks of 64, and what meets by leaf is 64 blocks, then the 64 sums of the block in which the budget ends. Only the
+documents that share those digits are sorted, so a hot leaf is never in one task.
 
 Budgets are whole tokens, rounded down at every node. Defined cases: a null text has no tokens; null languages and
 sources are the leaves 'und' and 'none'; nodes without a weight have weight 1, with weight 0 they get nothing; repeated
@@ -30,6 +31,8 @@ WEIGHTS = {
     "source": {"src0": 4, "src1": 2, "src2": 3},
 }
 SEED, SHARE, EPOCHS, DIGITS = 11, 1.25, 3, 3
+#: First digits of a hash that are summed together: 64 blocks of 64.
+BLOCK = 64
 LEVELS = ("domain", "lang", "source")
 
 
@@ -94,12 +97,21 @@ def plan(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     one = F.greatest(F.col("tokens"), F.lit(1))
     found = materialize(found.select(*LEVELS, "budget", F.expr("budget div greatest(tokens, 1)").alias("full"), (F.col("budget") % one).alias("rest")), "mixture-budgets")
     sums = rows.join(found, list(LEVELS)).select(*LEVELS, "rest", "n_tokens", _digits(_order(seed)).alias("b")).groupBy(*LEVELS, "rest", "b").agg(F.sum("n_tokens").alias("n"))
-    up = Window.partitionBy(*LEVELS).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = sums.select(*LEVELS, "rest", "b", "n", F.sum("n").over(up).alias("upto"))
-    edges = edges.where("upto - n < rest and upto >= rest").groupBy(*LEVELS).agg(F.min("b").alias("edge"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    sums = materialize(sums, "mixture-sums")  # dealt by all its keys; what is dealt by leaf below is blocks of sums only
+    blocks = materialize(sums.groupBy(*LEVELS, "rest", F.expr(f"b div {BLOCK}").alias("c")).agg(F.sum("n").alias("n")), "mixture-blocks")
+    found_c = _edge(blocks.withColumn("start", F.lit(0).cast("long")), "c")
+    inside = sums.withColumn("c", F.expr(f"b div {BLOCK}")).join(found_c.select(*LEVELS, F.col("c"), F.col("before").alias("start")), [*LEVELS, "c"])
+    edges = _edge(inside, "b").select(*LEVELS, F.col("b").alias("edge"), "before")
     return rows, materialize(found.join(edges, list(LEVELS), "left"), "mixture-leaves")
 
 
+def _edge(sums: DataFrame, key: str) -> DataFrame:
+    """Where in each leaf the running sum of n over `key`, from `start`, reaches rest, and the sum before that."""
+    up = Window.partitionBy(*LEVELS).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    upto = sums.select(*LEVELS, "rest", key, "n", (F.col("start") + F.sum("n").over(up)).alias("upto"))
+    return upto.where("upto - n < rest and upto >= rest").select(*LEVELS, key, (F.col("upto") - F.col("n")).alias("before"))
+
+
 def select(rows: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies (full epochs), prefix_tokens (of the epoch after them)."""
     every = rows.join(leaves, list(LEVELS), "left").withColumn("full", F.coalesce("full", F.lit(0))).withColumn("_key", _order(seed))
@@ -118,7 +130,11 @@ def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents for one epoch at most and nine tenths of all tokens, whole: a document in which a budget ends stays.
-    Only the few documents at the edges are joined by id; all others are decided by their own hash."""
+    Only the few documents at the edges are joined by id; all others are decided by their own hash.
+
+    Rows with one id, null included, in one leaf stay or go together; a null text has no tokens and stays where its place
+    in the order is before the edge; null languages and sources are leaves; an empty table stays empty; other columns
+    pass, whatever they are called."""
     rows, leaves = plan(docs, share=0.9, epochs=1)
     edge = select(rows.join(leaves.where("edge is not null").select(*LEVELS, "edge", "full"), list(LEVELS)).where(_digits(_order(SEED)) == F.col("edge")).drop("edge", "full"), leaves)
     edge = edge.groupBy(F.col("doc_id").alias("_mix_edge_id")).agg((F.max("prefix_tokens") > 0).alias("_mix_edge_in"))
