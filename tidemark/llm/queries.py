@@ -13,7 +13,7 @@ from tidemark.llm.media import op6_webp_media
 from tidemark.llm.mixture import SQL_OP3, op3_hierarchical_mix
 from tidemark.llm.pieces import op2_merge_dropout
 from tidemark.llm.quality import op5_robust_outliers
-from tidemark.llm.sharding import op9_hash_tree_shards
+from tidemark.llm.sharding import SQL_OP9, op9_hash_tree_shards
 from tidemark.llm.token_store import op1_token_store
 from tidemark.llm.url_filter import SQL_OP4, op4_url_reputation
 
@@ -33,4 +33,5 @@ SQL: dict[str, str] = {
     "op3_hierarchical_mix": SQL_OP3,
     "op4_url_reputation": SQL_OP4,
     "op8_chat_format": SQL_OP8,
+    "op9_hash_tree_shards": SQL_OP9,
 }

@@ -101,5 +101,37 @@ def shard(docs: DataFrame, tree: Tree = TREE, grown: Tree = GROWN) -> DataFrame:
     return with_slots(rows, ["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def _least_sql(options: list[tuple[str, float, int]]) -> str:
+    """The number beside the smallest draw."""
+    draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5('{node}|' || doc), 1, 13))::BIGINT::DOUBLE + 1) / {float(2**52)}::DOUBLE) / {float(w)}::DOUBLE, 'v': {v}}}" for node, w, v in options)
+    return f"(list_sort([{draws}])[1]).v"
+
+
+def _place_sql(tree: Tree) -> tuple[str, str, str]:
+    """Region, rack (by `region`) and shard (by `rack`) as expressions; below 0: a graft."""
+    weight = lambda ok: sum(s.weight for s in tree.shards if ok(s))
+    regions, racks = sorted({s.region for s in tree.shards}), sorted({(s.region, s.rack) for s in tree.shards})
+    top = _least_sql([*((f"region {r}", weight(lambda s, r=r: s.region == r), r) for r in regions), *((f"graft {s.number}", s.weight, -1 - s.number) for s in tree.grafts)])
+    second = "".join(f" WHEN {r} THEN " + _least_sql([(f"rack {k}", weight(lambda s, k=k: s.rack == k), k) for q, k in racks if q == r]) for r in regions)
+    third = "".join(f" WHEN {k} THEN " + _least_sql([(f"shard {s.number}", s.weight, s.number) for s in tree.shards if s.rack == k]) for _, k in racks)
+    return top, f"CASE region{second} ELSE region END", f"CASE rack{third} ELSE rack END"
+
+
+def _sql(tree: Tree, grown: Tree) -> str:
+    # the checksum, byte by byte from the table of the 256 remainders
+    table = "list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    a, b = _place_sql(tree), _place_sql(grown)
+    place = lambda x, n: f"SELECT *, {x[2]} AS {n} FROM (SELECT *, {x[1]} AS rack FROM (SELECT *, {x[0]} AS region FROM "
+    return f"""
+WITH t AS (SELECT {table} AS crc_table),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS doc, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, doc, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
+s AS ({place(a, 'shard')}k))), g AS ({place(b, 'grown')}(SELECT doc_id, doc, size, text_crc32, shard FROM s))))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc), 1, 2), doc_id, text_crc32) - 1 AS slot, CASE WHEN grown < 0 THEN -1 - grown ELSE grown END AS grown_shard FROM g"""
+
+
+SQL_OP9 = _sql(TREE, GROWN)
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
