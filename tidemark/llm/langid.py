@@ -1,9 +1,11 @@
 """Language identification by compression: a text belongs to the language whose zstandard raw-content dictionary
 encodes it in the fewest bytes.
 
-Texts are lower-cased, runs of anything but letters become one space, and the rest is encoded in chunks of CHUNK bytes, each against every dictionary, so that a long text keeps
-leaning on the dictionaries and not on its own beginning; all chunks count. The dictionaries are bounded samples of
-labelled texts: at most DICT_BYTES for a language, cut from at most DICT_DOCS documents, those with the smallest hashes.
+Texts are lower-cased, runs of anything but letters become one space, and the rest is encoded in chunks of CHUNK bytes,
+each against every dictionary, so that a long text keeps leaning on the dictionaries and not on its own beginning; all
+chunks count. The dictionaries are bounded samples of labelled texts: for each of the LANGS most frequent languages at
+most DICT_BYTES, from the first DOC_CHARS characters of at most DICT_DOCS documents, those with the smallest hashes. These
+bounds hold for learning alone; every text is judged whole.
 
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected; languages of equal size go to the
 alphabetically first and are rejected as narrow; null labels and texts teach nothing; without any labelled text, all is
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches, table
 
 #: The bounds of the sample that the dictionaries are made of.
-DICT_BYTES, DICT_DOCS, DOC_BYTES = 64 << 10, 64, 2 << 10
+DICT_BYTES, DICT_DOCS, DOC_CHARS, LANGS = 64 << 10, 64, 2 << 10, 256
 CHUNK = 4096
 #: A text is rejected if the second smallest encoding is not larger than the smallest by this share.
 MARGIN = 0.004
@@ -39,14 +41,14 @@ def letters(text: str) -> bytes:
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of (doc_id, text, lang). Counts first, then reads the few documents whose hash is small."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64(F.lit(7), "doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return {}
     share = lambda n: min(1.0, 8 * DICT_DOCS / n)
     low = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(-(2**63) + share(n) * (2**64 - 1) * 0.999999) if share(n) < 1 else 2**63 - 1))])
-    picked = known.where(F.col("h") <= low[F.col("lang")])
+    picked = known.where(F.col("h") <= F.try_element_at(low, F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    rows = picked.select("lang", "h", "doc_id", F.substring("text", 1, DOC_BYTES).alias("text")).withColumn("k", F.row_number().over(first)).where(f"k <= {DICT_DOCS}").collect()
+    rows = picked.select("lang", "h", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text")).withColumn("k", F.row_number().over(first)).where(f"k <= {DICT_DOCS}").collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
         out[r["lang"]] = (out.get(r["lang"], b"") + letters(r["text"]) + b" ")[:DICT_BYTES]
@@ -107,6 +109,9 @@ def _clear(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) ->
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is clear; rows pass whole, whatever their columns are called."""
+    """Keep the documents whose language is clear.
+
+    Rows pass whole, whatever their columns are called. A null or empty text, or one without a letter, is not clear and
+    goes; null ids and repeated rows are judged by their texts like all others; an empty table stays empty."""
     small_batches(spark)
     return docs.mapInArrow(partial(_clear, dictionaries=learn(training(docs))), docs.schema)
