@@ -177,6 +177,8 @@ QUERIES = {
     "itch_parse": itch_parse,
     "itch_orders": itch_order_parse,
     "itch_types": lambda spark, sf: binary.itch_types(binary.write_itch(events(spark, sf))),
+    "itch_locates": lambda spark, sf: binary.itch_locates(binary.write_itch(events(spark, sf))),
+    "ouch_orders": lambda spark, sf: binary.ouch_orders(binary.write_ouch(events(spark, sf))),
     "ouch_parse": ouch_parse,
     "anomalies_exact": anomalies_exact,
     "anomalies_all": anomalies_all,
@@ -222,7 +224,10 @@ SELECT seq * 2 AS seq, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, (k
 UNION ALL SELECT seq * 2 + 1, seq, 'SYM' || symbol, price_e4, (k + 1) * 100, ts_ns % 86400000000000, sd FROM x WHERE event_type = 'signup' AND k % 4 < 2""",
     "itch_types": f"""WITH {TICKS_SQL}, x AS (SELECT CASE WHEN event_type = 'signup' THEN 'A' WHEN event_type IN ('purchase', 'click') THEN 'P' ELSE 'X' END AS type FROM ev UNION ALL SELECT 'E' FROM ev WHERE event_type = 'signup' AND k % 4 < 2) SELECT type, count(*) AS n FROM x GROUP BY type""",
     "itch_orders": f"WITH {TICKS_SQL} SELECT seq * 2 AS seq, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 AS ts_ns, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM ev WHERE event_type = 'signup'",
-    "ouch_parse": f"WITH {TICKS_SQL} SELECT seq * 2 + 1 AS seq, seq AS token, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 + 1000 AS ts_ns, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, k % 3 = 0 AS is_hidden FROM ev WHERE event_type = 'signup' AND k % 4 < 2",
+    "itch_locates": f"WITH {TICKS_SQL} SELECT symbol AS locate, 'SYM' || symbol AS symbol, count(*) AS messages FROM ev WHERE event_type IN ('signup', 'purchase', 'click') GROUP BY ev.symbol",
+    "ouch_orders": f"""WITH {TICKS_SQL}, e AS (SELECT *, (k + 1) * 100 AS quantity, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM ev WHERE event_type = 'signup')
+SELECT seq * 4 AS seq, 'ENTERED' AS state, seq AS token, seq AS order_id, 'SYM' || symbol AS symbol, price_e4, quantity, NULL::BIGINT AS ts_ns, side FROM e UNION ALL SELECT seq * 4 + 1, 'ACCEPTED', seq, seq + 7, 'SYM' || symbol, price_e4, quantity, ts_ns % 86400000000000, side FROM e""",
+    "ouch_parse": f"WITH {TICKS_SQL} SELECT seq * 4 + 2 AS seq, seq AS token, 'SYM' || symbol AS symbol, price_e4, (k + 1) * 100 AS quantity, ts_ns % 86400000000000 + 1000 AS ts_ns, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, k % 3 = 0 AS is_hidden FROM ev WHERE event_type = 'signup' AND k % 4 < 2",
     "anomalies_exact": f"WITH {_ANOMALIES_SQL} SELECT * FROM ax",
     "anomalies_json": f"""WITH {_ANOMALIES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, detector, type) - 1 AS sequence FROM ax)
 SELECT symbol, ts_ns, '{{"type":"anomaly","timestamp":' || ts_ns || ',"sequence":' || sequence || ',"data":{{"symbol":' || symbol || ',"detector":"' || detector || '","type":"' || type || '","confidence":"' || {_six_sql('confidence')} || '"' || coalesce(',"magnitude":"' || {_six_sql('magnitude')} || '"', '') || ',"description":"' || description || '"}}}}' AS json FROM n""",

@@ -10,8 +10,9 @@ from tidemark.operators.asof import asof
 from tidemark.operators.running import running
 from tidemark.plans import liquidity
 from tidemark.plans import trading as ticks
-from tidemark.plans.strategies import CURVE, DAY_CURVE, PARENTS_SQL, parents
-from tidemark.sources.adapters import DAILY_SQL, MINUTE, ORDER_EVENTS_SQL, TICKS_SQL, daily_trades, order_events, quotes, trades
+from tidemark.plans.strategies import CURVE, DAY_CURVE, PARENTS_SQL, VENUES_SQL, allocation, parents
+from tidemark.plans.strategies import SQL as STRATEGIES_SQL
+from tidemark.sources.adapters import DAILY_SQL, MINUTE, ORDER_EVENTS_SQL, TICKS_SQL, daily_trades, order_events, quotes, trades, venues
 
 # -- life of orders ---------------------------------------------------------------------------------------------------
 
@@ -83,6 +84,30 @@ def execution_performance(t: DataFrame) -> DataFrame:
     return rows.select("order_id", "symbol", "side", bps("arrival_e4").alias("shortfall_bps"), bps("vwap").alias("vwap_slippage_bps"), F.round(F.col("filled") / F.col("total"), 6).alias("fill_rate"))
 
 
+def leakage_trend(t: DataFrame, least: int = 3) -> DataFrame:
+    """Fills of an order that get dearer one after the other, `least` times running, against its first price."""
+    order = ("day", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    w = Window.partitionBy("l_orderkey", "side").orderBy(*order)
+    sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
+    rows = t.where("side <> 'UNKNOWN'").withColumn("bps", F.round(sign * ratio(F.col("price_e4") - F.first("price_e4").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("price_e4").over(w.rowsBetween(Window.unboundedPreceding, 0))) * 10000, 3))
+    rows = rows.withColumn("up", F.coalesce(F.col("bps") > F.lag("bps").over(w), F.lit(False)).cast("int")).withColumn("k", F.row_number().over(w))
+    run = F.sum("up").over(w.rowsBetween(1 - least, 0))
+    return rows.withColumn("run", run).groupBy(F.col("l_orderkey").alias("order_id"), "side").agg(F.count("*").alias("fills"), F.max("bps").alias("worst_bps"), F.max((F.col("run") == least).cast("int")).cast("boolean").alias("suspected"))
+
+
+def late_executions(e: DataFrame, limit: int = MINUTE) -> DataFrame:
+    """Executions with what is wrong with them: a long wait, a part of the order only."""
+    late, part = F.col("wait_ns") > limit, F.col("quantity") < F.col("ordered")
+    reasons = F.concat_ws(",", F.when(late, F.lit("high_latency")), F.when(part, F.lit("partial")))
+    return executions_of_orders(e).select("order_id", (late | part).alias("anomalous"), reasons.alias("reasons"))
+
+
+def routing_costs(p: DataFrame, v: DataFrame) -> DataFrame:
+    """Allocated quantities by venue, with their fees in basis points of quantity."""
+    sums = allocation(p, v).groupBy("venue_id").agg(F.count("*").alias("orders"), F.sum("allocated").alias("allocated"))
+    return sums.join(F.broadcast(v.select("venue_id", "fee_bps")), "venue_id").select("venue_id", "orders", "allocated", F.round(F.col("allocated") * F.col("fee_bps") / 10000, 4).alias("fees"))
+
+
 def pre_trade_mid(t: DataFrame, q: DataFrame) -> DataFrame:
     """The mid of the last quote strictly before each trade."""
     rows = asof(t.select("symbol", "trade_seq", "ts_ns"), q, ["symbol"], F.col("ts_ns"), F.col("ts_ns"), ["quote_seq"], {"bid_e4": "bid_e4", "ask_e4": "ask_e4"}, ticks.DAY, equal=False)
@@ -250,6 +275,9 @@ QUERIES = {
     "execution_json": _e(execution_json),
     "market_vwap": _t(market_vwap),
     "execution_performance": lambda spark, sf: execution_performance(daily_trades(spark, sf)),
+    "leakage_trend": lambda spark, sf: leakage_trend(daily_trades(spark, sf)),
+    "late_executions": _e(late_executions),
+    "routing_costs": lambda spark, sf: routing_costs(parents(spark, sf), venues(spark, sf)),
     "pre_trade_mid": _tq(pre_trade_mid),
     "slice_quantities": _tq(slice_quantities),
     "dark_gate": _tq(lambda t, q: dark_gate(t, q, urgency=0.8, least_spread=5.0, busy=0.05)),
@@ -298,6 +326,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, symbol ORDER BY day,
 s AS (SELECT l_orderkey AS order_id, symbol, max(price_e4) FILTER (k = 1) AS arrival, max(price_e4) FILTER (b = 1 AND side <> 'UNKNOWN') AS price, max(side) FILTER (b = 1 AND side <> 'UNKNOWN') AS side, coalesce(sum(quantity) FILTER (side <> 'UNKNOWN'), 0) AS filled, sum(quantity) AS total FROM k GROUP BY ALL)
 SELECT order_id, symbol, side, round(CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((price - arrival) / nullif(arrival, 0)) * 10000, 3) AS shortfall_bps, round(CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((price - vwap) / nullif(vwap, 0)) * 10000, 3) AS vwap_slippage_bps, round(filled / total, 6) AS fill_rate
 FROM s JOIN v USING (symbol) WHERE side IS NOT NULL""",
+    "leakage_trend": f"""WITH {DAILY_SQL}, b AS (SELECT *, round(CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((price_e4 - first_value(price_e4) OVER w) / nullif(first_value(price_e4) OVER w, 0)) * 10000, 3) AS bps FROM daily WHERE side <> 'UNKNOWN'
+  WINDOW w AS (PARTITION BY l_orderkey, side ORDER BY {', '.join(liquidity.DAY_ORDER[:1] + liquidity.DAY_ORDER[2:])} ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, CASE WHEN bps > lag(bps) OVER o THEN 1 ELSE 0 END AS up FROM b WINDOW o AS (PARTITION BY l_orderkey, side ORDER BY {', '.join(liquidity.DAY_ORDER[:1] + liquidity.DAY_ORDER[2:])})),
+r AS (SELECT *, sum(up) OVER (PARTITION BY l_orderkey, side ORDER BY {', '.join(liquidity.DAY_ORDER[:1] + liquidity.DAY_ORDER[2:])} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run FROM u)
+SELECT l_orderkey AS order_id, side, count(*) AS fills, max(bps) AS worst_bps, bool_or(run = 3) AS suspected FROM r GROUP BY ALL""",
+    "late_executions": f"WITH {_STATES_SQL} SELECT order_id, wait_ns > {MINUTE} OR quantity < ordered AS anomalous, concat_ws(',', CASE WHEN wait_ns > {MINUTE} THEN 'high_latency' END, CASE WHEN quantity < ordered THEN 'partial' END) AS reasons FROM ox",
+    "routing_costs": f"WITH {VENUES_SQL}, a AS ({STRATEGIES_SQL['allocation_greedy']}) SELECT venue_id, count(*) AS orders, sum(allocated)::BIGINT AS allocated, round(sum(allocated) * any_value(fee_bps) / 10000, 4) AS fees FROM a JOIN vn USING (venue_id) GROUP BY venue_id",
     "pre_trade_mid": f"WITH {TICKS_SQL} SELECT t.symbol, trade_seq, (bid_e4 + ask_e4) // 2 AS mid FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts_ns > q.ts_ns",
     "slice_quantities": f"""WITH {_CONDITIONS_SQL},
 a AS (SELECT *, CASE WHEN spread_bps > 3 THEN 0.8::DOUBLE WHEN spread_bps < 1 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN volatility > 0.3 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN (side = 'BUY' AND depth > 0.3) OR (side <> 'BUY' AND depth < -0.3) THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS adj,

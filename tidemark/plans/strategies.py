@@ -18,8 +18,8 @@ CURVE = (0.15, 0.10, 0.08, 0.07, 0.10, 0.10, 0.08, 0.07, 0.10, 0.15)
 DAY_CURVE = (0.08, 0.06, 0.05, 0.04, 0.04, 0.05, 0.06, 0.07, 0.08, 0.08, 0.07, 0.06, 0.05, 0.05, 0.06, 0.08, 0.10, 0.12)
 
 VENUES_SQL = f"""
-vs AS (SELECT s_suppkey % {VENUES} AS venue, avg(s_suppkey % 7) AS a, avg(s_suppkey % 6) AS b, avg(s_suppkey % 5) AS c, avg(s_suppkey % 4) AS d, avg(s_suppkey % 3) AS e, sum(s_suppkey * 37 % 400)::BIGINT AS f, count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS h FROM supplier GROUP BY 1),
-vn AS (SELECT venue, 'V' || venue AS venue_id, 1 + a AS avg_spread_bps, 0.3::DOUBLE + b / 10.0::DOUBLE AS fill_probability, 200 * (1 + c) AS avg_fill_size, d / 2.0::DOUBLE AS impact_bps, e / 10.0::DOUBLE AS fee_bps, 100 + f // n AS avg_latency_us, 2 * h >= n AS supports_hidden FROM vs)"""
+vs AS (SELECT s_suppkey % {VENUES} AS venue, avg(s_suppkey % 7) AS a, avg(s_suppkey % 6) AS b, avg(s_suppkey % 5) AS c, avg(s_suppkey % 4) AS d, avg(s_suppkey % 3) AS e, avg(s_suppkey % 10) AS r, avg(s_suppkey % 8) AS w, sum(s_suppkey * 37 % 400)::BIGINT AS f, count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS h FROM supplier GROUP BY 1),
+vn AS (SELECT venue, 'V' || venue AS venue_id, 1 + a AS avg_spread_bps, 0.3::DOUBLE + b / 10.0::DOUBLE AS fill_probability, 200 * (1 + c) AS avg_fill_size, d / 2.0::DOUBLE AS impact_bps, e / 10.0::DOUBLE AS fee_bps, 100 + f // n AS avg_latency_us, 2 * h >= n AS supports_hidden, r / 10.0::DOUBLE AS recent_fill_rate, w / 8.0::DOUBLE AS queue_position FROM vs)"""
 
 
 def parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,12 +43,14 @@ def venue_analytics(t: DataFrame) -> DataFrame:
 
 
 def venue_score(quantity: Column, learned: Column) -> Column:
-    """History, fill probability, cost, latency and size match, raised for hidden size; within 0 and 1."""
+    """History, fill probability, cost, latency and size match, raised for hidden size and a good place in the queue; three
+    tenths of it are the recent fill rate. Within 0 and 1."""
     cost = 1 - (F.col("fee_bps") + F.col("impact_bps")) / MAX_COST_BPS
     late = F.when(F.col("avg_latency_us") < MAX_LATENCY_US, 0.1 * (1 - F.col("avg_latency_us") / float(MAX_LATENCY_US))).otherwise(0.0)
     size = 1 / (1 + F.abs(F.ln(quantity / F.col("avg_fill_size"))))
     base = 0.3 * learned + 0.25 * F.col("fill_probability") + 0.25 * F.greatest(F.lit(0.0), cost) + late + 0.1 * size
-    return clamp(base * F.when((quantity > 10000) & F.col("supports_hidden"), 1.1).otherwise(1.0) + 0.05 * 0.5, 0.0, 1.0)
+    whole = base * F.when((quantity > 10000) & F.col("supports_hidden"), 1.1).otherwise(1.0) + 0.05 * (1 - F.col("queue_position"))
+    return clamp(0.7 * whole + 0.3 * F.col("recent_fill_rate"), 0.0, 1.0)
 
 
 def venue_scores(v: DataFrame, sizes: tuple[int, ...] = (100, 1000, 20000)) -> DataFrame:
@@ -58,16 +60,18 @@ def venue_scores(v: DataFrame, sizes: tuple[int, ...] = (100, 1000, 20000)) -> D
     return rows.withColumn("rank", rank)
 
 
-def dark_scores(t: DataFrame, quantity: int = 2000) -> DataFrame:
-    """Fill rate, cost, size match and latency of hidden trading by venue, halved when rejects pile up; the best three."""
+def dark_scores(t: DataFrame, quantity: int = 2000, least: float = 0.7) -> DataFrame:
+    """Fill rate, cost, size match and latency of hidden trading by venue, weighted by the venue's own score and halved when
+    rejects pile up; of the healthy venues over `least` the best three."""
     sums = t.groupBy("venue").agg(F.count_if("is_hidden").alias("filled"), F.count("*").alias("sent"), F.avg(F.when(F.col("is_hidden"), F.col("quantity"))).alias("size"), F.count_if(F.col("side") == "UNKNOWN").alias("rejects"))
     fill = F.col("filled") / F.col("sent")
     match = 1 - F.abs(F.col("size") - quantity) / (F.col("size") + quantity)
     late = F.greatest(F.lit(0.0), 1 - F.col("venue") * 0.1)
-    score = (0.4 * fill + 0.3 * F.greatest(F.lit(0.0), 1 - F.col("venue") / 10.0) + 0.2 * match + 0.1 * late) * F.when(F.col("rejects") * 2 > F.col("sent"), 0.5).otherwise(1.0)
+    cheap = F.greatest(F.lit(0.0), 1 - F.col("venue") / 10.0)
+    score = (0.4 * fill + 0.3 * cheap + 0.2 * match + 0.1 * late) * (0.8 + 0.4 * (0.6 * fill + 0.4 * cheap)) * F.when(F.col("rejects") * 2 > F.col("sent"), 0.5).otherwise(1.0)
     rows = sums.select("venue", F.round(fill, 6).alias("fill_rate"), F.round(score, 6).alias("score"), (fill > 0.3).alias("healthy"))
     top = F.row_number().over(Window.orderBy(F.desc("score"), "venue"))  # one row for each venue
-    return rows.withColumn("rank", top).withColumn("selected", (F.col("rank") <= 3) & F.col("healthy"))
+    return rows.withColumn("rank", top).withColumn("selected", (F.col("rank") <= 3) & F.col("healthy") & (F.col("score") > least))
 
 
 def latency_pairs(v: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def market_maker_quotes(v: DataFrame, t: DataFrame, limit: int = 1_000_000) -> D
 def allocation(orders: DataFrame, v: DataFrame) -> DataFrame:
     """Greedy by score: at most 40 % to a venue and five venues, what is left to the best. Each order carries its ranked
     venues as one array and is folded by itself; no order meets another."""
-    names = v.agg(F.collect_list(F.struct("venue_id", "avg_spread_bps", "fill_probability", "avg_fill_size", "impact_bps", "fee_bps", "avg_latency_us", "supports_hidden")).alias("vs"))
+    names = v.agg(F.collect_list(F.struct("venue_id", "avg_spread_bps", "fill_probability", "avg_fill_size", "impact_bps", "fee_bps", "avg_latency_us", "supports_hidden", "recent_fill_rate", "queue_position")).alias("vs"))
     rows = orders.crossJoin(F.broadcast(names)).select("order_id", "quantity", F.explode("vs").alias("x")).select("order_id", "quantity", "x.*")
     rows = rows.withColumn("score", F.round(venue_score(F.col("quantity"), F.col("fill_probability")), 6)).where(F.col("score") >= LEAST_SCORE)
     ranked = rows.groupBy("order_id", "quantity").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "venue_id"))).alias("r"))
@@ -109,10 +113,14 @@ def allocation(orders: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def venue_learning(t: DataFrame, rate: float = 0.1) -> DataFrame:
-    """A score for each venue that moves by a tenth toward each day's outcome, from a half: a fold over its days."""
-    days = t.groupBy("venue", "day").agg((F.count_if(F.col("side") != "UNKNOWN") / F.count("*")).alias("fill"))
-    seq = days.groupBy("venue").agg(F.sort_array(F.collect_list(F.struct("day", "fill"))).alias("d"))
-    return seq.select("venue", F.size("d").cast("long").alias("days"), F.round(F.aggregate("d", F.lit(0.5), lambda s, x: s * (1 - rate) + rate * (0.6 * x["fill"] + 0.4)), 6).alias("score"))
+    """A score for each venue that moves by a tenth toward each day's outcome, from a half: a fold over its days. An
+    outcome is the share filled, and what the fills cost against the day's mean price, ten basis points or more being 0."""
+    known = F.col("side") != "UNKNOWN"
+    days = t.groupBy("venue", "day").agg(F.count_if(known).alias("f"), F.count("*").alias("n"), F.sum("price_e4").alias("p"), F.sum(F.when(known, F.col("price_e4") * F.col("quantity"))).alias("pq"), F.sum(F.when(known, F.col("quantity"))).alias("q"))
+    cost = F.coalesce(F.least(F.lit(10.0), F.abs(ratio(F.col("pq"), F.col("q")) / (F.col("p") / F.col("n")) - 1) * 10000), F.lit(0.0))
+    days = days.select("venue", "day", (F.col("f") / F.col("n")).alias("fill"), (1 - F.round(cost, 6) / 10).alias("cheap"))
+    seq = days.groupBy("venue").agg(F.sort_array(F.collect_list(F.struct("day", "fill", "cheap"))).alias("d"))
+    return seq.select("venue", F.size("d").cast("long").alias("days"), F.round(F.aggregate("d", F.lit(0.5), lambda s, x: s * (1 - rate) + rate * (0.6 * x["fill"] + 0.4 * x["cheap"])), 6).alias("score"))
 
 
 # -- schedules --------------------------------------------------------------------------------------------------------
@@ -237,15 +245,17 @@ def risk_checks(orders: DataFrame, most: int = 20_000, total: int = 100_000) ->
     """Orders over the size limit, or that take the running total of their account's accepted sizes over its limit."""
     ok = F.when(F.col("quantity") <= most, F.col("quantity")).otherwise(0)
     run = F.sum(ok).over(up_to_now("account", order=("order_id",)))
-    return orders.select("order_id", F.when(F.col("quantity") > most, "ORDER_SIZE").when(run > total, "POSITION_LIMIT").otherwise("OK").alias("verdict"))
+    rows = orders.select("order_id", "quantity", F.when(F.col("quantity") > most, "ORDER_SIZE").when(run > total, "POSITION_LIMIT").otherwise("OK").alias("verdict"))
+    reason = F.when(F.col("verdict") == "ORDER_SIZE", F.concat(F.lit("size "), F.col("quantity").cast("string"), F.lit(f" is over {most}"))).when(F.col("verdict") == "POSITION_LIMIT", F.lit(f"the account is over {total}"))
+    return rows.select("order_id", "verdict", reason.alias("reason"))
 
 
 RUN_TRAJECTORY, TAU = trajectory()
 #: The limits of the registered query: ticks of minutes vary far more than those of a live feed.
 CONDITIONS = {"spread_limit": 20.0, "volatility_limit": 500.0, "imbalance_limit": 0.3}
 _RANKED = "row_number() OVER (PARTITION BY symbol ORDER BY r, trade_seq)"
-_SCORE_SQL = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.3::DOUBLE * fill_probability + 0.25::DOUBLE * fill_probability + 0.25::DOUBLE * greatest(0, 1 - (fee_bps + impact_bps) / {MAX_COST_BPS}::DOUBLE)
-  + CASE WHEN avg_latency_us < {MAX_LATENCY_US} THEN 0.1::DOUBLE * (1 - avg_latency_us / {MAX_LATENCY_US}::DOUBLE) ELSE 0 END + 0.1::DOUBLE * (1 / (1 + abs(ln(quantity / avg_fill_size))))) * CASE WHEN quantity > 10000 AND supports_hidden THEN 1.1::DOUBLE ELSE 1 END + 0.025::DOUBLE))"""
+_SCORE_SQL = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.7::DOUBLE * ((0.3::DOUBLE * fill_probability + 0.25::DOUBLE * fill_probability + 0.25::DOUBLE * greatest(0, 1 - (fee_bps + impact_bps) / {MAX_COST_BPS}::DOUBLE)
+  + CASE WHEN avg_latency_us < {MAX_LATENCY_US} THEN 0.1::DOUBLE * (1 - avg_latency_us / {MAX_LATENCY_US}::DOUBLE) ELSE 0 END + 0.1::DOUBLE * (1 / (1 + abs(ln(quantity / avg_fill_size))))) * CASE WHEN quantity > 10000 AND supports_hidden THEN 1.1::DOUBLE ELSE 1 END + 0.05::DOUBLE * (1 - queue_position)) + 0.3::DOUBLE * recent_fill_rate))"""
 
 
 def _schedule_sql(planned: str) -> str:
@@ -264,7 +274,7 @@ def _p(f):
 QUERIES = {
     "venue_analytics": lambda spark, sf: venue_analytics(daily_trades(spark, sf)),
     "venue_scores": _v(venue_scores),
-    "dark_venue_scores": lambda spark, sf: dark_scores(daily_trades(spark, sf)),
+    "dark_venue_scores": lambda spark, sf: dark_scores(daily_trades(spark, sf), least=0.3),
     "venue_learning": lambda spark, sf: venue_learning(daily_trades(spark, sf)),
     "latency_pairs": _v(latency_pairs),
     "market_maker_quotes": lambda spark, sf: market_maker_quotes(venues(spark, sf), trades(spark, sf)),
@@ -289,10 +299,11 @@ SELECT venue, sent, filled, volume, round(filled / sent, 6) AS fill_rate, round(
     "venue_scores": f"""WITH {VENUES_SQL}, x AS (SELECT *, unnest([100, 1000, 20000])::BIGINT AS quantity FROM vn), y AS (SELECT venue_id, quantity, round({_SCORE_SQL}, 6) AS score FROM x)
 SELECT *, row_number() OVER (PARTITION BY quantity ORDER BY score DESC, venue_id) AS rank FROM y""",
     "dark_venue_scores": f"""WITH {DAILY_SQL}, s AS (SELECT venue, count(*) FILTER (is_hidden) AS filled, count(*) AS sent, avg(quantity) FILTER (is_hidden) AS size, count(*) FILTER (side = 'UNKNOWN') AS rejects FROM daily GROUP BY venue),
-r AS (SELECT venue, round(filled / sent, 6) AS fill_rate, round((0.4::DOUBLE * (filled / sent) + 0.3::DOUBLE * greatest(0, 1 - venue / 10.0::DOUBLE) + 0.2::DOUBLE * (1 - abs(size - 2000) / (size + 2000)) + 0.1::DOUBLE * greatest(0, 1 - venue * 0.1::DOUBLE)) * CASE WHEN rejects * 2 > sent THEN 0.5::DOUBLE ELSE 1 END, 6) AS score, filled / sent > 0.3 AS healthy FROM s),
-k AS (SELECT *, row_number() OVER (ORDER BY score DESC, venue) AS rank FROM r) SELECT *, rank <= 3 AND healthy AS selected FROM k""",
-    "venue_learning": f"""WITH {DAILY_SQL}, d AS (SELECT venue, day, count(*) FILTER (side <> 'UNKNOWN') / count(*) AS fill FROM daily GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY day DESC) - 1 AS k, count(*) OVER (PARTITION BY venue) AS n FROM d)
-SELECT venue, any_value(n) AS days, round(0.5::DOUBLE * pow(0.9::DOUBLE, any_value(n)) + sum(0.1::DOUBLE * pow(0.9::DOUBLE, k) * (0.6::DOUBLE * fill + 0.4::DOUBLE)), 6) AS score FROM k GROUP BY venue""",
+r AS (SELECT venue, round(filled / sent, 6) AS fill_rate, round((0.4::DOUBLE * (filled / sent) + 0.3::DOUBLE * greatest(0, 1 - venue / 10.0::DOUBLE) + 0.2::DOUBLE * (1 - abs(size - 2000) / (size + 2000)) + 0.1::DOUBLE * greatest(0, 1 - venue * 0.1::DOUBLE)) * (0.8::DOUBLE + 0.4::DOUBLE * (0.6::DOUBLE * (filled / sent) + 0.4::DOUBLE * greatest(0, 1 - venue / 10.0::DOUBLE))) * CASE WHEN rejects * 2 > sent THEN 0.5::DOUBLE ELSE 1 END, 6) AS score, filled / sent > 0.3 AS healthy FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, venue) AS rank FROM r) SELECT *, rank <= 3 AND healthy AND score > 0.3 AS selected FROM k""",
+    "venue_learning": f"""WITH {DAILY_SQL}, e AS (SELECT venue, day, count(*) FILTER (side <> 'UNKNOWN') AS f, count(*) AS n, sum(price_e4)::DOUBLE AS p, sum(price_e4 * quantity) FILTER (side <> 'UNKNOWN')::DOUBLE AS pq, sum(quantity) FILTER (side <> 'UNKNOWN')::DOUBLE AS q FROM daily GROUP BY ALL),
+d AS (SELECT venue, day, f / n AS fill, 1 - round(coalesce(least(10.0::DOUBLE, abs(pq / q / (p / n) - 1) * 10000), 0), 6) / 10 AS cheap FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY day DESC) - 1 AS k, count(*) OVER (PARTITION BY venue) AS n FROM d)
+SELECT venue, any_value(n) AS days, round(0.5::DOUBLE * pow(0.9::DOUBLE, any_value(n)) + sum(0.1::DOUBLE * pow(0.9::DOUBLE, k) * (0.6::DOUBLE * fill + 0.4::DOUBLE * cheap)), 6) AS score FROM k GROUP BY venue""",
     "latency_pairs": f"WITH {VENUES_SQL} SELECT f.venue_id AS fast, s.venue_id AS slow, s.avg_latency_us - f.avg_latency_us AS advantage_us FROM vn f JOIN vn s ON f.venue <> s.venue AND s.avg_latency_us - f.avg_latency_us > 100",
     "market_maker_quotes": f"""WITH {VENUES_SQL}, {TICKS_SQL}, l AS (SELECT symbol, arg_max(price_e4, ts_ns) AS mid, sum(CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END)::DOUBLE AS inv FROM trades GROUP BY symbol),
 x AS (SELECT symbol, venue_id, mid, avg_spread_bps * mid / 20000 AS half, -least(1.0::DOUBLE, greatest(-1.0::DOUBLE, inv / 1000000)) AS k FROM vn, l) SELECT symbol, venue_id, round(mid - half + k * half, 3) AS bid, round(mid + half + k * half, 3) AS ask FROM x""",
@@ -323,7 +334,8 @@ SELECT symbol, trade_seq, coalesce(ts_ns - lag(ts_ns) OVER (PARTITION BY symbol
     "rebalance": f"""WITH {DAILY_SQL}, v AS (SELECT l_orderkey AS order_id, venue, coalesce(sum(quantity) FILTER (side <> 'UNKNOWN'), 0)::BIGINT AS filled, coalesce(sum(quantity) FILTER (side = 'UNKNOWN'), 0)::BIGINT AS o FROM daily GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY filled DESC, venue) AS k FROM v)
 SELECT order_id, sum(o)::BIGINT AS open, CASE WHEN sum(filled) > 0 THEN max(venue) FILTER (k = 1) END::BIGINT AS to_venue, sum(filled) = 0 AS cancelled FROM k GROUP BY order_id HAVING sum(o) > 0""",
-    "risk_checks": f"""WITH {PARENTS_SQL} SELECT order_id, CASE WHEN quantity > 20000 THEN 'ORDER_SIZE' WHEN sum(CASE WHEN quantity <= 20000 THEN quantity ELSE 0 END) OVER (PARTITION BY account ORDER BY order_id ROWS UNBOUNDED PRECEDING) > 100000 THEN 'POSITION_LIMIT' ELSE 'OK' END AS verdict FROM pa""",
+    "risk_checks": f"""WITH {PARENTS_SQL}, v AS (SELECT order_id, quantity, CASE WHEN quantity > 20000 THEN 'ORDER_SIZE' WHEN sum(CASE WHEN quantity <= 20000 THEN quantity ELSE 0 END) OVER (PARTITION BY account ORDER BY order_id ROWS UNBOUNDED PRECEDING) > 100000 THEN 'POSITION_LIMIT' ELSE 'OK' END AS verdict FROM pa)
+SELECT order_id, verdict, CASE verdict WHEN 'ORDER_SIZE' THEN 'size ' || quantity || ' is over 20000' WHEN 'POSITION_LIMIT' THEN 'the account is over 100000' END AS reason FROM v""",
     "positions": f"""WITH {TICKS_SQL}, s AS (SELECT *, CASE side WHEN 'BUY' THEN quantity WHEN 'SELL' THEN -quantity ELSE 0 END AS q FROM trades),
 p AS (SELECT symbol, trade_seq, price_e4, sum(q) OVER w::BIGINT AS position, sum(-q * price_e4) OVER w::BIGINT AS cash_e4 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq ROWS UNBOUNDED PRECEDING)) SELECT symbol, trade_seq, position, cash_e4, cash_e4 + position * price_e4 AS profit_e4 FROM p""",
     "value_at_risk": f"""WITH {TICKS_SQL}, l AS (SELECT symbol, trade_seq, (price_e4 - lag(price_e4) OVER o)::DOUBLE / nullif(lag(price_e4) OVER o, 0) AS r FROM trades WINDOW o AS (PARTITION BY symbol ORDER BY ts_ns, trade_seq)),

@@ -96,12 +96,13 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers, dealt over VENUES venues; a venue's figures are the means of what its suppliers' numbers give."""
     n, rows = F.col("s_suppkey"), F.count("*")
     own = table(spark, sf_dir, "supplier").groupBy((n % VENUES).alias("venue")).agg(
-        *[F.sum(x).alias(name) for name, x in (("a", n % 7), ("b", n % 6), ("c", n % 5), ("d", n % 4), ("e", n % 3), ("f", n * 37 % 400))], rows.alias("n"), F.count_if(n % 2 == 0).alias("h")
+        *[F.sum(x).alias(name) for name, x in (("a", n % 7), ("b", n % 6), ("c", n % 5), ("d", n % 4), ("e", n % 3), ("f", n * 37 % 400), ("r", n % 10), ("w", n % 8))], rows.alias("n"), F.count_if(n % 2 == 0).alias("h")
     )
     mean = lambda c: F.col(c) / F.col("n")
     return own.select(
         "venue", F.concat(F.lit("V"), F.col("venue").cast("string")).alias("venue_id"), (1 + mean("a")).alias("avg_spread_bps"), (0.3 + mean("b") / 10.0).alias("fill_probability"), (200 * (1 + mean("c"))).alias("avg_fill_size"),
         (mean("d") / 2.0).alias("impact_bps"), (mean("e") / 10.0).alias("fee_bps"), F.expr("100 + f div n").alias("avg_latency_us"), (2 * F.col("h") >= F.col("n")).alias("supports_hidden"),
+        (mean("r") / 10.0).alias("recent_fill_rate"), (mean("w") / 8.0).alias("queue_position"),
     )
 
 

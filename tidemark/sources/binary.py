@@ -120,13 +120,21 @@ def write_itch(events: DataFrame) -> DataFrame:
     return rows.select(F.lit("generated").alias("path"), F.col("n").alias("seq"), "frame")
 
 
+def itch_locates(frames: DataFrame) -> DataFrame:
+    """The locate dimension: each locate's symbol as its first message with one names it."""
+    rows = frames.where(text(2, 1).isin("A", "F", "P") & (F.octet_length("frame") >= 38))
+    return rows.groupBy(be(3, 2).alias("locate")).agg(F.min_by(text(26, 8), "seq").alias("symbol"), F.count("*").alias("messages"))
+
+
 def write_ouch(events: DataFrame) -> DataFrame:
-    """Frames for events: accepted orders (A) and executions (E) of half of them."""
+    """Frames for events: entered (O) and accepted (A) orders and executions (E) of half of them."""
     day = F.col("ts_ns") % 86_400_000_000_000
     name, side = _chars(F.concat(F.lit("SYM"), F.col("symbol").cast("string")), 8), F.hex(F.when(F.col("k") % 2 == 0, "B").otherwise("S"))
     size, u = _hex((F.col("k") + 1) * 100, 4), F.lit(b"U".hex())
+    entered = _frame(u, F.lit("4F"), _hex(F.col("seq"), 4), side, size, name, _hex(F.col("price_e4"), 4))
     accepted = _frame(u, F.lit("41"), _hex(day, 8), _hex(F.col("seq"), 4), side, size, name, _hex(F.col("price_e4"), 4), _hex(F.lit(0), 4), _chars(F.lit("FIRM"), 4), F.lit("59"), _hex(F.col("seq") + 7, 8), _hex(F.lit(0), 8))
     done = _frame(u, F.lit("45"), _hex(day + 1000, 8), _hex(F.col("seq"), 4), size, _hex(F.col("price_e4"), 4), F.hex(F.when(F.col("k") % 3 == 0, "R").otherwise("A")), _hex(F.col("seq"), 8))
     e = events.where("event_type = 'signup'")
-    rows = e.select((F.col("seq") * 2).alias("n"), accepted.alias("frame")).unionByName(e.where("k % 4 < 2").select((F.col("seq") * 2 + 1).alias("n"), done.alias("frame")))
+    rows = e.select((F.col("seq") * 4).alias("n"), entered.alias("frame")).unionByName(e.select((F.col("seq") * 4 + 1).alias("n"), accepted.alias("frame")))
+    rows = rows.unionByName(e.where("k % 4 < 2").select((F.col("seq") * 4 + 2).alias("n"), done.alias("frame")))
     return rows.select(F.lit("generated").alias("path"), F.col("n").alias("seq"), "frame")
