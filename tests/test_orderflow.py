@@ -123,3 +123,17 @@ def test_thresholds_can_be_replaced():
     assert d.hawkes_threshold == 5.0 and feeds.GATES.hawkes_threshold != 5.0
     with pytest.raises(ValueError):
         replace(d, pin_period="year").validate()
+
+
+def test_a_gradient_step_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(50, 4)), [0.5, -1.0, 0.0, 2.0]
+    y = x @ np.array([1.0, -1.0, 0.5, 2.0])
+    rows = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "vec_id long, x array<double>, y double")
+    got = [r.weight for r in models.gradient_step(rows, w, 0.2).orderBy("dim").collect()]
+    e = x @ np.array(w) + 0.2 - y
+    assert np.allclose(got, np.array(w) - 0.01 * ((x * e[:, None]).mean(axis=0) + 0.001 * np.array(w)), atol=1e-7)
+    cv = {r.alpha: r for r in models.cross_validate(rows, (0.001, 1.0)).collect()}
+    assert cv[0.001].rmse < cv[1.0].rmse and cv[1.0].held_out == 50

@@ -283,6 +283,30 @@ def elastic_net_scores(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", (dot(F.col("x"), [float(w) for w in model.coefficients.toArray()]) + float(model.intercept)).alias("prediction"))
 
 
+def gradient_step(rows: DataFrame, weights: list[float], intercept: float = 0.0, rate: float = 0.01, shrink: float = 0.001) -> DataFrame:
+    """Weights after one step down the gradient of the squared error over a batch, with L2 shrinkage: how a fitted model goes
+    on with new rows. One pass; sums are made by dimension."""
+    error = rows.withColumn("e", dot(F.col("x"), weights) + intercept - F.col("y"))
+    parts = error.select("e", F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.avg(F.col("e") * F.col("v")).alias("g"))
+    before = F.element_at(F.array(*map(F.lit, weights)), F.col("dim") + 1)
+    return parts.select("dim", F.round(before - rate * (F.col("g") + shrink * before), 8).alias("weight"))
+
+
+def cross_validate(rows: DataFrame, alphas: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 3) -> DataFrame:
+    """Root mean squared error of held-out folds (by vec_id) for each penalty."""
+    out = []
+    for alpha in alphas:
+        squares, n = 0.0, 0
+        for k in range(folds):
+            held = F.pmod(F.col("vec_id"), F.lit(folds)) == k
+            model = fit_elastic_net(rows.where(~held), alpha)
+            gap = dot(F.col("x"), [float(w) for w in model.coefficients.toArray()]) + float(model.intercept) - F.col("y")
+            r = rows.where(held).agg(F.sum(gap * gap).alias("s"), F.count("*").alias("n")).first()
+            squares, n = squares + (r["s"] or 0.0), n + r["n"]
+        out.append((alpha, (squares / max(1, n)) ** 0.5, n))
+    return rows.sparkSession.createDataFrame(out, "alpha double, rmse double, held_out long")
+
+
 def save_model(model, path: str, spark: SparkSession) -> None:
     """A fitted linear model as one JSON row: intercept and weights."""
     spark.createDataFrame([(float(model.intercept), [float(w) for w in model.coefficients.toArray()])], "intercept double, weights array<double>").coalesce(1).write.mode("overwrite").json(path)
@@ -402,6 +426,8 @@ QUERIES = {
     "linear_scorer": _x(linear_scores),
     "elastic_net": _x(elastic_net_report),
     "elastic_net_scores": _x(elastic_net_scores),
+    "elastic_net_cv": _x(cross_validate),
+    "gradient_step": lambda spark, sf: gradient_step(vectors(spark, sf), fixed_weights(), 0.1),
     "sequence_scores": _x(sequence_anomalies),
     "inference_stub": _x(inference_stub),
 }
@@ -419,6 +445,8 @@ j AS (SELECT a.*, avg_, q.bid_e4 AS b, q.ask_e4 AS k FROM (SELECT * FROM a JOIN
 SELECT symbol, trade_seq, ts_ns, quantity, side, round(quantity / avg_, 6) AS size, round(coalesce((price_e4 - p1) / nullif(p1, 0), 0), 6) AS change, round(coalesce(dt, 1), 9) AS dt, round(coalesce(abs(price_e4 - (b + k) / 2.0::DOUBLE) / nullif(k - b, 0), 0.5::DOUBLE), 6) AS spread_ratio,
   CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS direction, round(coalesce(quantity / nullif(dt, 0), quantity::DOUBLE), 6) AS rate FROM j""",
     "standard_scales": "WITH l AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim, round(avg(v), 6) AS mean, round(greatest(1e-5, stddev_pop(v)), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) FILTER (v IS NULL) AS missing FROM l GROUP BY dim",
+    "gradient_step": f"""WITH e AS (SELECT embedding, list_dot_product(embedding::DOUBLE[], {_WEIGHTS}) + 0.1::DOUBLE - label::DOUBLE AS e FROM embeddings), l AS (SELECT e, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM e), g AS (SELECT dim, avg(e * v) AS g FROM l GROUP BY dim)
+SELECT dim, round({_WEIGHTS}[dim + 1] - 0.01::DOUBLE * (g + 0.001::DOUBLE * {_WEIGHTS}[dim + 1]), 8) AS weight FROM g""",
     "linear_scorer": f"""WITH s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_WEIGHTS}) + 0.1::DOUBLE, 6) AS score FROM embeddings)
 SELECT vec_id, score, CASE WHEN score > 0.6 THEN 'UNUSUAL_VOLUME' ELSE 'NONE' END AS type,
   round(least(1.0::DOUBLE, 1 / (1 + exp(-score)) + CASE WHEN score > 0.8 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN score > 0.7 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN score > 0.6 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence,

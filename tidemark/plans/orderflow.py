@@ -102,6 +102,15 @@ def late_executions(e: DataFrame, limit: int = MINUTE) -> DataFrame:
     return executions_of_orders(e).select("order_id", (late | part).alias("anomalous"), reasons.alias("reasons"))
 
 
+def fill_chain(t: DataFrame, p: DataFrame, v: DataFrame) -> DataFrame:
+    """Fills with their parent order and their venue: by venue the orders, the quantity filled and what it cost in fees, and
+    the mean urgency of the parents."""
+    fills = t.where("side <> 'UNKNOWN'").groupBy(F.col("l_orderkey").alias("order_id"), "venue").agg(F.sum("quantity").alias("filled"))
+    rows = fills.join(p.select("order_id", "urgency"), "order_id").join(F.broadcast(v.select(F.col("venue").cast("int").alias("venue"), "venue_id", "fee_bps")), "venue")  # VENUES rows at most
+    sums = rows.groupBy("venue_id", "fee_bps").agg(F.count("*").alias("orders"), F.sum("filled").alias("filled"), F.avg("urgency").alias("u"))
+    return sums.select("venue_id", "orders", "filled", F.round(F.col("filled") * F.col("fee_bps") / 10000, 4).alias("fees"), F.round("u", 6).alias("urgency"))
+
+
 def routing_costs(p: DataFrame, v: DataFrame) -> DataFrame:
     """Allocated quantities by venue, with their fees in basis points of quantity."""
     sums = allocation(p, v).groupBy("venue_id").agg(F.count("*").alias("orders"), F.sum("allocated").alias("allocated"))
@@ -277,6 +286,7 @@ QUERIES = {
     "execution_performance": lambda spark, sf: execution_performance(daily_trades(spark, sf)),
     "leakage_trend": lambda spark, sf: leakage_trend(daily_trades(spark, sf)),
     "late_executions": _e(late_executions),
+    "fill_chain": lambda spark, sf: fill_chain(daily_trades(spark, sf), parents(spark, sf), venues(spark, sf)),
     "routing_costs": lambda spark, sf: routing_costs(parents(spark, sf), venues(spark, sf)),
     "pre_trade_mid": _tq(pre_trade_mid),
     "slice_quantities": _tq(slice_quantities),
@@ -332,6 +342,8 @@ u AS (SELECT *, CASE WHEN bps > lag(bps) OVER o THEN 1 ELSE 0 END AS up FROM b W
 r AS (SELECT *, sum(up) OVER (PARTITION BY l_orderkey, side ORDER BY {', '.join(liquidity.DAY_ORDER[:1] + liquidity.DAY_ORDER[2:])} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run FROM u)
 SELECT l_orderkey AS order_id, side, count(*) AS fills, max(bps) AS worst_bps, bool_or(run = 3) AS suspected FROM r GROUP BY ALL""",
     "late_executions": f"WITH {_STATES_SQL} SELECT order_id, wait_ns > {MINUTE} OR quantity < ordered AS anomalous, concat_ws(',', CASE WHEN wait_ns > {MINUTE} THEN 'high_latency' END, CASE WHEN quantity < ordered THEN 'partial' END) AS reasons FROM ox",
+    "fill_chain": f"""WITH {DAILY_SQL}, {PARENTS_SQL}, {VENUES_SQL}, f AS (SELECT l_orderkey AS order_id, venue, sum(quantity)::BIGINT AS filled FROM daily WHERE side <> 'UNKNOWN' GROUP BY ALL)
+SELECT venue_id, count(*) AS orders, sum(filled)::BIGINT AS filled, round(sum(filled) * any_value(fee_bps) / 10000, 4) AS fees, round(avg(urgency), 6) AS urgency FROM f JOIN pa USING (order_id) JOIN vn USING (venue) GROUP BY venue_id""",
     "routing_costs": f"WITH {VENUES_SQL}, a AS ({STRATEGIES_SQL['allocation_greedy']}) SELECT venue_id, count(*) AS orders, sum(allocated)::BIGINT AS allocated, round(sum(allocated) * any_value(fee_bps) / 10000, 4) AS fees FROM a JOIN vn USING (venue_id) GROUP BY venue_id",
     "pre_trade_mid": f"WITH {TICKS_SQL} SELECT t.symbol, trade_seq, (bid_e4 + ask_e4) // 2 AS mid FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.ts_ns > q.ts_ns",
     "slice_quantities": f"""WITH {_CONDITIONS_SQL},
