@@ -7,8 +7,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import zstandard
+
 import corpus_pipeline
-from tidemark.llm import dedup, langid
+from tidemark.llm import dedup, langid, mixture, pieces, quality
 
 from .conftest import held_out
 
@@ -42,9 +44,9 @@ def brute(rows):
     return {i: root(i) for i in up}
 
 
-def check(frame):
+def check(frame, exact=False):
     rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-    got = dedup.near_duplicates(frame).collect()
+    got = dedup.near_duplicates(frame, exact).collect()
     want = brute(rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles) for r in got) == sorted((i is None, i or 0, len(shingle_set(t))) for i, t in rows)
     for r in got:
@@ -63,6 +65,7 @@ def test_shingles_equal_sets(docs_pd):
 
 def test_dedup_equals_brute_force(spark, docs, odd_docs, no_docs):
     check(docs)
+    check(docs, exact=True)
     check(odd_docs)
     assert dedup.near_duplicates(no_docs).count() == 0
 
@@ -91,6 +94,21 @@ def test_dedup_of_hot_groups(spark):
     frame = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     want = check(frame)
     assert len(set(want.values())) < len(want) / 2
+    check(frame, exact=True)
+
+
+def test_dedup_of_typical_and_other_documents(spark):
+    """Documents made of passages that many share, and near copies of them with a fifth of new text: pairs at the threshold
+    of which one side lies in long lists almost wholly and the other one does not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    parts, rows = [[word() for _ in range(60)] for _ in range(6)], []
+    for _ in range(40):
+        rows.append(" ".join(w for p in rng.sample(parts, 4) for w in p))
+    for n in (60, 70, 76, 80):
+        base = [w for p in rng.sample(parts, 4) for w in p]
+        rows += [" ".join(base), " ".join(base + [word() for _ in range(n)])]
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
 
 
 def test_components(spark):
@@ -113,6 +131,40 @@ def test_language_learns_only_from_its_part(docs):
     assert langid.learn(langid.training(docs)) == langid.learn(langid.training(other))
 
 
+def plain_verdict(text, model):
+    """By hand: letters in lower case, chunks, one compressor for each language."""
+    raw = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    if not raw:
+        return "und", 0.0
+    lead = " " if not re.match(r"[^\W\d_]", text.lower()) else ""
+    tail = " " if not re.search(r"[^\W\d_]$", text.lower()) else ""
+    data = (lead + raw + tail).encode()
+    how = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0)
+    sizes = {}
+    for lang, d in model.items():
+        packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+        sizes[lang] = sum(len(packer.compress(data[k : k + 4096])) for k in range(0, len(data), 4096))
+    best, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+    return best[0], min(1.0, 10 * (1 - best[1] / second[1]))
+
+
+def test_language_equals_sizes_by_hand(spark, docs, odd_docs):
+    model = langid.learn(langid.training(docs))
+    assert set(model) == {r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    for frame in (docs, odd_docs):
+        rows = langid.identify(frame, model, ["doc_id", "text"]).collect()
+        assert len(rows) == frame.count()
+        for r in rows:
+            lang, score = plain_verdict(r.text or "", model)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-12 and (lang == "und" or r.rejected == (score / 10 < langid.MARGIN))
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, "wort " * 5000, f"l{i % 300:03d}") for i in range(600)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model) == langid.LANGS and all(len(d) <= min(langid.DICT_BYTES, 2 * langid.DOC_CHARS + 2) for d in model.values())
+
+
 def test_language_odd_rows(spark, docs, odd_docs, no_docs):
     model = langid.learn(langid.training(docs))
     assert model and all(len(d) <= langid.DICT_BYTES for d in model.values())
@@ -140,6 +192,46 @@ def test_pipeline(spark, odd_docs, no_docs):
     assert docs.columns == ["doc_id", "lang", "source", "n_chars", "ids"]
 
 
+def survivors(stage, rows, spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, g string, _row int"
+    frame = spark.createDataFrame([(i, t, "en", "src0", 0, 1, "x", 2) for i, t in rows], schema)
+    out = stage(spark, frame, "")
+    assert out.columns == frame.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def clean(k, n=120):
+    rng = random.Random(k)
+    return " ".join("".join(rng.choices("aeioubcdflmnrst", k=rng.randrange(3, 9))) for _ in range(n))
+
+
+def test_quality_judges_each_row_by_itself(spark):
+    good, again = clean(1), clean(2)
+    assert survivors(quality.stage_quality, [(None, good), (None, "short"), (None, None), (5, again), (5, "short"), (6, "")], spark) == sorted([(None, good), (5, again)], key=str)
+    assert survivors(quality.stage_quality, [(7, good), (7, good)], spark) == [(7, good)] * 2
+
+
+def test_near_dedup_keeps_one_row_of_each(spark):
+    a, b, c = clean(1), clean(2), clean(3)
+    assert survivors(dedup.stage_near_dedup, [(1, a), (1, a)], spark) == [(1, a)]
+    assert survivors(dedup.stage_near_dedup, [(1, a), (2, a), (2, b), (3, b), (4, c)], spark) == [(1, a), (4, c)]
+    got = survivors(dedup.stage_near_dedup, [(1, a), (1, b), (2, c)], spark)
+    assert len(got) == 2 and got[0] in [(1, a), (1, b)] and got[1] == (2, c)
+    assert survivors(dedup.stage_near_dedup, [(None, a), (None, a), (None, b), (None, None), (None, None), (3, ""), (4, "")], spark) == sorted([(None, a), (None, b), (None, None), (3, ""), (4, "")], key=str)
+    hot = [(9, a)] * 50 + [(9, b)] * 30 + [(8, b)]
+    assert survivors(dedup.stage_near_dedup, hot, spark) in ([(8, b)],)
+
+
+def test_other_stages_treat_rows_alike(spark):
+    a = clean(1)
+    assert survivors(mixture.stage_mix, [], spark) == []
+    got = survivors(langid.stage_language_id, [(None, a), (1, a), (1, a), (2, None), (3, "12 !")], spark)
+    assert set(got) <= {(None, a), (1, a)}
+    frame = spark.createDataFrame([(1, a, 3), (1, a, 3), (None, None, 4)], "doc_id long, text string, ids int")
+    rows = pieces.stage_pieces(spark, frame, "").collect()
+    assert len(rows) == 3 and rows[0].ids == rows[1].ids and rows[2].ids == []
+
+
 def test_stages_odd_rows(spark, odd_docs, no_docs):
     for frame in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:

@@ -7,10 +7,11 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles; its sk
    values in long lists; the pairs with the most overlap are filtered by the union sketch's estimate and verified on full
    sets. This is linear in the lists, and joins large groups of near copies into components.
 3. All pairs of a list of up to HOT members that are still in different components are compared as well: overlaps, then
-   union sketches, then full sets decide. Longer lists are left to documents with less than the share RARE of their sketch
-   in shorter ones ("typical" documents). If two documents with at least that share are similar enough, a quarter of
-   their sets is both shared and outside of long lists, which makes fifteen values of the sketch on average, so a
-   shorter list brings them together (all but 3 pairs in 10^7 right at the threshold).
+   union sketches, then full sets decide. Longer lists are left to "typical" documents, those with less than the share
+   RARE of their sketch in shorter lists. Of a document that is not typical, about half of the whole set or more lies
+   outside of long lists. If another one is similar enough, a quarter of its set is both shared and outside of long lists,
+   which makes twelve values of the sketch on average, so that a shorter list brings the two together, whether the other
+   one is typical or not (all but some pairs in 10^5 right at the threshold).
 4. Typical documents, again only in different components, are compared through lists of their full sets: every list of up
    to HOT members, and, for pairs that share nothing there, longer lists by the prefix rule: rare shingles first, a
    document needs to show only the first n/4 + 1, of which those outside of long lists are known not to be shared; and
@@ -18,7 +19,9 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles; its sk
    documents share does not pair them, and neither does a text with thousands of loose variants; no list is cut off.
 5. Components of the links: large-star and small-star rounds, each written to the shared folder.
 
-Sketch filters lie more than four and a half standard deviations below the threshold. Sets are not kept: they are made
+Sketch filters lie more than four and a half standard deviations below the threshold, so all but a few links in a million
+right at the threshold pass them. With exact=True nothing is left to chance: every document is typical and no sketch
+filters, at the price of full-set lists for all. Sets are not kept: they are made
 again for documents in pairs, picked by a bitmap of fixed size before anything is shuffled.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; fewer words than five are one shingle;
@@ -41,7 +44,7 @@ from tidemark.llm.common import materialize, mix64, small_batches, table, utf8
 
 SKETCH, HOT = 64, 16
 #: A document with fewer of its sketch's values than this share in short lists takes part in long ones, too.
-RARE = 0.38
+RARE = 0.5
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are hashed at once.
 BYTES = 512 << 10
@@ -193,7 +196,7 @@ def similar_sizes():
 def open_pairs(own: DataFrame, condition) -> DataFrame:
     """Pairs a < b of members of one list v in different components, from rows (v, rep, root, ...); every other column
     comes twice, with _a and _b. Lists within one component go before the join."""
-    open_ = own.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
+    open_ = materialize(own.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v"), "dedup-open")
     own = own.join(open_, "v")
     rest = [c for c in own.columns if c not in ("v", "rep")]
     one, two = (own.select("v", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rest]) for x in "ab")
@@ -206,7 +209,7 @@ def typical_pairs(docs: DataFrame, typical: DataFrame, parts: DataFrame) -> Data
     full = docs.where("doc_id is not null").mapInArrow(partial(_sets, bitmap=bitmap), "id long, full array<long>")
     full = full.withColumn("n", F.size("full").cast("long")).join(typical.select(F.col("rep").alias("id")), "id").join(parts.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     posts = full.select(F.col("id").alias("rep"), "n", F.coalesce("root", "id").alias("root"), F.explode("full").alias("v")).distinct()
-    lists = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    lists = materialize(posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "dedup-full-counts")
     posts = materialize(posts.join(lists, "v"), "dedup-full-lists", compression="zstd")
     rare = open_pairs(posts.where(F.col("c") <= HOT).select("v", "rep", "n", "root"), similar_sizes()).select("a", "b").distinct()
 
@@ -222,19 +225,21 @@ def typical_pairs(docs: DataFrame, typical: DataFrame, parts: DataFrame) -> Data
     return rare.union(open_pairs(long_.select("v", "rep", "n", "root", after), similar_sizes() & enough).select("a", "b").distinct())
 
 
-def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, classes: DataFrame, exact: bool = False) -> DataFrame:
     """(id, root) of the representatives that are linked with others."""
     live = base.where("n > 0 and doc_id is not null")
     reps = live.join(classes.select(F.col("rep"), "k1", "k2"), [live["doc_id"] == F.col("rep"), live["k1"] == classes["k1"], live["k2"] == classes["k2"]])
     reps = materialize(reps.select("rep", "n", "sketch").distinct(), "dedup-reps", compression="zstd")
     posts = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    lists = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    # tables that are made by value are written before rows meet them by value: adaptive execution can then split a join
+    # at a value that a great part of all rows has, which it cannot do with an aggregation on one side
+    lists = materialize(posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "dedup-counts")
     posts = materialize(posts.join(lists, "v"), "dedup-lists", compression="zstd")
     hot = posts.groupBy("rep").agg(F.count_if(F.col("c") > HOT).alias("hot"), F.least(F.lit(SKETCH), F.max("n")).alias("k"))
-    hot = materialize(hot.select("rep", "hot", (F.col("hot") > F.col("k") * (1 - RARE)).alias("typical")), "dedup-hot")
+    hot = materialize(hot.select("rep", "hot", (F.lit(exact) | (F.col("hot") > F.col("k") * (1 - RARE))).alias("typical")), "dedup-hot")
 
     posts = posts.join(hot, "rep")
-    pivots = posts.groupBy("v").agg(F.max_by("rep", F.struct("hot", -F.col("rep"))).alias("m"))
+    pivots = materialize(posts.groupBy("v").agg(F.max_by("rep", F.struct("hot", -F.col("rep"))).alias("m")), "dedup-pivots")
     meets = posts.join(pivots, "v").where("rep <> m").groupBy("rep", "m").agg(F.count("*").alias("o"), F.min("n").alias("n")).where(F.col("o") * 6 >= F.least(F.lit(SKETCH), F.col("n")))
     best = meets.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("o"), "m"))), 1, 2).alias("m"))
     stars = best.select("rep", F.explode("m.m").alias("m")).select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct()
@@ -245,20 +250,23 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
     own = own.select("v", "rep", "n", "hot", F.coalesce("root", "rep").alias("root"))
     pairs = open_pairs(own, similar_sizes()).groupBy("a", "b").agg(F.count("*").alias("o"), F.min(F.least("n_a", "n_b")).alias("n"), F.min(F.least("hot_a", "hot_b")).alias("h"))
     pairs = pairs.where(F.col("o") + F.col("h") >= F.least(F.lit(SKETCH), F.col("n")) * 0.42).select("a", "b")
-    more = verified(estimated(pairs.union(typical_pairs(docs, reps.join(hot.where("typical"), "rep"), parts)).distinct(), reps), docs)
+    if exact:
+        more = verified(typical_pairs(docs, reps.select("rep"), parts).distinct(), docs)
+    else:
+        more = verified(estimated(pairs.union(typical_pairs(docs, reps.join(hot.where("typical"), "rep"), parts)).distinct(), reps), docs)
     rows = live.join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct()
     ties = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).where("a < _hi")  # ids with several texts
     ties = rows.join(ties, "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
     return components(near.union(more).union(ties))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. One row for each row of docs."""
     docs = docs.select("doc_id", "text")
     base = sketched(docs)
     live = base.where("n > 0 and doc_id is not null")
     classes = materialize(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    ends = links(docs, base, classes)
+    ends = links(docs, base, classes, exact)
     root = classes.join(ends, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     same = live.join(root, ["k1", "k2"]).groupBy("doc_id").agg(F.min("root").alias("root"))  # rows with equal ids are one node
     same = same.where("root < doc_id")
@@ -272,7 +280,30 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays. What goes, the lesser part, is taken away from the documents."""
+    """One document of each component stays. What goes, the lesser part, is taken away from the documents.
+
+    Of the rows with one doc_id, which are one node, one row stays: the first by hashes of its text, language and source.
+    Rows without a doc_id have no place in components; of those with equal texts (null: a text of its own) one stays.
+    Empty texts are linked with nothing and stay. An empty table stays empty; other columns pass, whatever they are called."""
     small_batches(spark)
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = materialize(near_duplicates(docs), "dedup-found")
+    often = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_often"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.where("doc_id is not null").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    often = materialize(often, "dedup-often")  # of known size: mostly empty
+    alone = left.join(often, left["doc_id"] == often["_often"], "left_anti")
+    several = left.join(often, left["doc_id"] == often["_often"], "left_semi")
+    return alone.unionByName(_one_of(several, [F.col("doc_id")])).unionByName(_one_of(docs.where("doc_id is null"), _text_key()))
+
+
+def _text_key() -> list:
+    """128 bits of a text."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+
+def _one_of(rows: DataFrame, key: list) -> DataFrame:
+    """One whole row for each key, summed up before anything is dealt by it."""
+    order = F.struct(*_text_key(), "lang", "source")
+    named = [k.alias(f"_k{i}") for i, k in enumerate(key)]
+    one = rows.select(F.struct(*rows.columns).alias("_row"), order.alias("_order"), *named).groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min_by("_row", "_order").alias("_row"))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in rows.columns])
