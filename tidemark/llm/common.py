@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,60 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset (tests) below a folder of our own."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own, and a
+    cluster an error: its executors do not see each other's disks."""
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return f"{base.rstrip('/')}/tidemark/{app}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where set, materialize() notes here what it writes.
+_notes: list[str] | None = None
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all tables that are written in the block."""
+    global _notes
+    before, _notes = _notes, []
+    try:
+        yield _notes
+    finally:
+        _notes = before
+
+
+def remove(spark: SparkSession, paths: list[str], docs: DataFrame | None = None) -> list[str]:
+    """Delete tables; gives back those that `docs` still reads, which stay."""
+    used = set()
+    if docs is not None:
+        leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            leaf = leaves.apply(k)
+            if leaf.getClass().getSimpleName() == "LogicalRelation":
+                roots = leaf.relation().location().rootPaths()
+                used |= {roots.apply(i).toUri().getPath() for i in range(roots.size())}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    kept = []
+    for name in paths:
+        path = hadoop(name)
+        if path.toUri().getPath() in used:
+            kept.append(name)
+        else:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if _notes is not None:
+        _notes.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
