@@ -1,5 +1,8 @@
+import hashlib
+import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -44,49 +47,88 @@ def test_quality_base_statistics(docs, odd_docs):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
-def brute_outliers(frame: pd.DataFrame) -> pd.Series:
-    """The estimate in numpy, on the statistics that the query returns."""
-    fit = frame[~frame.base_failed]
-    n, chars = np.maximum(fit.n_words, 1), np.maximum(fit.word_chars, 1)
-    x = np.stack([np.log(n), np.log(chars / n), np.sqrt(fit.n_symbols / chars), np.sqrt(fit.n_dup_lines / n), np.sqrt(fit.n_repeat_words / n)], axis=1)
-    x = np.round(x * 1e4) / 1e4
-    key = fit.lang.map(lambda v: f"={v}") + "|" + fit.source.map(lambda v: f"={v}")
+FLOORS = np.diag(np.square(quality.FLOOR))
+
+
+def scatter(v):
+    return np.cov(v.T, bias=True) * quality.CONSISTENCY + FLOORS
+
+
+def distances(v, mean, cov):
+    d = v - mean
+    return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
+
+def plain_mcd(v, rng, starts=60):
+    """An estimate of its own: random subsets of six rows, steps on exact half-sets until nothing changes, the best of all."""
+    h, best = int(np.ceil(len(v) * quality.SHARE)), None
+    for _ in range(starts):
+        own = v[rng.choice(len(v), 6, replace=False)]
+        mean, cov, last = own.mean(axis=0), np.cov(own.T, bias=True) + FLOORS, np.inf
+        while True:
+            own = v[np.argsort(distances(v, mean, cov), kind="stable")[:h]]
+            mean, cov = own.mean(axis=0), scatter(own)
+            det = np.linalg.slogdet(cov)[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        if best is None or last < best[0]:
+            best = (last, mean, cov)
+    return best
+
+
+def groups_of(frame):
+    """What each document is judged with, by hand: its source, its language's pool, the pool of all."""
+    key = frame.lang.map(lambda v: f"={v}") + "|" + frame.source.map(lambda v: f"={v}")
     size = key.map(key.value_counts())
     small = size < quality.LEAST
-    pool = fit.lang[small].map(fit.lang[small].value_counts())
+    pool = frame.lang[small].map(frame.lang[small].value_counts())
     g = key.copy()
-    g[small] = np.where(pool >= quality.LEAST, fit.lang[small], "rest")
-    out = pd.Series(np.nan, index=fit.index)
-    floor = np.diag(np.square(quality.FLOOR))
-    for name in g.unique():
-        at = (g == name).to_numpy()
-        if at.sum() < quality.LEAST:
-            continue
-        v = x[at]
-        h = np.floor(np.round(v * 1e4) / 100 + 0.5)
-        mid = np.median(h, axis=0)
-        mean, cov = mid / 100, np.diag(np.square(np.median(np.floor(np.abs(h - mid) + 0.5), axis=0) / 100 * 1.4826)) + floor
-        for step in range(quality.STEPS + 1):
-            d = v - mean
-            d2 = np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
-            if step == quality.STEPS:
-                break
-            b = np.floor(np.log(d2 + 1e-6) * 64)
-            limit = np.sort(b)[int(np.ceil(at.sum() * quality.SHARE)) - 1]
-            s = v[b <= limit]
-            mean, cov = s.mean(axis=0), np.cov(s.T, bias=True) * quality.CONSISTENCY + floor
-        out[fit.index[at]] = d2
-    return out
+    g[small] = np.where(pool >= quality.LEAST, frame.lang[small], "rest")
+    return g
 
 
-def test_quality_outliers_equal_numpy(spark):
+def test_quality_outliers_against_an_independent_estimate(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = by_id(quality.judge(docs)).merge(docs.select("doc_id", "lang", "source").toPandas(), on="doc_id")
-    want = brute_outliers(got).reindex(got.index)
-    assert want.notna().sum() > 500
-    np.testing.assert_allclose(got.d2[want.notna()].astype(float), want[want.notna()], rtol=0.02, atol=0.02)
-    assert ((want <= quality.CUT) == got.kept)[want.notna()].all()
-    assert got.kept[want.isna() & ~got.base_failed].all() and not got.kept[got.base_failed].any()
+    fit = got[~got.base_failed]
+    n, chars = np.maximum(fit.n_words, 1), np.maximum(fit.word_chars, 1)
+    x = np.stack([np.log(n), np.log(chars / n), np.sqrt(fit.n_symbols / chars), np.sqrt(fit.n_dup_lines / n), np.sqrt(fit.n_repeat_words / n)], axis=1)
+    g, rng, judged, same = groups_of(fit), np.random.default_rng(1), 0, 0
+    for name in g.unique():
+        at = (g == name).to_numpy()
+        if at.sum() < quality.LEAST:
+            assert fit.kept[at].all() and fit.d2[at].isna().all()
+            continue
+        _, mean, cov = plain_mcd(x[at], rng)
+        want = distances(x[at], mean, cov)
+        judged, same = judged + at.sum(), same + ((want <= quality.CUT) == fit.kept[at]).sum()
+        near = want < 12
+        assert np.corrcoef(want[near], fit.d2[at].astype(float)[near])[0, 1] > 0.98
+    assert judged > 500 and same >= 0.995 * judged and not got.kept[got.base_failed].any()
+
+
+def test_estimates_have_the_least_determinant(spark):
+    """Clean rows, a far cluster of a fifth, and scattered ones: against the best of many random starts."""
+    rng = np.random.default_rng(2)
+    mix = rng.normal(size=(5, 5)) * 0.2
+    groups = {}
+    for k, (n, bad) in enumerate([(300, 0), (300, 60), (150, 30), (120, 10)]):
+        v = rng.normal(size=(n, 5)) @ mix + 3
+        v[:bad] = rng.normal(size=(bad, 5)) * 0.05 + [4.5, 2, 4, 3, 2.5]
+        groups[f"g{k}"] = np.round(v * quality.SCALE).astype(int)
+    rows = [(name, *map(int, r)) for name, v in groups.items() for r in v]
+    found = {r.g: r for r in quality.estimates(spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} long" for i in range(5)))).collect()}
+    for name, v in groups.items():
+        best, mean, cov = plain_mcd(v / quality.SCALE, rng)
+        r = found[name]
+        lower = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        centre = np.array([r[f"m{i}"] for i in range(5)])
+        assert np.isclose(r.det, np.linalg.slogdet(lower @ lower.T)[1], atol=1e-6)
+        assert r.det < best + 0.02 and np.abs(centre - mean).max() < 0.1
+        far = distances(v / quality.SCALE, mean, cov) > quality.CUT
+        own = distances(v / quality.SCALE, centre, lower @ lower.T) > quality.CUT
+        assert (far == own).mean() > 0.99
 
 
 def test_quality_rejects_planted_junk(spark):
@@ -131,13 +173,39 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert got[2].posterior < 0.6 and got[4].posterior is None
 
 
+def plain_shard(doc_id, grown):
+    """Down the tree by hand: two regions of two racks of four shards, and one graft beside the regions."""
+    doc = "null" if doc_id is None else str(doc_id)
+
+    def draw(node, weight):
+        return -math.log((int(hashlib.md5(f"{node}|{doc}".encode()).hexdigest()[:13], 16) + 1) / 2**52) / weight
+
+    top = {("region", r): draw(f"region {r}", 8.0) for r in (0, 1)}
+    if grown:
+        top["graft", 16] = draw("graft 16", 1.0)
+    kind, at = min(top, key=top.get)
+    if kind == "graft":
+        return at
+    rack = min((2 * at, 2 * at + 1), key=lambda k: draw(f"rack {k}", 4.0))
+    return min(range(4 * rack, 4 * rack + 4), key=lambda n: draw(f"shard {n}", 1.0))
+
+
 def test_shards(docs, odd_docs, no_docs):
     for frame in (docs, odd_docs):
-        got = sharding.shard(frame).toPandas()
-        assert len(got) == frame.count() and got.shard.between(0, 15).all()
-        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
-        moved = got[got.shard != got.grown_shard]
-        assert set(moved.grown_shard) <= {16}
+        got = sharding.shard(frame).collect()
+        text = frame.select("doc_id", "text").collect()
+        raw = [(r.doc_id, (r.text or "").encode()) for r in text]
+        want = [(i, len(x) + 1, zlib.crc32(x), plain_shard(i, False), plain_shard(i, True)) for i, x in raw]
+        order = lambda r: tuple((v is not None, v or 0) for v in r)
+        assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in got), key=order) == sorted(want, key=order)
+        by_shard = defaultdict(list)
+        for i, _, crc, shard, _ in want:
+            block = hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:2]
+            by_shard[shard].append((block, i is not None, i or 0, crc))
+        slots = sorted(((r.shard, r.slot, r.doc_id, r.text_crc32) for r in got), key=lambda r: r[:2])
+        assert [(s, i, c) for s, _, i, c in slots] == [(s, i if known else None, c) for s in sorted(by_shard) for _, known, i, c in sorted(by_shard[s])]
+        assert all([k for s, k, _, _ in slots if s == x] == list(range(len(by_shard[x]))) for x in by_shard)
+        assert {r.grown_shard for r in got if r.shard != r.grown_shard} <= {16}
     assert sharding.shard(no_docs).count() == 0
 
 
