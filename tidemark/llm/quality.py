@@ -107,10 +107,10 @@ def _start(rows: DataFrame) -> DataFrame:
     small), and around them the covariances of tanh-transformed values and of spatial signs."""
     step = SCALE // 100
     cells = [F.round(F.col(f"x{i}") / step) for i in range(P)]
-    mids = materialize(rows.groupBy("g").agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(cells)]), "quality-medians")
+    mids = _small(rows.groupBy("g").agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(cells)]), "quality-medians")
     away = rows.join(mids, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.round(cells[i] - F.col(f"m{i}"))), 0.5).alias(f"a{i}") for i in range(P)])
     sd = lambda i: F.sqrt(F.pow(F.col(f"a{i}") / 100 * 1.4826, 2.0) + FLOOR[i] ** 2)
-    scales = materialize(away.select("g", *[(F.col(f"m{i}") / 100).alias(f"m{i}") for i in range(P)], *[sd(i).alias(f"d{i}") for i in range(P)]), "quality-scales")
+    scales = _small(away.select("g", *[(F.col(f"m{i}") / 100).alias(f"m{i}") for i in range(P)], *[sd(i).alias(f"d{i}") for i in range(P)]), "quality-scales")
     own = rows.join(scales, "g").select("g", *[((F.col(f"x{i}") / SCALE - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)])
     length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
     own = own.withColumn("_r", F.greatest(length, F.lit(1e-9)))
@@ -147,17 +147,22 @@ def _concentrate(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return _factor(one.select("g", "s", *[mean(i).alias(f"m{i}") for i in range(P)], *[cov(i, j).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]))
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of groups, written in a few files: its size is then known to be small, and the planner need not deal the
+    documents by group."""
+    return materialize(df.repartition(4), name)
+
+
 def estimates(fit: DataFrame) -> DataFrame:
     """g, centre and factor of the estimate with the smallest determinant found, from rows (g, x0, ...)."""
-    # each small table is written, so that its size is known and the planner need not shuffle the documents by group
-    groups = materialize(_start(fit), "quality-estimates")
+    groups = _small(_start(fit), "quality-estimates")
     for _ in range(TRIALS):
-        groups = materialize(_concentrate(fit, groups), "quality-estimates")
+        groups = _small(_concentrate(fit, groups), "quality-estimates")
     values = [c for c in groups.columns if c != "g"]
     groups = groups.groupBy("g").agg(F.min_by(F.struct(*values), F.struct(F.round("det", 9), "s")).alias("best")).select("g", "best.*")
-    groups = materialize(groups, "quality-estimates")
+    groups = _small(groups, "quality-estimates")
     for _ in range(STEPS - TRIALS):
-        after = materialize(_concentrate(fit, groups), "quality-estimates")
+        after = _small(_concentrate(fit, groups), "quality-estimates")
         moved = after.join(groups.select("g", F.col("det").alias("was")), "g").agg(F.max(F.abs(F.col("det") - F.col("was"))).alias("d")).first()["d"]
         groups = after
         if moved is None or moved < AT_REST:
@@ -176,7 +181,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
     n = n.join(pools, "_lang", "left").crossJoin(F.broadcast(rest))  # one row
     own, lang = F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), F.concat_ws("\x1f", F.lit("l"), "_lang")
     g = F.when(F.col("n") >= LEAST, own).when(F.col("pool") >= LEAST, lang).when(F.col("rest") >= LEAST, F.lit("all"))
-    names = materialize(n.select("_lang", "_source", g.alias("g")), "quality-names")
+    names = _small(n.select("_lang", "_source", g.alias("g")), "quality-names")
     return rows.join(names, ["_lang", "_source"], "left").drop("_lang", "_source")
 
 
