@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,11 +265,119 @@ def test_cross_colour_and_green():
     assert (decode(w.file()) == pixels).all()
 
 
+def watched(monkeypatch, payload):
+    """Writes and reads a payload; says what the decoder went through."""
+    seen = Counter()
+    resolve, predictor, palette, symbols = media._resolve, media.undo_predictor, media.undo_palette, media._symbols
+
+    def on_symbols(bits, codes, total):
+        got = symbols(bits, codes, total)
+        seen["prefix codes"] += sum(c.width > 0 for c in codes)
+        seen["uneven codes"] += sum(len(set(c.length.tolist())) > 1 for c in codes)
+        seen["literals"] += int((got[0] < 256).sum())
+        seen["references"] += int(((got[0] >= 256) & (got[0] < 280)).sum())
+        seen["cached"] += int((got[0] >= 280).sum())
+        return got
+
+    monkeypatch.setattr(media, "_symbols", on_symbols)
+    monkeypatch.setattr(media, "_resolve", lambda *a: (seen.update(["images"]), resolve(*a))[1])
+    monkeypatch.setattr(media, "undo_predictor", lambda *a: (seen.update(["predictor"]), predictor(*a))[1])
+    monkeypatch.setattr(media, "undo_palette", lambda *a: (seen.update(["palette"]), palette(*a))[1])
+    stored = encode(payload)
+    got = (media.decode_all(stored) >> 8 & 255).astype(np.uint8).ravel()
+    assert (got == payload).all()
+    return seen, stored
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 16, 17, 64, 65, 200, 256])
-def test_writer_round_trips(k):
-    payload = (RNG.integers(0, k, 64 * 9) * (256 // k)).astype(np.uint8)
-    pixels = decode(encode(payload))
-    assert (pixels >> 8 & 255 == payload.reshape(9, 64)).all() and (pixels >> 24 == 255).all() and not (pixels & 0xFF00FF).any()
+@pytest.mark.parametrize("rows", [1, 2, 9, 700])
+def test_writer_round_trips(monkeypatch, k, rows):
+    payload = (RNG.integers(0, k, 64 * rows) * (256 // k)).astype(np.uint8)
+    seen, stored = watched(monkeypatch, payload)
+    pixels = decode(stored)
+    assert pixels.shape == (rows, 64) and (pixels >> 24 == 255).all() and not (pixels & 0xFF00FF).any()
+    assert (seen["palette"] > 0) == (k <= 16)
+
+
+def test_writer_takes_a_predictor_for_slopes(monkeypatch):
+    walk = (np.cumsum(RNG.integers(-2, 3, 64 * 200)) % 256).astype(np.uint8)
+    seen, stored = watched(monkeypatch, walk)
+    assert seen["predictor"] == 1 and seen["prefix codes"] and len(stored) < 0.5 * len(walk)
+    columns = (np.cumsum(RNG.integers(-2, 3, (200, 64)), axis=0) % 256).astype(np.uint8).ravel()
+    seen, stored = watched(monkeypatch, columns)
+    assert seen["predictor"] == 1 and len(stored) < 0.5 * len(columns)
+
+
+def test_writer_takes_a_cache_for_values_that_stay(monkeypatch):
+    """A few slots of which each one's value changes now and then."""
+    slots, out = {}, []
+    slot_of = lambda v: (media.HASH * (0xFF000000 | v << 8) & 0xFFFFFFFF) >> 30
+    by_slot = [[v for v in range(256) if slot_of(v) == s] for s in range(4)]
+    for _ in range(64 * 150):
+        s = int(RNG.integers(0, 4))
+        if s not in slots or RNG.random() < 0.1:
+            slots[s] = int(RNG.choice(by_slot[s]))
+        out.append(slots[s])
+    seen, stored = watched(monkeypatch, np.array(out, np.uint8))
+    assert seen["cached"] > 1000 and len(stored) < 0.6 * len(out)
+
+
+def test_writer_refers_back(monkeypatch):
+    words = ["".join(map(chr, RNG.integers(97, 123, 7))) for _ in range(300)]
+    raw = " ".join(RNG.choice(words, 3000)).encode()
+    payload = np.frombuffer(raw + bytes(-len(raw) % 64), np.uint8)
+    seen, stored = watched(monkeypatch, payload)
+    assert seen["references"] > 1000 and seen["uneven codes"] >= 2 and len(stored) < 0.5 * len(payload)
+    run = np.full(64 * 500, 7, np.uint8)
+    run[:3000] = RNG.integers(0, 256, 3000)
+    seen, stored = watched(monkeypatch, run)
+    assert 5 < seen["references"] < 100 and len(stored) < 4000
+
+
+def test_documents_go_through_codes_and_references(monkeypatch, docs_pd):
+    """Every document's image is read through uneven prefix codes, and most of the bytes come from references."""
+    texts = [t.encode() for t in docs_pd.text.fillna("") if len(t.encode()) > 500]
+    total = Counter()
+    size = 0
+    for raw in texts:
+        payload = np.frombuffer(raw + bytes(-len(raw) % 64), np.uint8)
+        with monkeypatch.context() as m:
+            seen, stored = watched(m, payload)
+        assert seen["images"] == 1 and seen["uneven codes"] >= 1 and seen["references"] > 0
+        total.update(seen)
+        total["bytes"] += len(payload)
+        size += len(stored)
+    assert total["literals"] < 0.5 * total["bytes"] and size < 0.55 * total["bytes"]
+
+
+def test_long_payloads_are_several_files():
+    payload = RNG.integers(0, 64, media.IMAGE + 64 * 5).astype(np.uint8)
+    payload[1000:400_000] = payload[500_000:899_000]
+    stored = encode(payload)
+    assert stored.count(b"WEBPVP8L") == 2
+    pixels = media.decode_all(stored)
+    assert pixels.shape == (len(payload) // 64, 64) and (pixels >> 8 & 255 == payload.reshape(-1, 64)).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 19, 200])
+@pytest.mark.parametrize("limit", [7, 15])
+def test_code_lengths_are_complete_and_limited(n, limit):
+    if n > 1 << limit:
+        return
+    counts = [int(1.9**k) + 1 if k < 60 else k for k in range(n)]
+    got = media.code_lengths(counts, limit)
+    assert max(got) <= limit and sum(2.0**-x for x in got) == 1
+    assert {s: f"{w:0{x}b}"[::-1] for s, (w, x) in enumerate(zip(media.code_words(np.array(got)).tolist(), got, strict=True))} == canonical(dict(enumerate(got)))
+
+
+def plain_feature(payload: bytes) -> str:
+    h, total = len(payload) // 64, sum(payload)
+    bright = 0
+    for band in range(8):
+        for column in range(8):
+            own = [payload[y * 64 + x] for y in range(band * h // 8, (band + 1) * h // 8) for x in range(8 * column, 8 * column + 8)]
+            bright = bright << 1 | (sum(own) * h * 64 > total * len(own))
+    return f"64x{h}/{total}/{len(set(payload))}/{bright:016x}"
 
 
 def test_broken_streams_raise():
@@ -288,4 +397,6 @@ def test_query_rows(docs, odd_docs, no_docs):
             raw = (text[r.doc_id] or "").encode()
             full = raw + bytes(-len(raw) % 64 if raw else 64)
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+            stored = encode(np.frombuffer(full, np.uint8))
+            assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(full))
     assert media.read(media.store(no_docs)).count() == 0

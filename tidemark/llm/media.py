@@ -2,17 +2,26 @@
 
 Decoder: prefix codes (simple, normal, single-symbol, grouped by an entropy image), length and distance back-references
 with the format's short-distance map, the colour cache, and the inverse of all four transforms (predictor,
-cross-colour, subtract-green, palette with bundled pixels). It gives ARGB pixel arrays. Where every code of an image has
-one fixed length and no cache or group is used, the pixels are read as one bit matrix, else symbol by symbol.
-
-Writer: bytes become the green samples of an image of rows of 64 (or a larger power of two, so that the height fits),
-through a palette transform with the bytes that occur, bundled where sixteen or fewer do, and fixed-length codes.
-A null payload is empty; an empty one is stored as 64 zero bytes. Limit: 2^28 bytes for an image.
+cross-colour, subtract-green, palette with bundled pixels). It gives ARGB pixel arrays. Images with one group of codes
+are read in two steps: numpy looks up what a symbol would be at every bit of a stretch of the stream, and where it would
+end; then the symbols that are there are found by going from end to end. Images with several groups, and small ones, are
+read symbol by symbol.
+
+Writer: bytes become the green samples of an image of rows of 64. It finds back-references to the last place of the same
+four bytes, gives literals, lengths and distances prefix codes of their own frequencies, and chooses for each image what
+comes out smallest: a palette with bundled pixels where sixteen or fewer byte values occur, the left or the upper
+predictor, a colour cache. (Cross-colour takes from green what is left in red and blue, of which these images have none.)
+Payloads of over IMAGE bytes are stored as several files, one after the other, in one value.
+
+Defined cases: a null text is empty; an empty payload is stored as 64 zero bytes; texts of any length that one row of a
+table holds can be stored; equal texts have equal files; a null doc_id and repeated rows pass; an empty table gives no
+rows; other columns are ignored. decode() raises ValueError for streams that are broken or of another format.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table
 
 ROW, SIDE = 64, 1 << 14
+#: Bytes of the largest image: rows of ROW, as many as an image can have.
+IMAGE = ROW * SIDE
+#: Bits of a stream that are looked up at once, and pixels from which that pays.
+STRETCH, FEW = 1 << 18, 64
+#: Texts of a batch that goes on.
+TEXTS = 1000
+#: Longest back-reference and farthest distance of the format, and multiplier of the colour cache's hash.
+LONGEST, FARTHEST, HASH = 4096, (1 << 20) - 120, 0x1E35A7BD
 
 # Fixed values of the format: the order of code-length code lengths.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -59,39 +76,40 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code as a table over the next `width` bits."""
+    """A canonical prefix code: symbols and lengths by the next `width` bits, first bit highest."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         self.only = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.fixed, self.width = 0, 0
+        self.width = 0
+        self.lookup: list[tuple[int, int]] | None = None
         if self.only is not None:
+            self.symbol, self.length = np.array([self.only], np.int32), np.zeros(1, np.int32)
             return
-        ls = lengths[used].astype(int)
-        if sum(1 << (15 - x) for x in ls.tolist()) != 1 << 15:
+        ls = lengths[used].astype(np.int64)
+        if int((1 << (15 - ls)).sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
         self.width = int(ls.max())
-        order = np.lexsort((used, ls))
-        self.symbols = used[order]
-        self.fixed = self.width if ls.min() == self.width else 0
-        table: list[tuple[int, int]] = [(0, 0)] * (1 << self.width)
-        code, last = 0, int(ls[order[0]])
-        for s, n in zip(self.symbols.tolist(), ls[order].tolist(), strict=True):
-            code <<= n - last
-            last = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for k in range(low, 1 << self.width, 1 << n):
-                table[k] = (s, n)
-            code += 1
-        self.table = table
+        order = np.argsort(ls, kind="stable")
+        span = 1 << (self.width - ls[order])
+        self.symbol, self.length = np.repeat(used[order], span).astype(np.int32), np.repeat(ls[order], span).astype(np.int32)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        s, n = self.table[bits.peek(self.width)]
+        if self.lookup is None:  # by the next bits as a number, first bit lowest
+            k = np.arange(1 << self.width)
+            back = sum((k >> i & 1) << (self.width - 1 - i) for i in range(self.width))
+            self.lookup = list(zip(self.symbol[back].tolist(), self.length[back].tolist(), strict=True))
+        s, n = self.lookup[bits.peek(self.width)]
         bits.read(n)
         return s
 
+    def at(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and lengths at places with these next sixteen bits."""
+        k = window >> (16 - self.width) if self.width else np.zeros(len(window), np.uint16)
+        return self.symbol[k], self.length[k]
+
 
 @lru_cache(512)
 def code_of(lengths: bytes) -> Code:
@@ -154,15 +172,15 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_bits and (fast := _fixed(bits, codes[0], total)) is not None:
-        return fast
+    if groups == 1 and main and total >= FEW:
+        return _resolve(*_symbols(bits, codes[0], total), cache_bits, width)
     out = [0] * total
     cache = [0] * (1 << cache_bits)
     shift, at, filled = 32 - cache_bits, 0, 0
 
     def remember(upto: int) -> None:
         for p in range(filled, upto):
-            cache[(0x1E35A7BD * out[p] & 0xFFFFFFFF) >> shift] = out[p]
+            cache[(HASH * out[p] & 0xFFFFFFFF) >> shift] = out[p]
 
     green, red, blue, alpha, dist = codes[0]
     while at < total:
@@ -195,32 +213,114 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _fixed(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once, if each code has one length and there are only literals."""
-    four = codes[:4]
-    if any(c.only is None and not c.fixed for c in four) or (four[0].only or 0) > 255 or (four[0].fixed and four[0].symbols[-1] > 255):
-        return None
-    per = sum(c.fixed for c in four)
-    out = np.zeros(total, np.uint32)
-    if bits.at + per * total > 8 * len(bits.data):
+def _prefixed(symbol: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of length or distance symbols whose extra bits begin at `at`, and how many those are."""
+    n = np.maximum(0, (symbol - 2) >> 1)
+    extra = (words[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << n) + extra + 1), n
+
+
+def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of the last image of a stream: green symbols, ARGB of literals, lengths and distance codes of
+    references (1 and 0 elsewhere). `total`: its pixels."""
+    raw = np.frombuffer(bits.data, np.uint8)
+    end, found, pixels = 8 * len(raw), [], 0
+    green, red, blue, alpha, dist = codes
+    while pixels < total:
+        if bits.at >= end and any(c.width for c in codes[:4]):
+            raise ValueError("the stream ends early")
+        first = bits.at >> 3
+        part = np.concatenate([raw[first : first + (STRETCH >> 3) + 32], np.zeros(8, np.uint8)])
+        words = part[:-3].astype(np.uint32)
+        for k in (1, 2, 3):
+            words |= part[k : len(part) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+        one = np.unpackbits(part, bitorder="little").astype(np.uint16)
+        two = one[:-1] << np.uint16(1) | one[1:]
+        four = two[:-2] << np.uint16(2) | two[2:]
+        eight = four[:-4] << np.uint16(4) | four[4:]
+        window = eight[:-8] << np.uint16(8) | eight[8:]
+        n = min(STRETCH, 8 * (len(part) - 8))
+        at = np.arange(n, dtype=np.int32)
+        symbol, used = green.at(window[:n])
+        after = at + used
+        pixel = np.zeros(n, np.uint32)
+        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if code.width:
+                s, used = code.at(window[after])
+                pixel |= s.astype(np.uint32) << np.uint32(shift)
+                after = after + used
+            elif code.only:
+                pixel |= np.uint32(code.only << shift)
+        refs = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        length, far = np.ones(n, np.int64), np.zeros(n, np.int64)
+        if len(refs):
+            place = refs + green.at(window[refs])[1]
+            length[refs], extra = _prefixed(symbol[refs].astype(np.int64) - 256, place, words)
+            place = np.minimum(place + extra, len(window) - 1)
+            s, used = dist.at(window[place])
+            place = np.minimum(place + used, 8 * len(words) - 1)
+            far[refs], extra = _prefixed(s.astype(np.int64), place, words)
+            after[refs] = place + extra
+        cached = np.flatnonzero(symbol >= 280)
+        after[cached] = cached + green.at(window[cached])[1]
+        step, p, starts = memoryview(np.ascontiguousarray(after, np.int32)), bits.at & 7, []
+        if step[p] == p:  # symbols without bits: a single colour
+            starts = [p] * (total - pixels)
+        else:
+            while p < n:
+                starts.append(p)
+                p = step[p]
+        here = np.array(starts, np.int64)
+        upto = pixels + np.cumsum(length[here])
+        last = int(np.searchsorted(upto, total))
+        if last < len(here):
+            here, p = here[: last + 1], int(step[here[last]])
+        pixels = int(upto[len(here) - 1])
+        literal = pixel[here] | (symbol[here] & 255).astype(np.uint32) << np.uint32(8)
+        found.append((symbol[here], literal, length[here], far[here]))
+        bits.at = 8 * first + p
+    if bits.at > end or pixels > total:
         raise ValueError("the stream ends early")
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first : first + (per * total + 14 >> 3)]
-    matrix = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: per * total].reshape(total, per)
-    k = 0
-    for c, shift in zip(four, (8, 16, 0, 24), strict=True):
-        if c.only is not None:
-            out |= np.uint32(c.only << shift)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _resolve(symbol: np.ndarray, literal: np.ndarray, length: np.ndarray, far: np.ndarray, cache_bits: int, width: int) -> np.ndarray:
+    """ARGB of all pixels from the symbols: references copy what came before, cache symbols take the last of a slot."""
+    near = np.array([max(1, x + y * width) for x, y in SHORT_DISTANCES], np.int64)
+    back = np.where(far > 120, far - 120, near[np.clip(far, 1, 120) - 1])
+    odd = np.flatnonzero(symbol >= 256)
+    if not len(odd):
+        return literal
+    if not cache_bits and (literal & np.uint32(0xFFFF00FF) == literal[0] & np.uint32(0xFFFF00FF)).all():
+        rest, unit, values = literal[0] & np.uint32(0xFFFF00FF), 1, (literal >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
+    else:
+        rest, unit, values = np.uint32(0), 4, literal
+    plain = np.delete(values, odd).tobytes()
+    before = (odd - np.arange(len(odd))) * unit  # bytes of literals ahead of each
+    out, at = bytearray(), 0
+    if cache_bits:
+        cache, shift, filled = [b"\0\0\0\0"] * (1 << cache_bits), 32 - cache_bits, 0
+    for upto, n, d, s in zip(before.tolist(), (length[odd] * unit).tolist(), (back[odd] * unit).tolist(), symbol[odd].tolist(), strict=True):
+        out += plain[at:upto]
+        at = upto
+        if s >= 280:
+            for p in range(filled, len(out), 4):
+                own = bytes(out[p : p + 4])
+                cache[(HASH * int.from_bytes(own, "little") & 0xFFFFFFFF) >> shift] = own
+            filled = len(out)
+            out += cache[s - 280]
             continue
-        n = c.fixed
-        if n <= 8:
-            code = np.packbits(matrix[:, k : k + n], axis=1, bitorder="big")[:, 0] >> (8 - n)
+        start = len(out) - d
+        if start < 0:
+            raise ValueError("a reference leaves the image")
+        if d >= n:
+            out += out[start : start + n]
         else:
-            code = matrix[:, k : k + n].astype(np.uint32) @ (1 << np.arange(n - 1, -1, -1, dtype=np.uint32))
-        out |= c.symbols.astype(np.uint32)[code] << np.uint32(shift)
-        k += n
-    bits.at += per * total
-    return out
+            out += (out[start:] * (n // d + 1))[:n]
+    out += plain[at:]
+    if unit == 4:
+        return np.frombuffer(bytes(out), np.uint32)
+    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | rest
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -275,9 +375,17 @@ def predict(mode: int, left: list[int], top: list[int], corner: list[int], beyon
 
 
 def undo_predictor(argb: np.ndarray, width: int, height: int, block: int, modes: np.ndarray) -> np.ndarray:
-    c = _channels(argb).tolist()
     across = -(-width >> block)
     modes = (modes >> 8 & 0xF).tolist()
+    if set(modes) in ({1}, {2}):  # the left or the upper neighbour throughout: running sums
+        whole = _channels(argb).reshape(height, width, 4)
+        whole[0, 0, 0] += 255
+        if modes[0] == 1:
+            whole[:, 0] = np.cumsum(whole[:, 0], axis=0)
+            return _pack(np.cumsum(whole, axis=1).reshape(-1, 4))
+        whole[0] = np.cumsum(whole[0], axis=0)
+        return _pack(np.cumsum(whole, axis=0).reshape(-1, 4))
+    c = _channels(argb).tolist()
     for p, own in enumerate(c):
         y, x = divmod(p, width)
         if not p:
@@ -321,9 +429,19 @@ def undo_palette(argb: np.ndarray, width: int, height: int, bundle: int, palette
     return full[index].ravel()
 
 
+def decode_all(data: bytes) -> np.ndarray:
+    """The pixels of files of one width that stand one after the other."""
+    out = []
+    while data:
+        size = 8 + int.from_bytes(data[4:8], "little")
+        out.append(decode(data[:size]))
+        data = data[size:]
+    return np.concatenate(out)
+
+
 def decode(data: bytes) -> np.ndarray:
     """The (height, width) uint32 ARGB pixels of a lossless WebP file."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+    if len(data) < 21 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -354,62 +472,318 @@ def decode(data: bytes) -> np.ndarray:
     return argb.reshape(height, width)
 
 
-def _number(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
-
-
-def _fixed_code(n: int) -> list[int]:
-    """A prefix code that gives each of the first 2^n symbols n bits: one code-length symbol, which takes no bits itself."""
-    k = CODE_LENGTH_ORDER.index(n) + 1
-    out = [0, *_number(max(k, 4) - 4, 4)]
-    for i in range(max(k, 4)):
-        out += _number(1 if CODE_LENGTH_ORDER[i] == n else 0, 3)
-    width = max(2, (n + 1) // 2 * 2)
-    return [*out, 1, *_number((width - 2) // 2, 3), *_number((1 << n) - 2, width)]
+def code_lengths(counts: list[int], limit: int) -> list[int]:
+    """Lengths of a complete prefix code for these frequencies, none over the limit (one symbol: 1, unused ones: 0)."""
+    used = [i for i, c in enumerate(counts) if c]
+    out = [0] * len(counts)
+    if len(used) < 2:
+        for i in used:
+            out[i] = 1
+        return out
+    weight = [counts[i] for i in used]
+    while True:
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, made = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            parent[i] = parent[j] = made
+            heapq.heapreplace(heap, (a + b, made))
+            made += 1
+        depth = [0] * made
+        for i in range(made - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(used)]) <= limit:
+            break
+        weight = [(w >> 1) + 1 for w in weight]  # flatter until it fits
+    for k, i in enumerate(used):
+        out[i] = depth[k]
+    return out
 
 
-def _simple(*symbols: int) -> list[int]:
-    return [1, len(symbols) - 1, 1, *(b for s in symbols for b in _number(s, 8))]
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code's words, to be written from the lowest bit."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return out
+    ls = lengths[used].astype(np.int64)
+    order = np.argsort(ls, kind="stable")
+    span = 1 << (15 - ls[order])
+    high = np.cumsum(span) - span  # the word at the head of fifteen bits
+    words = np.zeros(len(used), np.int64)
+    for i in range(15):
+        words |= (high >> (14 - i) & 1) << i
+    out[used[order]] = words
+    return out
 
 
-def _tail(argb_rest: list[list[int]]) -> list[int]:
-    return [b for code in argb_rest for b in code]
+class Sink:
+    """Bits in the order of the format: numbers and their widths, packed at the end."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.widths: list[int] = []
+
+    def put(self, value: int, width: int) -> None:
+        self.values.append(value)
+        self.widths.append(width)
+
+    def array(self, values: np.ndarray, widths: np.ndarray) -> None:
+        self.flush()
+        self.parts.append((values.astype(np.int64), widths.astype(np.int64)))
+
+    def flush(self) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.int64), np.array(self.widths, np.int64)))
+            self.values, self.widths = [], []
+
+    def code(self, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Writes a prefix code for these frequencies; gives words and lengths (a single symbol takes no bits)."""
+        used = [i for i, c in enumerate(counts) if c] or [0]
+        lengths = np.zeros(len(counts), np.int64)
+        if len(used) <= 2 and used[-1] < 256:
+            self.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
+            for s in used:
+                self.put(s, 8)
+            if len(used) == 2:
+                lengths[used] = 1
+            words = np.zeros(len(counts), np.int64)
+            words[used[-1]] = len(used) - 1
+            return words, lengths
+        lengths[:] = code_lengths(counts, 15)
+        runs = _runs(lengths)
+        inner_counts = [0] * 19
+        for s, _, _ in runs:
+            inner_counts[s] += 1
+        inner = np.array(code_lengths(inner_counts, 7))
+        words = code_words(inner).tolist()
+        n = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if inner[s]) + 1)
+        self.put((n - 4) << 1, 5)
+        for s in CODE_LENGTH_ORDER[:n]:
+            self.put(int(inner[s]), 3)
+        self.put(0, 1)
+        single = sum(1 for c in inner_counts if c) == 1
+        widths = [0] * 19 if single else inner.tolist()
+        for s, extra, bits in runs:
+            self.put(words[s] | extra << widths[s], widths[s] + bits)
+        return code_words(lengths), lengths
+
+    def bytes(self) -> bytes:
+        self.flush()
+        values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        own = np.repeat(np.arange(len(values)), widths)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(widths) - widths, widths)
+        return np.packbits((values[own] >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """Code lengths as symbols with extra bits: 16 repeats the last one, 17 and 18 are zeros."""
+    cuts = np.flatnonzero(np.diff(lengths)) + 1
+    starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]
+    out, last = [], 8
+    for a, b in zip(starts, ends, strict=True):
+        value, n = int(lengths[a]), b - a
+        if not value:
+            while n >= 11:
+                k = min(n, 138)
+                out.append((18, k - 11, 7))
+                n -= k
+            if n >= 3:
+                out.append((17, n - 3, 3))
+                n = 0
+        else:
+            if value != last:
+                out.append((value, 0, 0))
+                n -= 1
+            last = value
+            while n >= 3:
+                k = min(n, 6)
+                out.append((16, k - 3, 2))
+                n -= k
+        out += [(value, 0, 0)] * n
+    return out
 
 
-#: Everything between the header and the palette's samples, and between those and the pixels, by the pixels' code length.
-_PALETTE_CODES = np.array([0, *_fixed_code(8), *_tail([_simple(0), _simple(0), _simple(0, 255), _simple(0)])], np.uint8)
-_PIXEL_CODES = {n: np.array([0, 0, 0, *_fixed_code(n), *_tail([_simple(0), _simple(0), _simple(255), _simple(0)])], np.uint8) for n in range(1, 9)}
+def _symbol_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number for lengths or distances from 1."""
+    v = value - 1
+    n = np.maximum(0, np.frexp(v.astype(np.float64))[1] - 2)
+    return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), np.where(v < 4, 0, n)
+
+
+def references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references in 8-bit pixels: places, lengths, distances. Greedy, to the last place with the same four."""
+    n = len(pixels)
+    none = np.zeros(0, np.int64)
+    if n < 12:
+        return none, none, none
+    p = pixels.astype(np.uint32)
+    gram = p[:-3] | p[1:-2] << np.uint32(8) | p[2:-1] << np.uint32(16) | p[3:] << np.uint32(24)
+    order = np.argsort(gram, kind="stable")
+    ranked = gram[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if not len(same):
+        return none, none, none
+    last = np.full(len(gram), -1, np.int64)
+    last[order[same + 1]] = order[same]
+    where = np.flatnonzero(last >= 0)
+    following = where[np.minimum(np.searchsorted(where, np.arange(n + 1)), len(where) - 1)]
+    back, go, raw = memoryview(last), memoryview(following), pixels.tobytes()
+    out, i, final = [], 0, int(where[-1])
+    while i <= final:
+        i = go[i]
+        j = back[i]
+        d, k, most = i - j, 4, min(LONGEST, n - i)
+        while k + 16 <= most and raw[i + k : i + k + 16] == raw[j + k : j + k + 16]:
+            k += 16
+        while k < most and raw[i + k] == raw[j + k]:
+            k += 1
+        if d > FARTHEST or (k == 4 and d > 256):  # dearer than four literals
+            i += 1
+            continue
+        out.append((i, k, d))
+        i += k
+    if not out:
+        return none, none, none
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """What symbols of these frequencies take with an ideal code."""
+    c = counts[counts > 0].astype(np.float64)
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+
+
+def _cached(pixels: np.ndarray, literal: np.ndarray, bits: int, alpha: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places `literal` can be taken from a colour cache of 2^bits slots, and the slot of each pixel value."""
+    colours = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(alpha << 24)
+    slot = ((colours * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint16)
+    own = slot[pixels]
+    order = np.argsort(own, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    ranked, values = own[order], pixels[order]
+    hit[order[1:]] = (ranked[1:] == ranked[:-1]) & (values[1:] == values[:-1])
+    return hit[literal], slot
+
+
+#: Sizes of the colour cache that are tried.
+CACHES = (1, 2, 4)
+
+
+def _write_pixels(sink: Sink, pixels: np.ndarray, width: int, alpha: int) -> None:
+    """The main image: green samples, every other channel constant."""
+    at, length, back = references(pixels)
+    covered = np.zeros(len(pixels) + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + length, -1)
+    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    symbol = pixels[literal].astype(np.int64)
+    plain = np.bincount(symbol, minlength=256)
+    best, bits = _bits_of(plain), 0
+    for b in CACHES:
+        hit, slot = _cached(pixels, literal, b, alpha)
+        cost = _bits_of(np.bincount(np.where(hit, 256 + slot[pixels[literal]], symbol), minlength=256 + (1 << b))) + 5 * (1 << b) + 4
+        if cost < best:
+            best, bits, taken = cost, b, np.where(hit, 280 + slot[pixels[literal]].astype(np.int64), symbol)
+    if bits:
+        symbol = taken
+    near = {}
+    for code, (x, y) in enumerate(SHORT_DISTANCES, 1):
+        near.setdefault(max(1, x + y * width), code)
+    far = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
+    ls, le, ln = _symbol_of(length)
+    ds, de, dn = _symbol_of(far)
+    sink.put(1 | bits << 1 if bits else 0, 5 if bits else 1)
+    sink.put(0, 1)
+    counts = np.bincount(np.concatenate([symbol, 256 + ls]), minlength=280 + (1 << bits if bits else 0))
+    words, widths = sink.code(counts.tolist())
+    for only in (0, 0, alpha):
+        sink.code([int(k == only) for k in range(256)])
+    dist_words, dist_widths = sink.code(np.bincount(ds, minlength=40).tolist())
+    # one entry for a literal, four for a reference, in the order of their places
+    count = np.zeros(len(pixels), np.int64)
+    count[literal], count[at] = 1, 4
+    place = np.cumsum(count) - count
+    values, sizes = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
+    values[place[literal]], sizes[place[literal]] = words[symbol], widths[symbol]
+    for k, (v, n) in enumerate(((words[256 + ls], widths[256 + ls]), (le, ln), (dist_words[ds], dist_widths[ds]), (de, dn))):
+        values[place[at] + k], sizes[place[at] + k] = v, n
+    sink.array(values, sizes)
+
+
+def _simple_image(sink: Sink, green: int) -> None:
+    """A sub-image of one colour."""
+    sink.put(0, 1)
+    for only, size in ((green, 280), (0, 256), (0, 256), (0, 256), (0, 40)):
+        sink.code([int(k == only) for k in range(size)])
+
+
+def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
+    """One image; mode: 0 without a predictor, 1 with the left, 2 with the upper neighbour throughout."""
+    sink = Sink()
+    sink.put(ROW - 1, 14)
+    sink.put(height - 1, 14)
+    sink.put(0, 4)
+    used = np.flatnonzero(np.bincount(payload, minlength=256))
+    bundle = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1 if len(used) <= 16 else 0
+    pixels, width, alpha = payload, ROW, 255
+    if bundle:
+        sink.put(1 | 3 << 1, 3)
+        sink.put(len(used) - 1, 8)
+        steps = np.diff(used, prepend=0)
+        sink.put(0, 1)
+        words, widths = sink.code(np.bincount(steps, minlength=280).tolist())
+        for only in (0, 0):
+            sink.code([int(k == only) for k in range(256)])
+        sink.code([int(k == 255 or (k == 0 and len(used) > 1)) for k in range(256)])
+        sink.code([1] + [0] * 39)
+        opaque = (np.arange(len(used)) == 0).astype(np.int64)  # entries are differences: the first one brings the alpha
+        sink.array(np.stack([words[steps], opaque], axis=1).ravel(), np.stack([widths[steps], np.full(len(used), int(len(used) > 1))], axis=1).ravel())
+        rank = np.zeros(256, np.uint8)
+        rank[used] = np.arange(len(used))
+        rows = rank[payload].reshape(-1, 1 << bundle)
+        pixels = np.bitwise_or.reduce(rows << ((8 >> bundle) * np.arange(1 << bundle, dtype=np.uint8)), axis=1)
+        width >>= bundle
+    elif mode:
+        sink.put(1, 3)
+        sink.put(7, 3)
+        _simple_image(sink, mode)
+        pixels, alpha = _residues(payload, height, mode), 0
+    sink.put(0, 1)
+    _write_pixels(sink, pixels, width, alpha)
+    body = b"\x2f" + sink.bytes()
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
-def _high_first(values: np.ndarray, n: int) -> np.ndarray:
-    return np.unpackbits((values.astype(np.uint8) << (8 - n))[:, None], axis=1, count=n)
+def _residues(payload: np.ndarray, height: int, mode: int) -> np.ndarray:
+    """What the left (1) or upper (2) neighbour leaves; the first row has left, the first column upper neighbours only."""
+    p = payload.reshape(height, ROW)
+    out = p.copy()
+    left, top = p[:, 1:] - p[:, :-1], p[1:] - p[:-1]
+    out[0, 1:], out[1:, 0] = left[0], top[:, 0]
+    if mode == 1:
+        out[1:, 1:] = left[1:]
+    else:
+        out[1:, 1:] = top[:, 1:]
+    return out.ravel()
 
 
 def encode(payload: np.ndarray) -> bytes:
-    """A WebP file with the bytes (a positive multiple of 64 of them) as green samples."""
-    width = ROW
-    while len(payload) > width * SIDE:
-        width *= 2
-    if width > SIDE:
-        raise ValueError("too long for one image")
-    height = -(-len(payload) // width)
-    if len(payload) < width * height:
-        payload = np.concatenate([payload, np.zeros(width * height - len(payload), np.uint8)])
-    used = np.flatnonzero(np.bincount(payload, minlength=256))
-    rank = np.zeros(256, np.uint8)
-    rank[used] = np.arange(len(used))
-    index, k = rank[payload], len(used)
-    bundle = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
-    n = 8 if bundle else max(1, int(k - 1).bit_length())
-    if bundle:
-        rows = index.reshape(-1, 1 << bundle)
-        index = np.bitwise_or.reduce(rows << ((8 >> bundle) * np.arange(1 << bundle, dtype=np.uint8)), axis=1)
-    entries = np.concatenate([_high_first(np.diff(used, prepend=0), 8), (np.arange(k) == 0).astype(np.uint8)[:, None]], axis=1)
-    head = [*_number(width - 1, 14), *_number(height - 1, 14), 0, 0, 0, 0, 1, 1, 1, *_number(k - 1, 8)]
-    bits = np.concatenate([np.array(head, np.uint8), _PALETTE_CODES, entries.ravel(), _PIXEL_CODES[n], _high_first(index, n).ravel()])
-    body = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
-    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+    """Files with the bytes (a positive multiple of 64 of them) as green samples, one for every IMAGE bytes."""
+    out = []
+    for at in range(0, len(payload), IMAGE):
+        part = payload[at : at + IMAGE]
+        height = len(part) // ROW
+        tries, plain = [0], _bits_of(np.bincount(part, minlength=256))
+        for mode in (1, 2):  # a predictor is tried where it makes the samples alone simpler
+            if _bits_of(np.bincount(_residues(part, height, mode), minlength=256)) < plain:
+                tries.append(mode)
+        out.append(min((_file(part, height, m) for m in tries), key=len))
+    return b"".join(out)
 
 
 def features(samples: np.ndarray) -> str:
@@ -417,23 +791,23 @@ def features(samples: np.ndarray) -> str:
     h, w = samples.shape
     total = int(samples.sum(dtype=np.int64))
     ys, xs = np.arange(9) * h // 8, np.arange(9) * w // 8
-    s = np.zeros((h + 1, w + 1), np.int64)
-    np.cumsum(np.cumsum(samples, axis=0, dtype=np.int64), axis=1, out=s[1:, 1:])
-    cell = s[ys[1:]][:, xs[1:]] - s[ys[:-1]][:, xs[1:]] - s[ys[1:]][:, xs[:-1]] + s[ys[:-1]][:, xs[:-1]]
+    bands = np.stack([samples[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(ys[:-1], ys[1:], strict=True)])
+    cell = np.stack([bands[:, a:b].sum(axis=1) for a, b in zip(xs[:-1], xs[1:], strict=True)], axis=1)
     area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
     bright = (cell * h * w > total * area).ravel()
     return f"{w}x{h}/{total}/{np.count_nonzero(np.bincount(samples.ravel(), minlength=256))}/{int(np.packbits(bright).view('>u8')[0]):016x}"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            size = [len(x) for x in raw]
-            padded = [np.frombuffer(x + bytes(-len(x) % ROW if x else ROW), np.uint8) for x in raw]
-            media = pa.array([encode(x) for x in padded], pa.large_binary()).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), media], ["doc_id", "n_bytes", "media"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            ids, size, media = [], [], []
+            for i, text in zip(batch.column("doc_id").slice(at, TEXTS).to_pylist(), batch.column("text").slice(at, TEXTS), strict=True):
+                raw = (text.as_py() or "").encode()
+                ids.append(i)
+                size.append(len(raw))
+                media.append(encode(np.frombuffer(raw + bytes(-len(raw) % ROW if raw else ROW), np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,9 +815,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         got = []
-        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            samples = (decode(media) >> 8 & 0xFF).astype(np.uint8)
-            payload = samples.tobytes()[: max(ROW, -(-n // ROW) * ROW)]
+        for value in batch.column("media"):
+            media = value.as_py()
+            samples = (decode_all(media) >> np.uint32(8)).astype(np.uint8)
+            payload = samples.tobytes()
             got.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
         columns = list(zip(*got, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
