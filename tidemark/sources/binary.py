@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAMES = "path string, seq long, frame binary"
@@ -67,13 +67,19 @@ def itch_orders(frames: DataFrame, scale: int = 1) -> DataFrame:
 
 
 def itch_trades(frames: DataFrame, scale: int = 1) -> DataFrame:
-    """Trades (P), and executions (E, C) with symbol, price and side of their resting order; those of unknown orders are dropped."""
-    own = frames.where((text(2, 1) == "P") & (F.octet_length("frame") >= 38))
-    own = own.select("seq", be(13, 8).alias("order_id"), text(26, 8).alias("symbol"), (be(34, 4) * scale).alias("price_e4"), be(22, 4).alias("quantity"), be(7, 6).alias("ts_ns"), _side(21).alias("side"))
-    done = frames.where(text(2, 1).isin("E", "C") & (F.octet_length("frame") >= 33)).select("seq", be(13, 8).alias("order_id"), be(21, 4).alias("quantity"), be(7, 6).alias("ts_ns"))
-    latest = itch_orders(frames, scale).groupBy("order_id").agg(F.max_by(F.struct("symbol", "price_e4", "side"), "seq").alias("o"))
-    met = done.join(latest, "order_id").select("seq", "order_id", "o.symbol", "o.price_e4", "quantity", "ts_ns", "o.side")
-    return own.unionByName(met)
+    """Trades (P), and executions (E, C) with symbol, price and side of their resting order; those of unknown orders are dropped.
+    One pass over the frames: executions and orders meet by order number, trades each keep a place of their own."""
+    kind = text(2, 1)
+    length = F.octet_length("frame")
+    whole = kind.isin("A", "F", "P") & (length >= 38)
+    rows = frames.where(whole | (kind.isin("E", "C") & (length >= 33))).select(
+        "seq", kind.alias("kind"), be(13, 8).alias("order_id"), be(7, 6).alias("ts_ns"), F.when(whole, be(22, 4)).otherwise(be(21, 4)).alias("quantity"),
+        F.when(whole, F.struct("seq", text(26, 8).alias("symbol"), (be(34, 4) * scale).alias("price_e4"), _side(21).alias("side"))).alias("own"),
+    )
+    meet = Window.partitionBy(F.when(F.col("kind") == "P", -1 - F.col("seq")).otherwise(F.col("order_id")))
+    rows = rows.withColumn("order", F.max(F.when(F.col("kind").isin("A", "F"), F.col("own"))).over(meet)).where("kind in ('P', 'E', 'C')")
+    rows = rows.withColumn("of", F.coalesce("own", "order")).where("of is not null")
+    return rows.select("seq", "order_id", "of.symbol", "of.price_e4", "quantity", "ts_ns", "of.side")
 
 
 def ouch_orders(frames: DataFrame) -> DataFrame:
@@ -86,10 +92,15 @@ def ouch_orders(frames: DataFrame) -> DataFrame:
 
 
 def ouch_trades(frames: DataFrame) -> DataFrame:
-    """Executions (E) with symbol and side of their token's order; hidden if the liquidity flag is R or K."""
-    done = frames.where((text(3, 1) == "E") & (F.octet_length("frame") >= 33)).select("seq", be(12, 4).alias("token"), be(20, 4).alias("price_e4"), be(16, 4).alias("quantity"), be(4, 8).alias("ts_ns"), text(24, 1).isin("R", "K").alias("is_hidden"))
-    latest = ouch_orders(frames).groupBy("token").agg(F.max_by(F.struct("symbol", "side"), "seq").alias("o"))
-    return done.join(latest, "token").select("seq", "token", "o.symbol", "price_e4", "quantity", "ts_ns", "o.side", "is_hidden")
+    """Executions (E) with symbol and side of their token's order; hidden if the liquidity flag is R or K. One pass, as above."""
+    kind, length = text(3, 1), F.octet_length("frame")
+    entered, accepted, done = (kind == "O") & (length >= 25), (kind == "A") & (length >= 50), (kind == "E") & (length >= 33)
+    rows = frames.where(entered | accepted | done).select(
+        "seq", done.alias("done"), F.when(entered, be(4, 4)).otherwise(be(12, 4)).alias("token"), be(20, 4).alias("price_e4"), be(16, 4).alias("quantity"), be(4, 8).alias("ts_ns"), F.when(done, text(24, 1).isin("R", "K")).alias("is_hidden"),
+        F.when(entered, F.struct("seq", text(13, 8).alias("symbol"), _side(8).alias("side"))).when(accepted, F.struct("seq", text(21, 8).alias("symbol"), _side(16).alias("side"))).alias("own"),
+    )
+    rows = rows.withColumn("of", F.max("own").over(Window.partitionBy("token"))).where("done and of is not null")
+    return rows.select("seq", "token", "of.symbol", "price_e4", "quantity", "ts_ns", "of.side", "is_hidden")
 
 
 def _hex(value: Column, n: int) -> Column:
