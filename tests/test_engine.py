@@ -262,7 +262,7 @@ def stream(spark, feed, name, frame, files=1):
 def test_stream_bars_equal_batch(spark, sf, feed):
     t = trades(spark, sf)
     got = drain(streams.bars(stream(spark, feed, "trades", t), "1 hour", "1000 days"), "bars", "complete").selectExpr("symbol", "unix_micros(start) div 3600000000 AS bar", "open", "high", "low", "close", "volume", "trades")
-    want = trading.bars(t)
+    want = trading.bars(t, 60 * MINUTE)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
