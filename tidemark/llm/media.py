@@ -40,6 +40,7 @@ STRETCH, FEW = 1 << 18, 64
 #: Texts of a batch that goes on.
 TEXTS = 1000
 #: Longest back-reference and farthest distance of the format, and multiplier of the colour cache's hash.
+SHORTEST = 6
 LONGEST, FARTHEST, HASH = 4096, (1 << 20) - 120, 0x1E35A7BD
 
 # Fixed values of the format: the order of code-length code lengths.
@@ -75,40 +76,54 @@ class Bits:
         return out
 
 
+def _mirror(bits: int) -> np.ndarray:
+    """Every number of so many bits with its bits in reverse."""
+    k = np.arange(1 << bits, dtype=np.int32)
+    return sum((k >> i & 1) << (bits - 1 - i) for i in range(bits)) if bits else k
+
+
+MIRROR = _mirror(15)
+
+
 class Code:
-    """A canonical prefix code: symbols and lengths by the next `width` bits, first bit highest."""
+    """A canonical prefix code: symbol * 16 + length by the next `width` bits, first bit lowest."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         self.only = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
         self.width = 0
-        self.lookup: list[tuple[int, int]] | None = None
+        self.lookup: list[int] | None = None
         if self.only is not None:
-            self.symbol, self.length = np.array([self.only], np.int32), np.zeros(1, np.int32)
+            self.table = np.array([self.only << 4], np.int32)
+            self.cached = self.only >= 280
             return
-        ls = lengths[used].astype(np.int64)
+        self.cached = int(used[-1]) >= 280
+        ls = lengths[used].astype(np.int32)
         if int((1 << (15 - ls)).sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
         self.width = int(ls.max())
         order = np.argsort(ls, kind="stable")
-        span = 1 << (self.width - ls[order])
-        self.symbol, self.length = np.repeat(used[order], span).astype(np.int32), np.repeat(ls[order], span).astype(np.int32)
+        ls = ls[order]
+        ranked = np.repeat((used[order].astype(np.int32) << 4) + ls, 1 << (self.width - ls))
+        self.table = ranked[MIRROR[: 1 << self.width] >> (15 - self.width)]
+
+    def plain(self) -> list[int]:
+        if self.lookup is None:
+            self.lookup = self.table.tolist()
+        return self.lookup
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.lookup is None:  # by the next bits as a number, first bit lowest
-            k = np.arange(1 << self.width)
-            back = sum((k >> i & 1) << (self.width - 1 - i) for i in range(self.width))
-            self.lookup = list(zip(self.symbol[back].tolist(), self.length[back].tolist(), strict=True))
-        s, n = self.lookup[bits.peek(self.width)]
-        bits.read(n)
-        return s
+        entry = self.plain()[bits.peek(self.width)]
+        bits.read(entry & 15)
+        return entry >> 4
 
-    def at(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and lengths at places with these next sixteen bits."""
-        k = window >> (16 - self.width) if self.width else np.zeros(len(window), np.uint16)
-        return self.symbol[k], self.length[k]
+    def at(self, words: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Entries at bit places, from the 32 bits at each byte."""
+        if not self.width:
+            return np.full(len(place), self.table[0], np.int32)
+        return self.table[words[place >> 3] >> (place & 7).astype(np.uint32) & np.uint32((1 << self.width) - 1)]
 
 
 @lru_cache(512)
@@ -116,6 +131,34 @@ def code_of(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, np.uint8))
 
 
+def short_words(lengths: tuple[int, ...]) -> list[int]:
+    """Canonical words of a code of few symbols and at most seven bits, to be written from the lowest bit."""
+    out, word = [0] * len(lengths), 0
+    for n in range(1, 8):
+        for s, own in enumerate(lengths):
+            if own == n:
+                out[s] = int(f"{word:0{n}b}"[::-1], 2)
+                word += 1
+        word <<= 1
+    return out
+
+
+@lru_cache(4096)
+def short_code(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    """A code of few symbols as a list by its next bits, symbol * 16 + length, and the mask of those bits."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2:
+        return [(used[0] if used else 0) << 4], 0
+    if sum(1 << (7 - lengths[s]) for s in used) != 1 << 7:
+        raise ValueError("not a complete prefix code")
+    width = max(lengths)
+    table, words = [0] * (1 << width), short_words(lengths)
+    for s in used:
+        for k in range(words[s], 1 << width, 1 << lengths[s]):
+            table[k] = s << 4 | lengths[s]
+    return table, (1 << width) - 1
+
+
 def read_code(bits: Bits, size: int) -> Code:
     lengths = np.zeros(size, np.uint8)
     if bits.read(1):
@@ -123,28 +166,44 @@ def read_code(bits: Bits, size: int) -> Code:
         for s in [bits.read(8 if wide else 1), *([bits.read(8)] if n == 2 else [])]:
             lengths[s] = 1
         return code_of(lengths.tobytes())
-    inner = np.zeros(19, np.uint8)
-    for k in range(bits.read(4) + 4):
-        inner[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = code_of(inner.tobytes())
+    inner, n = [0] * 19, bits.read(4) + 4
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7)
+    bits.at += 3 * n
+    for k in range(n):
+        inner[CODE_LENGTH_ORDER[k]] = ahead >> 3 * k & 7
+    table, mask = short_code(tuple(inner))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     at, last = 0, 8
-    if code.only is not None and code.only < 16:
-        lengths[: min(left, size)] = code.only
+    if not mask and table[0] >> 4 < 16:
+        lengths[: min(left, size)] = table[0] >> 4
         return code_of(lengths.tobytes())
+    first, out = bits.at, []
+    # fourteen bits a symbol at most: enough of the stream as one number
+    ahead = int.from_bytes(bits.data[first >> 3 : (first >> 3) + 2 * min(left, size) + 8], "little") >> (first & 7)
+    used = 0
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        entry = table[ahead & mask]
+        n = entry & 15
+        s, ahead, used = entry >> 4, ahead >> n, used + n
         if s < 16:
-            lengths[at] = s
+            out.append(s)
             at += 1
             last = s or last
             continue
-        value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        lengths[at : at + n] = value
-        at += n
+        n = 2 if s == 16 else 3 if s == 17 else 7
+        k = (ahead & ((1 << n) - 1)) + (11 if s == 18 else 3)
+        ahead, used = ahead >> n, used + n
+        out += [last if s == 16 else 0] * k
+        at += k
+    bits.read(0)
+    bits.at = first + used
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+    if at <= size:
+        lengths[:at] = out
     if at > size:
         raise ValueError("too many code lengths")
     return code_of(lengths.tobytes())
@@ -215,92 +274,139 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 def _prefixed(symbol: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of length or distance symbols whose extra bits begin at `at`, and how many those are."""
-    n = np.maximum(0, (symbol - 2) >> 1)
-    extra = (words[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
-    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << n) + extra + 1), n
+    n = EXTRA[symbol]
+    extra = words[at >> 3] >> (at & 7).astype(np.uint32) & MASKS[n]
+    return BASE[symbol] + extra.astype(np.int32), n
+
+
+#: Of the prefix symbols 0 to 39: extra bits, and the least value; and masks of so many bits.
+EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)], np.int32)
+BASE = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)], np.int32)
+MASKS = np.array([(1 << k) - 1 for k in range(20)], np.uint32)
+_EIGHT = np.arange(8, dtype=np.uint32)
 
 
 def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of the last image of a stream: green symbols, ARGB of literals, lengths and distance codes of
-    references (1 and 0 elsewhere). `total`: its pixels."""
+    """All symbols of the last image of a stream: green symbols, the other channels of literals (one value if they never
+    change), lengths and distance codes of references (1 and 0 elsewhere). `total`: its pixels."""
     raw = np.frombuffer(bits.data, np.uint8)
     end, found, pixels = 8 * len(raw), [], 0
     green, red, blue, alpha, dist = codes
+    rest = sum((c.only or 0) << shift for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if not c.width)
+    others = [(c, shift) for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if c.width]
     while pixels < total:
         if bits.at >= end and any(c.width for c in codes[:4]):
             raise ValueError("the stream ends early")
         first = bits.at >> 3
-        part = np.concatenate([raw[first : first + (STRETCH >> 3) + 32], np.zeros(8, np.uint8)])
-        words = part[:-3].astype(np.uint32)
-        for k in (1, 2, 3):
-            words |= part[k : len(part) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-        one = np.unpackbits(part, bitorder="little").astype(np.uint16)
-        two = one[:-1] << np.uint16(1) | one[1:]
-        four = two[:-2] << np.uint16(2) | two[2:]
-        eight = four[:-4] << np.uint16(4) | four[4:]
-        window = eight[:-8] << np.uint16(8) | eight[8:]
-        n = min(STRETCH, 8 * (len(part) - 8))
-        at = np.arange(n, dtype=np.int32)
-        symbol, used = green.at(window[:n])
-        after = at + used
-        pixel = np.zeros(n, np.uint32)
-        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
-            if code.width:
-                s, used = code.at(window[after])
-                pixel |= s.astype(np.uint32) << np.uint32(shift)
-                after = after + used
-            elif code.only:
-                pixel |= np.uint32(code.only << shift)
-        refs = np.flatnonzero((symbol >= 256) & (symbol < 280))
-        length, far = np.ones(n, np.int64), np.zeros(n, np.int64)
-        if len(refs):
-            place = refs + green.at(window[refs])[1]
-            length[refs], extra = _prefixed(symbol[refs].astype(np.int64) - 256, place, words)
-            place = np.minimum(place + extra, len(window) - 1)
-            s, used = dist.at(window[place])
-            place = np.minimum(place + used, 8 * len(words) - 1)
-            far[refs], extra = _prefixed(s.astype(np.int64), place, words)
-            after[refs] = place + extra
-        cached = np.flatnonzero(symbol >= 280)
-        after[cached] = cached + green.at(window[cached])[1]
-        step, p, starts = memoryview(np.ascontiguousarray(after, np.int32)), bits.at & 7, []
+        part = np.concatenate([raw[first : first + (STRETCH >> 3) + 32], np.zeros(12, np.uint8)])
+        words = np.ndarray(len(part) - 3, "<u4", part.tobytes(), 0, (1,))  # the 32 bits that begin at each byte
+        n = min(STRETCH, 8 * (len(part) - 12))
+        if green.width:
+            entry = green.table[(words[: n >> 3, None] >> _EIGHT & np.uint32((1 << green.width) - 1)).ravel()]
+        else:
+            entry = np.full(n, green.table[0], np.int32)
+        after = np.arange(n, dtype=np.int32) + (entry & 15)
+        pixel = None
+        if others:
+            pixel = np.zeros(n, np.uint32)
+            for code, shift in others:
+                own = code.at(words, after)
+                pixel |= (own >> 4).astype(np.uint32) << np.uint32(shift)
+                after += own & 15
+        refs = np.flatnonzero(entry >= 256 << 4)
+        if green.cached:
+            refs = refs[entry[refs] < 280 << 4]
+        own = entry[refs]
+        place = refs.astype(np.int32) + (own & 15)
+        length, extra = _prefixed((own >> 4) - 256, place, words)
+        place += extra
+        own = dist.at(words, place)
+        place += own & 15
+        far, extra = _prefixed(own >> 4, place, words)
+        after[refs] = place + extra
+        if others:
+            cached = np.flatnonzero(entry >= 280 << 4)
+            after[cached] = cached + (entry[cached] & 15)
+        step, p, starts = memoryview(after), bits.at & 7, []
         if step[p] == p:  # symbols without bits: a single colour
             starts = [p] * (total - pixels)
         else:
-            while p < n:
-                starts.append(p)
-                p = step[p]
-        here = np.array(starts, np.int64)
-        upto = pixels + np.cumsum(length[here])
+            twice, note = memoryview(after[np.minimum(after, n - 1)]), starts.append
+            while p < n:  # every second symbol; those between them are one step on
+                note(p)
+                p = twice[p] if step[p] < n else n
+            here = np.array(starts, np.int32)
+            starts = np.stack([here, after[here]], axis=1).ravel()
+            if starts[-1] >= n:
+                starts = starts[:-1]
+            p = step[int(starts[-1])]
+        here = np.asarray(starts, np.int32)
+        symbol = entry[here] >> 4
+        count, back = np.ones(len(here), np.int32), np.zeros(len(here), np.int32)
+        met = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        if len(met):
+            at = np.searchsorted(refs, here[met])
+            count[met], back[met] = length[at], far[at]
+        upto = pixels + np.cumsum(count, dtype=np.int64)
         last = int(np.searchsorted(upto, total))
         if last < len(here):
-            here, p = here[: last + 1], int(step[here[last]])
+            p = int(step[here[last]])
+            here, symbol, count, back = here[: last + 1], symbol[: last + 1], count[: last + 1], back[: last + 1]
         pixels = int(upto[len(here) - 1])
-        literal = pixel[here] | (symbol[here] & 255).astype(np.uint32) << np.uint32(8)
-        found.append((symbol[here], literal, length[here], far[here]))
+        found.append((symbol, np.full(1, rest, np.uint32) if pixel is None else pixel[here] | np.uint32(rest), count, back))
         bits.at = 8 * first + p
     if bits.at > end or pixels > total:
         raise ValueError("the stream ends early")
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+@lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """The distances that the short codes stand for."""
+    return np.array([1, *(max(1, x + y * width) for x, y in SHORT_DISTANCES)], np.int32)
 
 
-def _resolve(symbol: np.ndarray, literal: np.ndarray, length: np.ndarray, far: np.ndarray, cache_bits: int, width: int) -> np.ndarray:
+def _resolve(symbol: np.ndarray, others: np.ndarray, length: np.ndarray, far: np.ndarray, cache_bits: int, width: int) -> np.ndarray:
     """ARGB of all pixels from the symbols: references copy what came before, cache symbols take the last of a slot."""
-    near = np.array([max(1, x + y * width) for x, y in SHORT_DISTANCES], np.int64)
-    back = np.where(far > 120, far - 120, near[np.clip(far, 1, 120) - 1])
     odd = np.flatnonzero(symbol >= 256)
+    rest, unit, values = others[0], 1, symbol.astype(np.uint8)
+    if cache_bits or len(others) == len(symbol) > 1:
+        rest, unit, values = np.uint32(0), 4, values.astype(np.uint32) << np.uint32(8) | others
     if not len(odd):
-        return literal
-    if not cache_bits and (literal & np.uint32(0xFFFF00FF) == literal[0] & np.uint32(0xFFFF00FF)).all():
-        rest, unit, values = literal[0] & np.uint32(0xFFFF00FF), 1, (literal >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
-    else:
-        rest, unit, values = np.uint32(0), 4, literal
-    plain = np.delete(values, odd).tobytes()
-    before = (odd - np.arange(len(odd))) * unit  # bytes of literals ahead of each
+        return values if unit == 4 else values.astype(np.uint32) << np.uint32(8) | rest
+    far = far[odd]
+    back = np.where(far > 120, far - 120, _near(width)[np.minimum(far, 120)])
+    keep = np.ones(len(symbol), bool)
+    keep[odd] = False
+    plain = values[keep].tobytes()
+    before = ((odd - np.arange(len(odd))) * unit).tolist()  # bytes of literals ahead of each
+    lengths, backs = (length[odd] * unit).tolist(), (back * unit).tolist()
     out, at = bytearray(), 0
     if cache_bits:
-        cache, shift, filled = [b"\0\0\0\0"] * (1 << cache_bits), 32 - cache_bits, 0
-    for upto, n, d, s in zip(before.tolist(), (length[odd] * unit).tolist(), (back[odd] * unit).tolist(), symbol[odd].tolist(), strict=True):
+        _with_cache(out, plain, before, lengths, backs, symbol[odd].tolist(), cache_bits)
+        at = before[-1]
+    else:
+        for upto, n, d in zip(before, lengths, backs, strict=True):
+            if at < upto:
+                out += plain[at:upto]
+                at = upto
+            start = len(out) - d
+            if start < 0:
+                raise ValueError("a reference leaves the image")
+            if d >= n:
+                out += out[start : start + n]
+            else:
+                out += (out[start:] * (n // d + 1))[:n]
+    out += plain[at:]
+    if unit == 4:
+        return np.frombuffer(bytes(out), np.uint32)
+    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | rest
+
+
+def _with_cache(out: bytearray, plain: bytes, before: list[int], lengths: list[int], backs: list[int], symbols: list[int], cache_bits: int) -> None:
+    """References and cache symbols in turn, in pixels of four bytes; the cache is brought up to date when it is asked."""
+    cache, shift, filled, at = [b"\0\0\0\0"] * (1 << cache_bits), 32 - cache_bits, 0, 0
+    for upto, n, d, s in zip(before, lengths, backs, symbols, strict=True):
         out += plain[at:upto]
         at = upto
         if s >= 280:
@@ -313,14 +419,7 @@ def _resolve(symbol: np.ndarray, literal: np.ndarray, length: np.ndarray, far: n
         start = len(out) - d
         if start < 0:
             raise ValueError("a reference leaves the image")
-        if d >= n:
-            out += out[start : start + n]
-        else:
-            out += (out[start:] * (n // d + 1))[:n]
-    out += plain[at:]
-    if unit == 4:
-        return np.frombuffer(bytes(out), np.uint32)
-    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | rest
+        out += out[start : start + n] if d >= n else (out[start:] * (n // d + 1))[:n]
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -482,14 +581,14 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
         return out
     weight = [counts[i] for i in used]
     while True:
-        heap = [(w, i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        parent, made = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = made
-            heapq.heapreplace(heap, (a + b, made))
+        heap = sorted([w << 13 | i for i, w in enumerate(weight)])  # weight and number in one
+        parent, made, last = [0] * (2 * len(used) - 1), len(used), 2 * len(used) - 1
+        pop, swap = heapq.heappop, heapq.heapreplace
+        while made < last:
+            a = pop(heap)
+            b = heap[0]
+            parent[a & 8191] = parent[b & 8191] = made
+            swap(heap, ((a >> 13) + (b >> 13)) << 13 | made)
             made += 1
         depth = [0] * made
         for i in range(made - 2, -1, -1):
@@ -508,14 +607,10 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     used = np.flatnonzero(lengths)
     if len(used) < 2:
         return out
-    ls = lengths[used].astype(np.int64)
+    ls = lengths[used]
     order = np.argsort(ls, kind="stable")
     span = 1 << (15 - ls[order])
-    high = np.cumsum(span) - span  # the word at the head of fifteen bits
-    words = np.zeros(len(used), np.int64)
-    for i in range(15):
-        words |= (high >> (14 - i) & 1) << i
-    out[used[order]] = words
+    out[used[order]] = MIRROR[np.cumsum(span) - span]  # the word at the head of fifteen bits, turned round
     return out
 
 
@@ -540,6 +635,10 @@ class Sink:
             self.parts.append((np.array(self.values, np.int64), np.array(self.widths, np.int64)))
             self.values, self.widths = [], []
 
+    def one(self, symbol: int) -> None:
+        """The code of a single symbol below 256, which then takes no bits."""
+        self.put(5 | symbol << 3, 11)
+
     def code(self, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Writes a prefix code for these frequencies; gives words and lengths (a single symbol takes no bits)."""
         used = [i for i, c in enumerate(counts) if c] or [0]
@@ -558,25 +657,34 @@ class Sink:
         inner_counts = [0] * 19
         for s, _, _ in runs:
             inner_counts[s] += 1
-        inner = np.array(code_lengths(inner_counts, 7))
-        words = code_words(inner).tolist()
-        n = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if inner[s]) + 1)
+        plain = code_lengths(inner_counts, 7)
+        words = short_words(tuple(plain))
+        n = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if plain[s]) + 1)
         self.put((n - 4) << 1, 5)
-        for s in CODE_LENGTH_ORDER[:n]:
-            self.put(int(inner[s]), 3)
+        self.values += [plain[s] for s in CODE_LENGTH_ORDER[:n]]
+        self.widths += [3] * n
         self.put(0, 1)
         single = sum(1 for c in inner_counts if c) == 1
-        widths = [0] * 19 if single else inner.tolist()
-        for s, extra, bits in runs:
-            self.put(words[s] | extra << widths[s], widths[s] + bits)
+        widths = [0] * 19 if single else plain
+        self.values += [words[s] | extra << widths[s] for s, extra, _ in runs]
+        self.widths += [widths[s] + bits for s, _, bits in runs]
         return code_words(lengths), lengths
 
     def bytes(self) -> bytes:
+        """All numbers side by side: each one is put where it begins in 64-bit words and, where it goes over, in the next."""
         self.flush()
         values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        own = np.repeat(np.arange(len(values)), widths)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(widths) - widths, widths)
-        return np.packbits((values[own] >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+        ends = np.cumsum(widths)
+        begin = ends - widths
+        total = int(ends[-1])
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        own = (values * (widths > 0)).astype(np.uint64)
+        out = np.zeros((total >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # numbers share a word with their neighbours
+        out[word[first]] = np.bitwise_or.reduceat(own << shift, first)
+        over = np.flatnonzero((begin & 63) > 64 - widths)
+        out[word[over] + 1] |= own[over] >> (np.uint64(64) - shift[over])
+        return out.tobytes()[: (total + 7) >> 3]
 
 
 def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
@@ -615,40 +723,50 @@ def _symbol_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Back-references in 8-bit pixels: places, lengths, distances. Greedy, to the last place with the same four."""
+    """Back-references in 8-bit pixels: places, lengths, distances. Greedy, to the last place with the same SHORTEST."""
     n = len(pixels)
     none = np.zeros(0, np.int64)
-    if n < 12:
+    if n < 2 * SHORTEST:
         return none, none, none
-    p = pixels.astype(np.uint32)
-    gram = p[:-3] | p[1:-2] << np.uint32(8) | p[2:-1] << np.uint32(16) | p[3:] << np.uint32(24)
-    order = np.argsort(gram, kind="stable")
-    ranked = gram[order]
-    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    raw = pixels.tobytes()
+    wide = np.ndarray(n - SHORTEST + 1, "<u8", raw + bytes(8), 0, (1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
+    m = len(wide)
+    with np.errstate(over="ignore"):
+        key = wide * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64((1 << 20) - 1) | np.arange(m, dtype=np.uint64)  # 44 bits of a hash, the place
+    key.sort()
+    place = (key & np.uint64((1 << 20) - 1)).astype(np.int32)
+    key >>= np.uint64(20)
+    same = np.flatnonzero(key[1:] == key[:-1])
     if not len(same):
         return none, none, none
-    last = np.full(len(gram), -1, np.int64)
-    last[order[same + 1]] = order[same]
-    where = np.flatnonzero(last >= 0)
-    following = where[np.minimum(np.searchsorted(where, np.arange(n + 1)), len(where) - 1)]
-    back, go, raw = memoryview(last), memoryview(following), pixels.tobytes()
-    out, i, final = [], 0, int(where[-1])
-    while i <= final:
+    here, there = place[same + 1], place[same]
+    alike = wide[here] == wide[there]
+    last = np.full(m, -1, np.int32)
+    last[here[alike]] = there[alike]
+    following = np.where(last >= 0, np.arange(m, dtype=np.int32), np.int32(n))
+    following = np.minimum.accumulate(following[::-1])[::-1]  # the next place that has one
+    back, go = memoryview(last), memoryview(np.ascontiguousarray(following))
+    out, i, final = [], 0, m
+    while i < final:
         i = go[i]
+        if i == n:
+            break
         j = back[i]
-        d, k, most = i - j, 4, min(LONGEST, n - i)
-        while k + 16 <= most and raw[i + k : i + k + 16] == raw[j + k : j + k + 16]:
-            k += 16
+        k, most = SHORTEST, n - i if n - i < LONGEST else LONGEST
         while k < most and raw[i + k] == raw[j + k]:
             k += 1
-        if d > FARTHEST or (k == 4 and d > 256):  # dearer than four literals
+            if k == 24:  # a long one: by sixteens
+                while k + 16 <= most and raw[i + k : i + k + 16] == raw[j + k : j + k + 16]:
+                    k += 16
+        if i - j > FARTHEST:
             i += 1
             continue
-        out.append((i, k, d))
+        out.append((i, k, i - j))
         i += k
     if not out:
         return none, none, none
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+    found = np.array(out, np.int64)
+    return found[:, 0], found[:, 1], found[:, 2]
 
 
 def _bits_of(counts: np.ndarray) -> float:
@@ -669,31 +787,39 @@ def _cached(pixels: np.ndarray, literal: np.ndarray, bits: int, alpha: int) -> t
     return hit[literal], slot
 
 
-#: Sizes of the colour cache that are tried.
-CACHES = (1, 2, 4)
+#: Sizes of the colour cache that are tried, and bytes by which a predictor is taken into consideration.
+CACHES, SAMPLE = (2, 1, 4), 1024
+
+
+@lru_cache(64)
+def _short_codes(width: int) -> np.ndarray:
+    """The codes of all distances up to the last that has a short one: the first of these, or 120 more."""
+    near: dict[int, int] = {}
+    for code, (x, y) in enumerate(SHORT_DISTANCES, 1):
+        near.setdefault(max(1, x + y * width), code)
+    return np.array([near.get(d, d + 120) for d in range(max(near) + 1)], np.int64)
 
 
 def _write_pixels(sink: Sink, pixels: np.ndarray, width: int, alpha: int) -> None:
     """The main image: green samples, every other channel constant."""
     at, length, back = references(pixels)
-    covered = np.zeros(len(pixels) + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + length, -1)
-    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
-    symbol = pixels[literal].astype(np.int64)
-    plain = np.bincount(symbol, minlength=256)
-    best, bits = _bits_of(plain), 0
+    edge = np.zeros(len(pixels) + 1, np.int8)
+    edge[at] += 1
+    edge[at + length] -= 1
+    literal = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) == 0)
+    value = pixels[literal]
+    symbol, bits = value.astype(np.int64), 0
+    best = plain = _bits_of(np.bincount(value, minlength=256))
     for b in CACHES:
         hit, slot = _cached(pixels, literal, b, alpha)
-        cost = _bits_of(np.bincount(np.where(hit, 256 + slot[pixels[literal]], symbol), minlength=256 + (1 << b))) + 5 * (1 << b) + 4
+        own = slot[value].astype(np.int64)
+        cost = _bits_of(np.bincount(np.where(hit, 256 + own, value), minlength=256 + (1 << b))) + 5 * (1 << b) + 4
         if cost < best:
-            best, bits, taken = cost, b, np.where(hit, 280 + slot[pixels[literal]].astype(np.int64), symbol)
-    if bits:
-        symbol = taken
-    near = {}
-    for code, (x, y) in enumerate(SHORT_DISTANCES, 1):
-        near.setdefault(max(1, x + y * width), code)
-    far = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
+            best, bits, symbol = cost, b, np.where(hit, 280 + own, value)
+        if cost > 1.02 * plain:  # other sizes differ little
+            break
+    near = _short_codes(width)
+    far = np.where(back < len(near), near[np.minimum(back, len(near) - 1)], back + 120)
     ls, le, ln = _symbol_of(length)
     ds, de, dn = _symbol_of(far)
     sink.put(1 | bits << 1 if bits else 0, 5 if bits else 1)
@@ -701,24 +827,27 @@ def _write_pixels(sink: Sink, pixels: np.ndarray, width: int, alpha: int) -> Non
     counts = np.bincount(np.concatenate([symbol, 256 + ls]), minlength=280 + (1 << bits if bits else 0))
     words, widths = sink.code(counts.tolist())
     for only in (0, 0, alpha):
-        sink.code([int(k == only) for k in range(256)])
+        sink.one(only)
     dist_words, dist_widths = sink.code(np.bincount(ds, minlength=40).tolist())
-    # one entry for a literal, four for a reference, in the order of their places
-    count = np.zeros(len(pixels), np.int64)
-    count[literal], count[at] = 1, 4
-    place = np.cumsum(count) - count
-    values, sizes = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
-    values[place[literal]], sizes[place[literal]] = words[symbol], widths[symbol]
-    for k, (v, n) in enumerate(((words[256 + ls], widths[256 + ls]), (le, ln), (dist_words[ds], dist_widths[ds]), (de, dn))):
-        values[place[at] + k], sizes[place[at] + k] = v, n
+    # one entry for a literal, two for a reference (the length with its extra bits, the distance with its), in order
+    count = np.zeros(len(pixels), np.int8)
+    count[literal], count[at] = 1, 2
+    place = np.cumsum(count, dtype=np.int64) - count
+    total = len(literal) + 2 * len(at)
+    values, sizes = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    there = place[literal]
+    values[there], sizes[there] = words[symbol], widths[symbol]
+    there = place[at]
+    for k, (word, width_, extra, n) in enumerate(((words[256 + ls], widths[256 + ls], le, ln), (dist_words[ds], dist_widths[ds], de, dn))):
+        values[there + k], sizes[there + k] = word | extra << width_, width_ + n
     sink.array(values, sizes)
 
 
 def _simple_image(sink: Sink, green: int) -> None:
     """A sub-image of one colour."""
     sink.put(0, 1)
-    for only, size in ((green, 280), (0, 256), (0, 256), (0, 256), (0, 40)):
-        sink.code([int(k == only) for k in range(size)])
+    for only in (green, 0, 0, 0, 0):
+        sink.one(only)
 
 
 def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
@@ -727,7 +856,7 @@ def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
     sink.put(ROW - 1, 14)
     sink.put(height - 1, 14)
     sink.put(0, 4)
-    used = np.flatnonzero(np.bincount(payload, minlength=256))
+    used = np.flatnonzero(_occurring(payload))
     bundle = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1 if len(used) <= 16 else 0
     pixels, width, alpha = payload, ROW, 255
     if bundle:
@@ -736,10 +865,10 @@ def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
         steps = np.diff(used, prepend=0)
         sink.put(0, 1)
         words, widths = sink.code(np.bincount(steps, minlength=280).tolist())
-        for only in (0, 0):
-            sink.code([int(k == only) for k in range(256)])
+        sink.one(0)
+        sink.one(0)
         sink.code([int(k == 255 or (k == 0 and len(used) > 1)) for k in range(256)])
-        sink.code([1] + [0] * 39)
+        sink.one(0)
         opaque = (np.arange(len(used)) == 0).astype(np.int64)  # entries are differences: the first one brings the alpha
         sink.array(np.stack([words[steps], opaque], axis=1).ravel(), np.stack([widths[steps], np.full(len(used), int(len(used) > 1))], axis=1).ravel())
         rank = np.zeros(256, np.uint8)
@@ -759,6 +888,13 @@ def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def _occurring(samples: np.ndarray) -> np.ndarray:
+    """Which of the 256 values occur."""
+    out = np.zeros(256, bool)
+    out[samples] = True
+    return out
+
+
 def _residues(payload: np.ndarray, height: int, mode: int) -> np.ndarray:
     """What the left (1) or upper (2) neighbour leaves; the first row has left, the first column upper neighbours only."""
     p = payload.reshape(height, ROW)
@@ -778,9 +914,10 @@ def encode(payload: np.ndarray) -> bytes:
     for at in range(0, len(payload), IMAGE):
         part = payload[at : at + IMAGE]
         height = len(part) // ROW
-        tries, plain = [0], _bits_of(np.bincount(part, minlength=256))
-        for mode in (1, 2):  # a predictor is tried where it makes the samples alone simpler
-            if _bits_of(np.bincount(_residues(part, height, mode), minlength=256)) < plain:
+        tries, some = [0], part[: SAMPLE]
+        plain = _bits_of(np.bincount(some, minlength=256))
+        for mode in (1, 2):  # a predictor is tried where it makes the first samples alone simpler; the whole file's size decides
+            if _bits_of(np.bincount(_residues(some, len(some) // ROW, mode), minlength=256)) < plain:
                 tries.append(mode)
         out.append(min((_file(part, height, m) for m in tries), key=len))
     return b"".join(out)
@@ -789,13 +926,13 @@ def encode(payload: np.ndarray) -> bytes:
 def features(samples: np.ndarray) -> str:
     """Size, sum, distinct samples, and a 64-bit average hash of an 8 x 8 grid, from 8-bit samples (height, width)."""
     h, w = samples.shape
-    total = int(samples.sum(dtype=np.int64))
     ys, xs = np.arange(9) * h // 8, np.arange(9) * w // 8
     bands = np.stack([samples[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(ys[:-1], ys[1:], strict=True)])
+    total = int(bands.sum())
     cell = np.stack([bands[:, a:b].sum(axis=1) for a, b in zip(xs[:-1], xs[1:], strict=True)], axis=1)
     area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
     bright = (cell * h * w > total * area).ravel()
-    return f"{w}x{h}/{total}/{np.count_nonzero(np.bincount(samples.ravel(), minlength=256))}/{int(np.packbits(bright).view('>u8')[0]):016x}"
+    return f"{w}x{h}/{total}/{np.count_nonzero(_occurring(samples.ravel()))}/{int(np.packbits(bright).view('>u8')[0]):016x}"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
