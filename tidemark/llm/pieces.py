@@ -34,7 +34,7 @@ from tidemark.llm.common import mix64, small_batches, spans, table, utf8
 
 MARK = "\u2581"
 #: Documents, bytes, and units that are worked on at once.
-DOCS, BYTES, UNITS = 2000, 3 << 20, 12_000
+DOCS, BYTES, UNITS = 2000, 1 << 20, 12_000
 #: Characters from which a unit is worked out by itself.
 LONG = 64
 NONE = np.int64(1 << 40)
