@@ -2,6 +2,7 @@
 
 import socket
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,16 @@ def test_a_gradient_step_equals_numpy(spark):
     assert np.allclose(got, np.array(w) - 0.01 * ((x * e[:, None]).mean(axis=0) + 0.001 * np.array(w)), atol=1e-7)
     cv = {r.alpha: r for r in models.cross_validate(rows, (0.001, 1.0)).collect()}
     assert cv[0.001].rmse < cv[1.0].rmse and cv[1.0].held_out == 50
+
+
+def test_spans_at_an_exact_half_round_as_in_sql(spark, tmp_path):
+    # of two trades by each symbol, with spans of whole and a half of a millionth of a minute whose binary product falls short
+    spans = [us for us in range(20_010, 200_000, 60) if int(us * 1000 / 6e10 * 1e6 + 0.5) != (us + 30) // 60][:10]
+    assert len(spans) == 10
+    con = duckdb.connect()
+    rows = ", ".join(f"({2 * s + j}, make_timestamp({1_704_067_200_000_000 + j * us}), {s}, 'click', 10.0, '{{\"k\": 0}}')" for s, us in enumerate(spans) for j in (0, 1))
+    con.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value, props)")
+    con.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value, props FROM events) TO '{tmp_path}/events.parquet'")
+    want = {r[0]: r[1] for r in con.sql(f"SELECT trade_seq, pov FROM ({orderflow.SQL['slice_quantities']})").fetchall()}
+    got = {r.trade_seq: r.pov for r in orderflow.QUERIES["slice_quantities"](spark, str(tmp_path)).collect()}
+    assert got == want and max(want.values()) < orderflow.LARGEST_SIZE

@@ -32,6 +32,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounded as DuckDB does: the product with the power of ten to the nearest integer, halves away from 0. (F.round takes
+    the decimals a double is printed with, so the two differ where the product of an exact half falls short of it.)"""
+    power = 10.0**digits
+    return F.round(x * power) / power
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio, rows_back
+from tidemark.functions.scalar import ratio, round_binary, rows_back
 from tidemark.operators.asof import asof
 from tidemark.operators.running import running
 from tidemark.plans import liquidity
@@ -138,9 +138,9 @@ def conditions(t: DataFrame, q: DataFrame, n: int = 20) -> DataFrame:
     rows = asof(t, q, ["symbol"], F.col("ts_ns"), F.col("ts_ns"), ["quote_seq"], take, ticks.DAY)
     rows = rows.withColumn("r", F.ln(ratio(F.col("price_e4"), F.lag("price_e4").over(one))))
     return rows.select(
-        "symbol", "trade_seq", "ts_ns", "side", F.round(F.stddev_pop("r").over(w), 9).alias("volatility"), F.round(ratio((F.col("ask_e4") - F.col("bid_e4")) * 10000, F.expr("(bid_e4 + ask_e4) div 2")), 4).alias("spread_bps"),
-        F.round(ratio(F.col("bid_size") - F.col("ask_size"), F.col("bid_size") + F.col("ask_size")), 6).alias("depth"), F.sum("quantity").over(w).alias("volume"), F.count("*").over(w).alias("n"),
-        F.round((F.max("ts_ns").over(w) - F.min("ts_ns").over(w)) / float(MINUTE), 6).alias("span"),
+        "symbol", "trade_seq", "ts_ns", "side", round_binary(F.stddev_pop("r").over(w), 9).alias("volatility"), round_binary(ratio((F.col("ask_e4") - F.col("bid_e4")) * 10000, F.expr("(bid_e4 + ask_e4) div 2")), 4).alias("spread_bps"),
+        round_binary(ratio(F.col("bid_size") - F.col("ask_size"), F.col("bid_size") + F.col("ask_size")), 6).alias("depth"), F.sum("quantity").over(w).alias("volume"), F.count("*").over(w).alias("n"),
+        round_binary((F.max("ts_ns").over(w) - F.min("ts_ns").over(w)) / float(MINUTE), 6).alias("span"),
     )
 
 
@@ -152,12 +152,12 @@ def slice_quantities(t: DataFrame, q: DataFrame, total: int = 50_000) -> DataFra
     sell, buy = F.col("side") != "BUY", F.col("side") == "BUY"
     adjust = F.when(F.col("spread_bps") > 3, 0.8).when(F.col("spread_bps") < 1, 1.2).otherwise(1.0) * F.when(F.col("volatility") > 0.3, 0.7).otherwise(1.0)
     adjust = adjust * F.when((buy & (F.col("depth") > 0.3)) | (sell & (F.col("depth") < -0.3)), 0.9).otherwise(1.0)
-    vwap = F.floor(F.round(F.lit(total * CURVE[0]) * adjust, 6))
+    vwap = F.floor(round_binary(F.lit(total * CURVE[0]) * adjust, 6))
     kappa = F.greatest(F.col("volatility"), F.lit(1e-6)) * (RISK / IMPACT) ** 0.5
-    shortfall = F.floor(F.round(total * kappa / F.sinh(F.least(kappa * HORIZON, F.lit(500.0))) * INTERVAL, 6))
-    pov = F.floor(F.round(F.coalesce(ratio(F.col("volume"), F.col("span")), F.lit(0.0)) * PARTICIPATION * INTERVAL, 6))
+    shortfall = F.floor(round_binary(total * kappa / F.sinh(F.least(kappa * HORIZON, F.lit(500.0))) * INTERVAL, 6))
+    pov = F.floor(round_binary(F.coalesce(ratio(F.col("volume"), F.col("span")), F.lit(0.0)) * PARTICIPATION * INTERVAL, 6))
     chance = F.coalesce(F.col("spread_bps") > 4, F.lit(False)) | F.coalesce((buy & (F.col("depth") < -0.5)) | (sell & (F.col("depth") > 0.5)), F.lit(False)) | F.coalesce(F.col("volatility") < 0.1, F.lit(False))
-    adaptive = F.when(chance, F.least(F.floor(shortfall * 1.5), F.floor(F.round(F.col("volume") * MOST, 6)))).otherwise(shortfall)
+    adaptive = F.when(chance, F.least(F.floor(shortfall * 1.5), F.floor(round_binary(F.col("volume") * MOST, 6)))).otherwise(shortfall)
     held = lambda x: F.least(F.lit(LARGEST_SIZE), F.greatest(F.lit(LEAST_SIZE), F.coalesce(x, F.lit(0)))).cast("long")
     return c.select("symbol", "trade_seq", held(vwap).alias("vwap"), held(shortfall).alias("shortfall"), held(pov).alias("pov"), chance.alias("opportunity"), held(adaptive).alias("adaptive"))
 
