@@ -460,3 +460,27 @@ def test_blocked_windows_equal_plain_ones(spark):
     got = rows.select("n", "_own", F.sum("n").over(w).alias("s"), F.count("*").over(w).alias("c"), age.alias("age")).where("_own")
     want = t.select("n", F.sum("n").over(span_back(70, "k", order="t")).alias("s"), F.count("*").over(span_back(70, "k", order="t")).alias("c"))
     assert got.select("n", "s", "c").exceptAll(want).count() == 0 and got.where("age < 0 or age >= 70").count() == 0 and got.count() == 300
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_blocked_sums_equal_plain_ones(spark, least):
+    from tidemark.operators.blocks import blocked, blocked_sum
+
+    rows = [(k % 2, k, k * k % 613, None if k % 5 == 0 else k / 7) for k in range(400)]  # with equal times and nulls
+    t = spark.createDataFrame(rows, "k long, id long, t long, x double")
+    twice, _, _ = blocked(t, ["k"], "t", 70)
+    got = {r.id: r.s for r in twice.select("id", "_own", blocked_sum(F.col("x"), ["k"], "t", 70, least).alias("s")).where("_own").collect()}
+    for key, i, at, _ in rows:
+        inside = [x for k2, _, t2, x in rows if k2 == key and at - 70 <= t2 <= at - least and x is not None]
+        assert got[i] == pytest.approx(sum(inside)) if inside else got[i] is None
+    assert len(got) == 400
+
+
+@pytest.mark.parametrize("name", ["tqr_anomaly", "reactions", "heatmap_anomalies", "book_flow_ratio", "hawkes_intensity", "hawkes_grid"])
+def test_no_frame_of_time_is_summed_anew_at_every_row(spark, sf, name):
+    import re
+
+    from tidemark.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.findall(r"RangeFrame, -\d+", plan)

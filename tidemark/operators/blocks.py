@@ -16,3 +16,13 @@ def blocked(rows: DataFrame, by: list[str], time: str, width: int, least: int =
     twice = twice.withColumn("_own", F.col("_shift") == 0).drop("_shift")
     w = Window.partitionBy(*by, "_block").orderBy(time).rangeBetween(-width, -least)
     return twice, w, (F.col(time) - F.col("_block") * F.lit(width)).cast("double")
+
+
+def blocked_sum(value: Column, by: list[str], time: str, width: int, least: int = 0) -> Column:
+    """Sum of `value` over the window of `blocked` (least: 0 or 1), for its own rows; null where all values are. A frame that
+    moves at both ends is summed anew at every row. Here one sum grows upwards, over the block, and one downwards, over the
+    ghosts, so every row is added once; and nothing is subtracted, so doubles lose no digits."""
+    block, own = Window.partitionBy(*by, "_block"), F.col("_own")
+    near = F.sum(F.when(own, value)).over(block.orderBy(time).rangeBetween(Window.unboundedPreceding, -least))
+    far = F.sum(F.when(~own, value)).over(block.orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, width))
+    return F.coalesce(near + far, near, far)
