@@ -400,3 +400,11 @@ def test_query_rows(docs, odd_docs, no_docs):
             stored = encode(np.frombuffer(full, np.uint8))
             assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(full))
     assert media.read(media.store(no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("size", [6, 7, 13, 14, 15, 29, 30, 31, 4095, 4096, 4097])
+def test_references_go_on_as_far_as_they_can(size):
+    rng = np.random.default_rng(size)
+    own = rng.integers(1, 200, size).astype(np.uint8)
+    at, length, back = media.references(np.concatenate([own, [250], own, [251]]).astype(np.uint8))
+    assert (at[0], length[0], back[0]) == (size + 1, min(size, 4096), size + 1)

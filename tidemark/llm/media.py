@@ -327,20 +327,27 @@ def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.
         if others:
             cached = np.flatnonzero(entry >= 280 << 4)
             after[cached] = cached + (entry[cached] & 15)
-        step, p, starts = memoryview(after), bits.at & 7, []
-        if step[p] == p:  # symbols without bits: a single colour
-            starts = [p] * (total - pixels)
+        p = bits.at & 7
+        if after[p] == p:  # symbols without bits: a single colour
+            starts = np.full(total - pixels, p, np.int32)
         else:
-            twice, note = memoryview(after[np.minimum(after, n - 1)]), starts.append
-            while p < n:  # every second symbol; those between them are one step on
+            once = np.minimum(after, n)
+            once = np.append(once, np.int32(n))
+            twice = once[once]
+            found_at: list[int] = []
+            four, note = memoryview(twice[twice]), found_at.append
+            while p < n:  # every fourth symbol; those between them are one, two and three steps on
                 note(p)
-                p = twice[p] if step[p] < n else n
-            here = np.array(starts, np.int32)
-            starts = np.stack([here, after[here]], axis=1).ravel()
-            if starts[-1] >= n:
+                p = four[p]
+            starts = np.empty((len(found_at), 4), np.int32)
+            starts[:, 0] = found_at
+            starts[:, 1], starts[:, 2] = once[starts[:, 0]], twice[starts[:, 0]]
+            starts[:, 3] = once[starts[:, 2]]
+            starts = starts.ravel()
+            while starts[-1] >= n:
                 starts = starts[:-1]
-            p = step[int(starts[-1])]
-        here = np.asarray(starts, np.int32)
+            p = int(after[starts[-1]])
+        here = starts
         symbol = entry[here] >> 4
         count, back = np.ones(len(here), np.int32), np.zeros(len(here), np.int32)
         met = np.flatnonzero((symbol >= 256) & (symbol < 280))
@@ -350,7 +357,7 @@ def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.
         upto = pixels + np.cumsum(count, dtype=np.int64)
         last = int(np.searchsorted(upto, total))
         if last < len(here):
-            p = int(step[here[last]])
+            p = int(after[here[last]])
             here, symbol, count, back = here[: last + 1], symbol[: last + 1], count[: last + 1], back[: last + 1]
         pixels = int(upto[len(here) - 1])
         found.append((symbol, np.full(1, rest, np.uint32) if pixel is None else pixel[here] | np.uint32(rest), count, back))
@@ -745,28 +752,38 @@ def references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[here[alike]] = there[alike]
     following = np.where(last >= 0, np.arange(m, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(following[::-1])[::-1]  # the next place that has one
-    back, go = memoryview(last), memoryview(np.ascontiguousarray(following))
-    out, i, final = [], 0, m
+    # how far each goes on after SHORTEST, up to eight: equal low bytes of the next eight
+    ahead = np.ndarray(n + 1, "<u8", raw + bytes(8), 0, (1,))
+    behind = np.flatnonzero(last >= 0)
+    unlike = ahead[behind + SHORTEST] ^ ahead[last[behind] + SHORTEST]
+    longer = np.zeros(m, np.uint8)
+    longer[behind] = np.bitwise_count((unlike & (~unlike + np.uint64(1))) - np.uint64(1)) >> 3
+    back, go, more = memoryview(last), memoryview(np.ascontiguousarray(following)), memoryview(longer)
+    starts, sizes, i, final = [], [], 0, m
     while i < final:
         i = go[i]
         if i == n:
             break
         j = back[i]
-        k, most = SHORTEST, n - i if n - i < LONGEST else LONGEST
-        while k < most and raw[i + k] == raw[j + k]:
-            k += 1
-            if k == 24:  # a long one: by sixteens
-                while k + 16 <= most and raw[i + k : i + k + 16] == raw[j + k : j + k + 16]:
-                    k += 16
         if i - j > FARTHEST:
             i += 1
             continue
-        out.append((i, k, i - j))
+        k, most = more[i], n - i if n - i < LONGEST else LONGEST
+        k += SHORTEST
+        if k >= most:
+            k = most
+        elif k == SHORTEST + 8:
+            while k + 16 <= most and raw[i + k : i + k + 16] == raw[j + k : j + k + 16]:  # a long one: by sixteens
+                k += 16
+            while k < most and raw[i + k] == raw[j + k]:
+                k += 1
+        starts.append(i)
+        sizes.append(k)
         i += k
-    if not out:
+    if not starts:
         return none, none, none
-    found = np.array(out, np.int64)
-    return found[:, 0], found[:, 1], found[:, 2]
+    at = np.array(starts, np.int64)
+    return at, np.array(sizes, np.int64), at - last[at]
 
 
 def _bits_of(counts: np.ndarray) -> float:
