@@ -222,6 +222,44 @@ def test_near_dedup_keeps_one_row_of_each(spark):
     assert survivors(dedup.stage_near_dedup, hot, spark) in ([(8, b)],)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_dedup_leaves_texts_where_they_are(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789      ", k=40_000)) for _ in range(60)]
+    frame = spark.createDataFrame([(k, texts[k % 60], "en", "src0") for k in range(75)], "doc_id long, text string, lang string, source string").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than are sent to all executors
+    try:
+        frame = dedup.materialize(frame, "test-docs")
+        out = dedup.stage_near_dedup(spark, frame, None)
+        before = shuffled(spark)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(60))
+        assert shuffled(spark) - before < 0.1 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rows_that_go_when_bitmaps_are_full(spark, monkeypatch):
+    for size in (1, 7, 61, dedup.BITMAP):
+        monkeypatch.setattr(dedup, "BITMAP", size)
+        rows = spark.range(200).selectExpr("id - 50 AS doc_id", "repeat('x', 1) AS text", "5 AS _b", "'y' AS _m", "6 AS _gone", "7 AS _kept")
+        gone, kept = (spark.range(200).where(f"{no} (id % 9 = 3)").select((F.col("id") - 50).alias(name)) for no, name in (("", "_gone"), ("NOT", "_kept")))
+        out = dedup._without(rows, gone, kept)
+        assert out.columns == rows.columns
+        assert sorted(r.doc_id for r in out.collect()) == [k - 50 for k in range(200) if k % 9 != 3]
+        none = gone.where("false")
+        assert dedup._without(rows, none, rows.select(F.col("doc_id").alias("_kept"))).count() == 200
+
+
 def test_other_stages_treat_rows_alike(spark):
     a = clean(1)
     assert survivors(mixture.stage_mix, [], spark) == []

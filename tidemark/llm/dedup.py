@@ -288,14 +288,42 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     small_batches(spark)
     found = materialize(near_duplicates(docs), "dedup-found")
     often = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_often"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.where("doc_id is not null").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
+    left = _without(docs.where("doc_id is not null"), gone, found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")))
     often = materialize(often, "dedup-often")  # of known size: mostly empty
     alone = left.join(often, left["doc_id"] == often["_often"], "left_anti")
     several = left.join(often, left["doc_id"] == often["_often"], "left_semi")
     return alone.unionByName(_one_of(several, [F.col("doc_id")])).unionByName(_one_of(docs.where("doc_id is null"), _text_key()))
 
 
+def _place(c):
+    """A place in a bitmap, from 1: other than pmod(), it does not follow the order of ids."""
+    return F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
+
+
+def _marked(rows: DataFrame, id_, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose id, hashed, is (left_semi) or is not (left_anti) marked in a bitmap of BITMAP bits of the single column
+    `ids`. The bitmap, of fixed size, goes to the rows; none of those is dealt anew."""
+    h = _place(F.col(ids.columns[0]))
+    bits = ids.groupBy(F.bitmap_bucket_number(h).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("_m"))
+    h = _place(id_)
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(bits["_m"], F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(h) == bits["_b"]) & (F.getbit(byte, (at % 8).cast("int")) == 1), how)
+
+
+def _without(rows: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in `kept`, not in `gone` (single columns, which hold all ids of the rows between them).
+
+    Whole texts are not dealt by id: rows that a bitmap of what goes does not mark stay where they are. Of the others, only
+    those that a bitmap of marked ones that stay marks, too, are told apart by a join: a few, or as many as stay if the
+    bitmaps fill up, with the same outcome."""
+    id_ = rows["doc_id"]
+    doubtful = materialize(_marked(kept, kept["_kept"], gone, "left_semi"), "dedup-doubtful")
+    few = _marked(_marked(rows, id_, gone, "left_semi"), id_, doubtful, "left_semi")
+    return _marked(rows, id_, gone, "left_anti").unionByName(few.join(gone, id_ == gone["_gone"], "left_anti"))
+
+
 def _text_key() -> list:
     """128 bits of a text."""
     return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
