@@ -408,3 +408,37 @@ def test_references_go_on_as_far_as_they_can(size):
     own = rng.integers(1, 200, size).astype(np.uint8)
     at, length, back = media.references(np.concatenate([own, [250], own, [251]]).astype(np.uint8))
     assert (at[0], length[0], back[0]) == (size + 1, min(size, 4096), size + 1)
+
+
+def test_features_by_words_equal_sums_of_cells():
+    rng = np.random.default_rng(4)
+    for h in (1, 2, 3, 5, 7, 8, 9, 41, 300, 1500):
+        for samples in (rng.integers(0, 256, (h, 64), np.uint8), np.full((h, 64), 255, np.uint8), np.zeros((h, 64), np.uint8)):
+            ys, total = [k * h // 8 for k in range(9)], int(samples.sum(dtype=np.int64))
+            bright = ""
+            for a, b in zip(ys[:-1], ys[1:], strict=True):
+                for x in range(0, 64, 8):
+                    bright += str(int(int(samples[a:b, x : x + 8].sum(dtype=np.int64)) * h * 64 > total * (b - a) * 8))
+            assert media.features(samples) == f"64x{h}/{total}/{len(np.unique(samples))}/{int(bright, 2):016x}"
+
+
+def test_features_take_few_steps():
+    """Eight bands and sixty-four cells were summed by themselves before."""
+    samples = np.arange(64 * 40, dtype=np.int64).astype(np.uint8).reshape(40, 64)
+
+    class Counted(np.ndarray):
+        calls = 0
+
+        def sum(self, *args, **kwargs):
+            Counted.calls += 1
+            return super().sum(*args, **kwargs)
+
+    assert media.features(samples.view(Counted)) == media.features(samples)
+    assert Counted.calls <= 1
+
+
+def test_prefix_symbols_by_table():
+    values = np.array([1, 2, 4, 5, 6, 4096, (1 << 14) - 1, 1 << 14, (1 << 14) + 1, 1 << 20])
+    for some in (values, values[:7], values[:0]):
+        for symbol, extra, n, value in zip(*media._symbol_of(some), some, strict=True):
+            assert media.BASE[symbol] + extra == value and media.EXTRA[symbol] == n and extra < 1 << n

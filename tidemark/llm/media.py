@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -302,7 +303,7 @@ def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.
         words = np.ndarray(len(part) - 3, "<u4", part.tobytes(), 0, (1,))  # the 32 bits that begin at each byte
         n = min(STRETCH, 8 * (len(part) - 12))
         if green.width:
-            entry = green.table[(words[: n >> 3, None] >> _EIGHT & np.uint32((1 << green.width) - 1)).ravel()]
+            entry = green.table.take((words[: n >> 3, None] >> _EIGHT & np.uint32((1 << green.width) - 1)).ravel(), mode="clip")  # all are within; this asks no more
         else:
             entry = np.full(n, green.table[0], np.int32)
         after = np.arange(n, dtype=np.int32) + (entry & 15)
@@ -331,11 +332,12 @@ def _symbols(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.
         if after[p] == p:  # symbols without bits: a single colour
             starts = np.full(total - pixels, p, np.int32)
         else:
-            once = np.minimum(after, n)
-            once = np.append(once, np.int32(n))
-            twice = once[once]
+            once = np.empty(n + 1, np.int64)  # as wide as an index, which is not converted then
+            np.minimum(after, n, out=once[:-1])
+            once[-1] = n
+            twice = once.take(once, mode="clip")
             found_at: list[int] = []
-            four, note = memoryview(twice[twice]), found_at.append
+            four, note = memoryview(twice.take(twice, mode="clip")), found_at.append
             while p < n:  # every fourth symbol; those between them are one, two and three steps on
                 note(p)
                 p = four[p]
@@ -722,13 +724,23 @@ def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _symbol_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix symbol, extra bits and their number for lengths or distances from 1."""
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = value - 1
     n = np.maximum(0, np.frexp(v.astype(np.float64))[1] - 2)
     return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), np.where(v < 4, 0, n)
 
 
+#: What _prefix() gives for values below 2^14, which are most.
+_PREFIXES = _prefix(np.arange(1, 1 << 14))
+
+
+def _symbol_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number for lengths or distances from 1."""
+    if len(value) and value.max() >= 1 << 14:
+        return _prefix(value)
+    return tuple(x[value - 1] for x in _PREFIXES)
+
+
 def references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Back-references in 8-bit pixels: places, lengths, distances. Greedy, to the last place with the same SHORTEST."""
     n = len(pixels)
@@ -789,7 +801,10 @@ def references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bits_of(counts: np.ndarray) -> float:
     """What symbols of these frequencies take with an ideal code."""
     c = counts[counts > 0].astype(np.float64)
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+    if not len(c):
+        return 0.0
+    n = float(c.sum())
+    return n * math.log2(n) - float(c @ np.log2(c))
 
 
 def _cached(pixels: np.ndarray, literal: np.ndarray, bits: int, alpha: int) -> tuple[np.ndarray, np.ndarray]:
@@ -905,8 +920,14 @@ def _file(payload: np.ndarray, height: int, mode: int) -> bytes:
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+#: Samples that are counted as wide numbers, which takes eight times their memory.
+SMALL = 1 << 16
+
+
 def _occurring(samples: np.ndarray) -> np.ndarray:
     """Which of the 256 values occur."""
+    if len(samples) <= SMALL:
+        return np.bincount(samples, minlength=256) > 0
     out = np.zeros(256, bool)
     out[samples] = True
     return out
@@ -940,13 +961,26 @@ def encode(payload: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+#: Every other byte of a 64-bit word, and the factor that adds four such pairs up in the highest.
+PAIRS, ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
 def features(samples: np.ndarray) -> str:
     """Size, sum, distinct samples, and a 64-bit average hash of an 8 x 8 grid, from 8-bit samples (height, width)."""
     h, w = samples.shape
     ys, xs = np.arange(9) * h // 8, np.arange(9) * w // 8
-    bands = np.stack([samples[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(ys[:-1], ys[1:], strict=True)])
-    total = int(bands.sum())
-    cell = np.stack([bands[:, a:b].sum(axis=1) for a, b in zip(xs[:-1], xs[1:], strict=True)], axis=1)
+    if w == ROW:  # a cell is eight bytes wide: they are summed within 64-bit words
+        word = np.frombuffer(samples.tobytes(), "<u8")
+        word = (word & PAIRS) + (word >> np.uint64(8) & PAIRS)
+        with np.errstate(over="ignore"):
+            word = word * ONES >> np.uint64(48)
+        cell = np.add.reduceat(word.astype(np.int64).reshape(h, 8), ys[:-1], axis=0)
+        if h < 8:  # reduceat takes a row for a band of none
+            cell[ys[:-1] == ys[1:]] = 0
+    else:
+        bands = np.stack([samples[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(ys[:-1], ys[1:], strict=True)])
+        cell = np.stack([bands[:, a:b].sum(axis=1) for a, b in zip(xs[:-1], xs[1:], strict=True)], axis=1)
+    total = int(cell.sum())
     area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
     bright = (cell * h * w > total * area).ravel()
     return f"{w}x{h}/{total}/{np.count_nonzero(_occurring(samples.ravel()))}/{int(np.packbits(bright).view('>u8')[0]):016x}"
